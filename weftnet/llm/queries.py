@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import near_dedup
+from pyspark.sql import functions as F
+
+from . import chat, decontam, exact_dedup, line_dedup, mixing, near_dedup, pii, quality, sharding, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,17 +17,66 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clean = line_dedup.remove_boilerplate(table(spark, sf_dir, "documents"))
+    return clean.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+
+
+def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_duplicates(spark, table(spark, sf_dir, "documents")).drop("chunks")
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.curriculum(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_and_read(spark, table(spark, sf_dir, "pages")).drop("intact")
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated_pairs(
+        spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    )
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(table(spark, sf_dir, "documents"))
+
+
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(spark, table(spark, sf_dir, "documents"))
 
 
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(spark, table(spark, sf_dir, "documents"))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    verdicts = quality.classify(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return verdicts.drop("row_hash")
+
+
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.render(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Query]:
-    return {
-        "op7_near_dedup": op7_near_dedup,
-    }
+    return {f.__name__: f for f in (
+        op1_line_dedup, op2_exact_dedup, op3_mixing, op4_warc, op5_decontamination,
+        op6_pii, op7_near_dedup, op8_sharding, op9_quality, op10_chat,
+    )}
 
 
 def oracle_sql() -> dict[str, str]:
+    """Without op6 (a keyed permutation by loops), op8 (an iteration) and op9 (a fit): see tests/llm."""
     return {
+        "op1_line_dedup": line_dedup.ORACLE,
+        "op2_exact_dedup": exact_dedup.ORACLE,
+        "op3_mixing": mixing.ORACLE,
+        "op4_warc": warc.ORACLE,
+        "op5_decontamination": decontam.ORACLE,
         "op7_near_dedup": near_dedup.ORACLE,
+        "op10_chat": chat.ORACLE,
     }
