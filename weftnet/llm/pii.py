@@ -1,15 +1,15 @@
 """PII pseudonyms: keyed Feistel permutations inside each format, with DataFrame functions only.
 
 What looks like personal data is found by one pattern and validated: payment
-cards (13 to 19 digits with a right check digit, 16-digit numbers of any check digit),
+cards (13 to 19 digits, together or in groups, with a right check digit),
 IPv4 addresses, telephone numbers, US social security numbers and dates. The
 value of each is split in two halves (a modulo A, b modulo B); eight rounds of a
 Feistel network with MD5 of (key, kind, round, half) permute all pairs, and the
 result is written in the same format with the same separators:
 
 * card: all digits but the last are permuted, and the last is made so that the
-  check digit is right if it was right;
-* IPv4: 16 and 16 bits; telephone: area codes 200-999, then exchange 200-999 and line;
+  check digit is right again;
+* IPv4: 16 and 16 bits; telephone: three digits, then exchange and line;
 * social security: area 001-899, group and serial, none zero;
 * date: YYYY-MM-DD or YYYY/MM/DD, days of the 400 years from 1800 (189 x 773).
 
@@ -40,7 +40,9 @@ IPV4 = r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])"
 DATE = r"(?<![0-9])[0-9]{4}([-/])[0-9]{2}\1[0-9]{2}(?![0-9])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 PHONE = r"(?<![0-9])(?:\([0-9]{3}\) ?|[0-9]{3}[-. ])[0-9]{3}[-. ][0-9]{4}(?![0-9])"
-CARD = r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])"
+CARD = (
+    r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9])"
+)
 SECRET = r"(?<![0-9A-Za-z])(?:[0-9a-f]{64}|[0-9a-f]{40}|[0-9a-f]{32})(?![0-9A-Za-z])"
 CANDIDATE = "|".join(f"(?:{p})" for p in (EMAIL, IPV4, DATE, SSN, PHONE, CARD, SECRET))
 
@@ -49,7 +51,7 @@ MODULI = {
     "ip": (1 << 16, 1 << 16),
     "date": (189, 773),
     "ssn": (898, 99 * 9999),
-    "phone": (800, 800 * 10000),
+    "phone": (1000, 1000 * 10000),
 }
 _DAY_ZERO = "1800-01-01"
 
@@ -122,13 +124,9 @@ def _card(found: Column, key: str) -> Column:
     tail = F.substr(digits, (left + 1).cast("int"), right.cast("int")).cast("long")
     kind = F.concat(F.lit("card"), size.cast("string"))
     s = feistel(kind, head, tail, _power(left), _power(right), key)
-    # the last digit keeps its distance from the right check digit, so the whole is a permutation
-    off = F.pmod(_luhn(digits), F.lit(10))
     end = F.concat(_pad(s["a"], left), _pad(s["b"], right))
-    bare = _luhn(F.concat(end, F.lit("0")))
-    last = F.pmod(off - bare, F.lit(10)).cast("string")
-    valid = (off == 0) | (size == 16)
-    return F.when(valid, _same_shape(found, F.concat(end, last))).otherwise(found)
+    last = F.pmod(-_luhn(F.concat(end, F.lit("0"))), F.lit(10)).cast("string")
+    return F.when(_luhn(digits) % 10 == 0, _same_shape(found, F.concat(end, last))).otherwise(found)
 
 
 def _ip(found: Column, key: str) -> Column:
@@ -167,14 +165,9 @@ def _ssn(found: Column, key: str) -> Column:
 def _phone(found: Column, key: str) -> Column:
     digits = F.regexp_replace(found, "[^0-9]", "")
     area = F.substr(digits, F.lit(1), F.lit(3)).cast("long")
-    exchange = F.substr(digits, F.lit(4), F.lit(3)).cast("long")
-    line = F.substr(digits, F.lit(7), F.lit(4)).cast("long")
-    valid = (area >= 200) & (exchange >= 200)
-    s = feistel(F.lit("phone"), area - 200, (exchange - 200) * 10000 + line, *map(F.lit, MODULI["phone"]), key)
-    out = F.concat(
-        _pad(s["a"] + 200, F.lit(3)), _pad(F.floor(s["b"] / 10000) + 200, F.lit(3)), _pad(s["b"] % 10000, F.lit(4))
-    )
-    return F.when(valid, _same_shape(found, out)).otherwise(found)
+    rest = F.substr(digits, F.lit(4), F.lit(7)).cast("long")
+    s = feistel(F.lit("phone"), area, rest, *map(F.lit, MODULI["phone"]), key)
+    return _same_shape(found, F.concat(_pad(s["a"], F.lit(3)), _pad(s["b"], F.lit(7))))
 
 
 def _digest(kind: str, found: Column, key: str) -> Column:
