@@ -43,7 +43,7 @@ PHONE = r"(?<![0-9])(?:\([0-9]{3}\) ?|[0-9]{3}[-. ])[0-9]{3}[-. ][0-9]{4}(?![0-9
 CARD = (
     r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9])"
 )
-SECRET = r"(?<![0-9A-Za-z])(?:[0-9a-f]{64}|[0-9a-f]{40}|[0-9a-f]{32})(?![0-9A-Za-z])"
+SECRET = r"(?<![0-9A-Za-z])(?:[0-9a-fA-F]{64}|[0-9a-fA-F]{40}|[0-9a-fA-F]{32})(?![0-9A-Za-z])"
 CANDIDATE = "|".join(f"(?:{p})" for p in (EMAIL, IPV4, DATE, SSN, PHONE, CARD, SECRET))
 
 #: The moduli (A, B) by kind.
@@ -185,6 +185,7 @@ def pseudonym(found: Column, key: str = KEY) -> Column:
         F.substring(_digest("host", F.substring_index(email, "@", -1), key), 1, 8),
         F.lit(".example"),
     )
+    secret = F.substr(_digest("secret", F.lower(found), key), F.lit(1), F.length(found))
     return (
         F.when(F.contains(found, F.lit("@")), mail)
         .when(is_kind(IPV4), _ip(found, key))
@@ -192,7 +193,7 @@ def pseudonym(found: Column, key: str = KEY) -> Column:
         .when(is_kind(SSN), _ssn(found, key))
         .when(is_kind(PHONE), _phone(found, key))
         .when(is_kind(CARD), _card(found, key))
-        .otherwise(F.substr(_digest("secret", found, key), F.lit(1), F.length(found)))
+        .otherwise(F.when(found == F.upper(found), F.upper(secret)).otherwise(secret))
     )
 
 
