@@ -1,15 +1,974 @@
-"""Registry of the network queries."""
+"""Registry of the network queries, each with the SQL that gives the same rows."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def entry(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("user_id").count()
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..evaluation import communities, link
+from ..functions import linalg
+from ..functions.linalg import mean, names
+from ..models import steps
+from ..operators import stats, tensor
+from ..selection import masks
+from ..sources import networks, readers, sinks
+from ..synthetic import generators
+from . import sql
+from .sql import BINARY, CELLS, HANDOFF, MODES, NODES, REVERSE, SNAPSHOTS, TRADE, affinity, gathered, lam, params, r, to, with_
 
-def queries():
-    return {}
+K = 2
+ETA, BETA, GAMMA, MU, PI = 0.3, 0.25, 0.4, 0.2, 0.6
+T = 5
 
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
 
-def oracle_sql():
-    return {}
+
+def query(oracle: str | None = None):
+    """Register a function by its name; doubles come out with six digits."""
+
+    def register(f):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            df = f(spark, sf_dir)
+            exact = {c: F.round(F.col(c), 6) + 0.0 for c, t in df.dtypes if t == "double"}
+            return df.withColumns(exact) if exact else df
+
+        run.__name__, run.__doc__ = f.__name__, f.__doc__
+        _QUERIES[f.__name__] = run
+        if oracle:
+            _SQL[f.__name__] = oracle
+        return f
+
+    return register
+
+
+def one(spark: SparkSession, **values) -> DataFrame:
+    return spark.createDataFrame([tuple(values.values())], list(values))
+
+
+def matrix(spark: SparkSession, x: np.ndarray, index: tuple[str, ...], value: str = "x") -> DataFrame:
+    rows = [(*map(int, at), float(v)) for at, v in np.ndenumerate(x)] if x.ndim == 0 else [
+        (*at, float(v)) for at, v in np.ndenumerate(x)
+    ]
+    schema = ", ".join(f"{c} int" for c in index) + f", {value} double"
+    return spark.createDataFrame(rows, schema)
+
+
+class Start:
+    """A network with the start values of the step queries."""
+
+    def __init__(self, spark, edges: DataFrame, layers: int = 1, assortative: bool = False, normalise: bool = True):
+        self.spark, self.edges, self.layers, self.assortative = spark, edges, layers, assortative
+        self.nodes = tensor.nodes_of(edges)
+        self.params = linalg.start(self.nodes, K, normalise)
+        self.w = linalg.start_affinity(layers, K, assortative)
+        self.affinity = linalg.affinity_frame(spark, self.w)
+
+    def rows(self, edges: DataFrame | None = None) -> DataFrame:
+        return linalg.gather(tensor.with_reverse(self.edges) if edges is None else edges, self.params, self.affinity, K)
+
+    def cells(self) -> DataFrame:
+        return steps.pairs(self.params, self.affinity, K, self.assortative)
+
+
+def handoff_start(spark, d, assortative=False) -> Start:
+    return Start(spark, networks.handoff(spark, d, binary=True), 1, assortative)
+
+
+# --- loading ---
+
+
+@query(f"WITH {TRADE} SELECT a, i, j, w FROM e")
+def edges_long(spark, d):
+    return networks.trade(spark, d)
+
+
+def _wide_trade(spark, d):
+    wide = sinks.wide_edges(networks.trade(spark, d), 7)
+    return wide
+
+
+@query(f"WITH {TRADE} SELECT a, least(i, j) AS i, greatest(i, j) AS j, sum(w)::DOUBLE AS w FROM e WHERE i <> j GROUP BY ALL "
+       f"UNION ALL SELECT a, greatest(i, j), least(i, j), sum(w)::DOUBLE FROM e WHERE i <> j GROUP BY ALL")
+def edges_undirected(spark, d):
+    """The loader on a wide table: undirected, weighted, without self-loops; nodes are already 0..24."""
+    wide = _wide_trade(spark, d)
+    nodes = networks.table(spark, d, "nation").select(
+        F.col("n_nationkey").cast("long").alias("idx"), F.col("n_nationkey").cast("long").alias("label")
+    )
+    long = readers.unpivot(wide, "source", "target", [f"L{k}" for k in range(1, 8)])
+    return readers.build_edges(long, nodes, undirected=True, noselfloop=True, binary=False)
+
+
+@query(f"WITH {TRADE} SELECT a, i, j, 1.0::DOUBLE AS w FROM e WHERE i <> j")
+def edges_binary(spark, d):
+    wide = _wide_trade(spark, d)
+    nodes = networks.table(spark, d, "nation").select(
+        F.col("n_nationkey").cast("long").alias("idx"), F.col("n_nationkey").cast("long").alias("label")
+    )
+    long = readers.unpivot(wide, "source", "target", [f"L{k}" for k in range(1, 8)])
+    return readers.build_edges(long, nodes)
+
+
+@query(f"WITH {HANDOFF} SELECT a, i, j, w FROM e")
+def edges_weighted_sum(spark, d):
+    return networks.handoff(spark, d)
+
+
+@query(f"WITH {TRADE} SELECT a, i, j, w FROM e WHERE i <> j")
+def noselfloop(spark, d):
+    return networks.trade(spark, d).filter("i <> j")
+
+
+@query(f"WITH {HANDOFF}, {NODES} SELECT row_number() OVER (ORDER BY i) - 1 AS idx, i AS label FROM n")
+def nodes_index(spark, d):
+    e = networks.handoff(spark, d)
+    return readers.node_index(e.select(F.col("i").alias("source"), F.col("j").alias("target")))
+
+
+@query(f"WITH {TRADE} SELECT i AS source, j AS target, "
+       + ", ".join(f"coalesce(sum(w) FILTER (a = {k}), 0)::DOUBLE AS L{k + 1}" for k in range(7)) + " FROM e GROUP BY i, j")
+def edges_wide(spark, d):
+    return _wide_trade(spark, d)
+
+
+@query(f"WITH {TRADE} SELECT i AS source, j AS target, "
+       + ", ".join(f"CASE WHEN a = {k} THEN w END AS L{k}" for k in range(7)) + " FROM e")
+def edges_stacked(spark, d):
+    return sinks.stacked_edges(networks.trade(spark, d), 7)
+
+
+@query(f"WITH {MODES} SELECT i, z, z_idx FROM x")
+def design_matrix(spark, d):
+    return networks.user_modes(spark, d)
+
+
+@query(f"WITH {MODES} SELECT i, " + ", ".join(
+    f"(z = '{z}')::INT AS {z}" for z in ("click", "error", "purchase", "signup", "view")) + " FROM x")
+def one_hot(spark, d):
+    return readers.one_hot(networks.user_modes(spark, d), ["click", "error", "purchase", "signup", "view"])
+
+
+# --- tensors ---
+
+
+@query(f"WITH {HANDOFF} SELECT a, j AS i, i AS j, w FROM e")
+def transpose(spark, d):
+    return tensor.transpose(networks.handoff(spark, d))
+
+
+@query(f"WITH {HANDOFF}, {REVERSE} SELECT a, i, j, w, w_rev FROM r")
+def transpose_values(spark, d):
+    return tensor.with_reverse(networks.handoff(spark, d))
+
+
+@query(f"WITH {HANDOFF}, {NODES} SELECT x.a, x.i, x.j, coalesce(e.w, 0.0) AS w FROM (SELECT 0 AS a, n.i, (n.i * 7 + 1) % 15 AS j FROM n) x "
+       "LEFT JOIN e ON e.a = x.a AND e.i = x.i AND e.j = x.j")
+def gather_values(spark, d):
+    e = networks.handoff(spark, d)
+    cells = tensor.nodes_of(e).select(F.lit(0).alias("a"), "i", ((F.col("i") * 7 + 1) % 15).alias("j"))
+    return tensor.gather(e, cells)
+
+
+@query(f"WITH {HANDOFF}, {NODES} SELECT (SELECT count(*) FROM e) AS nonzeros, (SELECT count(*) * count(*) FROM n) AS cells, "
+       "(SELECT count(*) * count(*) FROM n) > ((SELECT count(*) FROM e) + 1) * 3 AS sparse")
+def is_sparse(spark, d):
+    e = networks.handoff(spark, d)
+    found = e.agg(F.count("*").alias("nonzeros"))
+    n = tensor.nodes_of(e).agg((F.count("*") * F.count("*")).alias("cells"))
+    return found.crossJoin(F.broadcast(n)).withColumn("sparse", F.col("cells") > (F.col("nonzeros") + 1) * 3)
+
+
+@query(f"WITH {TRADE} SELECT a, coalesce(bool_and(coalesce(w, 0) = coalesce(v, 0)), true) AS symmetric FROM (SELECT coalesce(e.a, b.a) AS a, e.w, b.w AS v "
+       "FROM e FULL JOIN e b ON b.a = e.a AND b.i = e.j AND b.j = e.i) GROUP BY a")
+def symmetry_check(spark, d):
+    return tensor.symmetry(networks.trade(spark, d))
+
+
+@query(with_(HANDOFF, params()) + f"SELECT i, {r('u0')} AS u0, {r('u1')} AS u1, {r('v0')} AS v0, {r('v1')} AS v1 FROM p")
+def normalize_membership(spark, d):
+    return linalg.start(tensor.nodes_of(networks.handoff(spark, d)), K)
+
+
+@query(with_(HANDOFF, params()) + "SELECT i, CASE WHEN u0 >= u1 THEN 0 ELSE 1 END::BIGINT AS community FROM p")
+def hard_membership(spark, d):
+    return tensor.hard_membership(linalg.start(tensor.nodes_of(networks.handoff(spark, d)), K), names("u", K))
+
+
+@query(with_(HANDOFF, params()) + f"SELECT i, 0 AS k, {r('u0')} AS x FROM p WHERE u0 > 0.2 UNION ALL SELECT i, 1, {r('u1')} FROM p WHERE u1 > 0.2")
+def bridge_shares(spark, d):
+    return tensor.bridges(linalg.start(tensor.nodes_of(networks.handoff(spark, d)), K), names("u", K))
+
+
+# --- statistics ---
+
+_STATS = """s AS (SELECT a, count(*) AS n_edges, sum(w) AS weight, avg((w_rev > 0)::INT) AS reciprocity,
+  sum(w * w_rev) / sum(w) AS wr FROM r GROUP BY a), q AS (SELECT s.*, k AS n_nodes FROM s, (SELECT count(*) AS k FROM n)),
+st AS (SELECT a, n_nodes, n_edges, 2 * n_edges / n_nodes AS mean_degree, weight, 2 * weight / n_nodes AS mean_strength,
+  n_edges / (n_nodes * n_nodes) AS sparsity, reciprocity, wr AS weighted_reciprocity FROM q)"""
+
+
+@query(with_(HANDOFF, REVERSE, NODES, _STATS) + f"SELECT a, n_nodes, n_edges, {r('mean_degree')} AS mean_degree, {r('weight')} AS weight, "
+       f"{r('mean_strength')} AS mean_strength, {r('sparsity')} AS sparsity, {r('reciprocity')} AS reciprocity, {r('weighted_reciprocity')} AS weighted_reciprocity FROM st")
+def graph_stats(spark, d):
+    return stats.graph_stats(networks.handoff(spark, d))
+
+
+@query(with_(TRADE, REVERSE, NODES, _STATS) + f"SELECT count(*) AS n_layers, {r('avg(n_edges)')} AS avg_edges, {r('avg(mean_degree)')} AS avg_degree, "
+       f"{r('avg(weight)')} AS avg_weight, {r('avg(sparsity)')} AS avg_sparsity, sum(n_edges)::BIGINT AS total_edges, {r('sum(weight)')} AS total_weight FROM st")
+def graph_stats_multilayer(spark, d):
+    return stats.multilayer_stats(networks.trade(spark, d))
+
+
+@query(with_(TRADE, REVERSE) + f"SELECT a, {r('sum(w * w_rev) / sum(w)')} AS weighted_reciprocity FROM r GROUP BY a")
+def weighted_reciprocity(spark, d):
+    return stats.weighted_reciprocity(networks.trade(spark, d))
+
+
+@query(with_(HANDOFF, REVERSE) + f"SELECT a, {r('avg((w_rev > 0)::INT)')} AS reciprocity FROM r GROUP BY a")
+def reciprocity(spark, d):
+    return stats.reciprocity(networks.handoff(spark, d))
+
+
+@query(with_(HANDOFF) + f"SELECT a, sum(n)::BIGINT AS n_edges, count(*) AS n_pairs, {r('(sum(n) - count(*)) / count(*)')} AS reciprocal FROM "
+       "(SELECT a, least(i, j) AS x, greatest(i, j) AS y, count(*) AS n FROM e GROUP BY ALL) GROUP BY a")
+def reciprocal_pairs(spark, d):
+    return stats.reciprocal_pairs(networks.handoff(spark, d))
+
+
+@query(with_(SNAPSHOTS, REVERSE) + f"SELECT r.a, {r('avg((w_rev > 0)::INT)')} AS reciprocity, {r('avg((b.w IS NOT NULL)::INT)')} AS reciprocity_before "
+       "FROM r LEFT JOIN e b ON b.a = r.a - 1 AND b.i = r.j AND b.j = r.i GROUP BY r.a")
+def reciprocity_tm1(spark, d):
+    return stats.reciprocity_over_time(networks.handoff_t(spark, d))
+
+
+@query(with_(TRADE) + "SELECT a, count(*) FILTER (i < j) AS upper_count, coalesce(sum(w) FILTER (i < j), 0)::DOUBLE AS upper_weight, "
+       "count(*) FILTER (i > j) AS lower_count, coalesce(sum(w) FILTER (i > j), 0)::DOUBLE AS lower_weight FROM e GROUP BY a")
+def triangular(spark, d):
+    return stats.triangular(networks.trade(spark, d))
+
+
+@query(with_(HANDOFF) + "SELECT i, sum(o)::BIGINT AS out_degree, sum(n)::BIGINT AS in_degree, sum(wo)::DOUBLE AS out_strength, sum(wn)::DOUBLE AS in_strength "
+       "FROM (SELECT i, 1 AS o, w AS wo, 0 AS n, 0 AS wn FROM e UNION ALL SELECT j, 0, 0, 1, w FROM e) GROUP BY i")
+def degrees(spark, d):
+    return stats.degrees(networks.handoff(spark, d))
+
+
+# --- expectations ---
+
+
+@query(with_(BINARY, REVERSE, params(), affinity(1), gathered()) + f"SELECT a, i, j, {r(lam())} AS lam FROM g")
+def lambda0_nz(spark, d):
+    return handoff_start(spark, d).rows().select("a", "i", "j", mean(K, False).alias("lam"))
+
+
+@query(with_(TRADE, params(), affinity(7), CELLS) + f"SELECT a, i, j, {r('lam')} AS lam FROM cells")
+def lambda0_all(spark, d):
+    return Start(spark, networks.trade(spark, d), 7).cells().select("a", "i", "j", "lam")
+
+
+@query(with_(BINARY, params(), affinity(1), CELLS) + f"SELECT {r('sum(lam)')} AS total FROM cells")
+def lambda0_sum(spark, d):
+    s = handoff_start(spark, d)
+    return one(spark, total=linalg.sum_of_means(s.params, s.w, K))
+
+
+@query(with_(TRADE, params(), affinity(7), CELLS) + f"SELECT i, j, {r('sum(lam)')} AS lam FROM cells GROUP BY i, j")
+def lambda0_dyn(spark, d):
+    cells = Start(spark, networks.trade(spark, d), 7).cells()
+    return cells.groupBy("i", "j").agg(F.sum("lam").alias("lam"))
+
+
+@query(with_(TRADE, params(), affinity(7), CELLS) + f"SELECT a, i, j, {r(f'(lam + {ETA}::DOUBLE * lam_t) / (1 - {ETA}::DOUBLE * {ETA}::DOUBLE)')} AS x FROM cells")
+def expectation(spark, d):
+    cells = Start(spark, networks.trade(spark, d), 7).cells()
+    return cells.select("a", "i", "j", ((F.col("lam") + ETA * F.col("lam_t")) / (1 - ETA * ETA)).alias("x"))
+
+
+_KNOWN = "k AS (SELECT c.*, coalesce(e.w, 0.0) AS w, coalesce(b.w, 0.0) AS w_rev FROM cells c LEFT JOIN e ON e.a = c.a AND e.i = c.i AND e.j = c.j LEFT JOIN e b ON b.a = c.a AND b.i = c.j AND b.j = c.i)"
+
+
+@query(with_(TRADE, params(), affinity(7), CELLS, _KNOWN) + f"SELECT a, i, j, {r(f'lam + {ETA}::DOUBLE * w_rev')} AS x FROM k")
+def conditional_expectation(spark, d):
+    s = Start(spark, networks.trade(spark, d), 7)
+    known = s.cells().join(tensor.closure(s.edges), ["a", "i", "j"], "left").na.fill(0.0, ["w", "w_rev"])
+    return known.select("a", "i", "j", (F.col("lam") + ETA * F.col("w_rev")).alias("x"))
+
+
+_DYNX = f"({BETA}::DOUBLE * (sl + {ETA}::DOUBLE * wr))"
+
+
+@query(with_(SNAPSHOTS, params(), affinity(5), CELLS) + f"SELECT i, j, {r(f'{_DYNX} / (1 + {_DYNX})')} AS x FROM "
+       "(SELECT c.i, c.j, sum(lam) AS sl, max(coalesce(b.w, 0.0)) AS wr FROM cells c LEFT JOIN e b ON b.a = 3 AND b.i = c.j AND b.j = c.i GROUP BY c.i, c.j)")
+def conditional_dyn(spark, d):
+    """The chance of an edge at snapshot 4 given the reverse one at 3."""
+    s = Start(spark, networks.handoff_t(spark, d), T)
+    summed = s.cells().groupBy("i", "j").agg(F.sum("lam").alias("sl"))
+    back = s.edges.filter("a = 3").select(F.col("j").alias("i"), F.col("i").alias("j"), F.col("w").alias("wr"))
+    x = BETA * (F.col("sl") + ETA * F.coalesce("wr", F.lit(0.0)))
+    return summed.join(back, ["i", "j"], "left").select("i", "j", (x / (1 + x)).alias("x"))
+
+
+_Z = f"(1 + lam + lam_t + {ETA}::DOUBLE * lam * lam_t)"
+
+
+@query(with_(TRADE, params(), affinity(7), CELLS) + f"SELECT a, i, j, {r(_Z)} AS z FROM cells")
+def z_norm(spark, d):
+    return Start(spark, networks.trade(spark, d), 7).cells().select("a", "i", "j", steps.joint_z(ETA).alias("z"))
+
+
+@query(with_(TRADE, params(), affinity(7), CELLS) + f"SELECT a, i, j, {r('1 / ' + _Z)} AS p00, {r('lam_t / ' + _Z)} AS p01, {r('lam / ' + _Z)} AS p10, "
+       f"{r(f'{ETA}::DOUBLE * lam * lam_t / ' + _Z)} AS p11 FROM cells")
+def joint_probs(spark, d):
+    z = steps.joint_z(ETA)
+    cells = Start(spark, networks.trade(spark, d), 7).cells()
+    return cells.select(
+        "a", "i", "j", (1 / z).alias("p00"), (F.col("lam_t") / z).alias("p01"), (F.col("lam") / z).alias("p10"),
+        (ETA * F.col("lam") * F.col("lam_t") / z).alias("p11"),
+    )
+
+
+@query(with_(BINARY, params(), affinity(1), CELLS, _KNOWN) + f"SELECT a, i, j, {r(f'CASE WHEN i = j THEN 0 ELSE (lam + {ETA}::DOUBLE * lam * lam_t) / {_Z} END')} AS marginal, "
+       f"{r(f'CASE WHEN i = j THEN 0 ELSE pow({ETA}::DOUBLE, w_rev) * lam / (pow({ETA}::DOUBLE, w_rev) * lam + 1) END')} AS conditional FROM k")
+def marginal_conditional(spark, d):
+    s = handoff_start(spark, d)
+    known = s.cells().join(tensor.closure(s.edges), ["a", "i", "j"], "left").na.fill(0.0, ["w", "w_rev"])
+    lead = F.pow(F.lit(ETA), F.col("w_rev")) * F.col("lam")
+    off = F.col("i") != F.col("j")
+    marginal = (F.col("lam") + ETA * F.col("lam") * F.col("lam_t")) / steps.joint_z(ETA)
+    return known.select(
+        "a", "i", "j", F.when(off, marginal).otherwise(0.0).alias("marginal"),
+        F.when(off, lead / (lead + 1)).otherwise(0.0).alias("conditional"),
+    )
+
+
+@query(with_(HANDOFF) + f"SELECT DISTINCT w AS n, {r(f'exp(w * ln({PI}::DOUBLE) - {PI}::DOUBLE - lgamma(w + 1))')} AS p FROM e")
+def poisson_pmf(spark, d):
+    n = networks.handoff(spark, d).select(F.col("w").alias("n")).distinct()
+    return n.withColumn("p", linalg.poisson(F.col("n"), F.lit(PI)))
+
+
+def _pmf(n: str, rate: str) -> str:
+    return f"exp({n} * ln({rate}) - {rate} - lgamma({n} + 1))"
+
+
+_ODD = f"({MU}::DOUBLE * exp(-2 * {PI}::DOUBLE))"
+_Q0 = f"({_ODD} / ({_ODD} + (1 - {MU}::DOUBLE) * exp(-(lam + lam_t))))"
+
+
+def _q_edge(w: str, back: str, x: str, y: str) -> str:
+    odd = f"({MU}::DOUBLE * {_pmf(w, f'{PI}::DOUBLE')} * {_pmf(back, f'{PI}::DOUBLE')})"
+    return f"({odd} / ({odd} + (1 - {MU}::DOUBLE) * {_pmf(w, x)} * {_pmf(back, y)}))"
+
+
+_QALL = (
+    f"q AS (SELECT *, CASE WHEN i = j THEN 0.0 ELSE greatest(CASE WHEN w > 0 THEN {_q_edge('w', 'w_rev', 'lam', 'lam_t')} ELSE {_Q0} END, "
+    f"CASE WHEN w_rev > 0 THEN {_q_edge('w_rev', 'w', 'lam_t', 'lam')} ELSE {_Q0} END) END AS q FROM k)"
+)
+_ACD = (BINARY, params(), affinity(1), CELLS, _KNOWN, _QALL)
+
+
+def _anomaly(spark, d) -> tuple[Start, DataFrame]:
+    s = handoff_start(spark, d)
+    return s, steps.anomaly(s.cells(), tensor.closure(s.edges), MU, PI)
+
+
+@query(with_(*_ACD) + f"SELECT a, i, j, {r('q')} AS q FROM q")
+def q_anomaly(spark, d):
+    return _anomaly(spark, d)[1].select("a", "i", "j", "q")
+
+
+@query(with_(*_ACD) + f"SELECT a, i, j, {r(f'(1 - q) * lam + q * {PI}::DOUBLE')} AS x FROM q")
+def expectation_acd(spark, d):
+    q = _anomaly(spark, d)[1]
+    return q.select("a", "i", "j", ((1 - F.col("q")) * F.col("lam") + F.col("q") * PI).alias("x"))
+
+
+# --- kernels ---
+
+
+@query(with_(HANDOFF, REVERSE, params(), affinity(1), gathered()) + f"SELECT i, {r(f'sum(w * {to(0)})')} AS r0, {r(f'sum(w * {to(1)})')} AS r1 FROM g GROUP BY i")
+def uttkrp_u(spark, d):
+    return steps.out_sums(Start(spark, networks.handoff(spark, d)).rows(), F.col("w"), K, False)
+
+
+@query(with_(HANDOFF, REVERSE, params(), affinity(1), gathered()) + f"SELECT j AS i, {r(f'sum(w * {to(0, v="u", t=True)})')} AS r0, {r(f'sum(w * {to(1, v="u", t=True)})')} AS r1 FROM g GROUP BY j")
+def uttkrp_v(spark, d):
+    return steps.in_sums(Start(spark, networks.handoff(spark, d)).rows(), F.col("w"), K, False)
+
+
+@query(with_(TRADE, REVERSE, params(), affinity(7, True), gathered()) + f"SELECT i, {r(f'sum(w * {to(0, True)})')} AS r0, {r(f'sum(w * {to(1, True)})')} AS r1 FROM g GROUP BY i")
+def uttkrp_assort_u(spark, d):
+    return steps.out_sums(Start(spark, networks.trade(spark, d), 7, True).rows(), F.col("w"), K, True)
+
+
+@query(with_(TRADE, REVERSE, params(), affinity(7, True), gathered()) + f"SELECT j AS i, {r(f'sum(w * {to(0, True, "u")})')} AS r0, {r(f'sum(w * {to(1, True, "u")})')} AS r1 FROM g GROUP BY j")
+def uttkrp_assort_v(spark, d):
+    return steps.in_sums(Start(spark, networks.trade(spark, d), 7, True).rows(), F.col("w"), K, True)
+
+
+def _unpivot_w(source: str, expression, per_layer: bool = True) -> str:
+    return " UNION ALL ".join(
+        f"SELECT {'a' if per_layer else '0 AS a'}, {k} AS k, {q} AS q, {r(expression(k, q))} AS x FROM {source}" for k in range(K) for q in range(K)
+    )
+
+
+_WSUM = ", ".join(f"sum(x_ * u{k} * v{q}) AS s{k}_{q}" for k in range(K) for q in range(K))
+
+
+@query(with_(TRADE, REVERSE, params(), affinity(7), gathered(), f"h AS (SELECT a, {_WSUM.replace('x_', 'w')} FROM g GROUP BY a)") + _unpivot_w("h", lambda k, q: f"s{k}_{q}"))
+def w_numerator(spark, d):
+    rows = Start(spark, networks.trade(spark, d), 7).rows()
+    return matrix(spark, steps.layer_sums(rows, F.col("w"), K, False, 7), ("a", "k", "q"))
+
+
+# --- steps: conditional reciprocity ---
+
+_M = f"({lam()} + {ETA}::DOUBLE * w_rev)"
+_CREP = (BINARY, REVERSE, params(), affinity(1), gathered())
+
+
+@query(with_(*_CREP) + f"SELECT {r(f'{ETA}::DOUBLE * sum(w / {_M} * w_rev) / sum(w)')} AS eta FROM g")
+def crep_eta_step(spark, d):
+    return one(spark, eta=steps.crep_eta(handoff_start(spark, d).rows(), ETA, K, False))
+
+
+_USUM = f"h AS (SELECT i, sum(w / {_M} * {to(0)}) AS r0, sum(w / {_M} * {to(1)}) AS r1 FROM g GROUP BY i)"
+_VSUM = f"h AS (SELECT j AS i, sum(w / {_M} * {to(0, v='u', t=True)}) AS r0, sum(w / {_M} * {to(1, v='u', t=True)}) AS r1 FROM g GROUP BY j)"
+
+
+def _times(side: str) -> str:
+    return f"t AS (SELECT p.i, {side}0 * coalesce(r0, 0) AS x0, {side}1 * coalesce(r1, 0) AS x1 FROM p LEFT JOIN h ON h.i = p.i)"
+
+
+def _rows_one(side: str) -> str:
+    return f"SELECT i, {r('CASE WHEN x0 + x1 > 0 THEN x0 / (x0 + x1) ELSE x0 END')} AS {side}0, {r('CASE WHEN x0 + x1 > 0 THEN x1 / (x0 + x1) ELSE x1 END')} AS {side}1 FROM t"
+
+
+@query(with_(*_CREP, _USUM, _times("u")) + _rows_one("u"))
+def crep_u_step(spark, d):
+    s = handoff_start(spark, d)
+    return steps.crep_u(s.rows(), s.params, s.w, ETA, K, True).select("i", "u0", "u1")
+
+
+@query(with_(*_CREP, _VSUM, _times("v")) + _rows_one("v"))
+def crep_v_step(spark, d):
+    s = handoff_start(spark, d)
+    return steps.crep_v(s.rows(), s.params, s.w, ETA, K, True).select("i", "v0", "v1")
+
+
+_SUMS = "sm AS (SELECT sum(u0) AS su0, sum(u1) AS su1, sum(v0) AS sv0, sum(v1) AS sv1 FROM p)"
+
+
+@query(with_(*_CREP, _USUM, _times("u"), _SUMS) + "SELECT i, "
+       + ", ".join(r(f"x{k} / (sv0 * w{k}_0 + sv1 * w{k}_1)") + f" AS u{k}" for k in range(K)) + " FROM t, sm, w")
+def crep_u_step_free(spark, d):
+    """Without the constraint that rows sum to 1."""
+    s = handoff_start(spark, d)
+    return steps.crep_u(s.rows(), s.params, s.w, ETA, K, False).select("i", "u0", "u1")
+
+
+@query(with_(*_CREP, _SUMS, f"h AS (SELECT a, {_WSUM.replace('x_', f'w / {_M}')} FROM g GROUP BY a)", "o AS (SELECT * FROM h JOIN w USING (a), sm)")
+       + _unpivot_w("o", lambda k, q: f"w{k}_{q} * s{k}_{q} / (su{k} * sv{q})"))
+def crep_w_step(spark, d):
+    s = handoff_start(spark, d)
+    return matrix(spark, steps.crep_w(s.rows(), s.params, s.w, ETA, K), ("a", "k", "q"))
+
+
+_FACT = "(su0 * (w0_0 * sv0 + w0_1 * sv1) + su1 * (w1_0 * sv0 + w1_1 * sv1))"
+
+
+@query(with_(*_CREP, _SUMS) + f"SELECT {r(f'(SELECT -sum({_FACT}) FROM sm, w) - {ETA}::DOUBLE * sum(w) + sum(w * ln({_M}))')} AS loglik FROM g")
+def crep_psl(spark, d):
+    s = handoff_start(spark, d)
+    return one(spark, loglik=steps.crep_likelihood(s.rows(), s.params, s.w, ETA, K))
+
+
+# --- steps: attributes ---
+
+_ZS = 5
+_B0 = np.array([[((k * 7 + z * 3) % 10 + 1) / 10.0 for z in range(_ZS)] for k in range(K)])
+_BETA = "bt AS (SELECT z_idx::INT AS z_idx, " + ", ".join(f"(({k * 7} + z_idx * 3) % 10 + 1) / 10.0::DOUBLE AS b{k}" for k in range(K)) + f" FROM range({_ZS}) t(z_idx))"
+_PIK = "((u0 + v0) * b0 + (u1 + v1) * b1)"
+_MT = (HANDOFF, REVERSE, params(), affinity(1), gathered(), MODES, _BETA, "kn AS (SELECT p.*, x.z_idx, b0, b1 FROM p JOIN x ON x.i = p.i JOIN bt USING (z_idx))")
+
+
+def _mtcov(spark, d):
+    s = Start(spark, networks.handoff(spark, d))
+    known = steps.with_category(networks.user_modes(spark, d), s.params, steps.beta_frame(spark, _B0))
+    return s, known
+
+
+@query(with_(*_MT, _SUMS, f"h AS (SELECT a, {_WSUM.replace('x_', f'w / {lam()}')} FROM g GROUP BY a)", "o AS (SELECT * FROM h JOIN w USING (a), sm)")
+       + _unpivot_w("o", lambda k, q: f"w{k}_{q} * s{k}_{q} / (su{k} * sv{q})"))
+def mtcov_w_step(spark, d):
+    s, _ = _mtcov(spark, d)
+    return matrix(spark, steps.crep_w(s.rows(), s.params, s.w, 0.0, K), ("a", "k", "q"))
+
+
+@query(with_(*_MT, f"h AS (SELECT z_idx, sum((u0 + v0) / {_PIK}) * any_value(b0) AS x0, sum((u1 + v1) / {_PIK}) * any_value(b1) AS x1 FROM kn GROUP BY z_idx)",
+             f"f AS (SELECT t.z_idx::INT AS z, coalesce(x0, 0) AS x0, coalesce(x1, 0) AS x1 FROM range({_ZS}) t(z_idx) LEFT JOIN h USING (z_idx))")
+       + " UNION ALL ".join(f"SELECT {k} AS k, z, {r(f'x{k} / (SELECT sum(x{k}) FROM f)')} AS x FROM f" for k in range(K)))
+def mtcov_beta_step(spark, d):
+    _, known = _mtcov(spark, d)
+    return matrix(spark, steps.mtcov_beta(known, _B0), ("k", "z"))
+
+
+def _mt_member(side: str) -> str:
+    sums = (_USUM if side == "u" else _VSUM).replace(_M, lam())
+    mix = f"""t AS (SELECT p.i, {", ".join(f"{1 - GAMMA}::DOUBLE * p.{side}{k} * coalesce(r{k}, 0) + {GAMMA}::DOUBLE * coalesce((kn.u{k} + kn.v{k}) * b{k} / ((kn.u0 + kn.v0) * b0 + (kn.u1 + kn.v1) * b1), 0) AS x{k}" for k in range(K))}
+      FROM p LEFT JOIN h ON h.i = p.i LEFT JOIN kn ON kn.i = p.i)"""
+    return with_(*_MT, sums, mix) + _rows_one(side)
+
+
+@query(_mt_member("u"))
+def mtcov_u_step(spark, d):
+    s, known = _mtcov(spark, d)
+    return steps.mtcov_member(s.rows(), known, s.params, K, False, GAMMA, "u").select("i", "u0", "u1")
+
+
+@query(_mt_member("v"))
+def mtcov_v_step(spark, d):
+    s, known = _mtcov(spark, d)
+    return steps.mtcov_member(s.rows(), known, s.params, K, False, GAMMA, "v").select("i", "v0", "v1")
+
+
+@query(with_(*_MT, _SUMS) + f"SELECT {r(f'{1 - GAMMA}::DOUBLE * ((SELECT sum(w * ln({lam()})) FROM g) - (SELECT sum({_FACT}) FROM sm, w)) + {GAMMA}::DOUBLE * (SELECT sum(ln(0.5::DOUBLE * {_PIK})) FROM kn)')} AS loglik")
+def mtcov_loglik(spark, d):
+    s, known = _mtcov(spark, d)
+    return one(spark, loglik=steps.mtcov_likelihood(s.rows(), known, s.params, s.w, GAMMA, K))
+
+
+# --- steps: joint reciprocity ---
+
+_JE = 2.5
+_JZ = f"(1 + lam + lam_t + {_JE}::DOUBLE * lam * lam_t)"
+_JD = f"((1 + {_JE}::DOUBLE * lam_t) / {_JZ})"
+_JOINT = (*_CREP, CELLS)
+
+
+def _joint_member(side: str) -> str:
+    key, other = ("i", "v") if side == "u" else ("j", "u")
+    part = [to(k, v=other, t=side == "v") for k in range(K)]
+    up = f"h AS (SELECT {key} AS i, {', '.join(f'sum(w / {lam()} * {part[k]}) AS r{k}' for k in range(K))} FROM g GROUP BY {key})"
+    down = f"dn AS (SELECT {key} AS i, {', '.join(f'sum({_JD} * {part[k]}) AS d{k}' for k in range(K))} FROM cells GROUP BY {key})"
+    cols = ", ".join(r(f"{side}{k} * coalesce(r{k}, 0) / d{k}") + f" AS {side}{k}" for k in range(K))
+    return with_(*_JOINT, up, down) + f"SELECT p.i, {cols} FROM p LEFT JOIN h ON h.i = p.i JOIN dn ON dn.i = p.i"
+
+
+@query(_joint_member("u"))
+def joint_u_step(spark, d):
+    s = handoff_start(spark, d)
+    return steps.joint_member(s.rows(), s.cells(), s.params, _JE, K, False, "u").select("i", "u0", "u1")
+
+
+@query(_joint_member("v"))
+def joint_v_step(spark, d):
+    s = handoff_start(spark, d)
+    return steps.joint_member(s.rows(), s.cells(), s.params, _JE, K, False, "v").select("i", "v0", "v1")
+
+
+_JUP = f"h AS (SELECT a, {_WSUM.replace('x_', f'w / {lam()}')} FROM g GROUP BY a)"
+
+
+@query(with_(*_JOINT, _JUP, "dn AS (SELECT a, " + ", ".join(f"sum({_JD} * u{k} * v{q}) AS d{k}_{q}" for k in range(K) for q in range(K)) + " FROM cells GROUP BY a)",
+             "o AS (SELECT * FROM h JOIN dn USING (a) JOIN w USING (a))") + _unpivot_w("o", lambda k, q: f"w{k}_{q} * s{k}_{q} / d{k}_{q}"))
+def joint_w_step(spark, d):
+    s = handoff_start(spark, d)
+    return matrix(spark, steps.joint_w(s.rows(), s.cells(), s.w, _JE, K), ("a", "k", "q"))
+
+
+def _both(s: Start) -> float:
+    return float(tensor.with_reverse(s.edges).agg(F.sum(F.col("w") * F.col("w_rev"))).first()[0] or 0.0)
+
+
+@query(with_(*_JOINT) + f"SELECT {r(f'(SELECT sum(w * w_rev) FROM r) / sum(lam * lam_t / {_JZ})')} AS eta FROM cells")
+def joint_eta_step(spark, d):
+    s = handoff_start(spark, d)
+    return one(spark, eta=steps.joint_eta(s.cells(), _JE, _both(s)))
+
+
+@query(with_(*_JOINT) + f"SELECT {r(f'(SELECT sum(w * ln({lam()})) + 0.5::DOUBLE * ln({_JE}::DOUBLE) * sum(w * w_rev) FROM g) - 0.5::DOUBLE * sum(ln({_JZ}))')} AS loglik FROM cells")
+def joint_loglik(spark, d):
+    s = handoff_start(spark, d)
+    return one(spark, loglik=steps.joint_likelihood(s.rows(), s.cells(), _JE, _both(s), K, False))
+
+
+def _joint_member_approx(side: str) -> str:
+    return _joint_member(side).replace(f"sum({_JD} *", f"sum((1 + {_JE}::DOUBLE * lam_t) *")
+
+
+@query(_joint_member_approx("u"))
+def joint_u_approx(spark, d):
+    """By the Gram matrix; the SQL sums over all pairs."""
+    s = handoff_start(spark, d)
+    return steps.joint_member_approx(s.rows(), s.params, s.w, _JE, K, "u").select("i", "u0", "u1")
+
+
+@query(_joint_member_approx("v"))
+def joint_v_approx(spark, d):
+    s = handoff_start(spark, d)
+    return steps.joint_member_approx(s.rows(), s.params, s.w, _JE, K, "v").select("i", "v0", "v1")
+
+
+@query(with_(*_JOINT, _JUP, "dn AS (SELECT a, " + ", ".join(f"sum((1 + {_JE}::DOUBLE * lam_t) * u{k} * v{q}) AS d{k}_{q}" for k in range(K) for q in range(K)) + " FROM cells GROUP BY a)",
+             "o AS (SELECT * FROM h JOIN dn USING (a) JOIN w USING (a))") + _unpivot_w("o", lambda k, q: f"w{k}_{q} * s{k}_{q} / d{k}_{q}"))
+def joint_w_approx(spark, d):
+    s = handoff_start(spark, d)
+    return matrix(spark, steps.joint_w_approx(s.rows(), s.params, s.w, _JE, K), ("a", "k", "q"))
+
+
+@query(with_(*_JOINT) + f"SELECT {r('(SELECT sum(w * w_rev) FROM r) / sum(lam * lam_t)')} AS eta FROM cells")
+def joint_eta_approx(spark, d):
+    s = handoff_start(spark, d)
+    return one(spark, eta=steps.joint_eta_approx(s.params, s.w, _both(s), K))
+
+
+# --- steps: dynamics ---
+
+_FRESH = """cel AS (SELECT coalesce(e.a, b.a + 1) AS a, coalesce(e.i, b.i) AS i, coalesce(e.j, b.j) AS j, coalesce(e.w, 0.0) AS w,
+  coalesce(b.w, 0.0) AS w_prev FROM e FULL JOIN e b ON e.a = b.a + 1 AND e.i = b.i AND e.j = b.j WHERE coalesce(e.a, b.a + 1) < 5),
+ds AS (SELECT sum(w * w_prev)::DOUBLE AS kept, sum((1 - w) * w_prev)::DOUBLE AS gone, coalesce(sum(w * (1 - w_prev)) FILTER (a > 0), 0)::DOUBLE AS new_later,
+  0.0::DOUBLE AS e0, sum(w_prev)::DOUBLE AS later FROM cel),
+r AS (SELECT c.a, c.i, c.j, c.w * (1 - w_prev) AS w, coalesce(b.w, 0.0) AS w_rev FROM cel c LEFT JOIN e b ON b.a = c.a - 1 AND b.i = c.j AND b.j = c.i
+  WHERE c.w * (1 - w_prev) > 0)"""
+_DYN = (SNAPSHOTS, _FRESH, params(), affinity(5), gathered(), _SUMS)
+_HAT = f"CASE WHEN a = 0 THEN 1 ELSE {BETA}::DOUBLE END"
+
+
+def _dyn(spark, d):
+    s = Start(spark, networks.handoff_t(spark, d), T)
+    fresh, sums = steps.dynamic_edges(s.edges)
+    return s, s.rows(fresh), sums
+
+
+@query(with_(SNAPSHOTS, _FRESH) + "SELECT kept, gone, new_later, e0, later FROM ds")
+def dyn_prep(spark, d):
+    return _dyn(spark, d)[2]
+
+
+def _dyn_member(side: str) -> str:
+    sums = _USUM if side == "u" else _VSUM
+    hw = "hw AS (SELECT " + ", ".join(f"sum(({_HAT}) * w{k}_{q}) AS h{k}_{q}" for k in range(K) for q in range(K)) + " FROM w)"
+    down = [f"(0.5::DOUBLE + h{k}_0 * sv0 + h{k}_1 * sv1)" if side == "u" else f"(0.5::DOUBLE + h0_{k} * su0 + h1_{k} * su1)" for k in range(K)]
+    return with_(*_DYN, sums, _times(side), hw) + "SELECT i, " + ", ".join(r(f"(0.1::DOUBLE + x{k}) / {down[k]}") + f" AS {side}{k}" for k in range(K)) + " FROM t, sm, hw"
+
+
+@query(_dyn_member("u"))
+def dyn_u_step(spark, d):
+    s, rows, _ = _dyn(spark, d)
+    return steps.dyn_member(rows, s.params, s.w, ETA, BETA, K, "u", T, ag=1.1).select("i", "u0", "u1")
+
+
+@query(_dyn_member("v"))
+def dyn_v_step(spark, d):
+    s, rows, _ = _dyn(spark, d)
+    return steps.dyn_member(rows, s.params, s.w, ETA, BETA, K, "v", T, ag=1.1).select("i", "v0", "v1")
+
+
+@query(with_(*_DYN, f"h AS (SELECT a, {_WSUM.replace('x_', f'w / {_M}')} FROM g GROUP BY a)", "o AS (SELECT * FROM h JOIN w USING (a), sm)")
+       + _unpivot_w("o", lambda k, q: f"w{k}_{q} * s{k}_{q} / (({_HAT}) * su{k} * sv{q})"))
+def dyn_w_step(spark, d):
+    s, rows, _ = _dyn(spark, d)
+    return matrix(spark, steps.dyn_w(rows, s.params, s.w, ETA, BETA, K, T), ("a", "k", "q"))
+
+
+@query(with_(*_DYN, f"c0 AS (SELECT sum({_FACT}) FILTER (a > 0) + {ETA}::DOUBLE * any_value(later) AS c, any_value(kept) AS b, any_value(new_later + gone) AS f FROM sm, w, ds)")
+       + f"SELECT {r('((c + b + f) - sqrt((c + b + f) * (c + b + f) - 4 * c * f)) / (2 * c)')} AS beta FROM c0")
+def dyn_beta_step(spark, d):
+    s, _, sums = _dyn(spark, d)
+    return one(spark, beta=steps.dyn_beta(s.params, s.w, ETA, sums.first().asDict(), K, T))
+
+
+@query(with_(*_DYN) + f"SELECT {r(f'sum(w / {_M} * w_rev * {ETA}::DOUBLE) / (SELECT e0 + later * {BETA}::DOUBLE FROM ds)')} AS eta FROM g")
+def dyn_eta_step(spark, d):
+    s, rows, sums = _dyn(spark, d)
+    return one(spark, eta=steps.dyn_eta(rows, ETA, BETA, sums.first().asDict(), K, False))
+
+
+@query(with_(*_DYN) + "SELECT " + r(
+    f"(SELECT -sum(({_HAT}) * {_FACT}) FROM sm, w) - (SELECT {ETA}::DOUBLE * {BETA}::DOUBLE * later FROM ds) + sum(w * ln({_M})) + sum(w * ln(({_HAT}) + 1e-12::DOUBLE))"
+    f" + (SELECT ln(1 - {BETA}::DOUBLE + 1e-12::DOUBLE) * kept + ln({BETA}::DOUBLE + 1e-12::DOUBLE) * gone FROM ds)"
+    " + (SELECT 0.1::DOUBLE * sum(ln(u0 + 1e-12) + ln(u1 + 1e-12) + ln(v0 + 1e-12) + ln(v1 + 1e-12)) - 0.5::DOUBLE * sum(u0 + u1 + v0 + v1) FROM p)") + " AS loglik FROM g")
+def dyn_loglik(spark, d):
+    s, rows, sums = _dyn(spark, d)
+    return one(spark, loglik=steps.dyn_likelihood(rows, s.params, s.w, ETA, BETA, sums.first().asDict(), K, T, ag=1.1))
+
+
+# --- steps: anomalies ---
+
+_RHOQ = "(CASE WHEN w > 0 THEN w * (1 - q) / lam ELSE 0 END)"
+
+
+def _acd_member(side: str) -> str:
+    key, other = ("i", "v") if side == "u" else ("j", "u")
+    part = [to(k, v=other, t=side == "v") for k in range(K)]
+    sums = ", ".join(f"sum({_RHOQ} * {part[k]}) AS r{k}, sum((1 - q) * {part[k]}) AS d{k}" for k in range(K))
+    cols = ", ".join(r(f"(0.5::DOUBLE + {side}{k} * r{k}) / (10 + d{k})") + f" AS {side}{k}" for k in range(K))
+    return with_(*_ACD, f"h AS (SELECT {key} AS i, {sums} FROM q GROUP BY {key})") + f"SELECT p.i, {cols} FROM p JOIN h ON h.i = p.i"
+
+
+@query(_acd_member("u"))
+def acd_u_step(spark, d):
+    s, q = _anomaly(spark, d)
+    return steps.acd_member(q, s.params, K, False, "u").select("i", "u0", "u1")
+
+
+@query(_acd_member("v"))
+def acd_v_step(spark, d):
+    s, q = _anomaly(spark, d)
+    return steps.acd_member(q, s.params, K, False, "v").select("i", "v0", "v1")
+
+
+@query(with_(*_ACD, "h AS (SELECT a, " + ", ".join(f"sum({_RHOQ} * u{k} * v{q}) AS s{k}_{q}, sum((1 - q) * u{k} * v{q}) AS d{k}_{q}" for k in range(K) for q in range(K)) + " FROM q GROUP BY a)",
+             "o AS (SELECT * FROM h JOIN w USING (a))") + _unpivot_w("o", lambda k, q: f"(0.5::DOUBLE + w{k}_{q} * s{k}_{q}) / (10 + d{k}_{q})"))
+def acd_w_step(spark, d):
+    s, q = _anomaly(spark, d)
+    return matrix(spark, steps.acd_w(q, s.w, K), ("a", "k", "q"))
+
+
+@query(with_(*_ACD) + f"SELECT {r('sum(w * q) / sum(q)')} AS pi, {r('sum(q) / (SELECT count(*) * (count(*) - 1) FROM n)')} AS mu FROM q")
+def acd_rates(spark, d):
+    s, q = _anomaly(spark, d)
+    pi, mu = steps.acd_rates(q, s.nodes.count())
+    return one(spark, pi=pi, mu=mu)
+
+
+@query(with_(*_ACD) + "SELECT " + r(
+    f"-{PI}::DOUBLE * sum(q) + ln({PI}::DOUBLE + 1e-12) * sum(w * q) + sum(CASE WHEN q > 0 THEN -q * ln(q + 1e-12) ELSE 0 END) "
+    f"+ sum(CASE WHEN q < 1 THEN -(1 - q) * ln(1 - q + 1e-12) ELSE 0 END) - sum((1 - q) * lam) + sum(CASE WHEN w > 0 THEN (1 - q) * w * ln(lam + 1e-12) ELSE 0 END) "
+    f"+ ln(1 - {MU}::DOUBLE + 1e-12) * sum(1 - q) + ln({MU}::DOUBLE + 1e-12) * sum(q) "
+    "+ (SELECT 0.5::DOUBLE * sum(ln(u0 + 1e-12) + ln(u1 + 1e-12) + ln(v0 + 1e-12) + ln(v1 + 1e-12)) - 10 * sum(u0 + u1 + v0 + v1) FROM p)") + " AS elbo FROM q")
+def acd_elbo(spark, d):
+    s, q = _anomaly(spark, d)
+    return one(spark, elbo=steps.acd_elbo(q, s.params, MU, PI, K))
+
+
+# --- evaluation ---
+
+_SCORED = (HANDOFF, params(), affinity(1), CELLS, _KNOWN)
+
+
+def _scored(spark, d) -> DataFrame:
+    s = Start(spark, networks.handoff(spark, d))
+    return s.cells().join(s.edges, ["a", "i", "j"], "left").na.fill(0.0, ["w"])
+
+
+@query(with_(*_SCORED) + f"SELECT {r('sum(CASE WHEN w > 0 THEN w * ln(lam) ELSE 0 END) - sum(lam)')} AS loglik FROM k")
+def network_loglik(spark, d):
+    s = Start(spark, networks.handoff(spark, d))
+    return link.network_likelihood(s.cells(), s.edges)
+
+
+@query(with_(*_MT) + f"SELECT {r(f'sum(ln(0.5::DOUBLE * {_PIK} / 2))')} AS loglik FROM kn")
+def attribute_loglik(spark, d):
+    return link.attribute_likelihood(_mtcov(spark, d)[1], K)
+
+
+@query(with_(SNAPSHOTS, params(), affinity(5), CELLS, "k AS (SELECT lam, coalesce(e.w, 0) AS w, coalesce(b.w, 0) AS w_prev FROM cells c "
+             "LEFT JOIN e ON e.a = c.a AND e.i = c.i AND e.j = c.j LEFT JOIN e b ON b.a = c.a - 1 AND b.i = c.i AND b.j = c.j WHERE c.a = 4)")
+       + "SELECT " + r(f"-sum(lam) + sum(CASE WHEN w > 0 AND w_prev = 0 THEN ln(lam + 1e-10) ELSE 0 END) + ln(1 - {BETA}::DOUBLE + 1e-10) * sum(w * w_prev) "
+                       f"+ ln({BETA}::DOUBLE + 1e-10) * sum((1 - w) * w_prev)") + " AS loglik FROM k")
+def conditional_loglik(spark, d):
+    s = Start(spark, networks.handoff_t(spark, d), T)
+    now = s.cells().filter("a = 4").join(s.edges, ["a", "i", "j"], "left").na.fill(0.0, ["w"])
+    before = s.edges.filter("a = 3").select("i", "j", F.col("w").alias("w_prev"))
+    return link.conditional_likelihood(now.join(before, ["i", "j"], "left").na.fill(0.0, ["w_prev"]), BETA)
+
+
+@query(with_(HANDOFF, REVERSE, params(), affinity(1), gathered(), _SUMS) + f"SELECT round(sum(w * ln({lam()} + 1e-12)) - (SELECT sum({_FACT}) FROM sm, w), 3) + 0.0 AS loglik FROM g")
+def model_loglik(spark, d):
+    s = Start(spark, networks.handoff(spark, d))
+    return link.model_likelihood(s.rows(), linalg.sum_of_means(s.params, s.w, K), K, False)
+
+
+_GRAIN = "round(lam, 4)"
+
+
+@query(with_(*_SCORED, f"sc AS (SELECT {_GRAIN} AS s, (w > 0)::INT AS y FROM k)",
+             "rk AS (SELECT y, rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2 AS rk FROM sc)")
+       + f"SELECT {r('(sum(rk) FILTER (y = 1) - sum(y) * (sum(y) + 1) / 2) / (sum(y) * sum(1 - y))')} AS auc FROM rk")
+def auc_ties(spark, d):
+    cells = _scored(spark, d).withColumn("s", F.round("lam", 4))
+    return link.auc(cells, "s", F.col("w") > 0)
+
+
+@query(with_(*_SCORED, f"sc AS (SELECT (w > 0)::INT AS y, sum((w > 0)::INT) OVER (ORDER BY {_GRAIN}, a, i, j ROWS UNBOUNDED PRECEDING) AS b FROM k)")
+       + f"SELECT {r('1 - sum(CASE WHEN y = 0 THEN b ELSE 0 END) / (sum(y) * sum(1 - y))')} AS auc FROM sc")
+def auc_ranked(spark, d):
+    cells = _scored(spark, d).withColumn("s", F.round("lam", 4))
+    return link.ranked_auc(cells, "s", F.col("w") > 0)
+
+
+@query(with_(*_SCORED) + f"SELECT {r('2 * count(*) FILTER (lam > 0.5 AND w > 0) / (2 * count(*) FILTER (lam > 0.5 AND w > 0) + count(*) FILTER ((lam > 0.5) <> (w > 0)))')} AS f1 FROM k")
+def f1_link(spark, d):
+    return link.f1(_scored(spark, d), "lam", F.col("w") > 0, 0.5)
+
+
+@query(with_(*_SCORED) + "SELECT round(avg(abs(w - lam)), 3) + 0.0 AS l1 FROM k")
+def l1_loss(spark, d):
+    return link.l1_loss(_scored(spark, d), "lam")
+
+
+@query(with_(*_SCORED, "y AS (SELECT w > 0 AS truth, lam > 0.5 AS predicted, count(*) AS n FROM k GROUP BY ALL)")
+       + f"SELECT truth, predicted, n, {r('n / sum(n) OVER (PARTITION BY truth)')} AS share FROM y")
+def pair_confusion(spark, d):
+    return link.confusion(_scored(spark, d), F.col("w") > 0, F.col("lam") > 0.5)
+
+
+@query(with_(*_SCORED, "t AS (SELECT quantile_cont(lam, 0.99) AS cut FROM k)") + f"SELECT {r('any_value(cut)')} AS cut, count(*) FILTER (lam > cut) AS n_above FROM k, t")
+def percentile_cut(spark, d):
+    return link.tail(_scored(spark, d), "lam")
+
+
+_PAIRED = (HANDOFF, params(), "b AS (SELECT *, (i % 2)::DOUBLE AS t1, 1 - (i % 2)::DOUBLE AS t0 FROM p)")
+
+
+def _paired(spark, d) -> DataFrame:
+    p = linalg.start(tensor.nodes_of(networks.handoff(spark, d)), K)
+    odd = (F.col("i") % 2).cast("double")
+    return p.withColumn("t0", 1 - odd).withColumn("t1", odd)
+
+
+def _match(metric: str) -> str:
+    cells = " UNION ALL ".join(
+        f"SELECT {k} AS k, {q} AS q, count(*) FILTER (u{k} > 0.5 AND t{q} > 0) AS s, count(*) FILTER (u{k} > 0.5) AS f, count(*) FILTER (t{q} > 0) AS t FROM b" for k in range(K) for q in range(K)
+    )
+    value = "2 * s / (f + t)" if metric == "f1" else "s / (f + t - s)"
+    return with_(*_PAIRED, f"o AS (SELECT *, {value} AS v FROM ({cells}))") + (
+        "SELECT round(((SELECT avg(m) FROM (SELECT max(v) AS m FROM o GROUP BY k)) + (SELECT avg(m) FROM (SELECT max(v) AS m FROM o GROUP BY q))) / 2, 4) + 0.0 AS score"
+    )
+
+
+@query(_match("f1"))
+def community_f1(spark, d):
+    return communities.best_match(_paired(spark, d), K, "f1")
+
+
+@query(_match("jaccard"))
+def community_jaccard(spark, d):
+    return communities.best_match(_paired(spark, d), K, "jaccard")
+
+
+_GREEDY = "cr AS (SELECT sum(u0 * t0) AS c00, sum(u0 * t1) AS c01, sum(u1 * t0) AS c10, sum(u1 * t1) AS c11 FROM b), keep AS (SELECT greatest(c00, c11) >= greatest(c01, c10) AS same FROM cr)"
+
+
+@query(with_(*_PAIRED, _GREEDY) + "SELECT k::INT AS k, q::INT AS q, (CASE WHEN same THEN k = q ELSE k <> q END)::INT::DOUBLE AS x FROM keep, range(2) a(k), range(2) c(q)")
+def permutation(spark, d):
+    found = communities.permutation(communities.cross(_paired(spark, d), K))
+    return matrix(spark, found.astype(float), ("k", "q"))
+
+
+@query(with_(*_PAIRED, _GREEDY) + f"SELECT {r('avg(CASE WHEN same THEN (u0 * t0 + u1 * t1) ELSE (u1 * t0 + u0 * t1) END / (sqrt(u0 * u0 + u1 * u1) * sqrt(t0 * t0 + t1 * t1)))')} AS cosine FROM b, keep")
+def cosine(spark, d):
+    return communities.cosine(_paired(spark, d), K)
+
+
+_PRED = "pr AS (SELECT i, arg_max(z_idx, (s, -z_idx)) AS z_hat FROM (SELECT p.i, bt.z_idx, 0.5::DOUBLE * ((u0 + v0) * b0 + (u1 + v1) * b1) AS s FROM p, bt) GROUP BY i)"
+
+
+@query(with_(*_MT, _PRED) + "SELECT i, z_hat FROM pr")
+def label_pred(spark, d):
+    s = Start(spark, networks.handoff(spark, d))
+    return communities.predicted_labels(s.params, _B0)
+
+
+@query(with_(*_MT, _PRED) + f"SELECT {r('avg((x.z_idx = z_hat)::INT)')} AS accuracy FROM x JOIN pr ON pr.i = x.i")
+def label_acc(spark, d):
+    s = Start(spark, networks.handoff(spark, d))
+    return communities.label_accuracy(networks.user_modes(spark, d), communities.predicted_labels(s.params, _B0))
+
+
+# --- selection ---
+
+_FOLD5 = "((a * 10007 + i * 7919 + j * 104729 + 17) % 5)::INT"
+
+
+@query(with_(HANDOFF, NODES, "c AS (SELECT 0 AS a, x.i, y.i AS j FROM n x, n y)") + f"SELECT {_FOLD5} AS fold, count(*) AS n FROM c GROUP BY 1")
+def random_mask(spark, d):
+    cells = masks.all_cells(tensor.nodes_of(networks.handoff(spark, d)), 1)
+    return masks.random_folds(cells, 5).groupBy("fold").agg(F.count("*").alias("n"))
+
+
+@query("SELECT x.a::INT AS a, (((n1.n_nationkey * 25 + n2.n_nationkey) * 7919 + x.a * 10007 + 17) % 625 // 208)::INT AS fold, count(*) AS n FROM nation n1, nation n2, range(2) x(a) "
+       "WHERE ((n1.n_nationkey * 25 + n2.n_nationkey) * 7919 + x.a * 10007 + 17) % 625 // 208 < 3 GROUP BY 1, 2")
+def kfold_mask(spark, d):
+    """Three folds of exactly 208 of 625 cells in each layer; one cell is in none."""
+    nodes = networks.table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("i"))
+    cells = masks.exact_folds(masks.all_cells(nodes, 2), 3, 25)
+    return cells.filter("fold is not null").groupBy("a", "fold").agg(F.count("*").alias("n"))
+
+
+@query(with_(HANDOFF, NODES) + "SELECT i, ((i * 7919 + 13) % 5)::INT AS fold FROM n")
+def node_mask(spark, d):
+    return masks.node_folds(tensor.nodes_of(networks.handoff(spark, d)), 5)
+
+
+@query(with_(HANDOFF) + f"SELECT a, i, j, w FROM e WHERE {_FOLD5} <> 0")
+def train_edges(spark, d):
+    e = networks.handoff(spark, d)
+    return tensor.without(e, masks.random_folds(e, 5).filter("fold = 0"))
+
+
+@query("SELECT K::BIGINT AS K, gamma::DOUBLE AS gamma FROM (VALUES (2), (3), (4)) a(K), (VALUES (0.5), (0.75)) b(gamma)")
+def grid(spark, d):
+    return masks.grid_frame(spark, K=[2, 3, 4], gamma=[0.5, 0.75])
+
+
+@query(with_(SNAPSHOTS, "c AS (SELECT a, count(*) AS n FROM e GROUP BY a)") + "SELECT x.a AS t, (SELECT sum(n) FROM c y WHERE y.a < x.a)::BIGINT AS n_train, x.n AS n_test FROM c x WHERE x.a > 0")
+def rolling_split(spark, d):
+    return masks.rolling_origins(networks.handoff_t(spark, d))
+
+
+# --- generators and graph algorithms ---
+
+
+@query(" UNION ALL ".join(
+    f"SELECT {k} AS k, {q} AS q, {r('0.08::DOUBLE' if k == q else '0.1::DOUBLE * 0.08')} AS x" for k in range(2) for q in range(2)))
+def affinity_matrix(spark, d):
+    return matrix(spark, generators.affinity("assortative", 100, 2, 4, 0.1), ("k", "q"))
+
+
+@query("SELECT i, (CASE WHEN least(i // 4, 2) = 0 THEN 1.0 ELSE 0.0 END)::DOUBLE AS u0, (CASE WHEN least(i // 4, 2) = 1 THEN 1.0 ELSE 0.0 END)::DOUBLE AS u1, "
+       "(CASE WHEN least(i // 4, 2) = 2 THEN 1.0 ELSE 0.0 END)::DOUBLE AS u2 FROM range(14) t(i)")
+def block_membership(spark, d):
+    return generators.block_memberships(spark, 14, 3).select("i", "u0", "u1", "u2")
+
+
+@query(with_("e AS (SELECT c_custkey AS i, 1000000 + l_suppkey AS j FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey "
+             "WHERE l_quantity = 50 AND l_discount < 0.02)", "two AS (SELECT i, j FROM e UNION SELECT j, i FROM e)",
+             "reach AS (SELECT i, i AS c FROM two UNION SELECT two.j, reach.c FROM reach JOIN two ON two.i = reach.i)",
+             "lab AS (SELECT i, min(c) AS component FROM reach GROUP BY i)",
+             "best AS (SELECT component FROM lab GROUP BY component ORDER BY count(*) DESC, component LIMIT 1)")
+       + "SELECT i FROM lab WHERE component = (SELECT component FROM best)")
+def largest_component(spark, d):
+    from ..models.em import Checkpoints
+
+    lines = networks.table(spark, d, "lineitem").filter("l_quantity = 50 and l_discount < 0.02")
+    orders = networks.table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("i"))
+    e = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    e = e.select(F.lit(0).alias("a"), "i", (F.col("l_suppkey") + 1000000).alias("j"), F.lit(1.0).alias("w"))
+    labels = stats.components(e, Checkpoints(spark, "components").save)
+    return stats.largest_component(labels)
+
+
+def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fits import crep_fit
+
+    return crep_fit(spark, sf_dir)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from . import fits
+
+    return _QUERIES | fits.queries()
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+del sql
