@@ -28,11 +28,11 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates, the row with the smallest doc_id stays; of rows that repeat it, one."""
     verdicts = near_dedup.near_duplicates(spark, docs)
-    gone = verdicts.filter(~F.col("kept")).select(F.col("doc_id").alias("_id")).distinct()
-    left = docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(F.col("_id")), "left_anti")
+    gone = verdicts.filter(~F.col("kept")).select(F.col("doc_id").alias("__wn_id")).distinct()
+    left = docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(F.col("__wn_id")), "left_anti")
     # rows with the same doc_id: a pre-aggregated count finds them, and only they are compared
-    twice = left.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc_id").alias("_id"))
-    same = left["doc_id"].eqNullSafe(F.col("_id"))
+    twice = left.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc_id").alias("__wn_id"))
+    same = left["doc_id"].eqNullSafe(F.col("__wn_id"))
     repeats = left.join(twice, same, "left_semi").dropDuplicates(["doc_id", "text"])
     return left.join(twice, same, "left_anti").unionByName(repeats)
 
@@ -40,8 +40,8 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain a benchmark item go."""
     pairs = decontam.contaminated_pairs(spark, docs, _table(spark, sf_dir, "benchmark"))
-    found = Scratch(spark, "leaks").save(pairs.select(F.col("doc_id").alias("_id")).distinct(), "found")
-    return docs.join(found, docs["doc_id"].cast("long").eqNullSafe(F.col("_id")), "left_anti")
+    found = Scratch(spark, "leaks").save(pairs.select(F.col("doc_id").alias("__wn_id")).distinct(), "found")
+    return docs.join(found, docs["doc_id"].cast("long").eqNullSafe(F.col("__wn_id")), "left_anti")
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -70,24 +70,24 @@ def running_total(
     and only the order inside one bucket is sorted together. ``bucket`` has to
     be monotone in the order that is wanted; its count sets the grain.
     """
-    rows = df.withColumn("_b", bucket).withColumn("_v", value)
-    sums = rows.groupBy(*keys, "_b").agg(F.sum("_v").alias("_s"))
-    over = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    rows = df.withColumn("__wn_b", bucket).withColumn("__wn_v", value)
+    sums = rows.groupBy(*keys, "__wn_b").agg(F.sum("__wn_v").alias("__wn_s"))
+    over = Window.partitionBy(*keys).orderBy("__wn_b").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select(
-        *[F.col(k).alias(f"_k{n}") for n, k in enumerate(keys)],
-        F.col("_b").alias("_bk"),
-        F.coalesce(F.sum("_s").over(over), F.lit(0)).alias("_start"),
+        *[F.col(k).alias(f"__wn_k{n}") for n, k in enumerate(keys)],
+        F.col("__wn_b").alias("__wn_bk"),
+        F.coalesce(F.sum("__wn_s").over(over), F.lit(0)).alias("__wn_start"),
     )
-    same = F.col("_b") == F.col("_bk")
+    same = F.col("__wn_b") == F.col("__wn_bk")
     for n, k in enumerate(keys):
-        same = same & F.col(k).eqNullSafe(F.col(f"_k{n}"))
-    inside = Window.partitionBy(*keys, "_b").orderBy(*fine)
+        same = same & F.col(k).eqNullSafe(F.col(f"__wn_k{n}"))
+    inside = Window.partitionBy(*keys, "__wn_b").orderBy(*fine)
     inside = inside.rowsBetween(Window.unboundedPreceding, -1)
-    placed = rows.withColumn("_in", F.coalesce(F.sum("_v").over(inside), F.lit(0)))
+    placed = rows.withColumn("__wn_in", F.coalesce(F.sum("__wn_v").over(inside), F.lit(0)))
     return (
         placed.join(starts, same)
-        .withColumn(out, (F.col("_start") + F.col("_in")).cast("long"))
-        .drop("_b", "_v", "_in", "_bk", "_start", *[f"_k{n}" for n in range(len(keys))])
+        .withColumn(out, (F.col("__wn_start") + F.col("__wn_in")).cast("long"))
+        .drop("__wn_b", "__wn_v", "__wn_in", "__wn_bk", "__wn_start", *[f"__wn_k{n}" for n in range(len(keys))])
     )
 
 

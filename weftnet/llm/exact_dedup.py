@@ -128,7 +128,7 @@ def identified(recipes: DataFrame) -> DataFrame:
         F.col("text_sha256").alias("_sha"),
         F.transform("l", lambda c: F.struct(c["keys"], c["rank"])).alias("recipe"),
     )
-    empty = F.array().cast("array<struct<k:bigint,r:int>>")
+    empty = F.array().cast(lists.schema["recipe"].dataType)
     return (
         recipes.join(lists, F.col("text_sha256") == F.col("_sha"), "left")
         .drop("_sha")

@@ -187,7 +187,7 @@ def classify(
 def drop_rejected(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the classifier keeps, with their columns."""
     verdicts = classify(spark, docs, labels)
-    rejected = verdicts.filter(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("row_hash").alias("_h"))
+    rejected = verdicts.filter(~F.col("kept")).select(F.col("doc_id").alias("__wn_id"), F.col("row_hash").alias("__wn_h"))
     own = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
-    same = docs["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (own == F.col("_h"))
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col("__wn_id")) & (own == F.col("__wn_h"))
     return docs.join(rejected.distinct(), same, "left_anti")

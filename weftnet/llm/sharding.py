@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 from .common import Scratch, running_total
 
 SHARDS = 8
-ROUNDS = 4
+#: At most: it ends once a round moves fewer than one row in 500.
+ROUNDS = 8
 
 
 def quotas(asked: dict[tuple[int, int], int], room: list[int]) -> dict[tuple[int, int], int]:
@@ -65,7 +66,7 @@ def _case(index: Column, bounds: list[tuple[int, int]]) -> Column:
     return out
 
 
-def _move(scratch: Scratch, state: DataFrame, shards: int) -> tuple[DataFrame, int]:
+def _move(scratch: Scratch, state: DataFrame, shards: int, least: int) -> tuple[DataFrame, int]:
     """One round: the new state, and how many linked rows have moved."""
     held = [F.sum(F.when(F.col("shard") == s, 1).otherwise(0)).alias(f"c{s}") for s in range(shards)]
     linked = F.col("group_size") > 1
@@ -73,7 +74,8 @@ def _move(scratch: Scratch, state: DataFrame, shards: int) -> tuple[DataFrame, i
         r["shard"]: r["n"]
         for r in state.filter(~linked).groupBy("shard").agg(F.count("*").alias("n")).collect()
     }
-    open_shards = [s for s in range(shards) if loose[s] > 0]
+    # a shard with next to no loose rows is full: its groups stay, others look elsewhere
+    open_shards = [s for s in range(shards) if loose[s] > least]
     if not open_shards:
         return state, 0
     counts = state.filter(linked).groupBy("g1", "g2").agg(*held)
@@ -155,9 +157,10 @@ def shard(spark: SparkSession, docs: DataFrame, shards: int = SHARDS, rounds: in
     grouped = grouped.drop("_g1", "_g2").withColumn("group_size", F.coalesce("group_size", F.lit(1)).cast("long"))
     dealt = running_total(grouped, [], [F.col("u"), F.col("doc_id")], F.lit(1), "rank", _bucket("u"))
     state = scratch.save(dealt.withColumn("shard", F.pmod("rank", F.lit(shards)).cast("int")).drop("rank"), "dealt")
+    total = state.count()
     for _ in range(rounds):
-        state, moved = _move(scratch, state, shards)
-        if not moved:
+        state, moved = _move(scratch, state, shards, total // shards // 20)
+        if moved * 500 <= total:
             break
     slots = running_total(state, ["shard"], [F.col("u"), F.col("doc_id")], F.lit(1), "slot", _bucket("u"))
     return slots.select(
