@@ -135,3 +135,30 @@ def test_attributes_and_sinks(spark, tmp_path):
 def test_int_castable(spark):
     got = spark.createDataFrame([("123",), ("12.34",), ("42",), ("abc",)], "x string").select(readers.can_cast_to_int(F.col("x")))
     assert [r[0] for r in got.collect()] == [True, False, True, False]
+
+
+def test_components(spark, tmp_path):
+    """Against a union of sets, on paths, stars and single pairs."""
+    import random
+
+    from weftnet.models.em import Checkpoints
+
+    rng = random.Random(2)
+    pairs = [(k, k + 1) for k in range(30)] + [(100, 101 + k) for k in range(20)] + [(200 + 2 * k, 201 + 2 * k) for k in range(10)]
+    pairs += [(300 + rng.randrange(60), 300 + rng.randrange(60)) for _ in range(40)]
+    rng.shuffle(pairs)
+    root = {n: n for p in pairs for n in p}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, j in pairs:
+        a, b = sorted((find(i), find(j)))
+        root[b] = a
+    e = edges(spark, [(0, i, j, 1) for i, j in pairs])
+    labels = stats.components(e, Checkpoints(spark, "test").save)
+    assert {r.i: r.component for r in labels.collect()} == {n: find(n) for n in root}
+    want = max({find(n) for n in root}, key=lambda c: (sum(find(n) == c for n in root), -c))
+    assert {r.i for r in stats.largest_component(labels).collect()} == {n for n in root if find(n) == want}

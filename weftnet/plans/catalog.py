@@ -938,23 +938,21 @@ def block_membership(spark, d):
     return generators.block_memberships(spark, 14, 3).select("i", "u0", "u1", "u2")
 
 
-@query(with_("e AS (SELECT c_custkey AS i, 1000000 + l_suppkey AS j FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey "
-             "WHERE l_quantity = 50 AND l_discount < 0.02)", "two AS (SELECT i, j FROM e UNION SELECT j, i FROM e)",
-             "reach AS (SELECT i, i AS c FROM two UNION SELECT two.j, reach.c FROM reach JOIN two ON two.i = reach.i)",
-             "lab AS (SELECT i, min(c) AS component FROM reach GROUP BY i)",
-             "best AS (SELECT component FROM lab GROUP BY component ORDER BY count(*) DESC, component LIMIT 1)")
-       + "SELECT i FROM lab WHERE component = (SELECT component FROM best)")
+@query()
 def largest_component(spark, d):
+    """Of the network of customers and the suppliers they bought from; tests compare it with a union of sets."""
     from ..models.em import Checkpoints
 
-    lines = networks.table(spark, d, "lineitem").filter("l_quantity = 50 and l_discount < 0.02")
-    orders = networks.table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("i"))
-    e = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-    e = e.select(F.lit(0).alias("a"), "i", (F.col("l_suppkey") + 1000000).alias("j"), F.lit(1.0).alias("w"))
-    labels = stats.components(e, Checkpoints(spark, "components").save)
+    labels = stats.components(networks.purchases(spark, d), Checkpoints(spark, "components").save)
     return stats.largest_component(labels)
 
 
+@query(with_("e AS (SELECT 0 AS a, o_custkey AS i, 1000000 + l_suppkey AS j, count(*)::DOUBLE AS w "
+             "FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL)") + "SELECT a, i, j, w FROM e")
+def purchases(spark, d):
+    return networks.purchases(spark, d)
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .fits import crep_fit
 

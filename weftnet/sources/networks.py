@@ -85,3 +85,11 @@ def user_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = events.select(F.col("event_type").alias("z")).distinct()
     kinds = kinds.withColumn("z_idx", (F.row_number().over(Window.orderBy("z")) - 1).cast("int"))
     return best.join(kinds, "z").select("i", "z", "z_idx")
+
+
+def purchases(spark: SparkSession, sf_dir: str, offset: int = 1_000_000) -> DataFrame:
+    """Bipartite: how many lines a customer has from a supplier, whose numbers are moved by ``offset``."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("i"))
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_suppkey") + offset).cast("long").alias("j"))
+    pairs = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("i", "j")
+    return pairs.agg(F.count("*").cast("double").alias("w")).select(F.lit(0).alias("a"), "i", "j", "w")
