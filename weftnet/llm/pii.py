@@ -201,7 +201,7 @@ def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_found, n_replaced, text."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     read = docs.select("doc_id", text.alias("text"))
-    may = F.col("text").rlike("@|[0-9]{3}|[0-9]\\.[0-9]")
+    may = F.col("text").rlike("@|[0-9]{3}|[0-9]\\.[0-9]|[0-9a-fA-F]{32}")
     nothing = F.array().cast("array<string>")
     found = F.when(may, F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0))).otherwise(nothing)
     cut = read.withColumn("found", found)
