@@ -28,11 +28,18 @@ class Checkpoints:
             folder = "file://" + tempfile.mkdtemp(prefix="weftnet-")
             spark.conf.set("spark.checkpoint.dir", folder)
         self.spark, self.path, self.count = spark, f"{folder.rstrip('/')}/{label}-{uuid.uuid4().hex}", 0
+        self.last: dict[str, str] = {}
 
-    def save(self, df: DataFrame) -> DataFrame:
+    def save(self, df: DataFrame, name: str = "") -> DataFrame:
+        """Write and read again. A table under the same ``name`` has served once its successor is written, and goes."""
         self.count += 1
         path = f"{self.path}/{self.count:04d}"
         df.write.parquet(path)
+        if name:
+            before, self.last[name] = self.last.get(name), path
+            if before:
+                where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(before)
+                where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
         return self.spark.read.schema(df.schema).parquet(path)
 
 
@@ -89,17 +96,17 @@ def fit_crep(
     keep = Checkpoints(spark, "crep")
     data = keep.save(tensor.with_reverse(edges))
     params, w = _start(spark, edges, layers, size, assortative, True, seed)
-    params, eta, stop = keep.save(params), eta0, Convergence(tol, decision)
+    params, eta, stop = keep.save(params, "params"), eta0, Convergence(tol, decision)
     history, done, it = [], False, 0
     rows = lambda: linalg.gather(data, params, linalg.affinity_frame(spark, w), size)
     while not done and it < max_iter:
         if not fix_eta:
             eta = steps.crep_eta(rows(), eta, size, assortative)
-        params = keep.save(steps.clamped(steps.crep_u(rows(), params, w, eta, size, constrained), size, "u", err_max))
+        params = keep.save(steps.clamped(steps.crep_u(rows(), params, w, eta, size, constrained), size, "u", err_max), "params")
         if undirected:
             params = params.withColumns({f"v{k}": F.col(f"u{k}") for k in range(size)})
         else:
-            params = keep.save(steps.clamped(steps.crep_v(rows(), params, w, eta, size, constrained), size, "v", err_max))
+            params = keep.save(steps.clamped(steps.crep_v(rows(), params, w, eta, size, constrained), size, "v", err_max), "params")
         w = np.where((x := steps.crep_w(rows(), params, w, eta, size)) < err_max, 0.0, x)
         it += 1
         if stop.due(it) or it == max_iter:
@@ -117,7 +124,7 @@ def fit_mtcov(
     keep = Checkpoints(spark, "mtcov")
     data = keep.save(tensor.with_reverse(edges))
     params, w = _start(spark, edges, layers, size, assortative, False, seed)
-    params = keep.save(params)
+    params = keep.save(params, "params")
     raw = np.array([[((k * 7 + z * 3) % 10 + 1) / 10 for z in range(categories)] for k in range(size)])
     beta = raw / raw.sum(1, keepdims=True)
     stop, history, done, it = Convergence(tol, decision), [], False, 0
@@ -130,7 +137,7 @@ def fit_mtcov(
             beta = steps.mtcov_beta(known(), beta, undirected, err_max)
         for side in ("u",) if undirected else ("u", "v"):
             new = steps.mtcov_member(rows(), known(), params, size, assortative, gamma, side, undirected)
-            params = keep.save(steps.clamped(new, size, side, err_max))
+            params = keep.save(steps.clamped(new, size, side, err_max), "params")
         if undirected:
             params = params.withColumns({f"v{k}": F.col(f"u{k}") for k in range(size)})
         it += 1
@@ -151,7 +158,7 @@ def fit_jointcrep(
     data = keep.save(tensor.with_reverse(edges))
     both = float(data.agg(F.sum(F.col("w") * F.col("w_rev"))).first()[0] or 0.0)
     params, w = _start(spark, edges, layers, size, assortative, False, seed)
-    params, eta, stop = keep.save(params), eta0, Convergence(tol, decision)
+    params, eta, stop = keep.save(params, "params"), eta0, Convergence(tol, decision)
     history, done, it = [], False, 0
     frame = lambda: linalg.affinity_frame(spark, w)
     rows = lambda: linalg.gather(data, params, frame(), size)
@@ -164,7 +171,7 @@ def fit_jointcrep(
                     if use_approximation
                     else steps.joint_member(rows(), cells(), params, eta, size, assortative, side)
                 )
-                params = keep.save(steps.clamped(new, size, side, err_max))
+                params = keep.save(steps.clamped(new, size, side, err_max), "params")
         if not fix_w:
             x = (
                 steps.joint_w_approx(rows(), params, w, eta, size)
@@ -194,7 +201,7 @@ def fit_dyncrep(
     data, sums = keep.save(fresh), found.first().asDict()
     layers = snapshots if temporal else 1
     params, w = _start(spark, edges, layers, size, assortative, True, seed)
-    params, eta, beta, stop = keep.save(params), eta0, beta0, Convergence(tol, decision)
+    params, eta, beta, stop = keep.save(params, "params"), eta0, beta0, Convergence(tol, decision)
     history, done, it = [], False, 0
 
     def rows() -> DataFrame:
@@ -204,7 +211,7 @@ def fit_dyncrep(
     while not done and it < max_iter:
         for side in ("u", "v"):
             new = steps.dyn_member(rows(), params, w, eta, beta, size, side, snapshots, ag, bg)
-            params = keep.save(steps.clamped(new, size, side, err_max))
+            params = keep.save(steps.clamped(new, size, side, err_max), "params")
         w = (
             steps.dyn_w(rows(), params, w, eta, beta, size, snapshots)
             if temporal
@@ -232,7 +239,7 @@ def fit_acd(
     keep = Checkpoints(spark, "acd")
     linked = keep.save(tensor.closure(edges))
     params, w = _start(spark, edges, layers, size, assortative, True, seed)
-    params, pi, mu, stop = keep.save(params), pi0, mu0, Convergence(tol, decision)
+    params, pi, mu, stop = keep.save(params, "params"), pi0, mu0, Convergence(tol, decision)
     nodes = params.count()
     history, done, it = [], False, 0
 
@@ -243,7 +250,7 @@ def fit_acd(
     while not done and it < max_iter:
         for side in ("u", "v"):
             new = steps.acd_member(posterior(), params, size, assortative, side, ag, bg, constrained)
-            params = keep.save(steps.clamped(new, size, side, err_max))
+            params = keep.save(steps.clamped(new, size, side, err_max), "params")
         w = np.where((x := steps.acd_w(posterior(), w, size, ag, bg)) < err_max, 0.0, x)
         if not fix_pi:
             pi, _ = steps.acd_rates(posterior(), nodes)
