@@ -92,7 +92,9 @@ def _move(scratch: Scratch, state: DataFrame, shards: int, least: int) -> tuple[
         F.array(*[f"c{s}" for s in range(shards)]).alias("held"),
     )
     here = F.element_at("held", F.col("shard") + 1)
-    asks = linked & ((F.col("best") > here) | ((F.col("best") == here) & (F.col("goal") < F.col("shard"))))
+    # equal halves meet in the lower of two open shards, and in the open one if the other is full
+    yields = (F.col("goal") < F.col("shard")) | ~F.col("shard").isin(open_shards)
+    asks = linked & ((F.col("best") > here) | ((F.col("best") == here) & yields))
     asking = state.join(goals, (F.col("g1") == F.col("_g1")) & (F.col("g2") == F.col("_g2")), "left")
     asking = asking.withColumn("goal", F.when(asks, F.col("goal"))).drop("_g1", "_g2", "best", "held")
     asking = scratch.save(asking, "asking")
@@ -109,7 +111,7 @@ def _move(scratch: Scratch, state: DataFrame, shards: int, least: int) -> tuple[
     # groups in the order of their hash, so that whole groups come within the quota
     order = F.when(F.col("goal").isNotNull(), F.col("g1")).otherwise(F.col("u"))
     mixed = asking.withColumn("kind", kind).withColumn("o", order)
-    bucket = F.shiftright("o", 54).cast("long") * 64 + F.pmod(F.col("u"), F.lit(64))
+    bucket = F.shiftright("o", 58).cast("long") * 64 + F.pmod(F.col("u"), F.lit(64))
     ranked = running_total(
         mixed, ["shard", "kind"], [F.col("o"), F.col("u"), F.col("doc_id")], F.lit(1), "rank", bucket
     )
