@@ -147,3 +147,13 @@ def test_constrained_rows():
 def test_mtcov_needs_attributes(spark):
     with pytest.raises(ValueError):
         MTCOV().fit(_network(spark, networks.handoff(spark, SF)), K=2)
+
+
+def test_constraint_on_senders(spark):
+    net = local.collect(networks.handoff_t(spark, SF), 5)
+    r = local.dyncrep(net, 2, constraintU=True, max_iter=15, seed=1)
+    rows = r.u.sum(1)
+    assert np.allclose(rows[rows > 0], 1) and 0 <= r.scalars["eta"] <= 1 and 0 < r.scalars["beta"] < 1
+    both = local.dyncrep(net, 2, constrained=True, max_iter=15, seed=1)
+    rows = both.v.sum(1)
+    assert np.allclose(rows[rows > 0], 1)

@@ -162,3 +162,11 @@ def test_components(spark, tmp_path):
     assert {r.i: r.component for r in labels.collect()} == {n: find(n) for n in root}
     want = max({find(n) for n in root}, key=lambda c: (sum(find(n) == c for n in root), -c))
     assert {r.i for r in stats.largest_component(labels).collect()} == {n for n in root if find(n) == want}
+
+
+def test_graph_objects(spark):
+    links = [(1, 2, {"a": 1, "b": 0}), (2, 3, {"a": 0, "b": 5})]
+    net = readers.from_graph(spark, links, ["a", "b"], binary=False)
+    assert sorted(map(tuple, net.edges.collect())) == [(0, 0, 1, 1.0), (1, 1, 2, 5.0)]
+    with pytest.raises(ValueError):
+        readers.from_graph(spark, links, ["c"])

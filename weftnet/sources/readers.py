@@ -117,6 +117,21 @@ def from_table(
     return Network(build_edges(long, nodes, undirected, noselfloop, binary), nodes, tuple(named))
 
 
+def from_graph(spark: SparkSession, links: Iterable[tuple], weights: list[str], **options) -> Network:
+    """A network of (node, node, {name: weight}) links, such as a graph object lists them; a layer per weight."""
+    rows = []
+    for source, target, data in links:
+        missing = [w for w in weights if w not in data]
+        if missing:
+            raise ValueError(f"a link lacks {missing}")
+        rows.append((source, target, *[float(data[w]) for w in weights]))
+    kind = "long" if rows and all(isinstance(x, int) for r in rows for x in r[:2]) else "string"
+    if kind == "string":
+        rows = [(str(r[0]), str(r[1]), *r[2:]) for r in rows]
+    schema = f"source {kind}, target {kind}, " + ", ".join(f"`{w}` double" for w in weights)
+    return from_table(spark.createDataFrame(rows, schema), layers=weights, **options)
+
+
 def read_network(
     spark: SparkSession,
     path: str,
