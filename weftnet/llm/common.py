@@ -61,33 +61,33 @@ class Scratch:
 
 
 def running_total(
-    df: DataFrame, keys: list[str], fine: list[Column], value: Column, out: str, bucket: Column
-) -> DataFrame:
+    df: DataFrame, keys: list[str], fine: list[Column], value: Column, out: str, bucket: Column,
+    also: DataFrame | None = None,
+) -> DataFrame:
     """Exclusive running total of ``value`` per ``keys``, in the order of (bucket, fine).
 
     No task holds more than one (keys, bucket) run of rows: bucket sums come
     from a pre-aggregated shuffle, offsets from a window over buckets alone,
     and only the order inside one bucket is sorted together. ``bucket`` has to
-    be monotone in the order that is wanted; its count sets the grain.
+    be monotone in the order that is wanted; its count sets the grain. The
+    columns of ``also``, a row per ``keys``, come with the offsets, so the rows
+    themselves are dealt out once.
     """
-    rows = df.withColumn("__wn_b", bucket).withColumn("__wn_v", value)
-    sums = rows.groupBy(*keys, "__wn_b").agg(F.sum("__wn_v").alias("__wn_s"))
-    over = Window.partitionBy(*keys).orderBy("__wn_b").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select(
-        *[F.col(k).alias(f"__wn_k{n}") for n, k in enumerate(keys)],
-        F.col("__wn_b").alias("__wn_bk"),
-        F.coalesce(F.sum("__wn_s").over(over), F.lit(0)).alias("__wn_start"),
-    )
-    same = F.col("__wn_b") == F.col("__wn_bk")
-    for n, k in enumerate(keys):
-        same = same & F.col(k).eqNullSafe(F.col(f"__wn_k{n}"))
-    inside = Window.partitionBy(*keys, "__wn_b").orderBy(*fine)
-    inside = inside.rowsBetween(Window.unboundedPreceding, -1)
+    # keys that are never null, so that the join is a plain equality and finds the rows where the window left them
+    held = {f"__wn_k{n}": F.coalesce(F.concat(F.lit("v"), F.col(k).cast("string")), F.lit("n")) for n, k in enumerate(keys)}
+    groups, runs = [*held], [*held, "__wn_b"]
+    rows = df.withColumns(held | {"__wn_b": bucket, "__wn_v": value})
+    sums = rows.groupBy(*runs).agg(F.sum("__wn_v").alias("__wn_s"))
+    over = Window.partitionBy(*groups).orderBy("__wn_b").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select(*runs, F.coalesce(F.sum("__wn_s").over(over), F.lit(0)).alias("__wn_start"))
+    if also is not None:
+        starts = starts.join(also.withColumns(held).drop(*keys), groups)
+    inside = Window.partitionBy(*runs).orderBy(*fine).rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.withColumn("__wn_in", F.coalesce(F.sum("__wn_v").over(inside), F.lit(0)))
     return (
-        placed.join(starts, same)
+        placed.join(starts, runs)
         .withColumn(out, (F.col("__wn_start") + F.col("__wn_in")).cast("long"))
-        .drop("__wn_b", "__wn_v", "__wn_in", "__wn_bk", "__wn_start", *[f"__wn_k{n}" for n in range(len(keys))])
+        .drop(*runs, "__wn_v", "__wn_in", "__wn_start")
     )
 
 
