@@ -113,8 +113,7 @@ def identified(recipes: DataFrame) -> DataFrame:
     clashes = told.count()  # of 64-bit keys: none but in adversarial input
     if not clashes:
         return recipes.withColumn("recipe", F.transform("keys", lambda k: F.struct(k, F.lit(0))))
-    rows = recipes.withColumn("_row", F.xxhash64("doc_id", "text_sha256", "code_points"))
-    lines = rows.select("_row", "text_sha256", F.posexplode(F.arrays_zip("keys", "digests")))
+    lines = recipes.select("text_sha256", F.posexplode(F.arrays_zip("keys", "digests")))
     lines = lines.select("text_sha256", "pos", "col.keys", "col.digests").distinct()
     ranked = lines.join(
         told, (F.col("keys") == F.col("key")) & (F.col("digests") == F.col("digest")), "left"
