@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from weftnet.llm import decontam, mixing, near_dedup, quality, sharding
 from weftnet.llm.common import Scratch
 
+#: Percent: texts whose sets of shingles have this similarity or more are near duplicates.
+NEAR_PERCENT = 80
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -27,7 +29,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates, the row with the smallest doc_id stays; of rows that repeat it, one."""
-    verdicts = near_dedup.near_duplicates(spark, docs)
+    verdicts = near_dedup.near_duplicates(spark, docs, NEAR_PERCENT)
     gone = verdicts.filter(~F.col("kept")).select(F.col("doc_id").alias("__wn_id")).distinct()
     left = docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(F.col("__wn_id")), "left_anti")
     # rows with the same doc_id: a pre-aggregated count finds them, and only they are compared

@@ -1,22 +1,24 @@
 """MinHash near-dedup by an inverted join on signature coordinates.
 
 Documents whose sets of distinct five-word shingles are equal form one class.
-A class is posted under each of its 128 (coordinate, value) pairs. Two sets
-whose Jaccard similarity is 0.85 agree on 109 coordinates on average (standard
-deviation 4); pairs that agree on fewer than ``MATCHES`` = 84 cannot qualify
-but with a chance near 1e-8, and every other pair is confirmed on full sets.
+A class is posted under each of its 128 (coordinate, value) pairs. The limit
+is an argument, ``percent``: op7's contract has 85, the pipeline's stage 80. Two
+sets whose Jaccard similarity is 0.85 agree on 109 coordinates on average
+(standard deviation 4), at 0.8 on 102 (4.5); pairs that agree on fewer than
+``least_matches(percent)``, 84 and 75, cannot qualify but with a chance near
+1e-8, and every other pair is confirmed on full sets.
 
-The collisions are counted by prefix and skip merging:
+The collisions are counted by prefix and skip merging, here for 84:
 
 * a class needs 84 postings that another class shares, so at least 84 - 80 of
-  its first 48 coordinates; those that fail leave after a third of the
-  postings have been counted (``first``), the others are counted on all 128,
-  twice, as frequencies fall;
+  its first 48 coordinates (for 75, of its first 57); those that fail leave
+  after these postings have been counted (``first``), the others are counted on
+  all 128, twice, as frequencies fall;
 * of a class's shared postings, rarest first, only the first (shared - 83) are
   merged: two classes with 84 postings in common meet in that prefix. Long
   lists are skipped unless a class has nothing rarer;
 * within what the lists connect, classes are dealt into blocks by size (their
-  sizes must be within 0.85 of each other) and block pairs are counted with
+  sizes must be within the limit of each other) and block pairs are counted with
   whole-array comparisons; pairs that are known to be connected are skipped.
 
 No step holds a posting list or a group in one task: lists are aggregated to
@@ -32,6 +34,7 @@ component's id only where no member has an id; other columns are not read.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,9 +47,12 @@ from .common import Scratch, components
 from .shingles import coordinates, minhash, shingle_sets, slices
 
 COORDINATES = 128
-FIRST = 48
-MATCHES = 84
+#: op7's limit.
 PERCENT = 85
+#: The chance that a pair at the limit has fewer matches than are asked for.
+MISSED = 1.4e-8
+#: Shared postings that are asked for among the first coordinates.
+FIRST_MATCHES = 4
 #: Shingles in a block, about.
 BLOCK = 200_000
 
@@ -94,7 +100,17 @@ def _with_enough(postings: DataFrame, least: int) -> DataFrame:
     return counted.filter(F.col("n") >= least).select("cls")
 
 
-def _verify(block: pd.DataFrame) -> pd.DataFrame:
+def least_matches(percent: int) -> int:
+    """The most coordinates to ask for such that a pair at the limit has fewer with a chance of ``MISSED`` at most."""
+    p, below = percent / 100, 0.0
+    for m in range(COORDINATES):
+        below += math.comb(COORDINATES, m) * p**m * (1 - p) ** (COORDINATES - m)
+        if below > MISSED:
+            return m
+    return COORDINATES
+
+
+def _verify(block: pd.DataFrame, percent: int, matches: int) -> pd.DataFrame:
     """Links between the blocks lo and hi of one cell, without those that follow from others."""
     rows = block.drop_duplicates(["cls", "side"])
     rows = rows.sort_values(["n", "cls"], kind="stable")
@@ -123,20 +139,20 @@ def _verify(block: pd.DataFrame) -> pd.DataFrame:
     ):
         own = np.frombuffer(raw, np.uint64)
         # sizes ascend: |x & y| <= min, |x | y| >= max
-        first = int(np.searchsorted(sizes * 100, n * PERCENT, "left"))
-        last = int(np.searchsorted(sizes * PERCENT, n * 100, "right"))
+        first = int(np.searchsorted(sizes * 100, n * percent, "left"))
+        last = int(np.searchsorted(sizes * percent, n * 100, "right"))
         if same:
             first = max(first, k + 1)
         if first >= last:
             continue
         agree = np.count_nonzero(sig[first:last] == own_sig, axis=1)
-        near = first + np.flatnonzero(agree >= MATCHES)
+        near = first + np.flatnonzero(agree >= matches)
         for other in near[np.argsort(-agree[near - first], kind="stable")]:
             mine, its = find(cls), find(names[other])
             if mine == its:
                 continue
             both = len(np.intersect1d(own, sets[other], assume_unique=True))
-            if 100 * both >= PERCENT * (n + sizes[other] - both):
+            if 100 * both >= percent * (n + sizes[other] - both):
                 root[max(mine, its)] = min(mine, its)
                 links.append((cls, names[other]))
     return pd.DataFrame(links, columns=["a", "b"]).astype(object)
@@ -165,31 +181,33 @@ def _with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield out.filter(pa.array(same, pa.bool_()))
 
 
-def link(scratch: Scratch, docs: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Links (a, b) between classes with similarity of ``PERCENT`` or more; enough of them to connect
+def link(scratch: Scratch, docs: DataFrame, sketches: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Links (a, b) between classes with similarity of ``percent`` or more; enough of them to connect
     all that are connected."""
+    matches = least_matches(percent)
+    start = COORDINATES - matches + FIRST_MATCHES
     classes = scratch.save(
         sketches.filter("cls is not null")
         .groupBy("cls")
         .agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")),
         "classes",
     )
-    shared = _shared(_tokens(classes, FIRST))
-    enough = _with_enough(shared, MATCHES - (COORDINATES - FIRST))
+    shared = _shared(_tokens(classes, start))
+    enough = _with_enough(shared, FIRST_MATCHES)
     first = scratch.save(classes.join(enough, "cls"), "first")
     postings = scratch.save(_shared(_tokens(first, COORDINATES)), "shared")
-    postings = _shared(postings.join(_with_enough(postings, MATCHES), "cls"))
-    # the prefix: the rarest (shared - MATCHES + 1) postings of each class, in one order for all
+    postings = _shared(postings.join(_with_enough(postings, matches), "cls"))
+    # the prefix: the rarest (shared - matches + 1) postings of each class, in one order for all
     listed = postings.groupBy("cls").agg(
         F.array_sort(F.collect_list(F.struct("f", "token", "hub"))).alias("l")  # at most 128
     )
-    prefix = listed.filter(F.size("l") >= MATCHES).select(
-        "cls", F.explode(F.slice("l", F.lit(1), F.size("l") - (MATCHES - 1))).alias("p")
+    prefix = listed.filter(F.size("l") >= matches).select(
+        "cls", F.explode(F.slice("l", F.lit(1), F.size("l") - (matches - 1))).alias("p")
     )
     stars = prefix.select(F.col("p.hub").alias("a"), F.col("cls").alias("b")).filter("a <> b").distinct()
     cluster = components(scratch, stars)
     # sizes that may match are in one band or in neighbouring ones
-    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / PERCENT))).cast("int")
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))).cast("int")
     placed = scratch.save(
         first.join(cluster, F.col("cls") == F.col("node"))
         .select("cls", "doc_id", "sig", "n", F.col("root").alias("cluster"), band.alias("band")),
@@ -231,16 +249,16 @@ def link(scratch: Scratch, docs: DataFrame, sketches: DataFrame) -> DataFrame:
         "cluster", "x.*", "cls", "sig", "n", "shingles"
     )
     return dealt.groupBy("cluster", "band", "step", "lo", "hi").applyInPandas(
-        _verify, "a binary, b binary"
+        lambda block: _verify(block, percent, matches), "a binary, b binary"
     )
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: one row per row of ``docs``."""
+def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept: one row per row of ``docs``; ``percent`` links two rows."""
     scratch = Scratch(spark, "near")
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sketches = scratch.save(read.mapInArrow(_sketch, _SKETCH), "sketches")
-    links = scratch.save(link(scratch, read, sketches), "links")
+    links = scratch.save(link(scratch, read, sketches, percent), "links")
     roots = components(scratch, links)
     ids = sketches.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("least"))
     rooted = ids.join(roots, F.col("cls") == F.col("node"), "left").select(

@@ -46,7 +46,7 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_duplicates(spark, table(spark, sf_dir, "documents"))
+    return near_dedup.near_duplicates(spark, table(spark, sf_dir, "documents"), percent=85)
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
