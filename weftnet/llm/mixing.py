@@ -16,7 +16,8 @@ order of MD5(doc_id), once or twice around, and ends at its target: the last
 document counts with the words that fit. Reruns agree.
 
 ``curriculum`` gives one row per document, ``schedule`` the training order: one
-row per pass over a document, range-sorted by position.
+row per pass over a document, range-sorted by position. ``scheduled`` puts a
+written schedule's passes together again to one row per document.
 
 Totals run over 4096 buckets per source, so a source with a third of all rows is
 spread over as many tasks. The table of sources is one row per source; it is the
@@ -30,11 +31,11 @@ words all targets are 0.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD_PATTERN, running_total
+from .common import WORD_PATTERN, Scratch, running_total
 
 #: Weights in turn, and the slope of each one's schedule.
 WEIGHTS = (3, 1, 2)
@@ -88,12 +89,13 @@ def _position(begins: Column) -> Column:
 
 
 def curriculum(docs: DataFrame) -> DataFrame:
-    """``docs`` with size, source_size, target, taken, position and again.
+    """``docs`` with size, source_size, target, begin, taken, position and again.
 
+    begin: the words before the document in its source's stream;
     taken: words that the mix takes of the document, repeats counted; position
     and again: its places in training time, null for a pass that isn't made.
     """
-    made = {"size", "source_size", "target", "slope", "taken", "position", "again"}
+    made = {"size", "source_size", "target", "slope", "begin", "taken", "position", "again"}
     own = [c for c in docs.columns if c not in made]
     code = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     rows = docs.select(*own, size_of(F.col("text")).alias("size"), code.alias("__wn_code"))
@@ -116,6 +118,7 @@ def curriculum(docs: DataFrame) -> DataFrame:
             "size",
             "source_size",
             "target",
+            F.col("__wn_begin").alias("begin"),
             (F.col("__wn_first") + F.col("__wn_second")).alias("taken"),
             F.when(F.col("__wn_first") > 0, _position(F.col("__wn_begin").cast("double"))).alias("position"),
             F.when(
@@ -125,20 +128,43 @@ def curriculum(docs: DataFrame) -> DataFrame:
     )
 
 
-def schedule(mixed: DataFrame) -> DataFrame:
-    """One row per pass over a document of ``curriculum``, with position and words, in training order."""
+def schedule(mixed: DataFrame, idle: bool = False) -> DataFrame:
+    """One row per pass over a document of ``curriculum``, with position and words, in training order.
+
+    idle: documents without a pass are there too, as a row without lap, position and words.
+    """
     first = F.least("taken", "size")
     passes = F.array(
         F.struct(F.lit(1).alias("lap"), F.col("position").alias("at"), first.alias("words")),
         F.struct(F.lit(2).alias("lap"), F.col("again").alias("at"), (F.col("taken") - first).alias("words")),
     )
     keep = [c for c in mixed.columns if c not in {"position", "again", "taken"}]
-    each = mixed.select(*keep, F.explode(F.filter(passes, lambda p: p["words"] > 0)).alias("p"))
+    spread = F.explode_outer if idle else F.explode
+    each = mixed.select(*keep, spread(F.filter(passes, lambda p: p["words"] > 0)).alias("p"))
     rows = each.select(*keep, "p.lap", F.col("p.at").alias("position"), "p.words")
     # the range sort: rangepartitioning on the whole order, so a busy position is spread too
     return rows.orderBy("position", "source", "doc_id", "lap")
 
 
+def scheduled(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """doc_id, size, source_size, target, taken, position, again: one row per row of ``docs``, by its passes.
+
+    The schedule is written in training order; passes of a document meet by its place in its source's stream,
+    which no other document with words has.
+    """
+    mixed = curriculum(docs.select("doc_id", "source", "text")).drop("text")
+    passes = Scratch(spark, "mixing").save(schedule(mixed, idle=True), "schedule")
+    row = ["doc_id", "source", "begin", "size", "source_size", "target"]
+    lap = lambda k: F.max(F.when(F.col("lap") == k, F.col("position")))
+    made = passes.filter("lap is not null").groupBy(*row)
+    made = made.agg(F.sum("words").alias("taken"), lap(1).alias("position"), lap(2).alias("again"))
+    none = F.lit(None).cast("double")
+    idle = passes.filter("lap is null").select(
+        *row, F.lit(0).cast("long").alias("taken"), none.alias("position"), none.alias("again")
+    )
+    return made.unionByName(idle).drop("source", "begin")
+
+
 ORACLE = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
