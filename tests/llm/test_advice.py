@@ -5,7 +5,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from weftnet.llm import mixing, near_dedup, queries
+from weftnet.llm import mixing, near_dedup, queries, sharding
 
 
 def _shingles(text):
@@ -74,3 +74,16 @@ def test_mixing_query_goes_through_the_schedule(spark, make, monkeypatch):
     assert any(r.again is not None for r in got) and all((r.taken > 0) == (r.position is not None) for r in got)
     short = queries.op3_mixing(spark, "").collect()
     assert sorted(map(key, short)) == sorted(key(r[:5]) for r in got) and len(ranged) == 2
+
+
+@pytest.mark.parametrize("times", [2, 3])
+def test_sharding_where_every_text_repeats(spark, make, times):
+    """No row is without links: groups come together by exchange, and counts stay."""
+    rows = [(n, f"text {n // times}") for n in range(240 * times)]
+    got = sharding.shard(spark, make(rows)).collect()
+    assert [sum(r.shard == k for r in got) for k in range(8)] == [30 * times] * 8
+    where = {}
+    for r in got:
+        where.setdefault(r.text_crc32, set()).add(r.shard)
+    print(sum(len(s) == 1 for s in where.values()))
+    assert sum(len(s) == 1 for s in where.values()) >= 0.9 * len(where)

@@ -10,7 +10,11 @@ the quota move, rows without links fill the gaps. A group larger than a shard
 fills one, then the next, as full shards close.
 
 A group's counts by shard are eight sums from a pre-aggregated shuffle; the
-links inside a group are never written out as pairs. Ranks are taken in 4096 or more buckets,
+links inside a group are never written out as pairs. Rounds of exchange follow,
+over all shards and down to the last row without links: there the rows of a
+group ask for one shard that holds most of it, or in odd rounds nearly (ties by a hash that changes with
+the round, so that as many ask one way as the other), and requests a -> b are
+let through against b -> a and around, which needs no room. Ranks are taken in 4096 or more buckets,
 so that neither a shard nor a group is ordered in one task.
 
 Edge cases: a null text counts as empty (size 1, CRC 0) and links with empty
@@ -29,14 +33,18 @@ from .common import Scratch, running_total
 SHARDS = 8
 #: At most: it ends once a round moves fewer than one row in 500.
 ROUNDS = 8
+#: At most, the last one an even round: it ends once nothing moves in two.
+EXCHANGES = 13
 
 
 def quotas(asked: dict[tuple[int, int], int], room: list[int]) -> dict[tuple[int, int], int]:
     """How many of the requests (from, to) are let through: no shard gains more than ``room`` holds.
 
+    Requests that answer each other are; of the others, what comes to a shard above its room is cut.
     room: for each shard, the rows that may leave it for any other.
     """
-    given = dict(asked)
+    both = {(a, b): min(n, asked.get((b, a), 0)) for (a, b), n in asked.items()}
+    given = {key: n - both[key] for key, n in asked.items()}
     while True:
         gain = [0] * len(room)
         for (a, b), n in given.items():
@@ -44,13 +52,14 @@ def quotas(asked: dict[tuple[int, int], int], room: list[int]) -> dict[tuple[int
             gain[b] += n
         over = [t for t, g in enumerate(gain) if g > room[t]]
         if not over:
-            return given
+            return {key: n + both[key] for key, n in given.items()}
         for t in over:
             coming = sum(n for (_, b), n in given.items() if b == t)
-            excess = gain[t] - room[t]
+            left = excess = gain[t] - room[t]
             for key in sorted(k for k in given if k[1] == t):
-                cut = min(given[key], -(-given[key] * excess // coming) if coming else 0)
+                cut = min(given[key], left, -(-given[key] * excess // coming) if coming else 0)
                 given[key] -= cut
+                left -= cut
 
 
 def _bucket(order: str) -> Column:
@@ -66,8 +75,13 @@ def _case(index: Column, bounds: list[tuple[int, int]]) -> Column:
     return out
 
 
-def _move(scratch: Scratch, state: DataFrame, shards: int, least: int) -> tuple[DataFrame, int]:
-    """One round: the new state, and how many linked rows have moved."""
+def _move(
+    scratch: Scratch, state: DataFrame, shards: int, least: int, exchange: int | None = None
+) -> tuple[DataFrame, int]:
+    """One round: the new state, and how many linked rows have moved.
+
+    exchange: the number of a round of exchange, in which every shard is open.
+    """
     held = [F.sum(F.when(F.col("shard") == s, 1).otherwise(0)).alias(f"c{s}") for s in range(shards)]
     linked = F.col("group_size") > 1
     loose = dict.fromkeys(range(shards), 0) | {
@@ -75,7 +89,7 @@ def _move(scratch: Scratch, state: DataFrame, shards: int, least: int) -> tuple[
         for r in state.filter(~linked).groupBy("shard").agg(F.count("*").alias("n")).collect()
     }
     # a shard with next to no loose rows is full: its groups stay, others look elsewhere
-    open_shards = [s for s in range(shards) if loose[s] > least]
+    open_shards = [s for s in range(shards) if exchange is not None or loose[s] > least]
     if not open_shards:
         return state, 0
     counts = state.filter(linked).groupBy("g1", "g2").agg(*held)
@@ -83,6 +97,14 @@ def _move(scratch: Scratch, state: DataFrame, shards: int, least: int) -> tuple[
     goal = F.lit(None).cast("int")
     for s in reversed(open_shards):
         goal = F.when(F.col(f"c{s}") == F.col("best"), F.lit(s)).otherwise(goal)
+    if exchange is not None:
+        turn = lambda s: F.xxhash64("g1", "g2", F.lit(exchange), F.lit(s))
+        # odd rounds also turn to a shard to which at most twice as many rows have to come, so that no one-way requests stay
+        whole = sum((F.col(f"c{s}") for s in range(1, shards)), F.col("c0"))
+        near = lambda s: (F.col(f"c{s}") > 0) & (whole - F.col(f"c{s}") <= 2 * (whole - F.col("best")))
+        rank = lambda s: F.when(near(s), 1).otherwise(0) if exchange % 2 else F.col(f"c{s}")
+        goal = F.array_max(F.array(*[F.struct(rank(s).alias("n"), turn(s).alias("o"), F.lit(s).alias("s")) for s in open_shards]))
+        goal = goal["s"]
     goals = counts.withColumn("best", best).withColumn("goal", goal)
     goals = goals.select(
         F.col("g1").alias("_g1"),
@@ -95,6 +117,8 @@ def _move(scratch: Scratch, state: DataFrame, shards: int, least: int) -> tuple[
     # equal halves meet in the lower of two open shards, and in the open one if the other is full
     yields = (F.col("goal") < F.col("shard")) | ~F.col("shard").isin(open_shards)
     asks = linked & ((F.col("best") > here) | ((F.col("best") == here) & yields))
+    if exchange is not None:
+        asks = linked & (F.col("goal") != F.col("shard"))
     asking = state.join(goals, (F.col("g1") == F.col("_g1")) & (F.col("g2") == F.col("_g2")), "left")
     asking = asking.withColumn("goal", F.when(asks, F.col("goal"))).drop("_g1", "_g2", "best", "held")
     asking = scratch.save(asking, "asking")
@@ -164,6 +188,12 @@ def shard(spark: SparkSession, docs: DataFrame, shards: int = SHARDS, rounds: in
         state, moved = _move(scratch, state, shards, total // shards // 20)
         if moved * 500 <= total:
             break
+    before = 1
+    for turn in range(EXCHANGES):
+        state, moved = _move(scratch, state, shards, 0, exchange=turn)
+        if not moved and not before:
+            break
+        before = moved
     slots = running_total(state, ["shard"], [F.col("u"), F.col("doc_id")], F.lit(1), "slot", _bucket("u"))
     return slots.select(
         "doc_id",
