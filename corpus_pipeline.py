@@ -22,6 +22,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` without the rows that ``gone`` names by doc_id and row_hash; ids alone may be null or repeat."""
+    gone = gone.select(F.col("doc_id").alias("__wn_id"), F.col("row_hash").alias("__wn_h")).distinct()
+    own = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col("__wn_id")) & (own == F.col("__wn_h"))
+    return docs.join(gone, same, "left_anti")
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
     return quality.drop_rejected(spark, docs, _table(spark, sf_dir, "labels"))
@@ -30,8 +38,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates, the row with the smallest doc_id stays; of rows that repeat it, one."""
     verdicts = near_dedup.near_duplicates(spark, docs, NEAR_PERCENT)
-    gone = verdicts.filter(~F.col("kept")).select(F.col("doc_id").alias("__wn_id")).distinct()
-    left = docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(F.col("__wn_id")), "left_anti")
+    left = _without(docs, verdicts.filter(~F.col("stays")))
     # rows with the same doc_id: a pre-aggregated count finds them, and only they are compared
     twice = left.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc_id").alias("__wn_id"))
     same = left["doc_id"].eqNullSafe(F.col("__wn_id"))
@@ -42,8 +49,8 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain a benchmark item go."""
     pairs = decontam.contaminated_pairs(spark, docs, _table(spark, sf_dir, "benchmark"))
-    found = Scratch(spark, "leaks").save(pairs.select(F.col("doc_id").alias("__wn_id")).distinct(), "found")
-    return docs.join(found, docs["doc_id"].cast("long").eqNullSafe(F.col("__wn_id")), "left_anti")
+    found = Scratch(spark, "leaks").save(pairs.select("doc_id", "row_hash").distinct(), "found")
+    return _without(docs, found)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

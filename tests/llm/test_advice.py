@@ -87,3 +87,16 @@ def test_sharding_where_every_text_repeats(spark, make, times):
         where.setdefault(r.text_crc32, set()).add(r.shard)
     print(sum(len(s) == 1 for s in where.values()))
     assert sum(len(s) == 1 for s in where.values()) >= 0.9 * len(where)
+
+
+def test_stages_drop_rows_not_ids(spark, make, monkeypatch):
+    """Rejected rows with a null or repeated id take no others with them; copies without ids leave one."""
+    text = lambda name: " ".join(f"{name}{n}" for n in range(100))
+    rows = [(1, text("a")), (5, text("a") + " x"), (5, text("b")), (None, text("a") + " y"), (None, text("c"))]
+    rows += [(None, text("d")), (None, text("d") + " z"), (7, text("e")), (7, text("e") + " z")]
+    got = [(r.doc_id, r.text.split()[0]) for r in corpus_pipeline.near_dedup_stage(spark, make(rows), "").collect()]
+    assert sorted(got, key=str) == sorted([(1, "a0"), (5, "b0"), (None, "c0"), (None, "d0"), (7, "e0")], key=str)
+    bench = spark.createDataFrame([(1, text("b")), (2, text("c"))], "item_id long, text string")
+    monkeypatch.setattr(corpus_pipeline, "_table", lambda *_: bench)
+    left = corpus_pipeline.decontamination_stage(spark, make(rows), "")
+    assert sorted(r.text for r in left.collect()) == sorted(t for _, t in rows if t.split()[0] not in ("b0", "c0"))

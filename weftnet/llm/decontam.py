@@ -37,7 +37,7 @@ BLOCK_BYTES = 16 << 20
 _PERMUTE = np.uint64(0xD6E8FEB86659FD93)
 _S32 = np.uint64(32)
 
-_PAIRS = "doc_id long, item_id long, item_shingles long, shared long"
+_PAIRS = "doc_id long, item_id long, item_shingles long, shared long, row_hash long"
 
 
 def needed(n: int) -> int:
@@ -91,7 +91,7 @@ class _Search:
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[tuple[int | None, int | None, int, int]] = []
+            rows: list[tuple[int | None, int | None, int, int, int]] = []
             for part in slices(batch, "text"):
                 for k, own in enumerate(shingle_sets(part.column("text"))):
                     words = None
@@ -104,16 +104,16 @@ class _Search:
                         exact = _word_shingles(self.texts[item])
                         shared = len(exact & words)
                         if shared >= needed(len(exact)):
-                            rows.append((part.column("doc_id")[k].as_py(), self.ids[item], len(exact), shared))
-            columns = list(zip(*rows, strict=True)) if rows else [[], [], [], []]
+                            rows.append((part.column("doc_id")[k].as_py(), self.ids[item], len(exact), shared, part.column("row_hash")[k].as_py()))
+            columns = list(zip(*rows, strict=True)) if rows else [[], [], [], [], []]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(list(c), pa.int64()) for c in columns],
-                names=["doc_id", "item_id", "item_shingles", "shared"],
+                names=["doc_id", "item_id", "item_shingles", "shared", "row_hash"],
             )
 
 
 def contaminated_pairs(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, item_id, item_shingles, shared, containment) for each item that a document contains."""
+    """(doc_id, item_id, item_shingles, shared, row_hash, containment) for each item that a document contains."""
     items = benchmark.select(
         F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
     )
@@ -123,6 +123,7 @@ def contaminated_pairs(spark: SparkSession, docs: DataFrame, benchmark: DataFram
     placed = items.withColumn("block", F.floor(F.coalesce(F.sum(size).over(upto), F.lit(0)) / BLOCK_BYTES))
     total = items.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    read = read.withColumn("row_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
     found = None
     for block in range(total // BLOCK_BYTES + 1):
         here = placed.filter(F.col("block") == block) if total > BLOCK_BYTES else items

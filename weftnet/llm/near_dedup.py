@@ -40,7 +40,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, components
@@ -56,7 +56,7 @@ FIRST_MATCHES = 4
 #: Shingles in a block, about.
 BLOCK = 200_000
 
-_SKETCH = "doc_id long, n_shingles long, cls binary, sig array<int>"
+_SKETCH = "doc_id long, row_hash long, n_shingles long, cls binary, sig array<int>"
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -73,11 +73,12 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column("doc_id"),
+                    part.column("row_hash"),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array(cls, pa.binary()),
                     pa.array(sig, pa.list_(pa.int32())),
                 ],
-                names=["doc_id", "n_shingles", "cls", "sig"],
+                names=["doc_id", "row_hash", "n_shingles", "cls", "sig"],
             )
 
 
@@ -181,6 +182,11 @@ def _with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield out.filter(pa.array(same, pa.bool_()))
 
 
+def _least() -> Column:
+    """Of some rows the one with the smallest doc_id, of those with the same or with none the smallest row_hash."""
+    return F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_hash"))
+
+
 def link(scratch: Scratch, docs: DataFrame, sketches: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Links (a, b) between classes with similarity of ``percent`` or more; enough of them to connect
     all that are connected."""
@@ -189,7 +195,8 @@ def link(scratch: Scratch, docs: DataFrame, sketches: DataFrame, percent: int =
     classes = scratch.save(
         sketches.filter("cls is not null")
         .groupBy("cls")
-        .agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")),
+        .agg(_least().alias("l"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"))
+        .select("cls", "l.doc_id", "l.row_hash", "n", "sig"),
         "classes",
     )
     shared = _shared(_tokens(classes, start))
@@ -210,7 +217,7 @@ def link(scratch: Scratch, docs: DataFrame, sketches: DataFrame, percent: int =
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))).cast("int")
     placed = scratch.save(
         first.join(cluster, F.col("cls") == F.col("node"))
-        .select("cls", "doc_id", "sig", "n", F.col("root").alias("cluster"), band.alias("band")),
+        .select("cls", "doc_id", "row_hash", "sig", "n", F.col("root").alias("cluster"), band.alias("band")),
         "placed",
     )
     weight = placed.groupBy("cluster", "band").agg(F.sum("n").alias("w"), F.count("*").alias("m"))
@@ -218,9 +225,9 @@ def link(scratch: Scratch, docs: DataFrame, sketches: DataFrame, percent: int =
         weight.select("cluster", "band", "m", F.ceil(F.col("w") / F.lit(BLOCK)).cast("int").alias("cells")),
         "cells",
     )
-    texts = docs.select(F.col("doc_id").alias("_id"), "text")
+    texts = docs.select(F.col("doc_id").alias("_id"), F.col("row_hash").alias("_hash"), "text")
     sets = (
-        placed.join(texts, F.col("doc_id").eqNullSafe(F.col("_id")))
+        placed.join(texts, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("row_hash") == F.col("_hash")))
         .select("cls", "sig", "cluster", "band", "n", "text")
         .mapInArrow(_with_sets, "cls binary, sig array<int>, cluster binary, band int, n long, shingles binary")
     )
@@ -254,26 +261,39 @@ def link(scratch: Scratch, docs: DataFrame, sketches: DataFrame, percent: int =
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: one row per row of ``docs``; ``percent`` links two rows."""
+    """doc_id, n_shingles, component_id, kept, row_hash, stays: one row per row of ``docs``; ``percent`` links two rows.
+
+    row_hash names the text, as ids may be null or repeat; of a component one (doc_id, row_hash) stays.
+    """
     scratch = Scratch(spark, "near")
-    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    text = F.col("text").cast("string")
+    read = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.xxhash64(F.coalesce(text, F.lit(""))).alias("row_hash"),
+        text.alias("text"),
+    )
     sketches = scratch.save(read.mapInArrow(_sketch, _SKETCH), "sketches")
     links = scratch.save(link(scratch, read, sketches, percent), "links")
     roots = components(scratch, links)
-    ids = sketches.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("least"))
+    ids = sketches.filter("cls is not null").groupBy("cls").agg(_least().alias("least"))
     rooted = ids.join(roots, F.col("cls") == F.col("node"), "left").select(
         "cls", "least", F.coalesce("root", "cls").alias("root")
     )
     named = scratch.save(rooted, "rooted")
-    tops = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    names = named.join(tops, "root").select(F.col("cls").alias("_cls"), "component_id")
+    tops = named.groupBy("root").agg(F.min("least").alias("top"))
+    names = named.join(tops, "root").select(F.col("cls").alias("_cls"), "top")
     return (
-        sketches.select("doc_id", "n_shingles", "cls")
+        sketches.select("doc_id", "row_hash", "n_shingles", "cls")
         .join(names, F.col("cls") == F.col("_cls"), "left")
         .select(
             "doc_id",
             "n_shingles",
-            F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+            F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("top.doc_id")).alias("component_id"),
+            "row_hash",
+            (
+                F.col("cls").isNull()
+                | (F.col("doc_id").eqNullSafe(F.col("top.doc_id")) & (F.col("row_hash") == F.col("top.row_hash")))
+            ).alias("stays"),
         )
         .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
     )

@@ -42,7 +42,7 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated_pairs(
         spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    )
+    ).drop("row_hash")
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,7 +50,7 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_duplicates(spark, table(spark, sf_dir, "documents"), percent=85)
+    return near_dedup.near_duplicates(spark, table(spark, sf_dir, "documents"), percent=85).drop("row_hash", "stays")
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
