@@ -271,7 +271,7 @@ def test_quality(spark, odd, make):
 
 
 def test_pii(odd, make):
-    assert pii.pseudonymise(odd).count() == len(ROWS) and pii.pseudonymise(make([])).count() == 0
+    assert pii.pseudonymise(odd, "k").count() == len(ROWS) and pii.pseudonymise(make([]), "k").count() == 0
 
 
 def test_components(spark):

@@ -10,6 +10,7 @@ import pytest
 from weftnet.llm import pii, queries, quality
 
 SF = "/root/testdata/sf0.001"
+KEY = queries.SAMPLE_KEY
 
 
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
@@ -40,7 +41,7 @@ def _round(key, kind, r, half):
     return int(hashlib.md5(f"{key}|{kind}|{r}|{half}".encode()).hexdigest()[:15], 16)
 
 
-def _feistel(kind, a, b, m, n, key=pii.KEY):
+def _feistel(kind, a, b, m, n, key=KEY):
     for r in range(pii.ROUNDS):
         if r % 2 == 0:
             a = (a + _round(key, kind, r, b) % m) % m
@@ -66,10 +67,13 @@ def _pseudonym(found):
     import datetime
 
     digits = re.sub("[^0-9]", "", found)
-    sha = lambda kind, x: hashlib.sha256(f"{pii.KEY}|{kind}|{x}".encode()).hexdigest()
+    sha = lambda kind, x: hashlib.sha256(f"{KEY}|{kind}|{x}".encode()).hexdigest()
     if "@" in found:
-        local, host = found.lower().split("@")
-        return f"u{sha('local', local)[:12]}@h{sha('host', host)[:8]}.example"
+        lead = re.match(r"[._%+-]*", found)[0]
+        local, host = found[len(lead) :].lower().split("@")
+        if not local or not any(re.match("[a-z]{2}", part) for part in host.split(".")[1:]):
+            return found
+        return f"{lead}u{sha('local', local)[:12]}@h{sha('host', host)[:8]}.example"
     if re.fullmatch(pii.IPV4, found):
         p = [int(x) for x in found.split(".")]
         if max(p) > 255:
@@ -93,8 +97,10 @@ def _pseudonym(found):
         a, b = _feistel("ssn", area - (2 if area > 666 else 1), (group - 1) * 9999 + serial - 1, 898, 99 * 9999)
         return f"{a + (2 if a >= 665 else 1):03}-{b // 9999 + 1:02}-{b % 9999 + 1:04}"
     if re.fullmatch(pii.PHONE, found):
-        a, b = _feistel("phone", int(digits[:3]), int(digits[3:]), 1000, 10**7)
-        return _shape(found, f"{a:03}{b:07}")
+        if digits[3] in "01":
+            return found
+        a, b = _feistel("phone", int(digits[:3]), int(digits[3:]) - 2_000_000, 1000, 8_000_000)
+        return _shape(found, f"{a:03}{b + 2_000_000:07}")
     if re.fullmatch(pii.CARD, found):
         if _luhn(digits) % 10:
             return found
@@ -128,19 +134,50 @@ def test_pii_formats(make):
         "", None, "nothing here", "\u00e9" * 50 + " 8.8.8.8",
     ]
     rows = list(enumerate(texts))
-    got = {r.doc_id: r for r in pii.pseudonymise(make(rows)).collect()}
+    got = {r.doc_id: r for r in pii.pseudonymise(make(rows), KEY).collect()}
     assert {k: r.text for k, r in got.items()} == {k: _masked(t) for k, t in rows}
     assert "4539148803436468" in got[0].text and "2023-02-29" in got[1].text and got[0].n_replaced == 2
     grouped, plain = re.findall(r"\d{4} \d{4} \d{4} \d{4}|\d{16}", got[0].text)[:2]
     assert grouped.replace(" ", "") == plain and _luhn(plain) % 10 == 0
 
 
+def test_pii_finds(make):
+    """What is replaced and what stays, written down by hand, not by the module's own pattern."""
+    gone = [
+        "4539 1488 0343 6467", "4539148803436467", "2024-02-29", "1999/12/31", "123-45-6789", "(212) 555-0199", "212-555-0199",
+        "10.0.0.1", "a.b@c.example.org", "X@Y.COM", "me+you@my-host.co.uk", "a" * 40, "AB" * 20, "0f" * 32, "%%7@mail.example.com",
+    ]
+    stay = [
+        "4539148803436468", "2023-02-29", "1799-01-01", "000-45-6789", "666-45-6789", "212-155-0199", "300.1.1.1", "1.2.3.4.5",
+        "f" * 39, "g" * 40, "a@b", "@b.com", "..@b.com", "x@1.2.3", "12345", "3.14", "a@b@",
+    ]
+    rows = [(k, f"left {t} right") for k, t in enumerate(gone + stay)]
+    got = {r.doc_id: r for r in pii.pseudonymise(make(rows), KEY).collect()}
+    assert [got[k].n_replaced for k in range(len(rows))] == [1] * len(gone) + [0] * len(stay)
+    for k, t in rows:
+        assert got[k].text.startswith("left ") and got[k].text.endswith(" right") and (got[k].text == t) == (k >= len(gone))
+        assert "@" in t or "10.0" in t or len(got[k].text) == len(t)
+    assert got[gone.index("%%7@mail.example.com")].text.startswith("left %%u")
+
+
+@pytest.mark.parametrize("run", [
+    "b" * 1_000_000, "7" * 1_000_000, "b." * 500_000, "x@" + "b." * 500_000, "x@" + "b-" * 500_000, "a@" * 500_000, "1." * 500_000,
+    "-" * 1_000_000, ".b" * 500_000 + "@", "f0" * 500_000 + "@", "x@" + "b" * 1_000_000, "1-" * 500_000, "x@y.zz" * 160_000,
+], ids=lambda run: run[:8])
+def test_pii_is_linear(make, run):
+    import time
+
+    docs, begun = make([(1, f"{run} 8.8.8.8"), (2, "plain")]), time.time()
+    got = {r.doc_id: r for r in pii.pseudonymise(docs, KEY).collect()}
+    assert "8.8.8.8" not in got[1].text and got[2].text == "plain" and time.time() - begun < 10
+
+
 def test_feistel_is_undone(spark):
     from pyspark.sql import functions as F
 
     lit = F.lit
-    p = spark.range(500).withColumn("x", pii.feistel(lit("k"), F.col("id") % 23, F.col("id") % 29, lit(23), lit(29)))
-    q = p.withColumn("y", pii.feistel(lit("k"), F.col("x.a"), F.col("x.b"), lit(23), lit(29), undo=True))
+    p = spark.range(500).withColumn("x", pii.feistel(lit("k"), F.col("id") % 23, F.col("id") % 29, lit(23), lit(29), KEY))
+    q = p.withColumn("y", pii.feistel(lit("k"), F.col("x.a"), F.col("x.b"), lit(23), lit(29), KEY, undo=True))
     assert q.filter("y.a <> id % 23 or y.b <> id % 29").count() == 0
     assert p.select("x").distinct().count() == 500
 

@@ -2,14 +2,14 @@
 
 What looks like personal data is found by one pattern and validated: payment
 cards (13 to 19 digits, together or in groups, with a right check digit),
-IPv4 addresses, telephone numbers, US social security numbers and dates. The
-value of each is split in two halves (a modulo A, b modulo B); eight rounds of a
+IPv4 addresses, telephone numbers (an exchange begins with 2 to 9; any area code),
+US social security numbers and dates. The value of each is split in two halves (a modulo A, b modulo B); eight rounds of a
 Feistel network with MD5 of (key, kind, round, half) permute all pairs, and the
 result is written in the same format with the same separators:
 
 * card: all digits but the last are permuted, and the last is made so that the
   check digit is right again;
-* IPv4: 16 and 16 bits; telephone: three digits, then exchange and line;
+* IPv4: 16 and 16 bits; telephone: three digits, then exchange (200-999) and line;
 * social security: area 001-899, group and serial, none zero;
 * date: YYYY-MM-DD or YYYY/MM/DD, days of the 400 years from 1800 (189 x 773).
 
@@ -20,11 +20,15 @@ are replaced by keyed digests in the same shape. Candidates that do not validate
 stay as they are.
 
 The text is cut at the candidates and joined again, one pass and no shuffle; a
-text without candidates is passed on after the first test.
+text without candidates is passed on after the first test. Every alternative of the
+pattern is bounded or begins where a run of its characters begins and gives nothing
+back (possessive), so a text is searched in linear time, without recursion: megabytes
+of letters, digits, dots or hyphens without a space are texts like others. Punctuation
+before an address stays where it is, as do addresses whose host has no name.
 
 Edge cases: a null text comes out as ''; ids, nulls and repeated rows pass
-through; an empty table gives none; other columns are not read. Candidates are
-taken from left to right, the longest kind first.
+through; an empty table gives none; other columns are not read; the key must be
+given. Candidates are taken from left to right, the longest kind first.
 """
 
 from __future__ import annotations
@@ -32,10 +36,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-KEY = "weftnet-pseudonym-key"
 ROUNDS = 8
 
-EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
+_LABEL = r"[A-Za-z0-9]++(?:-++[A-Za-z0-9]++)*+"
+EMAIL = rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@{_LABEL}(?:\.{_LABEL})++"
 IPV4 = r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])"
 DATE = r"(?<![0-9])[0-9]{4}([-/])[0-9]{2}\1[0-9]{2}(?![0-9])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
@@ -51,7 +55,7 @@ MODULI = {
     "ip": (1 << 16, 1 << 16),
     "date": (189, 773),
     "ssn": (898, 99 * 9999),
-    "phone": (1000, 1000 * 10000),
+    "phone": (1000, 800 * 10000),
 }
 _DAY_ZERO = "1800-01-01"
 
@@ -62,7 +66,7 @@ def _round(kind: Column, r: Column, half: Column, key: str) -> Column:
     return F.conv(F.substring(code, 1, 15), 16, 10).cast("long")
 
 
-def feistel(kind: Column, a: Column, b: Column, m: Column, n: Column, key: str = KEY, undo: bool = False) -> Column:
+def feistel(kind: Column, a: Column, b: Column, m: Column, n: Column, key: str, undo: bool = False) -> Column:
     """(a, b) permuted in [0, m) x [0, n): even rounds change a by b, odd ones b by a."""
     order = list(range(ROUNDS))[:: -1 if undo else 1]
     sign = -1 if undo else 1
@@ -166,19 +170,24 @@ def _phone(found: Column, key: str) -> Column:
     digits = F.regexp_replace(found, "[^0-9]", "")
     area = F.substr(digits, F.lit(1), F.lit(3)).cast("long")
     rest = F.substr(digits, F.lit(4), F.lit(7)).cast("long")
-    s = feistel(F.lit("phone"), area, rest, *map(F.lit, MODULI["phone"]), key)
-    return _same_shape(found, F.concat(_pad(s["a"], F.lit(3)), _pad(s["b"], F.lit(7))))
+    least = 200 * 10000
+    s = feistel(F.lit("phone"), area, rest - least, *map(F.lit, MODULI["phone"]), key)
+    digits = F.concat(_pad(s["a"], F.lit(3)), _pad(s["b"] + least, F.lit(7)))
+    return F.when(rest >= least, _same_shape(found, digits)).otherwise(found)
 
 
 def _digest(kind: str, found: Column, key: str) -> Column:
     return F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), found), 256)
 
 
-def pseudonym(found: Column, key: str = KEY) -> Column:
+def pseudonym(found: Column, key: str) -> Column:
     """The pseudonym of one candidate, or the candidate itself if it does not validate."""
     is_kind = lambda pattern: found.rlike(f"^(?:{pattern})$")
-    email = F.lower(found)
+    lead = F.regexp_extract(found, "^[._%+-]*+", 0)
+    email = F.lower(F.regexp_replace(found, "^[._%+-]++", ""))
+    named = email.rlike("^[^@].*\\.[a-z]{2}")
     mail = F.concat(
+        lead,
         F.lit("u"),
         F.substring(_digest("local", F.substring_index(email, "@", 1), key), 1, 12),
         F.lit("@h"),
@@ -187,7 +196,7 @@ def pseudonym(found: Column, key: str = KEY) -> Column:
     )
     secret = F.substr(_digest("secret", F.lower(found), key), F.lit(1), F.length(found))
     return (
-        F.when(F.contains(found, F.lit("@")), mail)
+        F.when(F.contains(found, F.lit("@")), F.when(named, mail).otherwise(found))
         .when(is_kind(IPV4), _ip(found, key))
         .when(is_kind(DATE), _date(found, key))
         .when(is_kind(SSN), _ssn(found, key))
@@ -197,7 +206,7 @@ def pseudonym(found: Column, key: str = KEY) -> Column:
     )
 
 
-def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_found, n_replaced, text."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     read = docs.select("doc_id", text.alias("text"))

@@ -12,6 +12,9 @@ from . import chat, decontam, exact_dedup, line_dedup, mixing, near_dedup, pii,
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+#: The session setting with the key of the pseudonyms, and what the query takes where it is unset.
+PII_KEY, SAMPLE_KEY = "spark.weftnet.pii.key", "key of the registered query"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -46,7 +49,7 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymise(table(spark, sf_dir, "documents"))
+    return pii.pseudonymise(table(spark, sf_dir, "documents"), spark.conf.get(PII_KEY, SAMPLE_KEY))
 
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
