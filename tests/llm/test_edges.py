@@ -208,9 +208,42 @@ def test_warc(spark):
 
 
 def test_url_keys(spark):
-    urls = ["http://www.a.org/p?q#f", "https://u@B.C.org:80", "x.y", "", None, "ftp://h/a/b", "http://h?x=1", "http://h:/p", "no scheme/p", "http://[::1]/x"]
-    df = spark.createDataFrame([(u,) for u in urls], "url string").select("url", warc._key_column().alias("k"))
-    assert {r.url: r.k for r in df.collect()} == {u: warc.url_key(u) for u in urls}
+    keys = {
+        "http://www.a.org/p?q#f": "org,a,www)/p?q", "https://u@B.C.org:80": "org,c,b:80)/", "x.y": "y,x)/", "": ")", None: ")",
+        "ftp://h/a/b": "h)/a/b", "http://h?x=1": "h)/?x=1", "http://h:/p": "h)/p", "no scheme/p": "no scheme)/p",
+        "http://[::1]/x": "[::1])/x", "http://u\n@b/x": "b)/x", "http://b\n/x\ny": "b\n)/x\ny",
+    }
+    df = spark.createDataFrame([(u,) for u in keys], "url string").select("url", warc.url_key(F.col("url")).alias("k"))
+    assert {r.url: r.k for r in df.collect()} == keys
+
+
+def test_warc_loses_no_page(spark):
+    """White space in URLs, rows that repeat, ids that are null or above 2 ** 53."""
+    html, big = "<p>" + "y" * 300, 2**53 + 1
+    rows = [(1, "http://u\n@b/x", "n"), (1, "http://s/", html), (1, "http://s/", html), (1, "http://t/", html), (2, "http://s/", html)]
+    rows += [(None, "http://n/", "z" * 200), (None, "http://n/", "z" * 200), (None, None, "z" * 200), (big, "http://b/", "q" * 100), (big + 1, "http://b/", "q" * 100)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = warc.archive_and_read(spark, pages).collect()
+    assert len(got) == len(rows) and all(r.intact for r in got)
+    kinds = sorted(((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in got), key=str)
+    want = [(1, 1, "response", None), (1, 303, "response", None)] + [(i, 303, "revisit", 1) for i in (1, 1, 2)]
+    want += [(None, 200, "response", None)] * 3 + [(big, 100, "response", None), (big + 1, 100, "revisit", big)]
+    assert kinds == sorted(want, key=str)
+    asked = spark.createDataFrame([(7, "http://s/")], "page_id long, url string")
+    with pytest.raises(Exception, match="no capture"):
+        warc.write(spark, pages).read(asked).collect()
+
+
+def test_warc_repeats_over_batches(spark):
+    """25 payloads of one page_id and URL, read in batches of ten rows, come back once each; one of them is long."""
+    rows = [(1, "http://a/", f"payload {n}" + "l" * (3_000_000 if n == 7 else 0)) for n in range(25)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10)
+    try:
+        got = {r.payload_digest for r in warc.archive_and_read(spark, pages).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == 25
 
 
 def test_many_blocks(spark, monkeypatch):

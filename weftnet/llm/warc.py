@@ -21,10 +21,16 @@ finished task has returned is indexed, so a task that is run again after a lost
 executor leaves an unnamed file at most. Files are opened by their URI, so the
 shared folder can be in any store that Arrow opens.
 
+The key of a URL is made by one column expression, and travels with the page from
+the writer to the index; a capture that is asked for and isn't in the index is an
+error, never a missing row.
+
 Edge cases: a null html is an empty payload, of 0 bytes; a null url has the key
-')'; repeated page_ids are records of their own, and the one that sorts first is
-the response; pages of a null page_id come last as responses; other columns are
-not read; no pages give no archive.
+')'; repeated page_ids are records of their own, read back in turn, and of equal
+payloads under the smallest page_id that with the smallest url (null first) is the
+response, one of them if rows repeat in full; pages of a null page_id come last, and
+where no page of a payload has an id, all are responses, as a revisit could not name
+one; other columns are not read; no pages give no archive.
 """
 
 from __future__ import annotations
@@ -40,7 +46,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch
@@ -59,16 +65,6 @@ _RECORD = (
 )
 
 
-def url_key(url: str | None) -> str:
-    """Reversed host, port, then path and query: neighbours in a site are neighbours in the index."""
-    rest = re.sub(r"^[a-zA-Z][a-zA-Z0-9+.-]*://", "", url or "").split("#", 1)[0]
-    host, slash, path = re.match(r"([^/?]*)(/?)(.*)", rest, re.S).groups()
-    host = host.rsplit("@", 1)[-1].lower()
-    name, _, port = host.partition(":")
-    tail = f":{port}" if port else ""
-    return ",".join(reversed(name.split("."))) + tail + ")" + (slash or "/" if rest else "") + path
-
-
 def _order(key: str, page_id: int | None) -> tuple[bytes, bool, int]:
     """Keys by their UTF-8 bytes, as Spark sorts strings; a null page_id last."""
     return key.encode("utf-8", "surrogatepass"), page_id is None, page_id or 0
@@ -145,7 +141,7 @@ def _archiver(folder: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
         for batch in batches:
             out: dict[str, list] = {k: [] for k in ("key", "page_id", "archive", "offset", "length", "record_id")}
             for k in range(batch.num_rows):
-                row = {c: batch.column(c)[k].as_py() for c in ("page_id", "url", "html", "digest", "refers_to")}
+                row = {c: batch.column(c)[k].as_py() for c in ("key", "page_id", "url", "html", "digest", "refers_to")}
                 if stream is None or offset > ARCHIVE_BYTES:
                     if stream is not None:
                         stream.close()
@@ -157,7 +153,7 @@ def _archiver(folder: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
                 data = packer.compress(record(row, record_id)) + packer.flush()
                 stream.write(data)
                 for c, v in (
-                    ("key", url_key(row["url"])),
+                    ("key", row["key"]),
                     ("page_id", row["page_id"]),
                     ("archive", f"{folder}/{name}"),
                     ("offset", offset),
@@ -294,7 +290,8 @@ class Archive:
     def lookup(self, url: str) -> list[dict]:
         """Every capture of ``url``, with its payload, by binary searches and range reads."""
         reader = Reader(self.top)
-        return [reader.fetch(line) for line in reader.captures(url_key(url))]
+        key = self.spark.createDataFrame([(url,)], "url string").select(url_key(F.col("url"))).first()[0]
+        return [reader.fetch(line) for line in reader.captures(key)]
 
     def read(self, wanted: DataFrame) -> DataFrame:
         """A row per row of ``wanted`` (url, page_id): what the archives hold of that capture."""
@@ -302,35 +299,39 @@ class Archive:
 
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             reader, fields = Reader(top), [f.split()[0] for f in _RECORD.split(", ")]
+            last, turns = None, iter(())
             for frame in frames:
                 found = []
-                done: dict = {}
                 for key, page_id in frame.itertuples(index=False, name=None):
                     page_id = None if pd.isna(page_id) else int(page_id)
-                    lines = list(reader.captures(key, page_id, any_page=False))
-                    # rows that repeat a capture take its records in turn
-                    turn = done[key, page_id] = done.get((key, page_id), -1) + 1
-                    if lines:
-                        found.append(reader.fetch(lines[turn % len(lines)]))
-                out = pd.DataFrame([[r[f] for f in fields] for r in found], columns=fields)
+                    # rows that repeat a capture, neighbours in this order, take its records in turn
+                    line = next(turns, None) if last == (key, page_id) else None
+                    if line is None:
+                        last, turns = (key, page_id), reader.captures(key, page_id, any_page=False)
+                        line = next(turns, None)
+                    if line is None:
+                        raise LookupError(f"no capture of {key!r} with page_id {page_id}")
+                    found.append(reader.fetch(line))
+                out = pd.DataFrame([[r[f] for f in fields] for r in found], columns=fields, dtype=object)
                 yield out.astype({"page_id": "Int64", "refers_to": "Int64"})
 
-        keys = wanted.select(_key_column().alias("key"), F.col("page_id").cast("long").alias("page_id"))
+        keys = wanted.select(url_key(F.col("url")).alias("key"), F.col("page_id").cast("long").alias("page_id"))
         # ranges of the key, so that neighbours in the index are read by one task
         ranged = keys.repartitionByRange(_tasks(self.spark), "key", "page_id").sortWithinPartitions("key", "page_id")
-        return ranged.mapInPandas(run, _RECORD)
+        return ranged.select("key", F.col("page_id").cast("string")).mapInPandas(run, _RECORD)
 
 
 def _tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def _key_column():
-    """``url_key`` as a column."""
-    rest = F.split(F.regexp_replace(F.coalesce("url", F.lit("")), "^[a-zA-Z][a-zA-Z0-9+.-]*://", ""), "#", 2)[0]
+def url_key(url: Column) -> Column:
+    """Reversed host, port, then path and query: neighbours in a site are neighbours in the index."""
+    plain = F.coalesce(url.cast("string"), F.lit(""))
+    rest = F.split(F.regexp_replace(plain, "^[a-zA-Z][a-zA-Z0-9+.-]*://", ""), "#", 2)[0]
     authority = F.regexp_extract(rest, "^([^/?]*)", 1)
     path = F.regexp_replace(rest, "^[^/?]*", "")
-    host = F.lower(F.regexp_replace(authority, "^.*@", ""))
+    host = F.lower(F.regexp_replace(authority, "(?s)^.*@", ""))
     name = F.substring_index(host, ":", 1)
     tail = F.regexp_replace(host, "^[^:]*", "")
     tail = F.when(tail == ":", "").otherwise(tail)
@@ -341,23 +342,33 @@ def _key_column():
 def write(spark: SparkSession, pages: DataFrame) -> Archive:
     """Write every page to archives and index them."""
     scratch = Scratch(spark, "warc")
-    html = F.coalesce(F.col("html").cast("string"), F.lit(""))
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html")
+    html, url = F.coalesce(F.col("html").cast("string"), F.lit("")), F.col("url").cast("string")
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), url.alias("url"), html.alias("html"))
     rows = rows.withColumns(
-        {"html": html, "digest": F.sha2(html.cast("binary"), 256), "bytes": F.octet_length(html)}
+        {"key": url_key(F.col("url")), "digest": F.sha2(F.col("html").cast("binary"), 256), "bytes": F.octet_length("html")}
     )
     # payloads that occur more than once, and who keeps them: narrow rows, summed before the shuffle
-    shared = (
-        rows.filter(F.col("bytes") >= LEAST_PAYLOAD)
-        .groupBy("digest")
-        .agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
-        .filter("n > 1")
-        .select(F.col("digest").alias("_digest"), "first")
+    captures = rows.filter(F.col("bytes") >= LEAST_PAYLOAD).groupBy("digest", "page_id", "url").agg(F.count("*").alias("n"))
+    keeper = F.min(F.struct(F.col("page_id").isNull().alias("no_id"), "page_id", "url"))
+    shared = captures.groupBy("digest").agg(keeper.alias("first"), F.sum("n").alias("n"), F.max("n").alias("twins"))
+    shared = shared.filter("n > 1").select(
+        F.col("digest").alias("_digest"), F.col("first.page_id").alias("first"), F.col("first.url").alias("first_url"), "twins"
     )
+    shared = scratch.save(shared, "shared")
     marked = rows.join(shared, F.col("digest") == F.col("_digest"), "left")
-    later = F.col("page_id") > F.col("first")
-    marked = marked.withColumn("refers_to", F.when(later | F.col("page_id").isNull(), F.col("first")))
-    written = marked.select("page_id", "url", "html", "digest", "refers_to").mapInArrow(
+    columns = [*rows.columns, "first", "first_url"]
+    later = ~(F.col("page_id").eqNullSafe(F.col("first")) & F.col("url").eqNullSafe(F.col("first_url")))
+    twins = shared.filter("twins > 1")
+    if twins.isEmpty():
+        marked = marked.withColumn("refers_to", F.when(later, F.col("first")))
+    else:
+        # rows that repeat (page_id, url, html) in full are numbered from their count, so that one of them is first
+        plain = F.coalesce(F.col("twins"), F.lit(0)) <= 1
+        repeated = marked.filter(~plain).groupBy(*columns).agg(F.count("*").alias("n"))
+        repeated = repeated.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n")))).drop("n")
+        marked = marked.filter(plain).select(*columns, F.lit(1).cast("long").alias("copy")).unionByName(repeated)
+        marked = marked.withColumn("refers_to", F.when(later | (F.col("copy") > 1), F.col("first")))
+    written = marked.select("key", "page_id", "url", "html", "digest", "refers_to").mapInArrow(
         _archiver(f"{scratch.path}/archives"), _CAPTURE
     )
     captures = scratch.save(written, "captures")
@@ -365,6 +376,8 @@ def write(spark: SparkSession, pages: DataFrame) -> Archive:
     ranged = captures.repartitionByRange(tasks, "key", F.col("page_id").asc_nulls_last()).sortWithinPartitions(
         "key", F.col("page_id").asc_nulls_last()
     )
+    # ids as strings: pandas would make floats of longs among nulls
+    ranged = ranged.withColumn("page_id", F.col("page_id").cast("string"))
     top = scratch.save(ranged.mapInPandas(_indexer(f"{scratch.path}/index"), _DIRECTORY), "top")
     lines = [(r["key"], r["page_id"], r["file"]) for r in top.collect()]  # one row per index file
     return Archive(spark, scratch, lines)
