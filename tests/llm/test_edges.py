@@ -35,6 +35,28 @@ def test_exact(spark, odd, make):
     assert exact_dedup.exact_duplicates(spark, make([])).count() == 0
 
 
+def test_exact_keeps_one_row(make):
+    """Of rows with a repeated or null id, that with the most code points, and one of those that are alike."""
+    rows = [(7, "ab"), (7, "a b"), (8, "ab"), (3, "x y"), (3, "x y"), (4, "xy"), (None, "z"), (None, "z"), (None, "")]
+    got = [(r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_duplicates(make([]).sparkSession, make(rows)).collect()]
+    want = [(7, 7, 3, False), (7, 7, 3, True), (8, 7, 3, False), (3, 3, 3, True), (3, 3, 3, False), (4, 3, 3, False)]
+    want += [(None, None, 2, True), (None, None, 2, False), (None, None, 1, True)]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_chunks_in_parts(monkeypatch):
+    """Where the text is read in parts makes no difference."""
+    data = LONG.encode()[:100_000]
+    whole = exact_dedup.cuts(data)
+    for part in (1, 31, 32, 1000, 4097):
+        monkeypatch.setattr(exact_dedup, "PART", part)
+        assert exact_dedup.cuts(data[: 5000 if part < 100 else None]) == (whole if part > 100 else exact_dedup.cuts(data[:5000]))
+    monkeypatch.setattr(exact_dedup, "PART", 1 << 20)
+    small = exact_dedup.cuts(data[:5000])
+    monkeypatch.setattr(exact_dedup, "PART", 7)
+    assert exact_dedup.cuts(data[:5000]) == small
+
+
 def test_chunks():
     data = LONG.encode()
     ends = exact_dedup.cuts(data)
@@ -120,13 +142,13 @@ def test_near_in_small_blocks(spark, make, monkeypatch):
 def test_mixing(spark, odd, make):
     got = mixing.curriculum(odd)
     rows = got.collect()
-    assert len(rows) == len(ROWS) and got.columns.count("size") == 1
+    assert len(rows) == len(ROWS) and all(r.row.size == "clash" and r.row.rank == "clash" for r in rows)
     assert all(0 <= r.taken <= 2 * r["size"] for r in rows)
     total = sum(r["size"] for r in rows)
-    per = {r.source: (r.target, r.source_size) for r in rows}
+    per = {r.row.source: (r.target, r.source_size) for r in rows}
     assert abs(sum(t for t, _ in per.values()) - 1.5 * total) < 1e-6 * total
     for source, (target, size) in per.items():
-        taken = sum(r.taken for r in rows if r.source == source)
+        taken = sum(r.taken for r in rows if r.row.source == source)
         assert abs(taken - target) <= 0.5 and target <= 2 * size
     order = mixing.schedule(got).collect()
     assert [r.position for r in order] == sorted(r.position for r in order)
@@ -134,6 +156,34 @@ def test_mixing(spark, odd, make):
     assert mixing.curriculum(make([])).count() == 0
     nothing = mixing.curriculum(make([(1, None, "a"), (2, "", "b")])).collect()
     assert [(r.target, r.taken) for r in nothing] == [(0.0, 0), (0.0, 0)]
+    made = ("slope", "begin", "taken", "position", "again", "target", "source_size", "row", "code", "first", "words", "lap")
+    clash = odd.withColumns({c: F.lit(f"own {c}") for c in made})
+    assert all(r.row[c] == f"own {c}" for r in mixing.schedule(mixing.curriculum(clash)).collect() for c in made)
+
+
+def test_mixing_targets_by_hand(spark):
+    """Targets against the loop of the contract: stop at twice the size, share the excess again by weight."""
+    import random
+
+    rng = random.Random(3)
+    for _ in range(6):
+        sizes = {f"s{k:02}": rng.choice([0, 1, 7, 100, 5000, 10**6]) for k in range(rng.randrange(1, 12))}
+        weight = dict(zip(sorted(sizes), [3, 1, 2] * 4, strict=False))
+        left, stopped, want = 1.5 * sum(sizes.values()), set(), {}
+        while True:
+            free = [s for s in sizes if s not in stopped]
+            share = {s: left * weight[s] / sum(weight[f] for f in free) for s in free}
+            over = [s for s in free if share[s] > 2 * sizes[s]]
+            if not over:
+                want |= share
+                break
+            for s in over:
+                stopped.add(s)
+                want[s] = 2 * sizes[s]
+                left -= 2 * sizes[s]
+        table = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
+        got = {r.source: r.target for r in mixing.targets(table).collect()}
+        assert got == pytest.approx(want, rel=1e-9, abs=1e-6)
 
 
 def test_sharding(spark, odd, make):
@@ -325,6 +375,6 @@ def test_pipeline(spark):
         assert docs.columns == before.columns
         assert docs.join(before, "doc_id", "left_anti").count() == 0
         if name == "near duplicates":
-            kept = {r.doc_id for r in near_dedup.near_duplicates(spark, before).collect() if r.kept}
+            kept = {r.doc_id for r in near_dedup.near_duplicates(spark, before, corpus_pipeline.NEAR_PERCENT).collect() if r.kept}
             assert {r.doc_id for r in docs.select("doc_id").collect()} == kept
     assert corpus_pipeline.run(spark, sf).count() == docs.count()

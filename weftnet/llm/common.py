@@ -60,6 +60,13 @@ class Scratch:
             pass
 
 
+def copies(df: DataFrame, n: str, out: str, at_once: int = 1 << 16) -> DataFrame:
+    """``df`` with each row ``n`` times, numbered from 1 as ``out``; no array is longer than ``at_once``."""
+    runs = df.withColumn("__wn_run", F.explode(F.expr(f"sequence(0, div({n} - 1, {at_once}))")))
+    inside = F.expr(f"sequence(__wn_run * {at_once} + 1, least({n}, (__wn_run + 1) * {at_once}))")
+    return runs.withColumn(out, F.explode(inside)).drop("__wn_run")
+
+
 def running_total(
     df: DataFrame, keys: list[str], fine: list[Column], value: Column, out: str, bucket: Column,
     also: DataFrame | None = None,

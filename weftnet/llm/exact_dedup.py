@@ -5,7 +5,8 @@ Two texts are equal when they are identical after deleting every character of
 characters, cuts what is left into chunks where its content says so (a rolling
 Buzhash of 32 bytes; chunks of 2 KB on average, of 512 bytes to 16 KB) and keeps for
 each text its recipe: the ordered list of chunk keys, with a SHA-256 digest for
-each. No text moves after that pass, however long.
+each. No text moves after that pass, however long; its hashes are rolled over it in
+windows of ``PART`` bytes.
 
 A chunk key is 64 bits. The verified dictionary holds the keys under which
 chunks with different digests occur; their identifiers are told apart by the
@@ -15,9 +16,9 @@ its rows lie.
 
 Edge cases: texts that are null, empty or white space only are one group; of
 equal texts, the row with the most code points in the original text stays, then
-the smallest doc_id (a null doc_id comes last); rows that repeat a doc_id and
-text are rows of the same group, and kept names the same doc_id for each; other
-columns are not read; no rows give no rows.
+the smallest doc_id (a null doc_id comes last); of rows that repeat that doc_id with
+as many code points one is kept, the others are not; other columns are not read; no
+rows give no rows.
 """
 
 from __future__ import annotations
@@ -32,9 +33,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Scratch
+from .common import Scratch, copies
 
 AVERAGE, LEAST, MOST = 2048, 512, 16384
+#: Bytes whose hashes are in memory at a time.
+PART = 1 << 20
 _WINDOW = 32
 _TABLE = np.random.default_rng(7).integers(0, 2**32, 256, dtype=np.uint32)
 _SPACE = b" \t\n\x0b\x0c\r"
@@ -44,26 +47,30 @@ _RECIPE = (
 )
 
 
+def _marks(data: bytes) -> Iterator[int]:
+    """Where the 32 bytes before say that a chunk may end, in order."""
+    for at in range(0, len(data) - _WINDOW + 1, PART):
+        codes = _TABLE[np.frombuffer(data, np.uint8, min(PART + _WINDOW - 1, len(data) - at), at)]
+        size = len(codes) - _WINDOW + 1
+        rolled = np.zeros(size, np.uint32)
+        for k in range(_WINDOW):
+            shift = np.uint32((_WINDOW - 1 - k) % 32)
+            part = codes[k : size + k]
+            rolled ^= (part << shift) | (part >> np.uint32((32 - int(shift)) % 32)) if shift else part
+        yield from (np.flatnonzero((rolled & np.uint32(AVERAGE - 1)) == 0) + (at + _WINDOW)).tolist()
+
+
 def cuts(data: bytes) -> list[int]:
     """Chunk ends of ``data``; a cut depends on the 32 bytes before it only, but for the limits."""
     if len(data) <= LEAST:
         return [len(data)] if data else []
-    codes = _TABLE[np.frombuffer(data, np.uint8)]
-    rolled = np.zeros(len(codes) - _WINDOW + 1, np.uint32)
-    for k in range(_WINDOW):
-        shift = np.uint32((_WINDOW - 1 - k) % 32)
-        part = codes[k : len(codes) - _WINDOW + 1 + k]
-        rolled ^= (part << shift) | (part >> np.uint32((32 - int(shift)) % 32)) if shift else part
-    marks = np.flatnonzero((rolled & np.uint32(AVERAGE - 1)) == 0) + _WINDOW
-    ends, start, at = [], 0, 0
-    marks = marks.tolist()
+    marks, ends, start = _marks(data), [], 0
+    mark = next(marks, len(data))
     while start < len(data):
-        while at < len(marks) and marks[at] < start + LEAST:
-            at += 1
-        end = marks[at] if at < len(marks) else len(data)
-        end = min(end, start + MOST, len(data))
-        ends.append(end)
-        start = end
+        while mark < start + LEAST and mark < len(data):
+            mark = next(marks, len(data))
+        start = min(mark, start + MOST, len(data))
+        ends.append(start)
     return ends
 
 
@@ -150,15 +157,19 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     )
     groups = recipes.groupBy("recipe").agg(best.alias("best"), F.count("*").alias("group_size"))
     groups = groups.select(
-        F.col("recipe").alias("_recipe"), (-F.col("best.negative")).alias("keep_id"), "group_size"
-    )
-    return recipes.join(groups, F.col("recipe") == F.col("_recipe")).select(
-        "doc_id",
-        "keep_id",
+        F.col("recipe").alias("_recipe"),
+        (-F.col("best.negative")).alias("keep_id"),
+        F.col("best.code_points").alias("most"),
         "group_size",
-        F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
-        "text_sha256",
-        F.size("recipe").cast("long").alias("chunks"),
+    )
+    best_here = (F.col("code_points") == F.col("most")) & F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    marked = recipes.join(groups, F.col("recipe") == F.col("_recipe")).select(
+        "doc_id", "keep_id", "group_size", best_here.alias("best"), "text_sha256", F.size("recipe").cast("long").alias("chunks")
+    )
+    # rows that are alike in all of this are counted, then numbered from their count: one of the best is kept
+    alike = marked.groupBy(*marked.columns).agg(F.count("*").alias("n"))
+    return copies(alike, "n", "copy").select(
+        "doc_id", "keep_id", "group_size", (F.col("best") & (F.col("copy") == 1)).alias("kept"), "text_sha256", "chunks"
     )
 
 
@@ -167,9 +178,8 @@ ORACLE = r"""
 WITH t AS (
   SELECT doc_id, length(coalesce(text, '')) AS n,
     sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g')) AS text_sha256
-  FROM documents),
-g AS (SELECT text_sha256, count(*)::BIGINT AS group_size,
-  first(doc_id ORDER BY n DESC, doc_id NULLS LAST) AS keep_id FROM t GROUP BY ALL)
-SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, t.text_sha256
-FROM t JOIN g USING (text_sha256)
+  FROM documents)
+SELECT doc_id, first_value(doc_id) OVER best AS keep_id, count(*) OVER (PARTITION BY text_sha256)::BIGINT AS group_size,
+  row_number() OVER best = 1 AS kept, text_sha256
+FROM t WINDOW best AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id NULLS LAST)
 """

@@ -17,7 +17,8 @@ document counts with the words that fit. Reruns agree.
 
 ``curriculum`` gives one row per document, ``schedule`` the training order: one
 row per pass over a document, range-sorted by position. ``scheduled`` puts a
-written schedule's passes together again to one row per document.
+written schedule's passes together again to one row per document. The document's own
+columns travel in the struct ``row``, so that none is lost to a made column's name.
 
 Totals run over 4096 buckets per source, so a source with a third of all rows is
 spread over as many tasks. The table of sources is one row per source; it is the
@@ -25,7 +26,8 @@ only one that is ranked in one task.
 
 Edge cases: a null text has size 0; documents of size 0 take nothing and have no
 position; a null source is a source of its own; repeated rows are documents of
-their own; a null doc_id is ordered as ''; other columns are not read; without
+their own; a null doc_id is ordered as ''; other columns are not read, and passed on
+as they are, whatever their names; a text of any length is one document; without
 words all targets are 0.
 """
 
@@ -89,41 +91,37 @@ def _position(begins: Column) -> Column:
 
 
 def curriculum(docs: DataFrame) -> DataFrame:
-    """``docs`` with size, source_size, target, begin, taken, position and again.
+    """One row per row of ``docs``: row, size, source_size, target, begin, taken, position, again.
 
-    begin: the words before the document in its source's stream;
+    row: the document's own columns; begin: the words before it in its source's stream;
     taken: words that the mix takes of the document, repeats counted; position
     and again: its places in training time, null for a pass that isn't made.
     """
-    made = {"size", "source_size", "target", "slope", "begin", "taken", "position", "again"}
-    own = [c for c in docs.columns if c not in made]
     code = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    rows = docs.select(*own, size_of(F.col("text")).alias("size"), code.alias("__wn_code"))
-    per_source = docs.groupBy("source").agg(F.sum(size_of(F.col("text"))).alias("source_size"))
-    plan = targets(per_source).select("source", *[F.col(c).alias(f"__wn_{c}") for c in ("slope", "source_size", "target")])
-    bucket = F.conv(F.substring("__wn_code", 1, 3), 16, 10).cast("int")
-    order = [F.col("__wn_code"), F.col("doc_id"), F.col("size")]
-    full = running_total(rows, ["source"], order, F.col("size"), "__wn_begin", bucket, also=plan).select(
-        *own, "size", "__wn_begin", *[F.col(f"__wn_{c}").alias(c) for c in ("slope", "source_size", "target")]
+    rows = docs.select(
+        F.struct(*docs.columns).alias("row"), "doc_id", "source", size_of(F.col("text")).alias("size"), code.alias("code")
     )
+    per_source = docs.groupBy("source").agg(F.sum(size_of(F.col("text"))).alias("source_size"))
+    plan = targets(per_source).select("source", "slope", "source_size", "target")
+    bucket = F.conv(F.substring("code", 1, 3), 16, 10).cast("int")
+    order = [F.col("code"), F.col("doc_id"), F.col("size")]
+    full = running_total(rows, ["source"], order, F.col("size"), "begin", bucket, also=plan)
     wanted = F.round("target").cast("long")
     lap = lambda k: F.greatest(
-        F.lit(0), F.least(F.col("size"), wanted - F.col("__wn_begin") - k * F.col("source_size"))
+        F.lit(0), F.least(F.col("size"), wanted - F.col("begin") - k * F.col("source_size"))
     )
     return (
-        full.withColumn("__wn_first", lap(0))
-        .withColumn("__wn_second", lap(1))
+        full.withColumn("first", lap(0))
+        .withColumn("second", lap(1))
         .select(
-            *own,
+            "row",
             "size",
             "source_size",
             "target",
-            F.col("__wn_begin").alias("begin"),
-            (F.col("__wn_first") + F.col("__wn_second")).alias("taken"),
-            F.when(F.col("__wn_first") > 0, _position(F.col("__wn_begin").cast("double"))).alias("position"),
-            F.when(
-                F.col("__wn_second") > 0, _position((F.col("__wn_begin") + F.col("source_size")).cast("double"))
-            ).alias("again"),
+            "begin",
+            (F.col("first") + F.col("second")).alias("taken"),
+            F.when(F.col("first") > 0, _position(F.col("begin").cast("double"))).alias("position"),
+            F.when(F.col("second") > 0, _position((F.col("begin") + F.col("source_size")).cast("double"))).alias("again"),
         )
     )
 
@@ -143,7 +141,7 @@ def schedule(mixed: DataFrame, idle: bool = False) -> DataFrame:
     each = mixed.select(*keep, spread(F.filter(passes, lambda p: p["words"] > 0)).alias("p"))
     rows = each.select(*keep, "p.lap", F.col("p.at").alias("position"), "p.words")
     # the range sort: rangepartitioning on the whole order, so a busy position is spread too
-    return rows.orderBy("position", "source", "doc_id", "lap")
+    return rows.orderBy("position", "row.source", "row.doc_id", "lap")
 
 
 def scheduled(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -152,8 +150,9 @@ def scheduled(spark: SparkSession, docs: DataFrame) -> DataFrame:
     The schedule is written in training order; passes of a document meet by its place in its source's stream,
     which no other document with words has.
     """
-    mixed = curriculum(docs.select("doc_id", "source", "text")).drop("text")
+    mixed = curriculum(docs.select("doc_id", "source", "text")).withColumn("row", F.col("row").dropFields("text"))
     passes = Scratch(spark, "mixing").save(schedule(mixed, idle=True), "schedule")
+    passes = passes.select("row.doc_id", "row.source", *[c for c in passes.columns if c != "row"])
     row = ["doc_id", "source", "begin", "size", "source_size", "target"]
     lap = lambda k: F.max(F.when(F.col("lap") == k, F.col("position")))
     made = passes.filter("lap is not null").groupBy(*row)
@@ -185,15 +184,21 @@ f AS (
   FROM c),
 lv AS (SELECT arg_min(up, capped_weight) AS up, arg_min(down, capped_weight) AS down FROM f WHERE NOT filled),
 t AS (
-  SELECT source, source_size, CASE WHEN filled THEN 2.0::DOUBLE * source_size
+  SELECT source, source_size, [-0.5, 0.0, 0.5][(CASE weight WHEN 3 THEN 1 WHEN 1 THEN 2 ELSE 3 END)]::DOUBLE AS slope,
+    CASE WHEN filled THEN 2.0::DOUBLE * source_size
     ELSE (weight * lv.up)::DOUBLE / lv.down END AS target FROM f, lv),
 p AS (
-  SELECT d.*, t.source_size, t.target, round(t.target)::BIGINT AS wanted,
+  SELECT d.*, t.source_size, t.target, t.slope, round(t.target)::BIGINT AS wanted,
     coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY code, doc_id, size
       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target,
-  (greatest(0, least(size, wanted - start)) + greatest(0, least(size, wanted - start - source_size)))::BIGINT
-    AS taken
-FROM p
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+o AS (
+  SELECT *, greatest(0, least(size, wanted - start)) AS one, greatest(0, least(size, wanted - start - source_size)) AS two,
+    start::DOUBLE / nullif(target, 0) AS x1, (start + source_size)::DOUBLE / nullif(target, 0) AS x2 FROM p)
+SELECT doc_id, size, source_size, target, (one + two)::BIGINT AS taken,
+  CASE WHEN one > 0 THEN CASE WHEN slope = 0 THEN x1
+    ELSE (sqrt((1 - slope) * (1 - slope) + 4 * slope * x1) - (1 - slope)) / (2 * slope) END END AS position,
+  CASE WHEN two > 0 THEN CASE WHEN slope = 0 THEN x2
+    ELSE (sqrt((1 - slope) * (1 - slope) + 4 * slope * x2) - (1 - slope)) / (2 * slope) END END AS again
+FROM o
 """

@@ -30,11 +30,6 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op3_training_order(spark, sf_dir).drop("position", "again")
-
-
-def op3_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op3_mixing's rows, with the documents' places in training time."""
     return mixing.scheduled(spark, table(spark, sf_dir, "documents"))
 
 
@@ -71,8 +66,8 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
-        op1_line_dedup, op2_exact_dedup, op3_mixing, op3_training_order, op4_warc, op5_decontamination,
-        op6_pii, op7_near_dedup, op8_sharding, op9_quality, op10_chat,
+        op1_line_dedup, op2_exact_dedup, op3_mixing, op4_warc, op5_decontamination, op6_pii,
+        op7_near_dedup, op8_sharding, op9_quality, op10_chat,
     )}
 
 

@@ -49,7 +49,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, copies
 
 LEAST_PAYLOAD = 100
 ARCHIVE_BYTES = 64 << 20
@@ -365,7 +365,7 @@ def write(spark: SparkSession, pages: DataFrame) -> Archive:
         # rows that repeat (page_id, url, html) in full are numbered from their count, so that one of them is first
         plain = F.coalesce(F.col("twins"), F.lit(0)) <= 1
         repeated = marked.filter(~plain).groupBy(*columns).agg(F.count("*").alias("n"))
-        repeated = repeated.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n")))).drop("n")
+        repeated = copies(repeated, "n", "copy").drop("n")
         marked = marked.filter(plain).select(*columns, F.lit(1).cast("long").alias("copy")).unionByName(repeated)
         marked = marked.withColumn("refers_to", F.when(later | (F.col("copy") > 1), F.col("first")))
     written = marked.select("key", "page_id", "url", "html", "digest", "refers_to").mapInArrow(
