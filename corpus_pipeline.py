@@ -59,7 +59,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     A pass that takes half of a document's words or more takes the whole text; a lesser one is not made.
     """
     passes = mixing.schedule(mixing.curriculum(docs))
-    return passes.filter(2 * F.col("words") >= F.col("size")).select(*docs.columns)
+    return passes.filter(2 * F.col("words") >= F.col("size")).select("row.*")
 
 
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
