@@ -329,7 +329,33 @@ def test_decontamination_in_blocks(spark, make, monkeypatch):
 
 def test_sketch_sizes():
     for n in range(1, 5000):
-        assert decontam.sketch_size(n) >= n - decontam.needed(n) + 1 or decontam.sketch_size(n) == n
+        assert 1 <= decontam.needed_matches(n) <= decontam.sketch_size(n) <= n
+        assert decontam.needed_matches(n) >= min(decontam.MATCHES, decontam.needed(n))
+
+
+@pytest.mark.parametrize("block_bytes", [16 << 20, 3000])
+def test_decontamination_against_brute_force(spark, make, monkeypatch, block_bytes):
+    """Items of 1 to 300 words, with 60 to 100 % of their words in long documents; each pair by plain sets."""
+    import random
+
+    monkeypatch.setattr(decontam, "BLOCK_BYTES", block_bytes)
+    rng = random.Random(9)
+    items = [(k, " ".join(f"t{rng.randrange(300)}" for _ in range(rng.choice([1, 3, 6, 12, 40, 90, 300])))) for k in range(60)]
+    rows = []
+    for k, t in items:
+        words = [f"x{rng.randrange(9)}" if rng.random() < rng.choice([0, 0.01, 0.04]) else w for w in t.split()]
+        noise = [f"n{rng.randrange(99)}" for _ in range(rng.choice([0, 200]))]
+        rows.append((k, " ".join(noise + words + noise)))
+
+    def shingles(t):
+        w = t.split()
+        return {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)}
+
+    sets = [(k, shingles(t)) for k, t in rows]
+    want = {(d, i) for i, t in items for d, s in sets if 100 * len(shingles(t) & s) >= 80 * len(shingles(t))}
+    got = decontam.contaminated_pairs(spark, make(rows), spark.createDataFrame(items, "item_id long, text string"))
+    got = [(r.doc_id, r.item_id) for r in got.collect()]
+    assert sorted(got) == sorted(want) and 20 < len(want) < 60
 
 
 def test_chat(spark):
