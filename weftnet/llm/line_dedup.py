@@ -8,15 +8,16 @@ under the threshold or over it decides; for those near it (``near_threshold``),
 the exact number of distinct sites is counted. Lines on ``SPREAD`` sites or more
 are removed from every document.
 
-A frequent line is summed before the shuffle, so it makes no large group; the
-join of narrow (document, position, hash) rows with the boilerplate hashes has
-them once each and splits if a hash is hot. The text moves once, to meet the
+A frequent line is summed before the shuffle, so it makes no large group. The
+joins of narrow (document, position, hash) rows with the boilerplate hashes are
+salted: an occurrence goes to one of ``SALTS`` tasks by its document and position, a
+boilerplate hash (there once) to all of them. The text moves once, to meet the
 positions that go.
 
 Edge cases: a null text is empty and stays '' ; a null source is a site of its
 own; repeated rows each come out; a text without boilerplate is unchanged, lines
-that stay keep their white space; a null doc_id is kept; other columns are not
-read.
+that stay keep their white space; a null doc_id is kept; a text of any number of lines
+is one document; no rows give none; other columns are not read.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from pyspark.sql import functions as F
 SPREAD = 5
 #: HyperLogLog registers: 2 ** 12, a standard error of 1.6 %.
 LG_REGISTERS = 12
+#: Tasks that share the occurrences of one line.
+SALTS = 32
 _TRIM = " \t\n\x0b\x0c\r"
 
 
@@ -44,6 +47,13 @@ def _lines(docs: DataFrame) -> DataFrame:
     )
 
 
+def _met(lines: DataFrame, hashes: DataFrame) -> DataFrame:
+    """The rows of ``lines`` whose hash (h1, h2) is among ``hashes``, which has each once."""
+    salt = F.pmod(F.xxhash64("doc_id", "pos", "t1"), F.lit(SALTS)).cast("int")
+    spread = hashes.select("h1", "h2", F.explode(F.array(*map(F.lit, range(SALTS)))).alias("salt"))
+    return lines.withColumn("salt", salt).join(spread, ["h1", "h2", "salt"]).drop("salt")
+
+
 def boilerplate(lines: DataFrame, spread: int = SPREAD) -> DataFrame:
     """The hashes (h1, h2) of the lines on ``spread`` sites or more."""
     sketched = lines.groupBy("h1", "h2").agg(F.hll_sketch_agg("site", F.lit(LG_REGISTERS)).alias("sketch"))
@@ -51,7 +61,7 @@ def boilerplate(lines: DataFrame, spread: int = SPREAD) -> DataFrame:
     close = near_threshold(F.col("estimate"), spread)
     sure = rated.filter((F.col("estimate") >= spread) & ~close).select("h1", "h2")
     unsure = rated.filter(close).select("h1", "h2")
-    pairs = lines.select("h1", "h2", "site").join(unsure, ["h1", "h2"], "left_semi").distinct()
+    pairs = _met(lines, unsure).select("h1", "h2", "site").distinct()
     counted = pairs.groupBy("h1", "h2").agg(F.count("*").alias("n")).filter(F.col("n") >= spread)
     return sure.union(counted.select("h1", "h2"))
 
@@ -62,7 +72,7 @@ def remove_boilerplate(docs: DataFrame, spread: int = SPREAD) -> DataFrame:
     read = docs.select(F.col("doc_id"), text.alias("text"), F.xxhash64("source").alias("site"))
     read = read.withColumns({"t1": F.xxhash64("text"), "t2": F.xxhash64(F.lit(1), "text")})
     lines = _lines(read)
-    hits = lines.join(boilerplate(lines, spread), ["h1", "h2"])
+    hits = _met(lines, boilerplate(lines, spread))
     gone = hits.groupBy("doc_id", "t1", "t2").agg(F.array_sort(F.collect_set("pos")).alias("gone"))
     gone = gone.select(F.col("doc_id").alias("_id"), F.col("t1").alias("_t1"), F.col("t2").alias("_t2"), "gone")
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("t1") == F.col("_t1")) & (F.col("t2") == F.col("_t2"))
