@@ -209,6 +209,27 @@ def test_sharding_of_a_large_group(spark, make):
     assert sum(len(s) == 1 for s in where.values()) >= 95
 
 
+def test_sharding_cuts_few_links(spark):
+    """Copies scattered over shards come together, in groups of two to a fifth of all rows; counts stay."""
+    rng = __import__("random").Random(4)
+    sizes = [600] + [rng.randrange(2, 40) for _ in range(60)] + [1] * 900
+    rows = [(g, n) for g, n in enumerate(sizes) for _ in range(n)]
+    state = [(k, g, g * 7, n, rng.randrange(-(2**62), 2**62), k % 8) for k, (g, n) in enumerate(rows)]
+    df = spark.createDataFrame(state, "doc_id long, g1 long, g2 long, group_size long, u long, shard int")
+    df = df.withColumn("g1", F.xxhash64("g1"))
+    got = sharding.propagate(Scratch(spark, "cut"), df)
+    counts = lambda d: sorted((r.shard, r["count"]) for r in d.groupBy("shard").count().collect())
+    assert counts(got) == counts(df) and got.select("doc_id").distinct().count() == len(rows)
+    pairs = {}
+    for r in got.collect():
+        pairs.setdefault((r.g1, r.g2), []).append(r.shard)
+    cut = sum(sum(a != b for i, a in enumerate(s) for b in s[:i]) for s in pairs.values())
+    room = len(rows) // 8
+    least = (600 - room) * room  # the group of 600 fills a shard and what it needs of a second
+    assert sharding.cut_links(got) == cut <= 1.15 * least and sharding.cut_links(df) > 1.8 * least
+    assert sum(len(set(s)) == 1 for s in pairs.values() if len(s) > 1) >= 45  # of 61
+
+
 def test_quotas():
     given = sharding.quotas({(0, 1): 50, (1, 0): 10, (2, 1): 30}, [5, 20, 0])
     gain = [sum(n * ((b == t) - (a == t)) for (a, b), n in given.items()) for t in range(3)]
