@@ -60,6 +60,18 @@ class Scratch:
             pass
 
 
+def salted_join(
+    rows: DataFrame, table: DataFrame, on: list[str], by: list[Column], how: str = "inner", salts: int = 16
+) -> DataFrame:
+    """``rows`` joined with ``table``, which has each key ``on`` once, a key's rows over as many tasks as ``salts``.
+
+    A row goes to one of them by the hash of ``by``, a row of ``table``, which should be narrow, to all.
+    """
+    dealt = rows.withColumn("__wn_salt", F.pmod(F.xxhash64(*by), F.lit(salts)).cast("int"))
+    spread = table.withColumn("__wn_salt", F.explode(F.array(*map(F.lit, range(salts)))))
+    return dealt.join(spread, [*on, "__wn_salt"], how).drop("__wn_salt")
+
+
 def copies(df: DataFrame, n: str, out: str, at_once: int = 1 << 16) -> DataFrame:
     """``df`` with each row ``n`` times, numbered from 1 as ``out``; no array is longer than ``at_once``."""
     runs = df.withColumn("__wn_run", F.explode(F.expr(f"sequence(0, div({n} - 1, {at_once}))")))
@@ -115,12 +127,11 @@ def components(scratch: Scratch, edges: DataFrame, limit: int = 60) -> DataFrame
     for _ in range(limit):
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = (
-            both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        ).distinct()
+        met = salted_join(both, least, ["a"], [F.col("b")])  # a star's centre has many edges
+        large = met.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = (
-            large.join(low, "a")
+            salted_join(large, low, ["a"], [F.col("b")])
             .select(F.col("b").alias("a"), F.col("m").alias("b"))
             .union(low.select("a", F.col("m").alias("b")))
             .filter("a <> b")

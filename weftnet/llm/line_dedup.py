@@ -25,6 +25,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import salted_join
+
 SPREAD = 5
 #: HyperLogLog registers: 2 ** 12, a standard error of 1.6 %.
 LG_REGISTERS = 12
@@ -49,9 +51,7 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 def _met(lines: DataFrame, hashes: DataFrame) -> DataFrame:
     """The rows of ``lines`` whose hash (h1, h2) is among ``hashes``, which has each once."""
-    salt = F.pmod(F.xxhash64("doc_id", "pos", "t1"), F.lit(SALTS)).cast("int")
-    spread = hashes.select("h1", "h2", F.explode(F.array(*map(F.lit, range(SALTS)))).alias("salt"))
-    return lines.withColumn("salt", salt).join(spread, ["h1", "h2", "salt"]).drop("salt")
+    return salted_join(lines, hashes.select("h1", "h2"), ["h1", "h2"], [F.col("doc_id"), F.col("pos"), F.col("t1")], salts=SALTS)
 
 
 def boilerplate(lines: DataFrame, spread: int = SPREAD) -> DataFrame:

@@ -37,7 +37,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, running_total
+from .common import Scratch, running_total, salted_join
 
 SHARDS = 8
 #: The share of a shard's rows that are without links at which it is closed to new groups.
@@ -99,7 +99,7 @@ def cut_links(state: DataFrame, shards: int = SHARDS) -> int:
 
 
 def _goals(state: DataFrame, shards: int, open_shards: list[int], exchange: int | None) -> DataFrame:
-    """For each group (_g1, _g2) the shard it turns to, goal, the most rows in one, best, and all counts, held."""
+    """For each group (g1, g2) the shard it turns to, goal, the most rows in one, best, and all counts, held."""
     counts = _counts(state, shards)
     best = F.greatest(*[F.col(f"c{s}") for s in open_shards]) if len(open_shards) > 1 else F.col(f"c{open_shards[0]}")
     goal = F.lit(None).cast("int")
@@ -114,7 +114,7 @@ def _goals(state: DataFrame, shards: int, open_shards: list[int], exchange: int
         goal = F.array_max(F.array(*[F.struct(rank(s).alias("n"), turn(s).alias("o"), F.lit(s).alias("s")) for s in open_shards]))
         goal = goal["s"]
     return counts.withColumn("best", best).withColumn("goal", goal).select(
-        F.col("g1").alias("_g1"), F.col("g2").alias("_g2"), "best", "goal", F.array(*[f"c{s}" for s in range(shards)]).alias("held")
+        "g1", "g2", "best", "goal", F.array(*[f"c{s}" for s in range(shards)]).alias("held")
     )
 
 
@@ -141,8 +141,8 @@ def _move(
     asks = linked & ((F.col("best") > here) | ((F.col("best") == here) & yields))
     if exchange is not None:
         asks = linked & (F.col("goal") != F.col("shard"))
-    asking = state.join(goals, (F.col("g1") == F.col("_g1")) & (F.col("g2") == F.col("_g2")), "left")
-    asking = asking.withColumn("goal", F.when(asks, F.col("goal"))).drop("_g1", "_g2", "best", "held")
+    asking = salted_join(state, goals, ["g1", "g2"], [F.col("u")], "left")
+    asking = asking.withColumn("goal", F.when(asks, F.col("goal"))).select(*state.columns, "goal")
     asking = scratch.save(asking, "asking")
     by_group = asking.filter("goal is not null").groupBy("shard", "goal", "g1", "g2").agg(F.count("*").alias("n"))
     by_group = scratch.save(by_group, "requests")
@@ -222,11 +222,8 @@ def shard(spark: SparkSession, docs: DataFrame, shards: int = SHARDS) -> DataFra
     )
     rows = scratch.save(rows, "rows")
     groups = rows.groupBy("g1", "g2").agg(F.count("*").alias("group_size"))
-    groups = groups.filter("group_size > 1").select(
-        F.col("g1").alias("_g1"), F.col("g2").alias("_g2"), "group_size"
-    )
-    grouped = rows.join(groups, (F.col("g1") == F.col("_g1")) & (F.col("g2") == F.col("_g2")), "left")
-    grouped = grouped.drop("_g1", "_g2").withColumn("group_size", F.coalesce("group_size", F.lit(1)).cast("long"))
+    grouped = salted_join(rows, groups.filter("group_size > 1"), ["g1", "g2"], [F.col("u")], "left")
+    grouped = grouped.withColumn("group_size", F.coalesce("group_size", F.lit(1)).cast("long"))
     dealt = running_total(grouped, [], [F.col("u"), F.col("doc_id")], F.lit(1), "rank", _bucket("u"))
     state = scratch.save(dealt.withColumn("shard", F.pmod("rank", F.lit(shards)).cast("int")).drop("rank"), "dealt")
     state = propagate(scratch, state, shards)
