@@ -88,10 +88,14 @@ def test_near(spark, odd, make):
     assert near_dedup.near_duplicates(spark, make([])).count() == 0
 
 
-def test_near_against_brute_force(spark, make):
-    """Families of edited copies, with similarities on both sides of the limit."""
+@pytest.mark.parametrize("block", [200_000, 2000])
+def test_near_against_brute_force(spark, make, monkeypatch, block):
+    """Families of edited copies, with similarities on both sides of the limit, in one block or many."""
     import random
 
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    monkeypatch.setattr(near_dedup, "HUB_BLOCK", block // 8)
+
     rng = random.Random(5)
     rows = []
     for family in range(12):

@@ -110,6 +110,16 @@ def running_total(
     )
 
 
+def _dealt_anew(edges: DataFrame, per_node: DataFrame) -> DataFrame:
+    """``edges`` joined with an aggregate over their column a.
+
+    A second key makes Spark deal out both sides for the join itself; one that follows an aggregation without an
+    exchange is never split where a star's centre has many edges.
+    """
+    key = F.xxhash64("a").alias("__wn_a")
+    return edges.select("a", "b", key).join(per_node.select("a", "m", key), ["a", "__wn_a"])
+
+
 def components(scratch: Scratch, edges: DataFrame, limit: int = 60) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b); root is the least node it reaches.
 
@@ -127,11 +137,11 @@ def components(scratch: Scratch, edges: DataFrame, limit: int = 60) -> DataFrame
     for _ in range(limit):
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        met = salted_join(both, least, ["a"], [F.col("b")])  # a star's centre has many edges
-        large = met.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        met = _dealt_anew(both.filter("b > a"), least)
+        large = met.select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = (
-            salted_join(large, low, ["a"], [F.col("b")])
+            _dealt_anew(large, low)
             .select(F.col("b").alias("a"), F.col("m").alias("b"))
             .union(low.select("a", F.col("m").alias("b")))
             .filter("a <> b")

@@ -17,18 +17,27 @@ The collisions are counted by prefix and skip merging, here for 84:
 * of a class's shared postings, rarest first, only the first (shared - 83) are
   merged: two classes with 84 postings in common meet in that prefix. Long
   lists are skipped unless a class has nothing rarer;
-* within what the lists connect, classes are dealt into blocks by size (their
-  sizes must be within the limit of each other) and block pairs are counted with
-  whole-array comparisons; pairs that are known to be connected are skipped.
+* a class's most frequent hub among these lists (their least members) is its first
+  partner: the pair's collisions are counted over the whole signatures, and the pair is
+  retained from the match threshold on and confirmed on full sets. Copies of one text meet
+  in their hub and are one component after this step, which is linear in their number;
+* what the lists connect and the hubs have left in several components is counted
+  further: classes are dealt into blocks by size (their sizes must be within the limit
+  of each other) and block pairs are counted with whole-array comparisons. Pairs that
+  are known to be connected are skipped, and the members of a cluster's largest
+  component meet only those outside it.
 
 No step holds a posting list or a group in one task: lists are aggregated to
 (count, least member), blocks are of bounded weight. Pairs inside a block pair
-are compared in memory and only links that connect something new come out.
+are compared in memory and only links that connect something new come out. What
+remains quadratic is a cluster of many unlike texts that share most of their
+signature's collisions: its blocks, not its rows, meet in pairs.
 
 Nulls and edge cases: a null text is empty; texts without words have no
 shingles and link with nothing; rows with equal doc_id and text are rows of
 their own with the same component; a null doc_id takes part, but as a
-component's id only where no member has an id; other columns are not read.
+component's id only where no member has an id; a very long text is read alone; an
+empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -43,7 +52,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, components
+from .common import Scratch, components, salted_join
 from .shingles import coordinates, minhash, shingle_sets, slices
 
 COORDINATES = 128
@@ -53,8 +62,8 @@ PERCENT = 85
 MISSED = 1.4e-8
 #: Shared postings that are asked for among the first coordinates.
 FIRST_MATCHES = 4
-#: Shingles in a block, about.
-BLOCK = 200_000
+#: Shingles in a block, about, and among the members that meet their hub in one cell.
+BLOCK, HUB_BLOCK = 200_000, 25_000
 
 _SKETCH = "doc_id long, row_hash long, n_shingles long, cls binary, sig array<int>"
 
@@ -112,21 +121,21 @@ def least_matches(percent: int) -> int:
 
 
 def _verify(block: pd.DataFrame, percent: int, matches: int) -> pd.DataFrame:
-    """Links between the blocks lo and hi of one cell, without those that follow from others."""
-    rows = block.drop_duplicates(["cls", "side"])
-    rows = rows.sort_values(["n", "cls"], kind="stable")
-    left = rows[rows.side == 0]
-    right = rows[rows.side == 1]
-    same = rows.step.iat[0] == 0 and rows.lo.iat[0] == rows.hi.iat[0]
-    if same:
+    """Links between the two sides of a cell, without those that follow from others or from ``root``."""
+    rows = block.drop_duplicates(["cls", "side"]).sort_values(["n", "cls"], kind="stable")
+    left, right = rows[rows.side == 0], rows[rows.side == 1]
+    if same := bool(rows.alone.iat[0]):
         right = left
-    if not len(left) or not len(right):
-        return pd.DataFrame({"a": [], "b": []}).astype(object)
+    none = pd.DataFrame({"a": [], "b": []}).astype(object)
+    if not len(left) or not len(right) or rows.root.nunique() == 1:
+        return none
     sig = np.vstack(right.sig.to_list())
     sets = [np.frombuffer(x, np.uint64) for x in right.shingles]
-    sizes = right.n.to_numpy()
-    names = right.cls.to_numpy()
-    root: dict[bytes, bytes] = {}
+    sizes, names = right.n.to_numpy(), right.cls.to_numpy()
+    root: dict[bytes, bytes] = dict(zip(rows.cls, rows.root, strict=True))
+    parts = pd.factorize(rows.root)[0]
+    part = dict(zip(rows.cls, parts, strict=True))
+    right_part = np.array([part[x] for x in names])
 
     def find(x: bytes) -> bytes:
         while (up := root.get(x, x)) != x:
@@ -144,11 +153,12 @@ def _verify(block: pd.DataFrame, percent: int, matches: int) -> pd.DataFrame:
         last = int(np.searchsorted(sizes * percent, n * 100, "right"))
         if same:
             first = max(first, k + 1)
-        if first >= last:
+        others = first + np.flatnonzero(right_part[first:last] != part[cls]) if first < last else names[:0]
+        if not len(others):
             continue
-        agree = np.count_nonzero(sig[first:last] == own_sig, axis=1)
-        near = first + np.flatnonzero(agree >= matches)
-        for other in near[np.argsort(-agree[near - first], kind="stable")]:
+        agree = np.count_nonzero(sig[others] == own_sig, axis=1)
+        near = np.flatnonzero(agree >= matches)
+        for other in others[near[np.argsort(-agree[near], kind="stable")]]:
             mine, its = find(cls), find(names[other])
             if mine == its:
                 continue
@@ -156,7 +166,7 @@ def _verify(block: pd.DataFrame, percent: int, matches: int) -> pd.DataFrame:
             if 100 * both >= percent * (n + sizes[other] - both):
                 root[max(mine, its)] = min(mine, its)
                 links.append((cls, names[other]))
-    return pd.DataFrame(links, columns=["a", "b"]).astype(object)
+    return pd.DataFrame(links, columns=["a", "b"]).astype(object) if links else none
 
 
 def _with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,11 +183,10 @@ def _with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     part.column("cls"),
                     part.column("sig"),
                     part.column("cluster"),
-                    part.column("band"),
                     part.column("n"),
                     pa.array(raw, pa.binary()),
                 ],
-                names=["cls", "sig", "cluster", "band", "n", "shingles"],
+                names=["cls", "sig", "cluster", "n", "shingles"],
             )
             yield out.filter(pa.array(same, pa.bool_()))
 
@@ -211,53 +220,70 @@ def link(scratch: Scratch, docs: DataFrame, sketches: DataFrame, percent: int =
     prefix = listed.filter(F.size("l") >= matches).select(
         "cls", F.explode(F.slice("l", F.lit(1), F.size("l") - (matches - 1))).alias("p")
     )
-    stars = prefix.select(F.col("p.hub").alias("a"), F.col("cls").alias("b")).filter("a <> b").distinct()
-    cluster = components(scratch, stars)
-    # sizes that may match are in one band or in neighbouring ones
-    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))).cast("int")
-    placed = scratch.save(
-        first.join(cluster, F.col("cls") == F.col("node"))
-        .select("cls", "doc_id", "row_hash", "sig", "n", F.col("root").alias("cluster"), band.alias("band")),
-        "placed",
-    )
-    weight = placed.groupBy("cluster", "band").agg(F.sum("n").alias("w"), F.count("*").alias("m"))
-    weight = scratch.save(
-        weight.select("cluster", "band", "m", F.ceil(F.col("w") / F.lit(BLOCK)).cast("int").alias("cells")),
-        "cells",
-    )
+    met = prefix.select(F.col("p.hub").alias("hub"), "cls").filter("hub <> cls").groupBy("cls", "hub").agg(F.count("*").alias("m"))
+    met = scratch.save(met, "met")
+    cluster = components(scratch, met.select(F.col("hub").alias("a"), F.col("cls").alias("b")))
     texts = docs.select(F.col("doc_id").alias("_id"), F.col("row_hash").alias("_hash"), "text")
-    sets = (
+    placed = first.join(cluster, F.col("cls") == F.col("node")).withColumnRenamed("root", "cluster")
+    sets = scratch.save(
         placed.join(texts, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("row_hash") == F.col("_hash")))
-        .select("cls", "sig", "cluster", "band", "n", "text")
-        .mapInArrow(_with_sets, "cls binary, sig array<int>, cluster binary, band int, n long, shingles binary")
-    )
-    above = weight.select("cluster", (F.col("band") - 1).alias("band"), F.col("cells").alias("up"))
-    below = weight.select("cluster", (F.col("band") + 1).alias("band"), F.col("cells").alias("down"))
-    plan = (
-        weight.join(above, ["cluster", "band"], "left")
-        .join(below, ["cluster", "band"], "left")
-        .filter("m > 1 or up is not null or down is not null")
+        .select("cls", "sig", "cluster", "n", "text")
+        .mapInArrow(_with_sets, "cls binary, sig array<int>, cluster binary, n long, shingles binary"),
+        "sets",
     )
-    # cell: (cluster, band, lo, hi, step): step 0 within a band, 1 with the next band above
-    dealt = sets.join(plan, ["cluster", "band"]).withColumn("own", F.expr("pmod(xxhash64(cls), cells)"))
-    cell = """
-      concat(
-        transform(sequence(0, cells - 1), o -> named_struct(
-          'band', band, 'step', 0, 'lo', int(least(own, o)), 'hi', int(greatest(own, o)),
-          'side', if(own = o or own < o, 0, 1))),
-        if(up is null, cast(array() as array<struct<band:int,step:int,lo:int,hi:int,side:int>>),
-          transform(sequence(0, up - 1), o -> named_struct(
-            'band', band, 'step', 1, 'lo', int(own), 'hi', o, 'side', 0))),
-        if(down is null, cast(array() as array<struct<band:int,step:int,lo:int,hi:int,side:int>>),
-          transform(sequence(0, down - 1), o -> named_struct(
-            'band', band - 1, 'step', 1, 'lo', o, 'hi', int(own), 'side', 1))))
-    """
-    dealt = dealt.select("cluster", "cls", "sig", "n", "shingles", F.explode(F.expr(cell)).alias("x")).select(
-        "cluster", "x.*", "cls", "sig", "n", "shingles"
-    )
-    return dealt.groupBy("cluster", "band", "step", "lo", "hi").applyInPandas(
-        lambda block: _verify(block, percent, matches), "a binary, b binary"
+    sets, narrow = sets.drop("cluster", "n"), sets.select("cls", "cluster", "n")
+
+    def links(dealt: DataFrame) -> DataFrame:
+        """Links within the cells of ``dealt`` (cls, cell, side, alone, root, n): the sets come to it last."""
+        rows = dealt.join(sets, "cls").select("cell", "side", "alone", "root", "cls", "sig", "n", "shingles")
+        return rows.groupBy("cell").applyInPandas(lambda cell: _verify(cell, percent, matches), "a binary, b binary")
+
+    # every class with its most frequent hub: the hub goes to each of the cells of its members
+    mine = met.groupBy("cls").agg(F.max(F.struct("m", "hub")).alias("best")).select("cls", F.col("best.hub").alias("hub"))
+    members = scratch.save(narrow.join(mine, "cls"), "members")
+    hubs = members.groupBy("hub").agg(F.ceil(F.sum("n") / F.lit(HUB_BLOCK)).cast("int").alias("cells"))
+    hubs = scratch.save(hubs, "hubs")
+    cell = lambda k: F.struct("hub", k.cast("int").alias("k")).alias("cell")
+    plain = lambda side: [F.lit(side).alias("side"), F.lit(False).alias("alone"), F.col("cls").alias("root"), "cls", "n"]
+    dealt = salted_join(members, hubs, ["hub"], [F.col("cls")]).select(cell(F.expr("pmod(xxhash64(cls), cells)")), *plain(1))
+    centres = narrow.join(hubs, F.col("cls") == F.col("hub")).withColumn("k", F.explode(F.expr("sequence(0, cells - 1)")))
+    straight = scratch.save(links(dealt.unionByName(centres.select(cell(F.col("k")), *plain(0)))), "straight")
+    # what is left: clusters of several components
+    roots = components(scratch, straight)
+    rooted = narrow.join(roots, F.col("cls") == F.col("node"), "left").drop("node").withColumn("root", F.coalesce("root", "cls"))
+    rooted = scratch.save(rooted, "rooted")
+    parts = rooted.groupBy("cluster", "root").agg(F.sum("n").alias("w"))
+    major = parts.groupBy("cluster").agg(F.max(F.struct("w", "root")).alias("major"), F.count("*").alias("parts"))
+    major = scratch.save(major.filter("parts > 1").select("cluster", F.col("major.root").alias("major")), "several")
+    # sizes that may match are in one band or in neighbouring ones
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))).cast("int")
+    several = scratch.save(
+        salted_join(rooted, major, ["cluster"], [F.col("cls")])
+        .withColumns({"band": band, "kind": (F.col("root") == F.col("major")).cast("int")})
+        .drop("major"),
+        "open",
     )
+    key = ["cluster", "band", "kind"]
+    weight = several.groupBy(*key).agg(F.count("*").alias("m"), F.ceil(F.sum("n") / F.lit(BLOCK)).cast("int").alias("cells"))
+    weight = scratch.save(weight, "cells")
+    beside = weight.select(
+        "cluster", F.explode(F.array(*[F.col("band") + d for d in (-1, 0, 1)])).alias("band"), F.col("band").alias("band2"),
+        F.col("kind").alias("kind2"), F.col("cells").alias("cells2"),
+    )
+    plan = weight.join(beside, ["cluster", "band"]).filter("kind + kind2 < 2 and (band <> band2 or kind <> kind2 or m > 1)")
+    # cell: (cluster, the lower block, the upper block); a block is (band, kind, number)
+    pairs = salted_join(several, plan.drop("m"), key, [F.col("cls")])
+    pairs = pairs.withColumn("k", F.explode(F.expr("sequence(0, cells2 - 1)")))
+    block = F.struct("band", "kind", F.expr("int(pmod(xxhash64(cls), cells))").alias("k"))
+    other = F.struct(F.col("band2").alias("band"), F.col("kind2").alias("kind"), "k")
+    pairs = pairs.select("cluster", block.alias("x"), other.alias("y"), "root", "cls", "n")
+    dealt = pairs.select(
+        F.struct("cluster", F.least("x", "y").alias("lo"), F.greatest("x", "y").alias("hi")).alias("cell"),
+        F.when(F.col("x") <= F.col("y"), 0).otherwise(1).alias("side"),
+        (F.col("x") == F.col("y")).alias("alone"),
+        "root", "cls", "n",
+    )
+    return straight.unionByName(links(dealt))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
