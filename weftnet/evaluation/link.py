@@ -40,6 +40,16 @@ def model_likelihood(rows: DataFrame, whole: float, size: int, assortative: bool
     return rows.agg(F.round(F.sum(F.col("w") * F.log(lam + EPS)) - whole, 3).alias("loglik"))
 
 
+def pseudo_likelihood(cells: DataFrame, edges: DataFrame, eta: float, mask: DataFrame | None = None) -> DataFrame:
+    """sum of A log M - M with M = lam + eta * reverse, over the cells (a, i, j, lam) of ``mask`` or all of them."""
+    seen = cells if mask is None else cells.join(mask.select("a", "i", "j"), ["a", "i", "j"], "left_semi")
+    back = edges.select("a", F.col("j").alias("i"), F.col("i").alias("j"), F.col("w").alias("w_rev"))
+    known = seen.join(edges, ["a", "i", "j"], "left").join(back, ["a", "i", "j"], "left").na.fill(0.0, ["w", "w_rev"])
+    m = F.col("lam") + eta * F.col("w_rev")
+    log_part = F.when((F.col("w") > 0) & (m > 0), F.col("w") * F.log(m)).otherwise(0.0)
+    return known.agg((F.sum(log_part) - F.sum(m)).alias("loglik"))
+
+
 def auc(cells: DataFrame, score: str, positive: Column) -> DataFrame:
     """ROC area with ties averaged: cells are first summed by score, so the window orders distinct scores."""
     by = cells.groupBy(score).agg(

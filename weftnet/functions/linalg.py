@@ -80,6 +80,13 @@ def column_sums(params: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
     return np.array(row[:size], float), np.array(row[size:], float)
 
 
+def largest_change(before: DataFrame, after: DataFrame, columns: list[str]) -> DataFrame:
+    """One row: for each column the largest absolute change of a node between two sets of parameters."""
+    old = before.select("i", *[F.col(c).alias(f"old_{c}") for c in columns])
+    both = after.select("i", *columns).join(old, "i")
+    return both.agg(*[F.max(F.abs(F.col(c) - F.col(f"old_{c}"))).alias(c) for c in columns])
+
+
 def full(w: np.ndarray) -> np.ndarray:
     """(layers, K, K), with a diagonal for an assortative affinity."""
     return w if w.ndim == 3 else np.stack([np.diag(x) for x in w])

@@ -208,6 +208,20 @@ def mtcov_likelihood(
     return float((1 - gamma) * edge + gamma * attr)
 
 
+def mtcov_likelihood_batch(
+    rows: DataFrame, known: DataFrame, params: DataFrame, w: np.ndarray, gamma: float, size: int, batch: DataFrame
+) -> float:
+    """The likelihood of the senders in ``batch`` (i): their edges, expected weights and attributes."""
+    m = mean(size, w.ndim == 2)
+    own = rows.join(batch, "i", "left_semi")
+    edge = own.agg(F.sum(F.when(m > 0, F.col("w") * F.log(m)).otherwise(0.0))).first()[0] or 0.0
+    (su, _), (_, sv) = column_sums(params.join(batch, "i", "left_semi"), size), column_sums(params, size)
+    edge -= float(np.einsum("k,akq,q->", su, full(w), sv))
+    pi = attribute_share(size) * 0.5
+    attr = known.join(batch, "i", "left_semi").agg(F.sum(F.when(pi > 0, F.log(pi)).otherwise(0.0))).first()[0] or 0.0
+    return float((1 - gamma) * edge + gamma * attr)
+
+
 # --- all pairs, for the models that need them ---
 
 

@@ -129,3 +129,20 @@ def largest_component(labels: DataFrame) -> DataFrame:
     sizes = labels.groupBy("component").agg(F.count("*").alias("n"))
     best = sizes.agg(F.min_by("component", F.struct((-F.col("n")).alias("m"), F.col("component"))).alias("component"))
     return labels.join(F.broadcast(best), "component", "left_semi").select("i")
+
+
+def isolated(nodes: DataFrame, edges: DataFrame, layers: int) -> DataFrame:
+    """(i): the nodes without an edge in any layer, as the intersection of those without one in each."""
+    ends = edges.select("a", "i").union(edges.select("a", F.col("j").alias("i"))).distinct()
+    seen = ends.filter(F.col("a") < layers).select("i").distinct()
+    return nodes.select("i").distinct().join(seen, "i", "left_anti")
+
+
+def outside(nodes: DataFrame, kept: DataFrame) -> DataFrame:
+    """(i): the nodes that are not kept, such as those outside the largest component."""
+    return nodes.select("i").distinct().join(kept.select("i"), "i", "left_anti")
+
+
+def within(edges: DataFrame, kept: DataFrame) -> DataFrame:
+    """The edges among the nodes that are kept."""
+    return edges.join(kept.select("i"), "i", "left_semi").join(kept.select(F.col("i").alias("j")), "j", "left_semi")

@@ -938,15 +938,6 @@ def block_membership(spark, d):
     return generators.block_memberships(spark, 14, 3).select("i", "u0", "u1", "u2")
 
 
-@query()
-def largest_component(spark, d):
-    """Of the network of customers and the suppliers they bought from; tests compare it with a union of sets."""
-    from ..models.em import Checkpoints
-
-    labels = stats.components(networks.purchases(spark, d), Checkpoints(spark, "components").save)
-    return stats.largest_component(labels)
-
-
 @query(with_("e AS (SELECT 0 AS a, o_custkey AS i, 1000000 + l_suppkey AS j, count(*)::DOUBLE AS w "
              "FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL)") + "SELECT a, i, j, w FROM e")
 def purchases(spark, d):
@@ -960,12 +951,14 @@ def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import fits
+    from . import extra, fits  # noqa: F401  (extra registers its queries here)
 
     return _QUERIES | fits.queries()
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import extra  # noqa: F401
+
     return dict(_SQL)
 
 

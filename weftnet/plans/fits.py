@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..models import em
 from ..models.api import ACD, CRep, DynCRep, JointCRep, MTCOV
-from ..models.em import Checkpoints, Fit
+from ..models.em import Fit
 from ..selection.cross_validation import cross_validate, rolling
 from ..sources import networks
 from ..sources.readers import Network
@@ -60,11 +60,6 @@ def acd_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(ACD(max_iter=10).fit(net, K=2))
 
 
-def crep_fit_distributed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two iterations of the plan that large networks take."""
-    return _shown(em.fit_crep(spark, networks.handoff(spark, sf_dir, binary=True), 2, max_iter=2))
-
-
 def dyncrep_fit_distributed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(em.fit_dyncrep(spark, networks.handoff_t(spark, sf_dir), 5, 2, max_iter=2))
 
@@ -92,39 +87,16 @@ def _w() -> np.ndarray:
     return generators.affinity("assortative", 90, 3, 6.0)
 
 
-def synthetic_mmsbm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return generators.mmsbm(_members(spark), _w(), 400, 2, seed=1)
-
-
-def synthetic_mtcov(spark: SparkSession, sf_dir: str) -> DataFrame:
-    beta = np.array([[0.9, 0.1], [0.1, 0.9], [0.5, 0.5]])
-    edges, attributes = generators.mtcov_network(_members(spark), _w(), beta, 400, 1, True, seed=1)
-    return edges.join(attributes.select("i", "z"), "i")
-
-
-def synthetic_reciprocity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return generators.reciprocity_network(_members(spark), _w(), 400, 0.5, seed=1)
-
-
-def synthetic_reciprocity_only(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return generators.reciprocity_only(spark, 90, 400, 0.3, seed=1)
-
-
 def synthetic_joint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return generators.joint_network(_members(spark), _w(), 400, 20.0, seed=1)
 
 
-def synthetic_dynamic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return generators.dynamic_network(_members(spark), _w(), 400, 4, 0.2, 0.3, Checkpoints(spark, "dynamic").save, seed=1)
-
-
 def synthetic_anomaly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return generators.anomaly_network(_members(spark), _w(), 400, 0.1, 0.8, seed=1)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        crep_fit, mtcov_fit, jointcrep_fit, jointcrep_fit_approx, dyncrep_fit, acd_fit, crep_fit_distributed,
-        dyncrep_fit_distributed, cv_crep, cv_mtcov, cv_dyncrep, synthetic_mmsbm, synthetic_mtcov, synthetic_reciprocity,
-        synthetic_reciprocity_only, synthetic_joint, synthetic_dynamic, synthetic_anomaly,
+        crep_fit, mtcov_fit, jointcrep_fit, jointcrep_fit_approx, dyncrep_fit, acd_fit, dyncrep_fit_distributed,
+        cv_crep, cv_mtcov, cv_dyncrep, synthetic_joint, synthetic_anomaly,
     )}

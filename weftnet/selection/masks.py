@@ -56,3 +56,15 @@ def rolling_origins(edges: DataFrame) -> DataFrame:
     return (
         test.join(per, F.col("a") < F.col("t")).groupBy("t", "n_test").agg(F.sum("n").alias("n_train")).select("t", "n_train", "n_test")
     )
+
+
+def selected(cells: DataFrame, mask: DataFrame | None) -> DataFrame:
+    """The cells of ``mask`` (a, i, j), or all without one."""
+    return cells if mask is None else cells.join(mask.select("a", "i", "j"), ["a", "i", "j"], "left_semi")
+
+
+def summary(results: DataFrame, by: str, score: str) -> DataFrame:
+    """(by, mean, best): the mean score of each value of a parameter, and the value with the highest mean."""
+    means = results.groupBy(by).agg(F.avg(score).alias("mean"))
+    best = means.agg(F.max_by(by, F.struct("mean", (-F.col(by)).alias("_"))).alias("best"))
+    return means.join(best, F.lit(True)).withColumn("best", F.col(by) == F.col("best"))

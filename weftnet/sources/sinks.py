@@ -55,8 +55,26 @@ def write_mask(mask: DataFrame, path: str) -> None:
     mask.write.mode("overwrite").parquet(path)
 
 
-def write_results(rows: DataFrame, path: str) -> None:
-    rows.write.mode("overwrite").csv(path, header=True)
+def read_mask(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
+def write_layer(edges: DataFrame, layer: int, path: str) -> None:
+    """One layer as a list of source, target and w, separated by spaces."""
+    rows = edges.filter(F.col("a") == layer)
+    rows.select(F.col("i").alias("source"), F.col("j").alias("target"), "w").write.mode("overwrite").csv(path, sep=" ", header=True)
+
+
+def write_results(rows: DataFrame, path: str, append: bool = False) -> None:
+    rows.write.mode("append" if append else "overwrite").csv(path, header=True)
+
+
+def write_generated(members: DataFrame, affinity: DataFrame, scalars: dict[str, float], path: str) -> None:
+    """What a generator has drawn from, in the layout of a fit: memberships, affinity and numbers."""
+    rows = [(k, float(v)) for k, v in scalars.items()]
+    numbers = members.sparkSession.createDataFrame(rows, "name string, value double")
+    for name, table in (("nodes", members), ("affinity", affinity), ("scalars", numbers)):
+        table.write.mode("overwrite").parquet(f"{path}/{name}")
 
 
 def write_parameters(spark: SparkSession, fit, path: str) -> None:

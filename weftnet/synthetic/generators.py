@@ -30,8 +30,10 @@ def affinity(structure: str, nodes: int, size: int, avg_degree: float = 4.0, a:
 
 
 def uniform(seed: int, *key: Column | str) -> Column:
-    """In (0, 1), by a hash of the seed and the key."""
-    return (F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(1 << 40)) + 0.5) / float(1 << 40)
+    """In (0, 1): the first 48 bits of the MD5 of the seed and the key."""
+    parts = [F.col(k) if isinstance(k, str) else k for k in key]
+    code = F.md5(F.concat_ws("|", F.lit(str(seed)), *[p.cast("string") for p in parts]))
+    return (F.conv(F.substring(code, 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
 
 
 def block_memberships(spark: SparkSession, nodes: int, size: int, over: float = 0.0, corr: float = 1.0, alpha: float = 0.1, seed: int = 0) -> DataFrame:
@@ -51,14 +53,37 @@ def block_memberships(spark: SparkSession, nodes: int, size: int, over: float =
     return base.withColumns({f"v{k}": corr * F.col(f"u{k}") + (1 - corr) * F.col(f"v{k}") for k in range(size)})
 
 
-def poisson_draw(u: Column, rate: Column, most: int = 60) -> Column:
-    """The Poisson number whose cumulative probability reaches u; for the small rates of sparse networks."""
-    start = F.struct(F.lit(0).alias("n"), F.exp(-rate).alias("p"), F.exp(-rate).alias("c"))
-    step = lambda s, k: F.when(
-        s["c"] < u,
-        F.struct((s["n"] + 1).alias("n"), (s["p"] * rate / k).alias("p"), (s["c"] + s["p"] * rate / k).alias("c")),
-    ).otherwise(s)
-    return F.aggregate(F.array(*[F.lit(float(k)) for k in range(1, most)]), start, step)["n"].cast("double")
+#: A Poisson number of a larger rate is the sum of several of at most this rate.
+PART_RATE = 16.0
+
+
+def poisson_draw(u: Column, rate: Column) -> Column:
+    """The Poisson number of this rate whose cumulative probability reaches u, for any rate.
+
+    Up to ``PART_RATE`` the series is summed until it reaches u; 120 terms leave less than 1e-50. A larger rate is
+    split into equal parts, each with a u of its own, drawn from the bits of u.
+    """
+    parts = F.greatest(F.ceil(rate / PART_RATE), F.lit(1)).cast("int")
+
+    def one(v: Column) -> Column:
+        r = rate / parts
+        start = F.struct(F.lit(0).alias("n"), F.exp(-r).alias("p"), F.exp(-r).alias("c"))
+        step = lambda s, k: F.when(
+            s["c"] < v,
+            F.struct((s["n"] + 1).alias("n"), (s["p"] * r / k).alias("p"), (s["c"] + s["p"] * r / k).alias("c")),
+        ).otherwise(s)
+        return F.aggregate(F.sequence(F.lit(1), F.lit(120)), start, step)["n"].cast("double")
+
+    own = lambda k: F.conv(F.substring(F.md5(F.concat_ws("|", u.cast("string"), k.cast("string"))), 1, 12), 16, 10)
+    several = F.transform(F.sequence(F.lit(1), parts), lambda k: one((own(k).cast("double") + 0.5) / float(1 << 48)))
+    return F.when(parts <= 1, one(u)).otherwise(F.aggregate(several, F.lit(0.0), lambda s, n: s + n))
+
+
+def connected(edges: DataFrame, save) -> DataFrame:
+    """The edges among the nodes of the largest component; what lies outside goes. ``save`` writes and reads a step."""
+    from ..operators import stats
+
+    return stats.within(edges, stats.largest_component(stats.components(edges, save)))
 
 
 def _pairs(members: DataFrame, w: np.ndarray, ordered: bool = True) -> DataFrame:
@@ -161,6 +186,7 @@ def joint_network(members: DataFrame, w: np.ndarray, edges: float, eta: float, s
     for _ in range(30):  # one aggregation each
         c = (low + high) / 2
         low, high = (c, high) if expected(c) < edges else (low, c)
+    cells.unpersist()
     x, y = F.col("lam") * high, F.col("lam_t") * high
     z, u = 1 + x + y + eta * x * y, uniform(seed, F.lit("p"), "i", "j")
     state = F.when(u < 1 / z, 0).when(u < (1 + y) / z, 1).when(u < (1 + y + x) / z, 2).otherwise(3)
@@ -209,6 +235,7 @@ def anomaly_network(members: DataFrame, w: np.ndarray, edges: float, rho: float,
     for _ in range(30):  # one aggregation each
         c = (low + high) / 2
         low, high = (c, high) if empty(c) > target else (low, c)
+    cells.unpersist()
     odd = uniform(seed, F.lit("z"), "i", "j") < mu
     rate = F.when(odd, F.lit(float(pi))).otherwise(F.col("lam") * high)
     weight = (poisson_draw(uniform(seed, F.lit("w"), "i", "j"), rate) > 0).cast("double")
