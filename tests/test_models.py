@@ -157,3 +157,60 @@ def test_constraint_on_senders(spark):
     both = local.dyncrep(net, 2, constrained=True, max_iter=15, seed=1)
     rows = both.v.sum(1)
     assert np.allclose(rows[rows > 0], 1)
+
+
+LARGE = {
+    CRep: [{"eta0": 0.3, "assortative": False, "fix_w": True}, {"eta0": 0.3, "assortative": False, "constrained": False}],
+    JointCRep: [{"eta0": 2.0, "assortative": False, "fix_communities": True}, {"eta0": 2.0, "assortative": False, "fix_w": True}],
+    ACD: [{"pibr0": 0.2, "mupr0": 0.1, "flag_anomaly": False, "assortative": False}, {"pibr0": 0.2, "mupr0": 0.1, "assortative": False, "fix_pibr": True}],
+    DynCRep: [{"eta0": 0.1, "constrained": True}, {"eta0": 0.1, "constraintU": True}, {"eta0": 0.1, "fix_communities": True, "fix_w": True}],
+}
+
+
+@pytest.mark.parametrize("model, given", [(m, g) for m, gs in LARGE.items() for g in gs], ids=lambda x: getattr(x, "__name__", str(x)))
+def test_options_at_any_size(spark, monkeypatch, model, given):
+    """With the bound lowered, the same network, start and option give the same fit by joins and aggregations."""
+    moving = model is DynCRep
+    edges = networks.handoff_t(spark, SF) if moving else networks.handoff(spark, SF, binary=True)
+    net = _network(spark, edges, 5 if moving else 1)
+    begin = starts(edges, 2, len(net.layers), False, model is not JointCRep)
+    fit = lambda: model(max_iter=2).fit(net, K=2, start=begin, **given)
+    small = fit()
+    monkeypatch.setattr(local, "MOST_EDGES", 5)
+    large = fit()
+    a, b = (x.params.orderBy("i").toPandas().to_numpy(float) for x in (small, large))
+    assert np.allclose(a, b, atol=1e-6) and np.allclose(small.w, large.w, atol=1e-6)
+    assert all(np.isclose(small.scalars[k], large.scalars[k], atol=1e-5) for k in small.scalars)
+
+
+def test_restarts_at_any_size(spark, monkeypatch):
+    net = _network(spark, networks.handoff(spark, SF, binary=True))
+    monkeypatch.setattr(local, "MOST_EDGES", 5)
+    fit = CRep(max_iter=1, num_realizations=3).fit(net, K=2)
+    assert len(fit.history) == 3 == len(set(fit.history)) and fit.scalars["maxL"] == max(fit.history)
+
+
+@pytest.mark.parametrize("most", [1_000_000, 5])
+def test_convergence_by_changes(spark, monkeypatch, most):
+    """Converged by the largest change of a parameter, in tasks and by joins."""
+    monkeypatch.setattr(local, "MOST_EDGES", most)
+    net = _network(spark, networks.trade(spark, SF).filter("a = 0"))
+    fit = CRep(max_iter=60, num_realizations=1, tol=0.5, decision=1, flag_conv="deltas").fit(net, K=2, eta0=0.3)
+    assert fit.converged and fit.scalars["final_it"] < 60
+    with pytest.raises(Exception, match="flag_conv"):
+        CRep(flag_conv="other").fit(net, K=2)
+
+
+def test_joint_restarts_that_converged():
+    assert JointCRep().choose([(5.0, False), (1.0, True), (2.0, True)]) == 2
+    assert JointCRep().choose([(5.0, False), (1.0, False)]) == 0 and CRep().choose([(5.0, False), (1.0, True)]) == 0
+
+
+def test_poisson_of_any_rate(spark):
+    from pyspark.sql import functions as F
+
+    rates = {0.0: 1e-9, 0.5: 0.05, 200.0: 0.7, 3000.0: 3.0}
+    for rate, off in rates.items():
+        n = spark.range(4000).select(g.poisson_draw(g.uniform(1, "id"), F.lit(rate)).alias("n"))
+        mean, var = n.agg(F.avg("n"), F.var_pop("n")).first()
+        assert abs(mean - rate) <= off and abs(var - rate) <= max(0.15 * rate, 1e-9)

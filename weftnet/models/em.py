@@ -42,6 +42,16 @@ class Checkpoints:
                 where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def close(self, *keep: DataFrame) -> None:
+        """Deletes what has served; of a fit only the last table of each name stays, as the result reads it."""
+        jvm = self.spark.sparkContext._jvm
+        where = jvm.org.apache.hadoop.fs.Path(self.path)
+        files = where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        for k in range(1, self.count + 1):
+            path = f"{self.path}/{k:04d}"
+            if path not in self.last.values():
+                files.delete(jvm.org.apache.hadoop.fs.Path(path), True)
+
 
 @dataclass
 class Fit:
@@ -59,22 +69,52 @@ class Fit:
 
 
 class Convergence:
-    """Every tenth iteration: as often as ``decision`` in a row with less than ``tol`` of change, it has converged."""
+    """Every tenth iteration: as often as ``decision`` in a row with less than ``tol`` of change, it has converged.
+
+    The change is the objective's ("log"), or the largest of any parameter since the test before ("deltas").
+    """
 
-    def __init__(self, tol: float = 1e-4, decision: int = 10, every: int = 10):
-        self.tol, self.decision, self.every = tol, decision, every
+    def __init__(self, tol: float = 1e-4, decision: int = 10, every: int = 10, flag_conv: str = "log", keep: Checkpoints | None = None):
+        if flag_conv not in ("log", "deltas"):
+            raise ValueError("flag_conv has to be log or deltas")
+        self.tol, self.decision, self.every, self.flag_conv, self.keep = tol, decision, every, flag_conv, keep
         self.before, self.hits = -np.inf, 0
+        self.state: tuple[DataFrame, np.ndarray] | None = None
 
     def due(self, iteration: int) -> bool:
         return iteration % self.every == 0
 
-    def __call__(self, value: float) -> bool:
-        self.hits = self.hits + 1 if abs(value - self.before) < self.tol else 0
+    def __call__(self, value: float, params: DataFrame | None = None, *others) -> bool:
+        if self.flag_conv == "deltas":
+            rest = np.concatenate([np.ravel(np.asarray(x, float)) for x in others])
+            change = np.inf
+            if self.state is not None:
+                columns = [c for c in params.columns if c != "i"]
+                moved = [x or 0.0 for x in linalg.largest_change(self.state[0], params, columns).first()]
+                change = max(*moved, float(np.abs(rest - self.state[1]).max(initial=0.0)))
+            self.state = (self.keep.save(params, "checked"), rest)
+        else:
+            change = abs(value - self.before)
+        self.hits = self.hits + 1 if change < self.tol else 0
         self.before = value
         return self.hits > self.decision
 
 
-def _start(spark, edges, layers, size, assortative, normalise, seed):
+def _begun(spark: SparkSession, edges: DataFrame, begin: tuple) -> tuple[DataFrame, np.ndarray]:
+    """A start given as arrays u, v (a row per node, nodes in order) and w; the nodes are as many as its rows."""
+    u, v, w = (np.array(x, float) for x in begin[:3])
+    nodes = sorted(r[0] for r in tensor.nodes_of(edges).limit(len(u) + 1).collect())
+    if len(nodes) != len(u):
+        raise ValueError(f"the start has {len(u)} rows, the network more or fewer nodes")
+    size = u.shape[1]
+    rows = [(int(n), *map(float, u[k]), *map(float, v[k])) for k, n in enumerate(nodes)]
+    cols = [*[f"u{k}" for k in range(size)], *[f"v{k}" for k in range(size)]]
+    return spark.createDataFrame(rows, "i long, " + ", ".join(f"{c} double" for c in cols)), w
+
+
+def _start(spark, edges, layers, size, assortative, normalise, seed, begin=None):
+    if begin is not None:
+        return _begun(spark, edges, begin)
     nodes = tensor.nodes_of(edges)
     if seed is None:
         return linalg.start(nodes, size, normalise), linalg.start_affinity(layers, size, assortative)
@@ -87,16 +127,32 @@ def _start(spark, edges, layers, size, assortative, normalise, seed):
     return params, rng.random((layers, size) if assortative else (layers, size, size))
 
 
+def _sum_to_one(new: DataFrame, down: np.ndarray, size: int, side: str) -> DataFrame:
+    """Rows of ``new`` (the unconstrained quotients with ``down``) moved by a multiplier of their own to sum to 1."""
+    from . import local
+
+    cols = [f"{side}{k}" for k in range(size)]
+
+    def run(frames):
+        for frame in frames:
+            x = frame[cols].to_numpy(float) * down
+            frame[cols] = local._sum_one(x, np.broadcast_to(down, x.shape))
+            yield frame
+
+    return new.mapInPandas(run, new.schema)
+
+
 def fit_crep(
     spark: SparkSession, edges: DataFrame, size: int = 3, layers: int = 1, eta0: float = 0.3, assortative: bool = True,
-    constrained: bool = True, undirected: bool = False, fix_eta: bool = False, max_iter: int = 1000, tol: float = 1e-4,
+    constrained: bool = True, undirected: bool = False, fix_eta: bool = False, fix_w: bool = False, max_iter: int = 1000, tol: float = 1e-4,
     decision: int = 10, err_max: float = 1e-12, seed: int | None = None,
+    begin: tuple | None = None, flag_conv: str = "log",
 ) -> Fit:
     """Conditional reciprocity: eta, then u, v and w, each with the parameters just updated."""
     keep = Checkpoints(spark, "crep")
     data = keep.save(tensor.with_reverse(edges))
-    params, w = _start(spark, edges, layers, size, assortative, True, seed)
-    params, eta, stop = keep.save(params, "params"), eta0, Convergence(tol, decision)
+    params, w = _start(spark, edges, layers, size, assortative, True, seed, begin)
+    params, eta, stop = keep.save(params, "params"), eta0, Convergence(tol, decision, flag_conv=flag_conv, keep=keep)
     history, done, it = [], False, 0
     rows = lambda: linalg.gather(data, params, linalg.affinity_frame(spark, w), size)
     while not done and it < max_iter:
@@ -107,11 +163,13 @@ def fit_crep(
             params = params.withColumns({f"v{k}": F.col(f"u{k}") for k in range(size)})
         else:
             params = keep.save(steps.clamped(steps.crep_v(rows(), params, w, eta, size, constrained), size, "v", err_max), "params")
-        w = np.where((x := steps.crep_w(rows(), params, w, eta, size)) < err_max, 0.0, x)
+        if not fix_w:
+            w = np.where((x := steps.crep_w(rows(), params, w, eta, size)) < err_max, 0.0, x)
         it += 1
         if stop.due(it) or it == max_iter:
             history.append(steps.crep_likelihood(rows(), params, w, eta, size))
-            done = stop(history[-1])
+            done = stop(history[-1], params, w, eta)
+    keep.close()
     return Fit(params, w, {"eta": eta, "maxL": history[-1], "final_it": it}, history, done)
 
 
@@ -119,15 +177,21 @@ def fit_mtcov(
     spark: SparkSession, edges: DataFrame, attributes: DataFrame, categories: int, size: int = 2, layers: int = 1,
     gamma: float = 0.5, assortative: bool = False, undirected: bool = False, max_iter: int = 500, tol: float = 1e-4,
     decision: int = 10, err_max: float = 1e-7, seed: int | None = None,
+    begin: tuple | None = None, flag_conv: str = "log",
 ) -> Fit:
     """Edges and one attribute: w, beta, u, v; gamma weighs the attribute."""
     keep = Checkpoints(spark, "mtcov")
     data = keep.save(tensor.with_reverse(edges))
-    params, w = _start(spark, edges, layers, size, assortative, False, seed)
+    params, w = _start(spark, edges, layers, size, assortative, False, seed, begin)
     params = keep.save(params, "params")
     raw = np.array([[((k * 7 + z * 3) % 10 + 1) / 10 for z in range(categories)] for k in range(size)])
     beta = raw / raw.sum(1, keepdims=True)
-    stop, history, done, it = Convergence(tol, decision), [], False, 0
+    if begin is not None:
+        beta = np.array(begin[3], float)
+    elif seed is not None:
+        beta = np.random.default_rng((seed, 1)).random(raw.shape)
+        beta = beta / beta.sum(1, keepdims=True)
+    stop, history, done, it = Convergence(tol, decision, flag_conv=flag_conv, keep=keep), [], False, 0
     rows = lambda: linalg.gather(data, params, linalg.affinity_frame(spark, w), size)
     known = lambda: steps.with_category(attributes, params, steps.beta_frame(spark, beta))
     while not done and it < max_iter:
@@ -143,8 +207,9 @@ def fit_mtcov(
         it += 1
         if stop.due(it) or it == max_iter:
             history.append(steps.mtcov_likelihood(rows(), known(), params, w, gamma, size, undirected))
-            done = stop(history[-1])
+            done = stop(history[-1], params, w, beta)
     scalars = {f"beta{k}_{z}": beta[k, z] for k in range(size) for z in range(categories)}
+    keep.close()
     return Fit(params, w, {"gamma": gamma, "maxL": history[-1], "final_it": it} | scalars, history, done)
 
 
@@ -152,13 +217,14 @@ def fit_jointcrep(
     spark: SparkSession, edges: DataFrame, size: int = 3, layers: int = 1, eta0: float = 2.0, assortative: bool = True,
     use_approximation: bool = False, fix_eta: bool = False, fix_communities: bool = False, fix_w: bool = False,
     max_iter: int = 500, tol: float = 1e-4, decision: int = 10, err_max: float = 1e-12, seed: int | None = None,
+    begin: tuple | None = None, flag_conv: str = "log",
 ) -> Fit:
     """Joint reciprocity: u, v, w, eta. Exact normalisers pass over all pairs; the approximation needs none."""
     keep = Checkpoints(spark, "joint")
     data = keep.save(tensor.with_reverse(edges))
     both = float(data.agg(F.sum(F.col("w") * F.col("w_rev"))).first()[0] or 0.0)
-    params, w = _start(spark, edges, layers, size, assortative, False, seed)
-    params, eta, stop = keep.save(params, "params"), eta0, Convergence(tol, decision)
+    params, w = _start(spark, edges, layers, size, assortative, False, seed, begin)
+    params, eta, stop = keep.save(params, "params"), eta0, Convergence(tol, decision, flag_conv=flag_conv, keep=keep)
     history, done, it = [], False, 0
     frame = lambda: linalg.affinity_frame(spark, w)
     rows = lambda: linalg.gather(data, params, frame(), size)
@@ -184,15 +250,18 @@ def fit_jointcrep(
         it += 1
         if stop.due(it) or it == max_iter:
             history.append(steps.joint_likelihood(rows(), cells(), eta, both, size, assortative))
-            done = stop(history[-1])
+            done = stop(history[-1], params, w, eta)
+    keep.close()
     return Fit(params, w, {"eta": eta, "maxL": history[-1], "final_it": it}, history, done)
 
 
 def fit_dyncrep(
     spark: SparkSession, edges: DataFrame, snapshots: int, size: int = 2, eta0: float = 0.1, beta0: float = 0.25,
     ag: float = 1.0, bg: float = 0.5, temporal: bool = True, assortative: bool = False, same_time: bool = False,
-    fix_eta: bool = False, fix_beta: bool = False, max_iter: int = 1000, tol: float = 1e-4, decision: int = 10,
+    fix_eta: bool = False, fix_beta: bool = False, fix_communities: bool = False, fix_w: bool = False,
+    constrained: bool = False, constraintU: bool = False, max_iter: int = 1000, tol: float = 1e-4, decision: int = 10,
     err_max: float = 1e-12, seed: int | None = None,
+    begin: tuple | None = None, flag_conv: str = "log",
 ) -> Fit:
     """Edge births and deaths over snapshots: u, v, w, beta, eta."""
     keep = Checkpoints(spark, "dyn")
@@ -200,8 +269,8 @@ def fit_dyncrep(
     fresh, found = steps.dynamic_edges(edges, same_time)
     data, sums = keep.save(fresh), found.first().asDict()
     layers = snapshots if temporal else 1
-    params, w = _start(spark, edges, layers, size, assortative, True, seed)
-    params, eta, beta, stop = keep.save(params, "params"), eta0, beta0, Convergence(tol, decision)
+    params, w = _start(spark, edges, layers, size, assortative, True, seed, begin)
+    params, eta, beta, stop = keep.save(params, "params"), eta0, beta0, Convergence(tol, decision, flag_conv=flag_conv, keep=keep)
     history, done, it = [], False, 0
 
     def rows() -> DataFrame:
@@ -209,37 +278,43 @@ def fit_dyncrep(
         return linalg.gather(data, params, linalg.affinity_frame(spark, shown), size)
 
     while not done and it < max_iter:
-        for side in ("u", "v"):
+        for side in () if fix_communities else ("u", "v"):
             new = steps.dyn_member(rows(), params, w, eta, beta, size, side, snapshots, ag, bg)
+            if constrained or (constraintU and side == "u"):
+                down = steps.dyn_denominator(params, w, beta, size, side, snapshots, bg)
+                new = _sum_to_one(new.select("i", *[f"{x}{k}" for x in "uv" for k in range(size)]), down, size, side)
             params = keep.save(steps.clamped(new, size, side, err_max), "params")
-        w = (
-            steps.dyn_w(rows(), params, w, eta, beta, size, snapshots)
-            if temporal
-            else steps.dyn_w_static(rows(), params, w, eta, beta, size, snapshots, ag, bg)
-        )
-        w = np.where(w < err_max, 0.0, w)
+        if not fix_w:
+            w = (
+                steps.dyn_w(rows(), params, w, eta, beta, size, snapshots)
+                if temporal
+                else steps.dyn_w_static(rows(), params, w, eta, beta, size, snapshots, ag, bg)
+            )
+            w = np.where(w < err_max, 0.0, w)
         if not fix_beta and snapshots > 1:
             beta = steps.dyn_beta(params, w, eta, sums, size, snapshots)
         if not fix_eta:
             eta = steps.dyn_eta(rows(), eta, beta, sums, size, assortative)
         it += 1
         if stop.due(it) or it == max_iter:
-            history.append(steps.dyn_likelihood(rows(), params, w, eta, beta, sums, size, snapshots, ag, bg))
-            done = stop(history[-1])
+            history.append(steps.dyn_likelihood(rows(), params, w, eta, beta, sums, size, snapshots, ag, bg, not constraintU))
+            done = stop(history[-1], params, w, eta, beta)
+    keep.close()
     return Fit(params, w, {"eta": eta, "beta": beta, "maxL": history[-1], "final_it": it}, history, done)
 
 
 def fit_acd(
     spark: SparkSession, edges: DataFrame, size: int = 3, layers: int = 1, pi0: float = 0.1, mu0: float = 0.1,
     ag: float = 1.5, bg: float = 10.0, assortative: bool = True, constrained: bool = False, fix_pi: bool = False,
-    fix_mu: bool = False, max_iter: int = 500, tol: float = 0.1, decision: int = 2, err_max: float = 1e-8,
+    fix_mu: bool = False, flag_anomaly: bool = True, max_iter: int = 500, tol: float = 0.1, decision: int = 2, err_max: float = 1e-8,
     seed: int | None = None,
+    begin: tuple | None = None, flag_conv: str = "log",
 ) -> Fit:
     """Regular and anomalous edges: u, v, w, pi, mu, each over the pairs weighted with the latest posterior."""
     keep = Checkpoints(spark, "acd")
     linked = keep.save(tensor.closure(edges))
-    params, w = _start(spark, edges, layers, size, assortative, True, seed)
-    params, pi, mu, stop = keep.save(params, "params"), pi0, mu0, Convergence(tol, decision)
+    params, w = _start(spark, edges, layers, size, assortative, True, seed, begin)
+    params, pi, mu, stop = keep.save(params, "params"), pi0, mu0 if flag_anomaly else 0.0, Convergence(tol, decision, flag_conv=flag_conv, keep=keep)
     nodes = params.count()
     history, done, it = [], False, 0
 
@@ -252,12 +327,13 @@ def fit_acd(
             new = steps.acd_member(posterior(), params, size, assortative, side, ag, bg, constrained)
             params = keep.save(steps.clamped(new, size, side, err_max), "params")
         w = np.where((x := steps.acd_w(posterior(), w, size, ag, bg)) < err_max, 0.0, x)
-        if not fix_pi:
-            pi, _ = steps.acd_rates(posterior(), nodes)
-        if not fix_mu:
-            _, mu = steps.acd_rates(posterior(), nodes)
+        if flag_anomaly and not (fix_pi and fix_mu):
+            rates = steps.acd_rates(posterior(), nodes)
+            pi = pi if fix_pi else rates[0]
+            mu = mu if fix_mu else steps.acd_rates(posterior(), nodes)[1] if not fix_pi else rates[1]
         it += 1
         if stop.due(it) or it == max_iter:
             history.append(steps.acd_elbo(posterior(), params, mu, pi, size, ag, bg))
-            done = stop(history[-1])
+            done = stop(history[-1], params, w, pi, mu)
+    keep.close()
     return Fit(params, w, {"pi": pi, "mu": mu, "maxL": history[-1], "final_it": it}, history, done)

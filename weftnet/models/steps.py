@@ -374,12 +374,15 @@ def dyn_member(
     rho = ratio(F.col("w"), conditional_mean(size, assortative, eta))
     sums = (out_sums if side == "u" else in_sums)(rows, rho, size, assortative)
     new = multiplied(params, sums, size, side, ag - 1)
+    return divided(new, dyn_denominator(params, w, beta, size, side, layers, bg), size, side)
+
+
+def dyn_denominator(params: DataFrame, w: np.ndarray, beta: float, size: int, side: str, layers: int, bg: float = 0.5) -> np.ndarray:
     su, sv = column_sums(params, size)
     hat = beta_hat(layers, beta)
     x = full(w)
     weights = np.einsum("a,akq->kq", hat[: len(x)], x) if len(x) == layers else x[0] * hat.sum()
-    down = bg + (weights @ sv if side == "u" else su @ weights)
-    return divided(new, down, size, side)
+    return bg + (weights @ sv if side == "u" else su @ weights)
 
 
 def dyn_w(rows: DataFrame, params: DataFrame, w: np.ndarray, eta: float, beta: float, size: int, layers: int) -> np.ndarray:
