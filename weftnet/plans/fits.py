@@ -27,37 +27,37 @@ def _network(spark, edges: DataFrame, layers: int = 1, attributes: DataFrame | N
 def _shown(fit: Fit) -> DataFrame:
     """Memberships with the fit's numbers beside them."""
     cols = {k: F.lit(float(v)) for k, v in fit.scalars.items() if not k.startswith("beta0") and not k.startswith("beta1")}
-    return fit.params.withColumns(cols)
+    return fit.params.withColumns(cols | {"converged": F.lit(fit.converged)})
 
 
 def crep_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     net = _network(spark, networks.handoff(spark, sf_dir, binary=True))
-    return _shown(CRep(max_iter=100, num_realizations=4).fit(net, K=2))
+    return _shown(CRep(num_realizations=4).fit(net, K=2))
 
 
 def mtcov_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     net = _network(spark, networks.handoff(spark, sf_dir), 1, networks.user_modes(spark, sf_dir))
-    return _shown(MTCOV(max_iter=100).fit(net, K=2))
+    return _shown(MTCOV().fit(net, K=2))
 
 
 def jointcrep_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     net = _network(spark, networks.handoff(spark, sf_dir, binary=True))
-    return _shown(JointCRep(max_iter=10, num_realizations=2).fit(net, K=2))
+    return _shown(JointCRep(num_realizations=2).fit(net, K=2))
 
 
 def jointcrep_fit_approx(spark: SparkSession, sf_dir: str) -> DataFrame:
     net = _network(spark, networks.handoff(spark, sf_dir, binary=True))
-    return _shown(JointCRep(max_iter=10, num_realizations=2).fit(net, K=2, use_approximation=True))
+    return _shown(JointCRep(num_realizations=2).fit(net, K=2, use_approximation=True))
 
 
 def dyncrep_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     net = _network(spark, networks.handoff_t(spark, sf_dir), 5)
-    return _shown(DynCRep(max_iter=100).fit(net, K=2, eta0=0.1))
+    return _shown(DynCRep().fit(net, K=2, eta0=0.1))
 
 
 def acd_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     net = _network(spark, networks.handoff(spark, sf_dir, binary=True))
-    return _shown(ACD(max_iter=10).fit(net, K=2))
+    return _shown(ACD().fit(net, K=2))
 
 
 def dyncrep_fit_distributed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,17 +66,27 @@ def dyncrep_fit_distributed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cv_crep(spark: SparkSession, sf_dir: str) -> DataFrame:
     net = _network(spark, networks.handoff(spark, sf_dir, binary=True))
-    return cross_validate(spark, "CRep", net, {"K": [2, 3]}, folds=2, max_iter=30)
+    return cross_validate(spark, "CRep", net, {"K": [2, 3]}, folds=2)
 
 
 def cv_mtcov(spark: SparkSession, sf_dir: str) -> DataFrame:
     net = _network(spark, networks.handoff(spark, sf_dir), 1, networks.user_modes(spark, sf_dir))
-    return cross_validate(spark, "MTCOV", net, {"K": [2], "gamma": [0.5, 0.75]}, folds=2, max_iter=30)
+    return cross_validate(spark, "MTCOV", net, {"K": [2], "gamma": [0.5, 0.75]}, folds=2)
+
+
+def cv_jointcrep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    net = _network(spark, networks.handoff(spark, sf_dir, binary=True))
+    return cross_validate(spark, "JointCRep", net, {"K": [2]}, folds=2, num_realizations=1)
+
+
+def cv_acd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    net = _network(spark, networks.handoff(spark, sf_dir, binary=True))
+    return cross_validate(spark, "ACD", net, {"K": [2, 3]}, folds=2)
 
 
 def cv_dyncrep(spark: SparkSession, sf_dir: str) -> DataFrame:
     net = _network(spark, networks.handoff_t(spark, sf_dir), 5)
-    return rolling(spark, net, {"K": [2]}, max_iter=30)
+    return rolling(spark, net, {"K": [2]})
 
 
 def _members(spark) -> DataFrame:
@@ -98,5 +108,5 @@ def synthetic_anomaly(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         crep_fit, mtcov_fit, jointcrep_fit, jointcrep_fit_approx, dyncrep_fit, acd_fit, dyncrep_fit_distributed,
-        cv_crep, cv_mtcov, cv_dyncrep, synthetic_joint, synthetic_anomaly,
+        cv_crep, cv_mtcov, cv_jointcrep, cv_acd, cv_dyncrep, synthetic_joint, synthetic_anomaly,
     )}
