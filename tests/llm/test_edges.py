@@ -429,3 +429,28 @@ def test_pipeline(spark):
             kept = {r.doc_id for r in near_dedup.near_duplicates(spark, before, corpus_pipeline.NEAR_PERCENT).collect() if r.kept}
             assert {r.doc_id for r in docs.select("doc_id").collect()} == kept
     assert corpus_pipeline.run(spark, sf).count() == docs.count()
+
+
+def test_stages_on_odd_tables(spark, make, monkeypatch):
+    """Nulls, repeats, long texts, empty tables and columns named like the operators' own go through every stage."""
+    import corpus_pipeline
+
+    clean = " ".join(f"clean{n} word{n}" for n in range(80))
+    rows = [(1, clean, "a"), (2, None, "a"), (3, "", None), (3, "", None), (None, clean + " more", "b"), (None, None, "b"), (5, LONG, "c"), (5, "short text", "c"), (8, LONG + " x", None)]
+    names = ("size", "position", "row", "shard", "slot", "row_hash", "kept", "cls", "lap", "_id", "features", "host", "path", "label")
+    docs = make(rows).withColumns({c: F.lit(f"own {c}") for c in names})
+    labels = spark.createDataFrame([(1, 1, 0), (5, 1, 0), (3, 0, 0), (None, 0, 0), (77, None, 1)], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([(1, "nothing that any of the texts has in it"), (None, None)], "item_id long, text string")
+    monkeypatch.setattr(corpus_pipeline, "_table", lambda spark, d, name: {"labels": labels, "benchmark": bench}[name])
+    scratch = Scratch(spark, "odd")
+    for table, least in ((docs, 2), (docs.limit(0), 0)):
+        for name, stage in corpus_pipeline.STAGES:
+            before, table = table, scratch.save(stage(spark, table, ""), name.replace(" ", "-"))
+            if name != "sharding":
+                assert table.columns == before.columns
+                assert all(r[c] == f"own {c}" for r in table.collect() for c in names)
+        assert (table.count() >= least) if least else (table.count() == 0)
+    kept = corpus_pipeline.near_dedup_stage(spark, docs, "").collect()
+    ids = sorted((r.doc_id for r in kept), key=lambda x: (x is None, x or 0))
+    assert ids == [1, 2, 3, 5, 5, None]
+    assert corpus_pipeline.decontamination_stage(spark, docs, "").count() == len(rows)

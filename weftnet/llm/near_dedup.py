@@ -63,7 +63,7 @@ MISSED = 1.4e-8
 #: Shared postings that are asked for among the first coordinates.
 FIRST_MATCHES = 4
 #: Shingles in a block, about, and among the members that meet their hub in one cell.
-BLOCK, HUB_BLOCK = 200_000, 25_000
+BLOCK, HUB_BLOCK = 50_000, 25_000
 
 _SKETCH = "doc_id long, row_hash long, n_shingles long, cls binary, sig array<int>"
 
