@@ -201,3 +201,57 @@ def test_quality_posteriors(spark):
     labels = spark.createDataFrame(labels, "doc_id long, quality int")
     p = {r.doc_id: r.p_site for r in quality.classify(spark, docs, labels).collect()}
     assert p[1000] < 0.4 and p[0] > 0.95 and p[1000] < p[5000] < p[0]
+
+
+def test_quality_reads_content(spark):
+    """Texts of one shape that differ in their words only: content tells them apart, also on unseen documents."""
+    import random
+
+    rng = random.Random(2)
+    vocabulary = {1: [f"fine{a}" for a in "abcdefghij"], 0: [f"junk{a}" for a in "abcdefghij"]}
+    rows, labels = [], []
+    for n in range(600):
+        good = n % 2
+        rows.append((n, " ".join(rng.choice(vocabulary[good]) for _ in range(40)), "en", "s", 200))
+        if n < 300:
+            labels.append((n, good))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    verdicts = quality.classify(spark, docs, spark.createDataFrame(labels, "doc_id long, quality int")).collect()
+    assert sum(r.kept == bool(r.doc_id % 2) for r in verdicts if r.doc_id >= 300) >= 297
+
+
+def test_quality_posteriors_by_hand(spark):
+    """p_site and p_good of every document from p_document and the labels, with plain sums."""
+    import math
+
+    sf = "/root/testdata/sf0.01"
+    docs, labels = queries.table(spark, sf, "documents"), queries.table(spark, sf, "labels")
+    known = {r.doc_id: float(r.quality) for r in labels.collect()}
+    site = {r.doc_id: (r.source, r.lang) for r in docs.select("doc_id", "source", "lang").collect()}
+    got = quality.classify(spark, docs, labels).collect()
+    paths, hosts, whole = {}, {}, [0.0, 0.0]
+    for r in got:
+        n = 1.0 if r.doc_id in known else quality.SOFT
+        s = n * known.get(r.doc_id, r.p_document)
+        for d, key in ((paths, site[r.doc_id]), (hosts, site[r.doc_id][0])):
+            d.setdefault(key, [0.0, 0.0])
+            d[key][0] += n
+            d[key][1] += s
+        whole = [whole[0] + n, whole[1] + s]
+    share = whole[1] / whole[0]
+
+    def strength(rows):
+        x = sum((s - n * p) ** 2 / (p * (1 - p)) for n, s, p in rows)
+        n1, n2 = sum(n for n, _, _ in rows), sum(n * (n - 1) for n, _, _ in rows)
+        rho = (x - n1) / n2
+        return min(max(1 / rho - 1, 1.0), 1e4) if rho > 0 else 1e4
+
+    m = strength([(n, s, share) for n, s in hosts.values()])
+    host = {h: (s + m * share) / (n + m) for h, (n, s) in hosts.items()}
+    k = strength([(n, s, host[h]) for (h, _), (n, s) in paths.items()])
+    post = {p: (s + k * host[p[0]]) / (n + k) for p, (n, s) in paths.items()}
+    logit = lambda p: math.log(min(max(p, 1e-6), 1 - 1e-6) / (1 - min(max(p, 1e-6), 1 - 1e-6)))
+    for r in got:
+        p = post[site[r.doc_id]]
+        odds = logit(r.p_document) + quality.WEIGHT * (logit(p) - logit(share))
+        assert abs(r.p_site - p) < 1e-9 and abs(r.p_good - 1 / (1 + math.exp(-odds))) < 1e-9 and r.kept == (r.p_good >= 0.5)
