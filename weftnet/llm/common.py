@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import atexit
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -42,10 +43,13 @@ def _delete(spark: SparkSession, path: str) -> None:
 class Scratch:
     """Written tables of one operator run, under one folder of the shared directory."""
 
+    swept = 0.0
+
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
         self._round = 0
+        self.saved: dict[str, list[str]] = {}
         atexit.register(self.close)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
@@ -53,8 +57,22 @@ class Scratch:
         self._round += 1
         path = f"{self.path}/{self._round:03d}-{name}"
         df.write.parquet(path)
+        self.saved.setdefault(name, []).append(path)
+        if time.monotonic() - Scratch.swept > 2:
+            # Spark deletes the shuffle files of plans that the driver has let go: many short plans would leave theirs
+            # until its heap is full
+            self.spark.sparkContext._jvm.System.gc()
+            Scratch.swept = time.monotonic()
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def drop(self, *names: str, keep: int = 0) -> None:
+        """Delete the tables saved under these names, but for the last ``keep`` of each: what has served."""
+        for name in names:
+            own = self.saved.get(name, [])
+            for path in own[: len(own) - keep]:
+                _delete(self.spark, path)
+            self.saved[name] = own[len(own) - keep :] if keep else []
+
     def close(self) -> None:
         try:
             _delete(self.spark, self.path)
@@ -129,11 +147,12 @@ def components(scratch: Scratch, edges: DataFrame, limit: int = 60) -> DataFrame
     the least neighbour, so a path of n nodes takes a number of steps that grows
     with log n. Every step is pre-aggregated and written before the next.
     """
+    label = f"star-{uuid.uuid4().hex[:8]}"
     e = scratch.save(
         edges.filter("a <> b")
         .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         .distinct(),
-        "edges",
+        label,
     )
     before = None
     for _ in range(limit):
@@ -149,7 +168,8 @@ def components(scratch: Scratch, edges: DataFrame, limit: int = 60) -> DataFrame
             .filter("a <> b")
             .distinct()
         )
-        e = scratch.save(small, "star")
+        e = scratch.save(small, label)
+        scratch.drop(label, keep=1)
         now = e.agg(
             F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))
         ).first()

@@ -90,16 +90,16 @@ def _position(begins: Column) -> Column:
     return F.when(s == 0, x).otherwise(root)
 
 
-def curriculum(docs: DataFrame) -> DataFrame:
+def curriculum(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
     """One row per row of ``docs``: row, size, source_size, target, begin, taken, position, again.
 
-    row: the document's own columns; begin: the words before it in its source's stream;
+    row: the document's own columns, or those named in ``carry``; begin: the words before it in its source's stream;
     taken: words that the mix takes of the document, repeats counted; position
     and again: its places in training time, null for a pass that isn't made.
     """
     code = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     rows = docs.select(
-        F.struct(*docs.columns).alias("row"), "doc_id", "source", size_of(F.col("text")).alias("size"), code.alias("code")
+        F.struct(*(carry or docs.columns)).alias("row"), "doc_id", "source", size_of(F.col("text")).alias("size"), code.alias("code")
     )
     per_source = docs.groupBy("source").agg(F.sum(size_of(F.col("text"))).alias("source_size"))
     plan = targets(per_source).select("source", "slope", "source_size", "target")
@@ -150,7 +150,7 @@ def scheduled(spark: SparkSession, docs: DataFrame) -> DataFrame:
     The schedule is written in training order; passes of a document meet by its place in its source's stream,
     which no other document with words has.
     """
-    mixed = curriculum(docs.select("doc_id", "source", "text")).withColumn("row", F.col("row").dropFields("text"))
+    mixed = curriculum(docs, carry=["doc_id", "source"])
     passes = Scratch(spark, "mixing").save(schedule(mixed, idle=True), "schedule")
     passes = passes.select("row.doc_id", "row.source", *[c for c in passes.columns if c != "row"])
     row = ["doc_id", "source", "begin", "size", "source_size", "target"]

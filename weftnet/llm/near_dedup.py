@@ -63,7 +63,7 @@ MISSED = 1.4e-8
 #: Shared postings that are asked for among the first coordinates.
 FIRST_MATCHES = 4
 #: Shingles in a block, about, and among the members that meet their hub in one cell.
-BLOCK, HUB_BLOCK = 50_000, 25_000
+BLOCK, HUB_BLOCK = 200_000, 25_000
 
 _SKETCH = "doc_id long, row_hash long, n_shingles long, cls binary, sig array<int>"
 
@@ -211,6 +211,7 @@ def link(scratch: Scratch, docs: DataFrame, sketches: DataFrame, percent: int =
     shared = _shared(_tokens(classes, start))
     enough = _with_enough(shared, FIRST_MATCHES)
     first = scratch.save(classes.join(enough, "cls"), "first")
+    scratch.drop("classes")
     postings = scratch.save(_shared(_tokens(first, COORDINATES)), "shared")
     postings = _shared(postings.join(_with_enough(postings, matches), "cls"))
     # the prefix: the rarest (shared - matches + 1) postings of each class, in one order for all
@@ -222,6 +223,7 @@ def link(scratch: Scratch, docs: DataFrame, sketches: DataFrame, percent: int =
     )
     met = prefix.select(F.col("p.hub").alias("hub"), "cls").filter("hub <> cls").groupBy("cls", "hub").agg(F.count("*").alias("m"))
     met = scratch.save(met, "met")
+    scratch.drop("shared")
     cluster = components(scratch, met.select(F.col("hub").alias("a"), F.col("cls").alias("b")))
     texts = docs.select(F.col("doc_id").alias("_id"), F.col("row_hash").alias("_hash"), "text")
     placed = first.join(cluster, F.col("cls") == F.col("node")).withColumnRenamed("root", "cluster")
@@ -231,6 +233,7 @@ def link(scratch: Scratch, docs: DataFrame, sketches: DataFrame, percent: int =
         .mapInArrow(_with_sets, "cls binary, sig array<int>, cluster binary, n long, shingles binary"),
         "sets",
     )
+    scratch.drop("first")
     sets, narrow = sets.drop("cluster", "n"), sets.select("cls", "cluster", "n")
 
     def links(dealt: DataFrame) -> DataFrame:
@@ -300,6 +303,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = PERCENT
     )
     sketches = scratch.save(read.mapInArrow(_sketch, _SKETCH), "sketches")
     links = scratch.save(link(scratch, read, sketches, percent), "links")
+    scratch.drop("met", "members", "hubs", "straight", "sets", "rooted", "several", "open", "cells")
     roots = components(scratch, links)
     ids = sketches.filter("cls is not null").groupBy("cls").agg(_least().alias("least"))
     rooted = ids.join(roots, F.col("cls") == F.col("node"), "left").select(

@@ -199,6 +199,7 @@ def classify(
     taught = F.col("label").isNotNull() & drawn
     means = F.when(taught, F.when(half == 0, F.col("f_1")).otherwise(F.col("f_0"))).otherwise((F.col("f_0") + F.col("f_1")) / 2)
     known = scratch.save(known.withColumn("f_content", means).drop("f_0", "f_1"), "known")
+    scratch.drop("features", "labelled")
     names = [f"f_{name}" for name in FEATURES]
     own = F.when(F.col("half") == 0, content(second)).otherwise(content(first))
     sample = sample.withColumn("f_content", own).orderBy("doc_id", "row_hash").select("label", *names).toPandas()
