@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.linalg import EPS, mean
+from ..functions.order import earlier, ranges
 from ..models import steps
 
 
@@ -51,23 +52,30 @@ def pseudo_likelihood(cells: DataFrame, edges: DataFrame, eta: float, mask: Data
 
 
 def auc(cells: DataFrame, score: str, positive: Column) -> DataFrame:
-    """ROC area with ties averaged: cells are first summed by score, so the window orders distinct scores."""
+    """ROC area with ties averaged: cells are first summed by score, distinct scores are ordered range by range."""
     by = cells.groupBy(score).agg(
         F.sum(positive.cast("long")).alias("p"), F.sum((~positive).cast("long")).alias("n")
     )
-    below = Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = by.withColumn("under", F.coalesce(F.sum("n").over(below), F.lit(0)))
-    area = F.sum(F.col("p") * (F.col("under") + F.col("n") / 2))
-    return ranked.agg((area / (F.sum("p") * F.sum("n"))).alias("auc"))
+    below = Window.partitionBy("range").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
+    ranked = by.withColumn("range", ranges(by, [score])).withColumn("under", F.coalesce(F.sum("n").over(below), F.lit(0)))
+    area = F.sum(F.col("p") * (F.col("under") + F.col("n") / 2)).alias("area")
+    parts = ranked.groupBy("range").agg(F.sum("p").alias("p"), F.sum("n").alias("n"), area)
+    parts = parts.withColumn("under", earlier(parts, "n"))
+    area = F.sum(F.col("area") + F.col("p") * F.col("under"))
+    return parts.agg((area / (F.sum("p") * F.sum("n"))).alias("auc"))
 
 
 def ranked_auc(cells: DataFrame, score: str, positive: Column) -> DataFrame:
     """1 - sum over negatives of the positives before them, over all pairs: ties in the order (a, i, j)."""
-    order = Window.orderBy(score, "a", "i", "j")
-    before = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    seen = cells.withColumn("hit", positive.cast("long")).withColumn("before", F.sum("hit").over(before))
-    wrong = F.sum(F.when(F.col("hit") == 0, F.col("before")).otherwise(0))
-    return seen.agg((1 - wrong / (F.sum("hit") * F.sum(1 - F.col("hit")))).alias("auc"))
+    key = [score, "a", "i", "j"]
+    before = Window.partitionBy("range").orderBy(*key).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = cells.select(*key, positive.cast("long").alias("hit"), ranges(cells, key).alias("range"))
+    seen = seen.withColumn("before", F.sum("hit").over(before))
+    wrong = F.sum(F.when(F.col("hit") == 0, F.col("before")).otherwise(0)).alias("wrong")
+    parts = seen.groupBy("range").agg(F.sum("hit").alias("p"), F.sum(1 - F.col("hit")).alias("n"), wrong)
+    parts = parts.withColumn("under", earlier(parts, "p"))
+    wrong = F.sum(F.col("wrong") + F.col("n") * F.col("under"))
+    return parts.agg((1 - wrong / (F.sum("p") * F.sum("n"))).alias("auc"))
 
 
 def f1(cells: DataFrame, score: str, truth: Column, threshold: float = 0.1) -> DataFrame:

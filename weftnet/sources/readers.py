@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.order import numbered
+
 
 @dataclass(frozen=True)
 class Network:
@@ -76,7 +78,7 @@ def unpivot(table: DataFrame, ego: str, alter: str, layers: list[str]) -> DataFr
 def node_index(long: DataFrame) -> DataFrame:
     """(idx, label): the sorted union of both id columns, numbered from 0."""
     labels = long.select(F.col("source").alias("label")).union(long.select(F.col("target").alias("label"))).distinct()
-    return labels.select((F.row_number().over(Window.orderBy("label")) - 1).cast("long").alias("idx"), "label")
+    return numbered(labels, "label", "idx").select("idx", "label")
 
 
 def build_edges(
