@@ -6,10 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: About as many ranges at most, and rows in each of them at least.
-RANGES, LEAST = 1024, 50_000
-#: Cuts that one comparison of two looks through.
-STEP = 32
+#: About as many ranges at most, and about as many rows in each of them at least: what a task sorts with ease.
+RANGES, LEAST = 1024, 1_000_000
 
 
 def cuts(table: DataFrame, key: list[str]) -> list[tuple]:
@@ -33,10 +31,10 @@ def ranges(table: DataFrame, key: list[str]) -> Column:
     types = dict(table.dtypes)
     own = F.struct(*key)
     cut = [F.struct(*[F.lit(v).cast(types[k]).alias(k) for k, v in zip(key, row, strict=True)]) for row in found]
-    blocks = F.array(*[F.array(*cut[n : n + STEP]) for n in range(0, len(cut), STEP)])
-    before = F.size(F.filter(F.array(*cut[::STEP]), lambda c: c <= own))
-    inside = F.size(F.filter(F.get(blocks, before - 1), lambda c: c <= own))
-    return F.when(before > 0, (before - 1) * STEP + inside).otherwise(0)
+    halves = F.array(*[F.lit(1 << k) for k in reversed(range(len(cut).bit_length()))])
+    # a binary search; beyond the last cut there is null, which is no step
+    step = lambda p, s: F.when(F.get(F.array(*cut), p + s - 1) <= own, p + s).otherwise(p)
+    return F.aggregate(halves, F.lit(0), step)
 
 
 def earlier(per_range: DataFrame, value: str) -> Column:
