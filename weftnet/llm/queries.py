@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import chat, decontam, exact_dedup, line_dedup, mixing, near_dedup, pii, quality, sharding, warc
+from . import (
+    chat, decontam, exact_dedup, line_dedup, mixing, near_dedup, pii, quality, repair, sharding, simhash, vector_codes, warc,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -64,15 +66,28 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.render(table(spark, sf_dir, "conversations"))
 
 
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair(spark, table(spark, sf_dir, "conversations"))
+
+
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(spark, table(spark, sf_dir, "documents"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(spark, table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
         op1_line_dedup, op2_exact_dedup, op3_mixing, op4_warc, op5_decontamination, op6_pii,
-        op7_near_dedup, op8_sharding, op9_quality, op10_chat,
+        op7_near_dedup, op8_sharding, op9_quality, op10_chat, op11_repair, op12_simhash, op13_vector_codes,
     )}
 
 
 def oracle_sql() -> dict[str, str]:
-    """Without op6 (a keyed permutation by loops), op8 (an iteration) and op9 (a fit): see tests/llm."""
+    """Without op6 (a keyed permutation by loops), op8 (an iteration), op9 (a fit), op11 (shortest paths, a checksum) and
+    op12 (a hash that SQL lacks): see tests/llm."""
     return {
         "op1_line_dedup": line_dedup.ORACLE,
         "op2_exact_dedup": exact_dedup.ORACLE,
@@ -81,4 +96,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_decontamination": decontam.ORACLE,
         "op7_near_dedup": near_dedup.ORACLE,
         "op10_chat": chat.ORACLE,
+        "op13_vector_codes": vector_codes.ORACLE,
     }
