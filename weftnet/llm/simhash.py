@@ -11,7 +11,9 @@ that bit set meet those without it. Keys are compared by equality; every pair th
 is verified on all 64 bits, so no link is missed.
 
 Equal fingerprints are one row throughout. Keys that only one side holds leave after a
-pre-aggregated count. A key's members first meet its least fingerprint, which is linear
+pre-aggregated count; of keys with two or three members, these are the least, the largest
+and what the exclusive or of all leaves, so they are verified in the aggregate and never
+posted. A larger key's members first meet its least fingerprint, which is linear
 and joins families of near copies; what a key then still holds in one component is
 left out, and elsewhere the members of the largest component meet only those outside
 it. The rest is dealt into cells, pairs of blocks of about ``BLOCK`` fingerprints, that
@@ -43,6 +45,9 @@ SEGMENTS = ((0, 21), (21, 21), (42, 22))
 #: Fingerprints in a block about, pairs that are compared at once, and bytes of a text that are.
 BLOCK, PAIRS, PART = 1024, 1 << 21, 1 << 20
 
+#: A table of this many keys (16 bytes each) or fewer is broadcast.
+FEW_KEYS = 1_000_000
+
 _SPACE = b" \t\n\x0b\x0c\r"
 
 
@@ -162,36 +167,46 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def link(scratch: Scratch, prints: DataFrame) -> DataFrame:
     """(fp, root) for every fingerprint of ``prints`` (fp, distinct); root is the least that its links reach."""
     posted = variants(prints)
-    sides = {"n0": F.count_if(F.col("side") == 0), "n1": F.count_if(F.col("side") == 1), "n2": F.count_if(F.col("side") == 2)}
-    met = posted.groupBy("key").agg(*[x.alias(c) for c, x in sides.items()], F.min("fp").alias("hub"))
-    met = scratch.save(met.filter("n2 > 1 or n0 > 0 and n1 > 0").select("key", "hub"), "met")
-    posted = scratch.save(salted_join(posted, met, ["key"], [F.col("fp")], salts=4), "posted")
-    scratch.drop("met")
+    lo, hi, mid = (F.col(c) for c in ("lo", "hi", "mid"))
+    met = posted.groupBy("key").agg(
+        F.count("*").alias("n"), F.sum("side").alias("s"), F.min("fp").alias("lo"), F.max("fp").alias("hi"), F.bit_xor("fp").alias("mid")
+    )
+    # both sides have members, or the segments are alike (side 2)
+    met = met.filter("n > 1 and s > 0 and s <> n").withColumn("mid", mid.bitwiseXOR(lo).bitwiseXOR(hi))
+    # two or three members are all known from these sums; most such keys are chance, and go here
+    some = _near(lo, hi) | (F.col("n") > 2) & (_near(lo, mid) | _near(mid, hi))
+    met = scratch.save(met.filter((F.col("n") > 3) | some).select("key", "n", "lo", "hi", "mid"), "met")
+    pair = lambda x, y: F.struct(y.alias("a"), x.alias("b"))
+    pairs = F.when(F.col("n") == 2, F.array(pair(lo, hi))).otherwise(F.array(pair(lo, hi), pair(lo, mid), pair(mid, hi)))
+    few = met.filter("n <= 3").select(F.explode(pairs).alias("p")).select("p.a", "p.b").filter(_near(F.col("a"), F.col("b")))
+    hubs = met.filter("n > 3").select("key", lo.alias("hub"))
+    if hubs.count() <= FEW_KEYS:  # checked; beyond it, both sides are dealt out
+        posted = posted.join(F.broadcast(hubs), "key")
+    else:
+        posted = salted_join(posted, hubs, ["key"], [F.col("fp")], salts=4)
+    posted = scratch.save(posted, "posted")
     straight = posted.filter((F.col("fp") != F.col("hub")) & _near(F.col("fp"), F.col("hub"))).select(F.col("fp").alias("a"), F.col("hub").alias("b"))
-    straight = scratch.save(straight.distinct(), "straight")
+    straight = scratch.save(straight.unionByName(few).distinct(), "straight")
+    scratch.drop("met")
     roots = components(scratch, straight)
     rooted = posted.select("key", "side", "fp").join(roots, F.col("fp") == F.col("node"), "left")
     rooted = scratch.save(rooted.select("key", "side", "fp", F.coalesce("root", "fp").alias("root")), "rooted")
     scratch.drop("posted")
-    # keys that still hold several components, and the one with most members
-    several = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
-    rooted = scratch.save(salted_join(rooted, several, ["key"], [F.col("fp")], salts=4), "open")
-    scratch.drop("rooted")
-    major = rooted.groupBy("key", "root").agg(F.count("*").alias("n"))
-    major = major.groupBy("key").agg(F.max(F.struct("n", "root")).alias("m")).select("key", F.col("m.root").alias("major"))
-    kinds = salted_join(rooted, major, ["key"], [F.col("fp")], salts=4)
-    kinds = kinds.select("key", "side", (F.col("root") == F.col("major")).cast("int").alias("kind"), "fp")
-    kinds = scratch.save(kinds, "kinds")
-    scratch.drop("open")
-    # blocks by side and kind; those of the largest component don't meet each other
-    held = lambda side, kind: F.ceil(F.count_if((F.col("side") == side) & (F.col("kind") == kind)) / F.lit(BLOCK)).cast("int")
-    blocks = kinds.groupBy("key").agg(*[held(s, k).alias(f"c{s}{k}") for s in range(3) for k in range(2)])
-    dealt = salted_join(kinds, blocks, ["key"], [F.col("fp")], salts=4)
+    # keys that still hold several components, the one with most members, and how many blocks its and the others' sides take
+    on = lambda side: F.count_if(F.col("side") == side)
+    parts = rooted.groupBy("key", "root").agg(*[on(k).alias(f"n{k}") for k in range(3)], F.count("*").alias("n"))
+    sides = F.struct("n", "root", "n0", "n1", "n2")
+    keys = parts.groupBy("key").agg(F.max(sides).alias("m"), F.count("*").alias("parts"), *[F.sum(f"n{k}").alias(f"t{k}") for k in range(3)])
+    blocks_of = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
+    counts = F.array(*[x for k in range(3) for x in (blocks_of(F.col(f"t{k}") - F.col(f"m.n{k}")), blocks_of(F.col(f"m.n{k}")))])
+    several = keys.filter("parts > 1").select("key", F.col("m.root").alias("major"), counts.alias("counts"))
+    dealt = salted_join(rooted, several, ["key"], [F.col("fp")], salts=4)
+    dealt = dealt.withColumn("kind", (F.col("root") == F.col("major")).cast("int"))
+    # blocks of the largest component don't meet each other
     group = F.col("side") * 2 + F.col("kind")
-    counts = F.array(*[F.col(f"c{s}{k}") for s in range(3) for k in range(2)])
     partners = {0: (2, 3), 1: (2,), 2: (0, 1), 3: (0,), 4: (4, 5), 5: (4,)}
     meets = F.element_at(F.create_map(*[x for g, p in partners.items() for x in (F.lit(g), F.array(*map(F.lit, p)))]), group)
-    dealt = dealt.withColumns({"g": group, "counts": counts}).withColumn("h", F.explode(meets))
+    dealt = dealt.withColumn("g", group).withColumn("h", F.explode(meets))
     dealt = dealt.withColumn("own", F.expr("int(pmod(xxhash64(fp), counts[g]))")).filter("counts[h] > 0")
     dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, counts[h] - 1)")))
     block = lambda g, k: F.struct(F.col(g).alias("g"), F.col(k).alias("k"))
@@ -203,7 +218,7 @@ def link(scratch: Scratch, prints: DataFrame) -> DataFrame:
     whole = F.expr("size(left) > 0 and (size(right) > 0 or lo = hi and size(left) > 1)")
     links = cells.filter(whole).select("left", "right").mapInArrow(_compared, "a bigint, b bigint")
     links = scratch.save(straight.unionByName(links).distinct(), "links")
-    scratch.drop("kinds", "straight")
+    scratch.drop("rooted", "straight")
     return prints.join(components(scratch, links), F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"))
 
 
