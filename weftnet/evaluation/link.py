@@ -96,7 +96,53 @@ def confusion(cells: DataFrame, truth: Column, predicted: Column) -> DataFrame:
     return counts.withColumn("share", share)
 
 
+#: Bins of a pass of ``quantile``, and how many values it collects at last.
+BINS, FEW = 1024, 4096
+
+
+def order_statistic(values: DataFrame, column: str, rank: int) -> float:
+    """The value at ``rank``, from 0, in ascending order: passes count values in bins and narrow to the bin it is in.
+
+    What reaches the driver is a row per bin, and at last the values of a bin of ``FEW`` or fewer.
+    """
+    x = F.col(column)
+    low, high = (float(v) for v in values.agg(F.min(x), F.max(x)).first())
+    while low < high:
+        width = (high - low) / BINS
+        if width == 0:  # neighbours: no number lies between
+            width = high - low
+        place = F.least(F.floor((x - low) / width), F.lit(BINS - 1)).cast("int")
+        held = values.filter(x.between(low, high))
+        rows = held.groupBy(place.alias("bin")).agg(F.count("*").alias("n"), F.min(x).alias("low"), F.max(x).alias("high"))
+        for row in sorted(rows.collect(), key=lambda r: r["bin"]):
+            if rank < row["n"]:
+                break
+            rank -= row["n"]
+        low, high = float(row["low"]), float(row["high"])
+        if row["n"] <= FEW and low < high:
+            found = values.filter(x.between(low, high)).select(x).collect()
+            return sorted(float(r[0]) for r in found)[rank]
+    return low
+
+
+def quantile(values: DataFrame, column: str, at: float) -> float | None:
+    """The exact quantile, between neighbours by their distance; nulls don't count, and of no values there is none."""
+    x = F.col(column)
+    values = values.filter(x.isNotNull())
+    count = values.count()
+    if not count:
+        return None
+    place = at * (count - 1)
+    rank = int(place)
+    below = order_statistic(values, column, rank)
+    if rank == place:
+        return below
+    row = values.agg(F.count_if(x <= below).alias("n"), F.min(F.when(x > below, x)).alias("next")).first()
+    above = below if rank + 1 < row["n"] else float(row["next"])
+    return below + (above - below) * (place - rank)
+
+
 def tail(cells: DataFrame, score: str, at: float = 0.99) -> DataFrame:
     """The cut over which a cell counts as an anomaly, and how many do."""
-    cut = cells.agg(F.percentile(score, F.lit(at)).alias("cut"))
-    return cells.crossJoin(F.broadcast(cut)).groupBy("cut").agg(F.count_if(F.col(score) > F.col("cut")).alias("n_above"))
+    cut = quantile(cells, score, at)
+    return cells.agg(F.lit(cut).cast("double").alias("cut"), F.count_if(F.col(score) > F.lit(cut)).alias("n_above"))

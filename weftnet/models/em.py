@@ -8,10 +8,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import linalg
@@ -71,36 +72,66 @@ class Fit:
 
 
 class Convergence:
-    """Every tenth iteration: as often as ``decision`` in a row with less than ``tol`` of change, it has converged.
+    """When a fit has converged, as ``models.local`` tells it.
 
-    The change is the objective's ("log"), or the largest of any parameter since the test before ("deltas").
+    "log" asks every tenth iteration for the objective, "deltas" in each for the largest change of any parameter in it;
+    with less than ``tol`` more often than ``decision`` times in a row, it has.
     """
 
-    def __init__(self, tol: float = 1e-4, decision: int = 10, every: int = 10, flag_conv: str = "log", keep: Checkpoints | None = None):
+    def __init__(self, tol: float = 1e-4, decision: int = 10, every: int = 10, flag_conv: str = "log"):
         if flag_conv not in ("log", "deltas"):
             raise ValueError("flag_conv has to be log or deltas")
-        self.tol, self.decision, self.every, self.flag_conv, self.keep = tol, decision, every, flag_conv, keep
-        self.before, self.hits = -np.inf, 0
-        self.state: tuple[DataFrame, np.ndarray] | None = None
+        self.tol, self.decision, self.every, self.flag_conv = tol, decision, every, flag_conv
+        self.before, self.hits, self.moved = -np.inf, 0, 0.0
+        self.rest: np.ndarray | None = None
+        self.history: list[float] = []
 
-    def due(self, iteration: int) -> bool:
-        return iteration % self.every == 0
+    @staticmethod
+    def _flat(others) -> np.ndarray:
+        return np.concatenate([np.ravel(np.asarray(x, float)) for x in others])
 
-    def __call__(self, value: float, params: DataFrame | None = None, *others) -> bool:
-        if self.flag_conv == "deltas":
-            rest = np.concatenate([np.ravel(np.asarray(x, float)) for x in others])
-            change = np.inf
-            if self.state is not None:
-                columns = [c for c in params.columns if c != "i"]
-                moved = [x or 0.0 for x in linalg.largest_change(self.state[0], params, columns).first()]
-                change = max(*moved, float(np.abs(rest - self.state[1]).max(initial=0.0)))
-            self.state = (self.keep.save(params, "checked"), rest)
-        else:
-            change = abs(value - self.before)
+    def begin(self, *others) -> None:
+        """What isn't a node's parameter, before the first iteration."""
+        self.rest = self._flat(others)
+
+    def _hit(self, change: float) -> bool:
         self.hits = self.hits + 1 if change < self.tol else 0
-        self.before = value
         return self.hits > self.decision
 
+    def __call__(self, iteration: int, last: bool, objective: Callable[[], float], *others) -> bool:
+        if self.flag_conv == "deltas":
+            rest = self._flat(others)
+            done = self._hit(max(self.moved, float(np.abs(rest - self.rest).max(initial=0.0))))
+            self.rest, self.moved = rest, 0.0
+            if done or last:
+                self.history.append(objective())
+            return done
+        if iteration % self.every and not last:
+            return False
+        self.history.append(objective())
+        done = self._hit(abs(self.history[-1] - self.before))
+        self.before = self.history[-1]
+        return done
+
+
+def _stepped(
+    keep: Checkpoints, stop: Convergence, params: DataFrame, size: int, side: str, least: float,
+    step: Callable[[DataFrame], DataFrame],
+) -> DataFrame:
+    """params after a step of one side, clamped and written.
+
+    Where changes decide convergence, a row holds old and new values, and the job that writes it takes the largest change.
+    """
+    if stop.flag_conv != "deltas":
+        return keep.save(steps.clamped(step(params), size, side, least), "params")
+    own = linalg.names(side, size)
+    new = steps.clamped(step(params.withColumns({f"old_{c}": F.col(c) for c in own})), size, side, least)
+    seen = Observation()
+    moved = F.max(F.greatest(F.lit(0.0), *[F.abs(F.col(c) - F.col(f"old_{c}")) for c in own]))
+    saved = keep.save(new.observe(seen, moved.alias("moved")).drop(*[f"old_{c}" for c in own]), "params")
+    stop.moved = max(stop.moved, float(seen.get["moved"] or 0.0))
+    return saved
+
 
 def _begun(spark: SparkSession, edges: DataFrame, begin: tuple) -> tuple[DataFrame, np.ndarray]:
     """A start given as arrays u, v (a row per node, nodes in order) and w; the nodes are as many as its rows."""
@@ -114,7 +145,55 @@ def _begun(spark: SparkSession, edges: DataFrame, begin: tuple) -> tuple[DataFra
     return spark.createDataFrame(rows, "i long, " + ", ".join(f"{c} double" for c in cols)), w
 
 
+@dataclass(frozen=True)
+class Begin:
+    """A start from tables: params (i, u.., v..), the affinity as an array or (a, w..), for MTCOV beta.
+
+    Values are moved by up to ``noise`` times the largest of their column, by a hash of seed, node and column.
+    """
+
+    params: DataFrame
+    w: np.ndarray | DataFrame
+    beta: np.ndarray | None = None
+    noise: float = 0.0
+    seed: int = 0
+
+    def affinity(self) -> np.ndarray:
+        if isinstance(self.w, np.ndarray):
+            w = self.w.astype(float)
+        else:
+            cols = [c for c in self.w.columns if c != "a"]
+            rows = [[float(r[c]) for c in cols] for r in self.w.orderBy("a").collect()]  # a row per layer
+            w = np.array(rows)
+            if "_" in cols[0]:
+                size = int(len(cols) ** 0.5)
+                w = w.reshape(len(rows), size, size)
+        if self.noise:
+            w = w + self.noise * w.max() * np.random.default_rng((self.seed, 3)).random(w.shape)
+        return w
+
+    def members(self, edges: DataFrame) -> DataFrame:
+        """The start of the network's nodes, joined by label; a node that only one of the two has is an error."""
+        cols = [c for c in self.params.columns if c != "i"]
+        nodes = tensor.nodes_of(edges).withColumn("has", F.lit(True))
+        both = nodes.join(self.params.withColumn("given", F.lit(True)), "i", "full_outer")
+        lone = both.agg(F.count_if(F.col("has").isNull()).alias("more"), F.count_if(F.col("given").isNull()).alias("less")).first()
+        if lone["more"] or lone["less"]:
+            raise ValueError(f"the start lacks {lone['less']} nodes of the network and has {lone['more']} others")
+        if not self.noise:
+            return both.select("i", *cols)
+        tops = both.agg(*[F.max(c).alias(c) for c in cols]).first()
+        unit = lambda k: F.pmod(F.xxhash64("i", F.lit(self.seed), F.lit(k)), F.lit(1 << 30)) / float(1 << 30)
+        return both.select("i", *[(F.col(c) + self.noise * float(tops[c]) * unit(k)).alias(c) for k, c in enumerate(cols)])
+
+
 def _start(spark, edges, layers, size, assortative, normalise, seed, begin=None):
+    if isinstance(begin, Begin):
+        params, w = begin.members(edges), begin.affinity()
+        shape = (layers, size) if assortative else (layers, size, size)
+        if w.shape != shape or len(params.columns) != 1 + 2 * size:
+            raise ValueError(f"the start's affinity is {w.shape}, asked for are {shape}")
+        return params, w
     if begin is not None:
         return _begun(spark, edges, begin)
     nodes = tensor.nodes_of(edges)
@@ -129,50 +208,41 @@ def _start(spark, edges, layers, size, assortative, normalise, seed, begin=None)
     return params, rng.random((layers, size) if assortative else (layers, size, size))
 
 
-def _sum_to_one(new: DataFrame, down: np.ndarray, size: int, side: str) -> DataFrame:
-    """Rows of ``new`` (the unconstrained quotients with ``down``) moved by a multiplier of their own to sum to 1."""
-    from . import local
-
-    cols = [f"{side}{k}" for k in range(size)]
-
-    def run(frames):
-        for frame in frames:
-            x = frame[cols].to_numpy(float) * down
-            frame[cols] = local._sum_one(x, np.broadcast_to(down, x.shape))
-            yield frame
-
-    return new.mapInPandas(run, new.schema)
-
-
 def fit_crep(
     spark: SparkSession, edges: DataFrame, size: int = 3, layers: int = 1, eta0: float = 0.3, assortative: bool = True,
     constrained: bool = True, undirected: bool = False, fix_eta: bool = False, fix_w: bool = False, max_iter: int = 1000, tol: float = 1e-4,
     decision: int = 10, err_max: float = 1e-12, seed: int | None = None,
-    begin: tuple | None = None, flag_conv: str = "log",
+    begin: tuple | None = None, flag_conv: str = "log", held: DataFrame | None = None,
 ) -> Fit:
-    """Conditional reciprocity: eta, then u, v and w, each with the parameters just updated."""
+    """Conditional reciprocity: eta, then u, v and w, each with the parameters just updated; ``held`` cells don't count."""
     keep = Checkpoints(spark, "crep")
+    nodes = edges
+    if held is not None:
+        held = keep.save(held.select("a", "i", "j").distinct())
+        edges = tensor.without(edges, held)
     data = keep.save(tensor.with_reverse(edges))
-    params, w = _start(spark, edges, layers, size, assortative, True, seed, begin)
-    params, eta, stop = keep.save(params, "params"), eta0, Convergence(tol, decision, flag_conv=flag_conv, keep=keep)
-    history, done, it = [], False, 0
+    weight = None if held is None else steps.answered(data.select("a", "i", "j", "w"), held)
+    params, w = _start(spark, nodes, layers, size, assortative, True, seed, begin)
+    params, eta, stop = keep.save(params, "params"), eta0, Convergence(tol, decision, flag_conv=flag_conv)
+    done, it = False, 0
+    stop.begin(w, eta)
     rows = lambda: linalg.gather(data, params, linalg.affinity_frame(spark, w), size)
+    gone = lambda: None if held is None else linalg.gather(held, params, linalg.affinity_frame(spark, w), size)
     while not done and it < max_iter:
         if not fix_eta:
-            eta = steps.crep_eta(rows(), eta, size, assortative)
-        params = keep.save(steps.clamped(steps.crep_u(rows(), params, w, eta, size, constrained), size, "u", err_max), "params")
+            eta = steps.crep_eta(rows(), eta, size, assortative, weight)
+        for side in ("u",) if undirected else ("u", "v"):
+            step = lambda p: steps.crep_member(rows(), p, w, eta, size, constrained, side, gone())  # noqa: B023, E731
+            params = _stepped(keep, stop, params, size, side, err_max, step)
         if undirected:
             params = params.withColumns({f"v{k}": F.col(f"u{k}") for k in range(size)})
-        else:
-            params = keep.save(steps.clamped(steps.crep_v(rows(), params, w, eta, size, constrained), size, "v", err_max), "params")
         if not fix_w:
-            w = np.where((x := steps.crep_w(rows(), params, w, eta, size)) < err_max, 0.0, x)
+            w = np.where((x := steps.crep_w(rows(), params, w, eta, size, gone())) < err_max, 0.0, x)
         it += 1
-        if stop.due(it) or it == max_iter:
-            history.append(steps.crep_likelihood(rows(), params, w, eta, size))
-            done = stop(history[-1], params, w, eta)
+        objective = lambda: steps.crep_likelihood(rows(), params, w, eta, size, gone(), weight)  # noqa: B023, E731
+        done = stop(it, it == max_iter, objective, w, eta)
     keep.close()
-    return Fit(params, w, {"eta": eta, "maxL": history[-1], "final_it": it}, history, done)
+    return Fit(params, w, {"eta": eta, "maxL": stop.history[-1], "final_it": it}, stop.history, done)
 
 
 def fit_mtcov(
@@ -188,12 +258,15 @@ def fit_mtcov(
     params = keep.save(params, "params")
     raw = np.array([[((k * 7 + z * 3) % 10 + 1) / 10 for z in range(categories)] for k in range(size)])
     beta = raw / raw.sum(1, keepdims=True)
-    if begin is not None:
+    if isinstance(begin, Begin):
+        beta = beta if begin.beta is None else np.array(begin.beta, float)
+    elif begin is not None:
         beta = np.array(begin[3], float)
     elif seed is not None:
         beta = np.random.default_rng((seed, 1)).random(raw.shape)
         beta = beta / beta.sum(1, keepdims=True)
-    stop, history, done, it = Convergence(tol, decision, flag_conv=flag_conv, keep=keep), [], False, 0
+    stop, done, it = Convergence(tol, decision, flag_conv=flag_conv), False, 0
+    stop.begin(w, beta)
     rows = lambda: linalg.gather(data, params, linalg.affinity_frame(spark, w), size)
     known = lambda: steps.with_category(attributes, params, steps.beta_frame(spark, beta))
     while not done and it < max_iter:
@@ -202,59 +275,55 @@ def fit_mtcov(
         if gamma != 0:
             beta = steps.mtcov_beta(known(), beta, undirected, err_max)
         for side in ("u",) if undirected else ("u", "v"):
-            new = steps.mtcov_member(rows(), known(), params, size, assortative, gamma, side, undirected)
-            params = keep.save(steps.clamped(new, size, side, err_max), "params")
+            step = lambda p: steps.mtcov_member(rows(), known(), p, size, assortative, gamma, side, undirected)  # noqa: B023, E731
+            params = _stepped(keep, stop, params, size, side, err_max, step)
         if undirected:
             params = params.withColumns({f"v{k}": F.col(f"u{k}") for k in range(size)})
         it += 1
-        if stop.due(it) or it == max_iter:
-            history.append(steps.mtcov_likelihood(rows(), known(), params, w, gamma, size, undirected))
-            done = stop(history[-1], params, w, beta)
+        objective = lambda: steps.mtcov_likelihood(rows(), known(), params, w, gamma, size, undirected)  # noqa: B023, E731
+        done = stop(it, it == max_iter, objective, w, beta)
     scalars = {f"beta{k}_{z}": beta[k, z] for k in range(size) for z in range(categories)}
     keep.close()
-    return Fit(params, w, {"gamma": gamma, "maxL": history[-1], "final_it": it} | scalars, history, done)
+    return Fit(params, w, {"gamma": gamma, "maxL": stop.history[-1], "final_it": it} | scalars, stop.history, done)
 
 
 def fit_jointcrep(
     spark: SparkSession, edges: DataFrame, size: int = 3, layers: int = 1, eta0: float = 2.0, assortative: bool = True,
     use_approximation: bool = False, fix_eta: bool = False, fix_communities: bool = False, fix_w: bool = False,
     max_iter: int = 500, tol: float = 1e-4, decision: int = 10, err_max: float = 1e-12, seed: int | None = None,
-    begin: tuple | None = None, flag_conv: str = "log",
+    begin: tuple | None = None, flag_conv: str = "log", whole: DataFrame | None = None,
 ) -> Fit:
-    """Joint reciprocity: u, v, w, eta. Exact normalisers pass over all pairs; the approximation needs none."""
+    """Joint reciprocity: u, v, w, eta. Exact normalisers, and the objective, pass over blocks of pairs; the approximate
+    updates need none. ``whole`` are edges whose nodes take part beside those of ``edges``."""
     keep = Checkpoints(spark, "joint")
     data = keep.save(tensor.with_reverse(edges))
     both = float(data.agg(F.sum(F.col("w") * F.col("w_rev"))).first()[0] or 0.0)
-    params, w = _start(spark, edges, layers, size, assortative, False, seed, begin)
-    params, eta, stop = keep.save(params, "params"), eta0, Convergence(tol, decision, flag_conv=flag_conv, keep=keep)
-    history, done, it = [], False, 0
+    params, w = _start(spark, edges if whole is None else whole, layers, size, assortative, False, seed, begin)
+    params, eta, stop = keep.save(params, "params"), eta0, Convergence(tol, decision, flag_conv=flag_conv)
+    done, it = False, 0
+    stop.begin(w, eta)
     frame = lambda: linalg.affinity_frame(spark, w)
     rows = lambda: linalg.gather(data, params, frame(), size)
-    cells = lambda: steps.pairs(params, frame(), size, assortative)
     while not done and it < max_iter:
         if not fix_communities:
             for side in ("u", "v"):
-                new = (
-                    steps.joint_member_approx(rows(), params, w, eta, size, side)
-                    if use_approximation
-                    else steps.joint_member(rows(), cells(), params, eta, size, assortative, side)
-                )
-                params = keep.save(steps.clamped(new, size, side, err_max), "params")
+                member = steps.joint_member_approx if use_approximation else steps.joint_member
+                step = lambda p: member(rows(), p, w, eta, size, side)  # noqa: B023, E731
+                params = _stepped(keep, stop, params, size, side, err_max, step)
         if not fix_w:
             x = (
                 steps.joint_w_approx(rows(), params, w, eta, size)
                 if use_approximation
-                else steps.joint_w(rows(), cells(), w, eta, size)
+                else steps.joint_w(rows(), params, w, eta, size)
             )
             w = np.where(x < err_max, 0.0, x)
         if not fix_eta:
-            eta = steps.joint_eta_approx(params, w, both, size) if use_approximation else steps.joint_eta(cells(), eta, both)
+            eta = steps.joint_eta_approx(params, w, both, size) if use_approximation else steps.joint_eta(params, w, eta, both, size)
         it += 1
-        if stop.due(it) or it == max_iter:
-            history.append(steps.joint_likelihood(rows(), cells(), eta, both, size, assortative))
-            done = stop(history[-1], params, w, eta)
+        objective = lambda: steps.joint_likelihood(rows(), params, w, eta, both, size)  # noqa: B023, E731
+        done = stop(it, it == max_iter, objective, w, eta)
     keep.close()
-    return Fit(params, w, {"eta": eta, "maxL": history[-1], "final_it": it}, history, done)
+    return Fit(params, w, {"eta": eta, "maxL": stop.history[-1], "final_it": it}, stop.history, done)
 
 
 def fit_dyncrep(
@@ -272,8 +341,9 @@ def fit_dyncrep(
     data, sums = keep.save(fresh), found.first().asDict()
     layers = snapshots if temporal else 1
     params, w = _start(spark, edges, layers, size, assortative, True, seed, begin)
-    params, eta, beta, stop = keep.save(params, "params"), eta0, beta0, Convergence(tol, decision, flag_conv=flag_conv, keep=keep)
-    history, done, it = [], False, 0
+    params, eta, beta, stop = keep.save(params, "params"), eta0, beta0, Convergence(tol, decision, flag_conv=flag_conv)
+    done, it = False, 0
+    stop.begin(w, eta, beta)
 
     def rows() -> DataFrame:
         shown = w if temporal else np.repeat(w, snapshots, 0)
@@ -281,11 +351,14 @@ def fit_dyncrep(
 
     while not done and it < max_iter:
         for side in () if fix_communities else ("u", "v"):
-            new = steps.dyn_member(rows(), params, w, eta, beta, size, side, snapshots, ag, bg)
-            if constrained or (constraintU and side == "u"):
-                down = steps.dyn_denominator(params, w, beta, size, side, snapshots, bg)
-                new = _sum_to_one(new.select("i", *[f"{x}{k}" for x in "uv" for k in range(size)]), down, size, side)
-            params = keep.save(steps.clamped(new, size, side, err_max), "params")
+            def step(p: DataFrame, side: str = side) -> DataFrame:
+                new = steps.dyn_member(rows(), p, w, eta, beta, size, side, snapshots, ag, bg)
+                if constrained or (constraintU and side == "u"):
+                    down = steps.dyn_denominator(p, w, beta, size, side, snapshots, bg)
+                    new = steps.sum_to_one(new.drop(*linalg.names("r", size)), down, size, side)
+                return new
+
+            params = _stepped(keep, stop, params, size, side, err_max, step)
         if not fix_w:
             w = (
                 steps.dyn_w(rows(), params, w, eta, beta, size, snapshots)
@@ -298,11 +371,10 @@ def fit_dyncrep(
         if not fix_eta:
             eta = steps.dyn_eta(rows(), eta, beta, sums, size, assortative)
         it += 1
-        if stop.due(it) or it == max_iter:
-            history.append(steps.dyn_likelihood(rows(), params, w, eta, beta, sums, size, snapshots, ag, bg, not constraintU))
-            done = stop(history[-1], params, w, eta, beta)
+        objective = lambda: steps.dyn_likelihood(rows(), params, w, eta, beta, sums, size, snapshots, ag, bg, not constraintU)  # noqa: B023, E731
+        done = stop(it, it == max_iter, objective, w, eta, beta)
     keep.close()
-    return Fit(params, w, {"eta": eta, "beta": beta, "maxL": history[-1], "final_it": it}, history, done)
+    return Fit(params, w, {"eta": eta, "beta": beta, "maxL": stop.history[-1], "final_it": it}, stop.history, done)
 
 
 def fit_acd(
@@ -310,32 +382,39 @@ def fit_acd(
     ag: float = 1.5, bg: float = 10.0, assortative: bool = True, constrained: bool = False, fix_pi: bool = False,
     fix_mu: bool = False, flag_anomaly: bool = True, max_iter: int = 500, tol: float = 0.1, decision: int = 2, err_max: float = 1e-8,
     seed: int | None = None,
-    begin: tuple | None = None, flag_conv: str = "log",
+    begin: tuple | None = None, flag_conv: str = "log", held: DataFrame | None = None, observed=None,
 ) -> Fit:
-    """Regular and anomalous edges: u, v, w, pi, mu, each over the pairs weighted with the latest posterior."""
+    """Regular and anomalous edges: u, v, w, pi, mu, each over the observed pairs weighted with the latest posterior.
+
+    Cells that don't count are ``held``, a relation, or those that ``observed`` (``masks.Fold``) leaves out.
+    """
     keep = Checkpoints(spark, "acd")
+    nodes = edges
+    if held is not None:
+        held = keep.save(held.select("a", "i", "j").distinct())
+        edges = tensor.without(edges, held)
+    if observed is not None:
+        edges = edges.filter(observed.column())
     linked = keep.save(tensor.closure(edges))
-    params, w = _start(spark, edges, layers, size, assortative, True, seed, begin)
-    params, pi, mu, stop = keep.save(params, "params"), pi0, mu0 if flag_anomaly else 0.0, Convergence(tol, decision, flag_conv=flag_conv, keep=keep)
-    nodes = params.count()
-    history, done, it = [], False, 0
+    params, w = _start(spark, nodes, layers, size, assortative, True, seed, begin)
+    params, pi, mu, stop = keep.save(params, "params"), pi0, mu0 if flag_anomaly else 0.0, Convergence(tol, decision, flag_conv=flag_conv)
+    count = params.count()
+    done, it = False, 0
+    stop.begin(w, pi, mu)
 
-    def posterior() -> DataFrame:
-        cells = steps.pairs(params, linalg.affinity_frame(spark, w), size, assortative)
-        return steps.anomaly(cells, linked, mu, pi)
+    def q(latest: DataFrame | None = None) -> steps.Anomalies:
+        return steps.Anomalies(linked, params if latest is None else latest, w, mu, pi, size, linalg.affinity_frame(spark, w), held, observed)
 
     while not done and it < max_iter:
         for side in ("u", "v"):
-            new = steps.acd_member(posterior(), params, size, assortative, side, ag, bg, constrained)
-            params = keep.save(steps.clamped(new, size, side, err_max), "params")
-        w = np.where((x := steps.acd_w(posterior(), w, size, ag, bg)) < err_max, 0.0, x)
-        if flag_anomaly and not (fix_pi and fix_mu):
-            rates = steps.acd_rates(posterior(), nodes)
-            pi = pi if fix_pi else rates[0]
-            mu = mu if fix_mu else steps.acd_rates(posterior(), nodes)[1] if not fix_pi else rates[1]
+            step = lambda p: steps.acd_member(q(p), side, ag, bg, constrained)  # noqa: B023, E731
+            params = _stepped(keep, stop, params, size, side, err_max, step)
+        w = np.where((x := steps.acd_w(q(), ag, bg)) < err_max, 0.0, x)
+        if flag_anomaly and not fix_pi:
+            pi = steps.acd_rates(q(), count)[0]
+        if flag_anomaly and not fix_mu:
+            mu = steps.acd_rates(q(), count)[1]
         it += 1
-        if stop.due(it) or it == max_iter:
-            history.append(steps.acd_elbo(posterior(), params, mu, pi, size, ag, bg))
-            done = stop(history[-1], params, w, pi, mu)
+        done = stop(it, it == max_iter, lambda: steps.acd_elbo(q(), ag, bg), w, pi, mu)
     keep.close()
-    return Fit(params, w, {"pi": pi, "mu": mu, "maxL": history[-1], "final_it": it}, history, done)
+    return Fit(params, w, {"pi": pi, "mu": mu, "maxL": stop.history[-1], "final_it": it}, stop.history, done)

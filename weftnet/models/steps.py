@@ -2,8 +2,11 @@
 
 All take canonical relations (see functions.linalg) and return node relations, or numbers of the size of the
 affinity on the driver. Sums over all pairs are factorised wherever the model allows; where it doesn't
-(exact normalisers of the joint model, anomaly posteriors) ``pairs`` makes the pairs in one pass and only
-sums leave it.
+(exact normalisers of the joint model, anomaly posteriors) a step takes one pass over blocks of pairs
+(``models.blocks``), from which only sums leave, and mends them on the linked cells by a join.
+
+``held`` are cells (a, i, j) that aren't observed: a step subtracts what they add to its normalisers, by a join over
+them alone. Edges given to a step are those observed.
 """
 
 from __future__ import annotations
@@ -26,6 +29,7 @@ from ..functions.linalg import (
     total,
     toward,
 )
+from . import blocks
 
 
 def ratio(up: Column, down: Column) -> Column:
@@ -79,6 +83,31 @@ def clamped(params: DataFrame, size: int, side: str, least: float) -> DataFrame:
     return params.withColumns({c: clamp(F.col(c), least) for c in names(side, size)})
 
 
+#: Rounds of the safeguarded iteration of ``sum_to_one``; from its start it takes about ten.
+ROOT_ROUNDS = 60
+
+
+def sum_to_one(new: DataFrame, down: np.ndarray, size: int, side: str) -> DataFrame:
+    """Rows of ``new``, quotients x / down, moved by a multiplier of their own to x / (down + m) of sum 1.
+
+    The sum falls in m, from infinity at the largest m that makes a denominator 0, and is convex there: Newton's
+    iteration from the left end of the interval (where one term alone is 1 or more) climbs to the root without passing
+    it. It is a fold over the row's values, in generated code; rows of zeros stay.
+    """
+    x = {k: F.col(f"{side}{k}") * float(down[k]) for k in range(size)}
+    # below the root: the largest of x_k - down_k, where the k-th term is 1
+    least = F.greatest(F.lit(-float("inf")), *[F.when(x[k] > 0, x[k] - float(down[k])) for k in range(size)])
+    terms = [F.struct(F.greatest(x[k], F.lit(0.0)).alias("x"), F.lit(float(down[k])).alias("y")) for k in range(size)]
+    rows = new.withColumns({"__wn_t": F.filter(F.array(*terms), lambda t: t["x"] > 0), "__wn_m": least})
+    over = lambda m: F.aggregate("__wn_t", F.lit(0.0), lambda s, t: s + t["x"] / (t["y"] + m))
+    slope = lambda m: F.aggregate("__wn_t", F.lit(0.0), lambda s, t: s + t["x"] / ((t["y"] + m) * (t["y"] + m)))
+    climb = F.aggregate(F.sequence(F.lit(1), F.lit(ROOT_ROUNDS)), F.col("__wn_m"), lambda m, _: m + F.greatest(over(m) - 1, F.lit(0.0)) / slope(m))
+    rows = rows.withColumn("__wn_m", F.when(F.size("__wn_t") > 0, climb))
+    some = F.col("__wn_m").isNotNull()
+    found = {f"{side}{k}": F.when(some & (x[k] > 0), x[k] / (float(down[k]) + F.col("__wn_m"))).when(some, 0.0).otherwise(F.col(f"{side}{k}")) for k in range(size)}
+    return rows.withColumns(found).drop("__wn_t", "__wn_m")
+
+
 # --- conditional reciprocity (CRep) ---
 
 
@@ -87,31 +116,70 @@ def conditional_mean(size: int, assortative: bool, eta: float) -> Column:
     return mean(size, assortative) + F.lit(float(eta)) * F.col("w_rev")
 
 
-def crep_eta(rows: DataFrame, eta: float, size: int, assortative: bool) -> float:
-    """eta * sum(w / M * w_rev) / sum(w)."""
+def answered(edges: DataFrame, held: DataFrame | None = None) -> float:
+    """The weight of the edges whose reverse cell is observed: what eta's normaliser sums."""
+    if held is not None:
+        back = held.select("a", F.col("j").alias("i"), F.col("i").alias("j"))
+        edges = edges.join(back, ["a", "i", "j"], "left_anti")
+    return float(edges.agg(F.sum("w")).first()[0] or 0.0)
+
+
+def crep_eta(rows: DataFrame, eta: float, size: int, assortative: bool, weight: float | None = None) -> float:
+    """eta * sum(w / M * w_rev) / sum(w), or over ``weight``, what is ``answered`` where cells are held out."""
     rho = ratio(F.col("w"), conditional_mean(size, assortative, eta))
     up, down = rows.agg(F.sum(rho * F.col("w_rev")), F.sum("w")).first()
+    down = down if weight is None else weight
     return eta * float(up or 0.0) / float(down) if down else 0.0
 
 
-def crep_u(rows: DataFrame, params: DataFrame, w: np.ndarray, eta: float, size: int, constrained: bool) -> DataFrame:
-    assortative = w.ndim == 2
-    rho = ratio(F.col("w"), conditional_mean(size, assortative, eta))
-    new = multiplied(params, out_sums(rows, rho, size, assortative), size, "u")
-    if constrained:
-        return normalise_rows(new, size, ("u",))
-    _, sv = column_sums(params, size)
-    return divided(new, full(w).sum(0) @ sv, size, "u")
+def without_held(held: DataFrame, size: int, assortative: bool, side: str) -> DataFrame:
+    """(i, d0..): what held-out cells with the parameters of their ends add to the normalisers of u or v."""
+    sums = (out_sums if side == "u" else in_sums)(held, F.lit(1.0), size, assortative)
+    return sums.select("i", *[F.col(f"r{k}").alias(f"d{k}") for k in range(size)])
 
 
-def crep_v(rows: DataFrame, params: DataFrame, w: np.ndarray, eta: float, size: int, constrained: bool) -> DataFrame:
+def divided_by_node(params: DataFrame, less: DataFrame, by: np.ndarray, size: int, side: str) -> DataFrame:
+    """u (or v) over a vector less the node's own part d0.. of it; where nothing is left, 0."""
+    joined = params.join(less, "i", "left")
+    left = [F.lit(float(by[k])) - F.coalesce(f"d{k}", F.lit(0.0)) for k in range(size)]
+    # what is left of a node with all of its cells held out is rounding
+    new = {
+        f"{side}{k}": F.when(x > abs(float(by[k])) * 1e-12, F.col(f"{side}{k}") / F.nullif(x, F.lit(0.0))).otherwise(0.0)
+        for k, x in enumerate(left)
+    }
+    return joined.withColumns(new).drop(*names("d", size))
+
+
+def crep_member(
+    rows: DataFrame, params: DataFrame, w: np.ndarray, eta: float, size: int, constrained: bool, side: str,
+    held: DataFrame | None = None,
+) -> DataFrame:
+    """u times its edges' part over the observed cells' part, or rows normalised; the same for v.
+
+    ``held`` are the cells that aren't observed, with the parameters of their ends (``linalg.gather``).
+    """
     assortative = w.ndim == 2
     rho = ratio(F.col("w"), conditional_mean(size, assortative, eta))
-    new = multiplied(params, in_sums(rows, rho, size, assortative), size, "v")
+    new = multiplied(params, (out_sums if side == "u" else in_sums)(rows, rho, size, assortative), size, side)
     if constrained:
-        return normalise_rows(new, size, ("v",))
-    su, _ = column_sums(params, size)
-    return divided(new, su @ full(w).sum(0), size, "v")
+        return normalise_rows(new, size, (side,))
+    su, sv = column_sums(params, size)
+    whole = full(w).sum(0) @ sv if side == "u" else su @ full(w).sum(0)
+    if held is None:
+        return divided(new, whole, size, side)
+    return divided_by_node(new, without_held(held, size, assortative, side), whole, size, side)
+
+
+def crep_u(
+    rows: DataFrame, params: DataFrame, w: np.ndarray, eta: float, size: int, constrained: bool, held: DataFrame | None = None
+) -> DataFrame:
+    return crep_member(rows, params, w, eta, size, constrained, "u", held)
+
+
+def crep_v(
+    rows: DataFrame, params: DataFrame, w: np.ndarray, eta: float, size: int, constrained: bool, held: DataFrame | None = None
+) -> DataFrame:
+    return crep_member(rows, params, w, eta, size, constrained, "v", held)
 
 
 def outer(su: np.ndarray, sv: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -125,17 +193,31 @@ def over(up: np.ndarray, down: np.ndarray) -> np.ndarray:
     return out
 
 
-def crep_w(rows: DataFrame, params: DataFrame, w: np.ndarray, eta: float, size: int) -> np.ndarray:
+def crep_w(
+    rows: DataFrame, params: DataFrame, w: np.ndarray, eta: float, size: int, held: DataFrame | None = None
+) -> np.ndarray:
     rho = ratio(F.col("w"), conditional_mean(size, w.ndim == 2, eta))
-    return over(w * layer_sums(rows, rho, size, w.ndim == 2, len(w)), outer(*column_sums(params, size), w))
+    up = w * layer_sums(rows, rho, size, w.ndim == 2, len(w))
+    down = outer(*column_sums(params, size), w)
+    if held is not None:
+        down = down - layer_sums(held, F.lit(1.0), size, w.ndim == 2, len(w))
+        down = np.where(down > 1e-12 * np.abs(outer(*column_sums(params, size), w)), down, 0.0)
+    return over(up, down)
 
 
-def crep_likelihood(rows: DataFrame, params: DataFrame, w: np.ndarray, eta: float, size: int) -> float:
-    """-sum lambda - eta * sum A + sum A log M; the first sum is factorised."""
+def crep_likelihood(
+    rows: DataFrame, params: DataFrame, w: np.ndarray, eta: float, size: int, held: DataFrame | None = None,
+    weight: float | None = None,
+) -> float:
+    """-sum lambda - eta * sum A^T + sum A log M over the observed cells; the first sum is factorised."""
     m = conditional_mean(size, w.ndim == 2, eta)
-    log_part, weight = rows.agg(F.sum(F.when(m > 0, F.col("w") * F.log(m)).otherwise(0.0)), F.sum("w")).first()
+    log_part, edges = rows.agg(F.sum(F.when(m > 0, F.col("w") * F.log(m)).otherwise(0.0)), F.sum("w")).first()
     su, sv = column_sums(params, size)
-    return float(-np.einsum("k,akq,q->", su, full(w), sv) - eta * (weight or 0.0) + (log_part or 0.0))
+    whole = float(np.einsum("k,akq,q->", su, full(w), sv))
+    if held is not None:
+        whole -= float(held.agg(F.sum(mean(size, w.ndim == 2))).first()[0] or 0.0)
+    weight = edges if weight is None else weight
+    return float(-whole - eta * (weight or 0.0) + (log_part or 0.0))
 
 
 # --- attributes (MTCOV) ---
@@ -226,9 +308,9 @@ def mtcov_likelihood_batch(
 
 
 def pairs(params: DataFrame, affinity: DataFrame, size: int, assortative: bool) -> DataFrame:
-    """(a, i, j, lam, lam_t, u.., v..) for all ordered pairs and layers: the block-wise pass over N^2 cells.
+    """(a, i, j, lam, lam_t, u.., v..) for all ordered pairs and layers: N^2 rows, for queries that list every cell.
 
-    u and v are of i and j; lam_t is the expected weight of (j, i). Only sums should leave it.
+    u and v are of i and j; lam_t is the expected weight of (j, i). Steps that only need sums use ``models.blocks``.
     """
     left = senders(params, size).join(receivers(params, size, "i", "y"), "i")
     right = receivers(params, size).join(senders(params, size, "j", "x"), "j")
@@ -242,14 +324,13 @@ def joint_z(eta: float) -> Column:
     return 1 + F.col("lam") + F.col("lam_t") + eta * F.col("lam") * F.col("lam_t")
 
 
-def joint_member(rows: DataFrame, cells: DataFrame, params: DataFrame, eta: float, size: int, assortative: bool, side: str) -> DataFrame:
+def joint_member(rows: DataFrame, params: DataFrame, w: np.ndarray, eta: float, size: int, side: str) -> DataFrame:
     """u times the edges' sums over the pairs' sums of (1 + eta lam_t) / Z times the other end's part."""
+    assortative = w.ndim == 2
     rho = F.when(F.col("lam") > 0, F.col("w") / F.col("lam")).otherwise(0.0)
     known = rows.withColumn("lam", mean(size, assortative))
     sums = (out_sums if side == "u" else in_sums)(known, rho, size, assortative)
-    grade = (1 + eta * F.col("lam_t")) / joint_z(eta)
-    down = (out_sums if side == "u" else in_sums)(cells, grade, size, assortative)
-    down = down.select("i", *[F.col(f"r{k}").alias(f"d{k}") for k in range(size)])
+    down = blocks.node_sums(params, w, size, blocks.Joint(eta), side)
     new = multiplied(params, sums, size, side).join(down, "i", "left")
     cols = {
         f"{side}{k}": F.when(F.col(f"d{k}") > 0, F.col(f"{side}{k}") / F.col(f"d{k}")).otherwise(0.0) for k in range(size)
@@ -257,26 +338,25 @@ def joint_member(rows: DataFrame, cells: DataFrame, params: DataFrame, eta: floa
     return new.withColumns(cols).drop(*names("d", size))
 
 
-def joint_w(rows: DataFrame, cells: DataFrame, w: np.ndarray, eta: float, size: int) -> np.ndarray:
+def joint_w(rows: DataFrame, params: DataFrame, w: np.ndarray, eta: float, size: int) -> np.ndarray:
     assortative = w.ndim == 2
     lam = mean(size, assortative)
     up = layer_sums(rows, F.when(lam > 0, F.col("w") / lam).otherwise(0.0), size, assortative, len(w))
-    down = layer_sums(cells, (1 + eta * F.col("lam_t")) / joint_z(eta), size, assortative, len(w))
-    return over(w * up, down)
+    return over(w * up, blocks.affinity_sums(params, w, size, blocks.Joint(eta)))
 
 
-def joint_eta(cells: DataFrame, eta: float, both: float) -> float:
+def joint_eta(params: DataFrame, w: np.ndarray, eta: float, both: float, size: int) -> float:
     """sum A A^T over the sum of lam lam_t / Z."""
-    down = cells.agg(F.sum(F.col("lam") * F.col("lam_t") / joint_z(eta))).first()[0]
+    down = blocks.scalar_sums(params, w, size, blocks.Joint(eta))["both"]
     if not down:
         raise ValueError("eta has a zero denominator")
     return float(both / down)
 
 
-def joint_likelihood(rows: DataFrame, cells: DataFrame, eta: float, both: float, size: int, assortative: bool) -> float:
-    lam = mean(size, assortative)
+def joint_likelihood(rows: DataFrame, params: DataFrame, w: np.ndarray, eta: float, both: float, size: int) -> float:
+    lam = mean(size, w.ndim == 2)
     edge = rows.agg(F.sum(F.when(lam > 0, F.col("w") * F.log(lam)).otherwise(0.0))).first()[0] or 0.0
-    norm = cells.agg(F.sum(F.log(joint_z(eta)))).first()[0] or 0.0
+    norm = blocks.scalar_sums(params, w, size, blocks.Joint(eta))["log_z"]
     return float(edge + 0.5 * np.log(eta) * both - 0.5 * norm)
 
 
@@ -467,71 +547,153 @@ def on_edge(w: Column, back: Column, lam: Column, lam_t: Column, mu: float, pi:
     return F.when(down > 0, odd / F.nullif(down, F.lit(0.0))).otherwise(odd)
 
 
-def anomaly(cells: DataFrame, closure: DataFrame, mu: float, pi: float) -> DataFrame:
-    """cells with w, w_rev and q, the probability that (i, j) is an anomaly: symmetric, 0 on the diagonal.
+def posterior(known: DataFrame, mu: float, pi: float) -> DataFrame:
+    """Cells (w, w_rev, lam, lam_t) with q, the probability of an anomaly, and q0, what it is without edges.
 
-    A direction with an edge has its Poisson posterior, any other the background's; the larger of a pair's
-    two holds for both.
+    q is symmetric and 0 on the diagonal. A direction with an edge has its Poisson posterior, any other the
+    background's; the larger of a pair's two holds for both.
     """
-    known = cells.join(closure, ["a", "i", "j"], "left").na.fill(0.0, ["w", "w_rev"])
     q0 = background(mu, pi)
     forth = F.when(F.col("w") > 0, on_edge(F.col("w"), F.col("w_rev"), F.col("lam"), F.col("lam_t"), mu, pi)).otherwise(q0)
     back = F.when(F.col("w_rev") > 0, on_edge(F.col("w_rev"), F.col("w"), F.col("lam_t"), F.col("lam"), mu, pi)).otherwise(q0)
     linked = (F.col("w") > 0) | (F.col("w_rev") > 0)
-    q = F.when(F.col("i") == F.col("j"), 0.0).when(linked, F.greatest(forth, back)).otherwise(q0)
-    return known.withColumn("q", q)
+    same = F.col("i") == F.col("j")
+    q = F.when(same, 0.0).when(linked, F.greatest(forth, back)).otherwise(q0)
+    return known.withColumns({"q": q, "q0": F.when(same, 0.0).otherwise(q0)})
+
+
+def anomaly(cells: DataFrame, closure: DataFrame, mu: float, pi: float) -> DataFrame:
+    """Cells with w, w_rev, q and q0: for queries that list them."""
+    return posterior(cells.join(closure, ["a", "i", "j"], "left").na.fill(0.0, ["w", "w_rev"]), mu, pi)
 
 
-def acd_member(q: DataFrame, params: DataFrame, size: int, assortative: bool, side: str, ag: float = 1.5, bg: float = 10.0, constrained: bool = False) -> DataFrame:
+def both_ends(cells: DataFrame, params: DataFrame, affinity: DataFrame, size: int, assortative: bool) -> DataFrame:
+    """Cells with u of i, v of j and the expected weights lam of (i, j) and lam_t of (j, i)."""
+    left = senders(params, size).join(receivers(params, size, "i", "y"), "i")
+    right = receivers(params, size).join(senders(params, size, "j", "x"), "j")
+    rows = cells.join(left, "i").join(right, "j").join(F.broadcast(affinity), "a")  # a row per layer
+    return rows.withColumns({"lam": mean(size, assortative), "lam_t": mean(size, assortative, "x", "y")})
+
+
+class Anomalies:
+    """What ACD's steps sum at one state of its parameters: linked cells by a join, all others by blocks.
+
+    ``linked`` is the closure of the observed edges. Of the cells ``held`` out, a relation, those that are linked by
+    their reverse edge have its posterior, the others the background's. ``observed`` (``masks.Fold``) says the same of
+    every cell by a rule, for folds too large to be listed; blocks ask it cell by cell.
+    """
+
+    def __init__(
+        self, linked: DataFrame, params: DataFrame, w: np.ndarray, mu: float, pi: float, size: int, affinity: DataFrame,
+        held: DataFrame | None = None, observed=None,
+    ):
+        self.observed = observed
+        self.params, self.w, self.mu, self.pi, self.size, self.assortative = params, w, mu, pi, size, w.ndim == 2
+        self.kernel = blocks.Background(mu, pi)
+        known = lambda cells: posterior(both_ends(cells, params, affinity, size, self.assortative), mu, pi)
+        self.rows, self.held = known(linked), None
+        if observed is not None:
+            self.rows = self.rows.filter(observed.column())
+        if held is not None:
+            cells = held.select("a", "i", "j").join(linked, ["a", "i", "j"], "left")
+            self.held = known(cells.na.fill(0.0, ["w", "w_rev"]))
+
+    def weight(self):
+        """w (1 - q) / lam on edges."""
+        lam = F.when(F.col("lam") == 0, 1.0).otherwise(F.col("lam"))
+        return F.when(F.col("w") > 0, F.col("w") * (1 - F.col("q")) / lam).otherwise(0.0)
+
+    def part(self, k: int, side: str) -> Column:
+        other = "v" if side == "u" else "u"
+        return toward(k, self.size, self.assortative, other, transposed=side == "v")
+
+    def members(self, side: str, normaliser: bool) -> DataFrame:
+        """(i, r0.., d0..): the edges' sums, and the sums of 1 - q over all observed cells."""
+        key, size = "i" if side == "u" else "j", self.size
+        sums = lambda rows, terms: rows.groupBy(F.col(key).alias("i")).agg(*[F.sum(x).alias(c) for c, x in terms.items()])
+        out = {f"r{k}": self.weight() * self.part(k, side) for k in range(size)}
+        if not normaliser:
+            return sums(self.rows, out)
+        less = {f"l{k}": (F.col("q") - F.col("q0")) * self.part(k, side) for k in range(size)}
+        found = self.params.select("i").join(sums(self.rows, out | less), "i", "left")
+        if self.mu or self.observed:
+            found = found.join(blocks.node_sums(self.params, self.w, size, self.kernel, side, self.observed), "i", "left")
+        else:
+            su, sv = column_sums(self.params, size)
+            whole = full(self.w).sum(0) @ sv if side == "u" else su @ full(self.w).sum(0)
+            found = found.withColumns({f"d{k}": F.lit(float(whole[k])) for k in range(size)})
+        if self.held is not None:
+            gone = {f"h{k}": (1 - F.col("q")) * self.part(k, side) for k in range(size)}
+            found = found.join(sums(self.held, gone), "i", "left")
+        zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+        parts = [zero(f"d{k}") - zero(f"l{k}") - (zero(f"h{k}") if self.held is not None else 0.0) for k in range(size)]
+        return found.select("i", *[zero(f"r{k}").alias(f"r{k}") for k in range(size)], *[F.greatest(x, F.lit(0.0)).alias(f"d{k}") for k, x in enumerate(parts)])
+
+    def affinities(self) -> tuple[np.ndarray, np.ndarray]:
+        """Sums of the edges' weights, and of 1 - q over all observed cells, times u v."""
+        w, size = self.w, self.size
+        up = layer_sums(self.rows, self.weight(), size, self.assortative, len(w))
+        if self.mu or self.observed:
+            down = blocks.affinity_sums(self.params, w, size, self.kernel, self.observed)
+        else:
+            down = outer(*column_sums(self.params, size), w)[None]
+        down = down - layer_sums(self.rows, F.col("q") - F.col("q0"), size, self.assortative, len(w))
+        if self.held is not None:
+            down = down - layer_sums(self.held, 1 - F.col("q"), size, self.assortative, len(w))
+        return up, np.maximum(down, 0.0)
+
+    def scalars(self) -> dict[str, float]:
+        """q, wq, regular (1 - q), entropy, mean ((1 - q) lam) and log ((1 - q) w log lam), over all observed cells."""
+        lam = F.col("lam")
+        h = lambda x: (
+            F.when(x > 0, -x * F.log(x + EPS)).otherwise(0.0) + F.when(x < 1, -(1 - x) * F.log(1 - x + EPS)).otherwise(0.0)
+        )
+        terms = lambda x: {"q": x, "regular": 1 - x, "entropy": h(x), "mean": (1 - x) * lam}
+        q, q0 = F.col("q"), F.col("q0")
+        moved = {c: F.sum(x - y).alias(c) for (c, x), y in zip(terms(q).items(), terms(q0).values(), strict=True)}
+        logs = F.when(F.col("w") > 0, (1 - q) * F.col("w") * F.log(lam + EPS)).otherwise(0.0)
+        edge = self.rows.agg(*moved.values(), F.sum(F.col("w") * q).alias("wq"), F.sum(logs).alias("log")).first().asDict()
+        out = {c: float(x or 0.0) for c, x in edge.items()}
+        for c, x in blocks.scalar_sums(self.params, self.w, self.size, self.kernel, self.observed).items():
+            out[c] += x
+        if self.held is not None:
+            gone = self.held.agg(*[F.sum(x).alias(c) for c, x in terms(q).items()]).first().asDict()
+            for c, x in gone.items():
+                out[c] -= float(x or 0.0)
+        return out
+
+
+def acd_member(q: Anomalies, side: str, ag: float = 1.5, bg: float = 10.0, constrained: bool = False) -> DataFrame:
     """(ag - 1 + u * edges' part) / (bg + pairs' part), both weighted with 1 - q; one pass over the pairs."""
-    lam = F.col("lam")
-    key = "i" if side == "u" else "j"
-    part = lambda k: toward(k, size, assortative) if side == "u" else toward(k, size, assortative, "u", transposed=True)
-    rho = F.when(F.col("w") > 0, F.col("w") * (1 - F.col("q")) / F.when(lam == 0, 1.0).otherwise(lam)).otherwise(0.0)
-    sums = q.groupBy(key).agg(
-        *[F.sum(rho * part(k)).alias(f"r{k}") for k in range(size)],
-        *[F.sum((1 - F.col("q")) * part(k)).alias(f"d{k}") for k in range(size)],
-    )
-    if key == "j":
-        sums = sums.withColumnRenamed("j", "i")
-    joined = params.join(sums, "i", "left")
+    size = q.size
+    joined = q.params.join(q.members(side, not constrained), "i", "left")
     zero = F.lit(0.0)
     new = {c: ag - 1 + F.col(c) * F.coalesce(F.col(f"r{k}"), zero) for k, c in enumerate(names(side, size))}
     out = joined.withColumns(new)
     if constrained:
-        return normalise_rows(out, size, (side,)).drop(*names("r", size), *names("d", size))
-    down = {c: F.col(c) / (bg + F.coalesce(F.col(f"d{k}"), zero)) for k, c in enumerate(names(side, size))}
+        return normalise_rows(out, size, (side,)).drop(*names("r", size))
+    down = {c: F.col(c) / (bg + F.col(f"d{k}")) for k, c in enumerate(names(side, size))}
     return out.withColumns(down).drop(*names("r", size), *names("d", size))
 
 
-def acd_w(q: DataFrame, w: np.ndarray, size: int, ag: float = 1.5, bg: float = 10.0) -> np.ndarray:
-    assortative = w.ndim == 2
-    lam = F.col("lam")
-    rho = F.when(F.col("w") > 0, F.col("w") * (1 - F.col("q")) / F.when(lam == 0, 1.0).otherwise(lam)).otherwise(0.0)
-    up = ag - 1 + w * layer_sums(q, rho, size, assortative, len(w))
-    return over(up, bg + layer_sums(q, 1 - F.col("q"), size, assortative, len(w)))
+def acd_w(q: Anomalies, ag: float = 1.5, bg: float = 10.0) -> np.ndarray:
+    up, down = q.affinities()
+    return over(ag - 1 + q.w * up, bg + down)
 
 
-def acd_rates(q: DataFrame, nodes: int) -> tuple[float, float]:
+def acd_rates(q: Anomalies, nodes: int) -> tuple[float, float]:
     """(pi, mu): sum A q / sum q, and sum q / (N (N - 1))."""
-    up, down = q.agg(F.sum(F.col("w") * F.col("q")), F.sum("q")).first()
-    return (float(up) / float(down) if down else 0.0), float(down or 0.0) / (nodes * (nodes - 1))
-
-
-def acd_elbo(q: DataFrame, params: DataFrame, mu: float, pi: float, size: int, ag: float = 1.5, bg: float = 10.0) -> float:
-    x, lam = F.col("q"), F.col("lam")
-    terms = q.agg(
-        F.sum(x).alias("q"),
-        F.sum(F.col("w") * x).alias("wq"),
-        F.sum(F.when(x > 0, -x * F.log(x + EPS)).otherwise(0.0) + F.when(x < 1, -(1 - x) * F.log(1 - x + EPS)).otherwise(0.0)).alias("h"),
-        F.sum((1 - x) * lam).alias("m"),
-        F.sum(F.when(F.col("w") > 0, (1 - x) * F.col("w") * F.log(lam + EPS)).otherwise(0.0)).alias("l"),
-        F.sum(1 - x).alias("p"),
-    ).first()
-    out = -pi * terms["q"] + np.log(pi + EPS) * terms["wq"] + terms["h"] - terms["m"] + terms["l"]
-    out += np.log(1 - mu + EPS) * terms["p"] + np.log(mu + EPS) * terms["q"]
-    both = [*names("u", size), *names("v", size)]
-    logs, plain = params.agg(
+    sums = q.scalars()
+    return (sums["wq"] / sums["q"] if sums["q"] else 0.0), sums["q"] / (nodes * (nodes - 1))
+
+
+def acd_elbo(q: Anomalies, ag: float = 1.5, bg: float = 10.0) -> float:
+    """The bound over the observed cells, with the priors of u and v."""
+    terms, pi, mu = q.scalars(), q.pi, q.mu
+    out = -pi * terms["q"] + np.log(pi + EPS) * terms["wq"] + terms["entropy"] - terms["mean"] + terms["log"]
+    out += np.log(1 - mu + EPS) * terms["regular"] + np.log(mu + EPS) * terms["q"]
+    both = [*names("u", q.size), *names("v", q.size)]
+    logs, plain = q.params.agg(
         F.sum(total([F.log(F.col(c) + EPS) for c in both])), F.sum(total([F.col(c) for c in both]))
     ).first()
     if ag > 1:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..evaluation import communities, link
-from ..functions import linalg
+from ..functions import linalg, order, shuffle
 from ..functions.linalg import mean, names
 from ..models import steps
 from ..operators import stats, tensor
@@ -562,13 +562,13 @@ def _joint_member(side: str) -> str:
 @query(_joint_member("u"))
 def joint_u_step(spark, d):
     s = handoff_start(spark, d)
-    return steps.joint_member(s.rows(), s.cells(), s.params, _JE, K, False, "u").select("i", "u0", "u1")
+    return steps.joint_member(s.rows(), s.params, s.w, _JE, K, "u").select("i", "u0", "u1")
 
 
 @query(_joint_member("v"))
 def joint_v_step(spark, d):
     s = handoff_start(spark, d)
-    return steps.joint_member(s.rows(), s.cells(), s.params, _JE, K, False, "v").select("i", "v0", "v1")
+    return steps.joint_member(s.rows(), s.params, s.w, _JE, K, "v").select("i", "v0", "v1")
 
 
 _JUP = f"h AS (SELECT a, {_WSUM.replace('x_', f'w / {lam()}')} FROM g GROUP BY a)"
@@ -578,7 +578,7 @@ _JUP = f"h AS (SELECT a, {_WSUM.replace('x_', f'w / {lam()}')} FROM g GROUP BY a
              "o AS (SELECT * FROM h JOIN dn USING (a) JOIN w USING (a))") + _unpivot_w("o", lambda k, q: f"w{k}_{q} * s{k}_{q} / d{k}_{q}"))
 def joint_w_step(spark, d):
     s = handoff_start(spark, d)
-    return matrix(spark, steps.joint_w(s.rows(), s.cells(), s.w, _JE, K), ("a", "k", "q"))
+    return matrix(spark, steps.joint_w(s.rows(), s.params, s.w, _JE, K), ("a", "k", "q"))
 
 
 def _both(s: Start) -> float:
@@ -588,13 +588,13 @@ def _both(s: Start) -> float:
 @query(with_(*_JOINT) + f"SELECT {r(f'(SELECT sum(w * w_rev) FROM r) / sum(lam * lam_t / {_JZ})')} AS eta FROM cells")
 def joint_eta_step(spark, d):
     s = handoff_start(spark, d)
-    return one(spark, eta=steps.joint_eta(s.cells(), _JE, _both(s)))
+    return one(spark, eta=steps.joint_eta(s.params, s.w, _JE, _both(s), K))
 
 
 @query(with_(*_JOINT) + f"SELECT {r(f'(SELECT sum(w * ln({lam()})) + 0.5::DOUBLE * ln({_JE}::DOUBLE) * sum(w * w_rev) FROM g) - 0.5::DOUBLE * sum(ln({_JZ}))')} AS loglik FROM cells")
 def joint_loglik(spark, d):
     s = handoff_start(spark, d)
-    return one(spark, loglik=steps.joint_likelihood(s.rows(), s.cells(), _JE, _both(s), K, False))
+    return one(spark, loglik=steps.joint_likelihood(s.rows(), s.params, s.w, _JE, _both(s), K))
 
 
 def _joint_member_approx(side: str) -> str:
@@ -703,6 +703,12 @@ def dyn_loglik(spark, d):
 _RHOQ = "(CASE WHEN w > 0 THEN w * (1 - q) / lam ELSE 0 END)"
 
 
+def _anomalies(spark, d, held: DataFrame | None = None) -> steps.Anomalies:
+    s = handoff_start(spark, d)
+    edges = s.edges if held is None else tensor.without(s.edges, held)
+    return steps.Anomalies(tensor.closure(edges), s.params, s.w, MU, PI, K, s.affinity, held)
+
+
 def _acd_member(side: str) -> str:
     key, other = ("i", "v") if side == "u" else ("j", "u")
     part = [to(k, v=other, t=side == "v") for k in range(K)]
@@ -713,27 +719,24 @@ def _acd_member(side: str) -> str:
 
 @query(_acd_member("u"))
 def acd_u_step(spark, d):
-    s, q = _anomaly(spark, d)
-    return steps.acd_member(q, s.params, K, False, "u").select("i", "u0", "u1")
+    return steps.acd_member(_anomalies(spark, d), "u").select("i", "u0", "u1")
 
 
 @query(_acd_member("v"))
 def acd_v_step(spark, d):
-    s, q = _anomaly(spark, d)
-    return steps.acd_member(q, s.params, K, False, "v").select("i", "v0", "v1")
+    return steps.acd_member(_anomalies(spark, d), "v").select("i", "v0", "v1")
 
 
 @query(with_(*_ACD, "h AS (SELECT a, " + ", ".join(f"sum({_RHOQ} * u{k} * v{q}) AS s{k}_{q}, sum((1 - q) * u{k} * v{q}) AS d{k}_{q}" for k in range(K) for q in range(K)) + " FROM q GROUP BY a)",
              "o AS (SELECT * FROM h JOIN w USING (a))") + _unpivot_w("o", lambda k, q: f"(0.5::DOUBLE + w{k}_{q} * s{k}_{q}) / (10 + d{k}_{q})"))
 def acd_w_step(spark, d):
-    s, q = _anomaly(spark, d)
-    return matrix(spark, steps.acd_w(q, s.w, K), ("a", "k", "q"))
+    return matrix(spark, steps.acd_w(_anomalies(spark, d)), ("a", "k", "q"))
 
 
 @query(with_(*_ACD) + f"SELECT {r('sum(w * q) / sum(q)')} AS pi, {r('sum(q) / (SELECT count(*) * (count(*) - 1) FROM n)')} AS mu FROM q")
 def acd_rates(spark, d):
-    s, q = _anomaly(spark, d)
-    pi, mu = steps.acd_rates(q, s.nodes.count())
+    q = _anomalies(spark, d)
+    pi, mu = steps.acd_rates(q, q.params.count())
     return one(spark, pi=pi, mu=mu)
 
 
@@ -743,8 +746,7 @@ def acd_rates(spark, d):
     f"+ ln(1 - {MU}::DOUBLE + 1e-12) * sum(1 - q) + ln({MU}::DOUBLE + 1e-12) * sum(q) "
     "+ (SELECT 0.5::DOUBLE * sum(ln(u0 + 1e-12) + ln(u1 + 1e-12) + ln(v0 + 1e-12) + ln(v1 + 1e-12)) - 10 * sum(u0 + u1 + v0 + v1) FROM p)") + " AS elbo FROM q")
 def acd_elbo(spark, d):
-    s, q = _anomaly(spark, d)
-    return one(spark, elbo=steps.acd_elbo(q, s.params, MU, PI, K))
+    return one(spark, elbo=steps.acd_elbo(_anomalies(spark, d)))
 
 
 # --- evaluation ---
@@ -893,18 +895,34 @@ def random_mask(spark, d):
     return masks.random_folds(cells, 5).groupBy("fold").agg(F.count("*").alias("n"))
 
 
-@query("SELECT x.a::INT AS a, (((n1.n_nationkey * 25 + n2.n_nationkey) * 7919 + x.a * 10007 + 17) % 625 // 208)::INT AS fold, count(*) AS n FROM nation n1, nation n2, range(2) x(a) "
-       "WHERE ((n1.n_nationkey * 25 + n2.n_nationkey) * 7919 + x.a * 10007 + 17) % 625 // 208 < 3 GROUP BY 1, 2")
+@query(f"SELECT a, n1 AS i, n2 AS j, (p // 208)::INT AS fold FROM (SELECT x.a::INT AS a, n1.n_nationkey::BIGINT AS n1, n2.n_nationkey::BIGINT AS n2, "
+       f"{shuffle.sql_place('x.a', 'n1.n_nationkey', 'n2.n_nationkey', '25')} AS p FROM nation n1, nation n2, range(7) x(a)) WHERE p // 208 < 3")
 def kfold_mask(spark, d):
-    """Three folds of exactly 208 of 625 cells in each layer; one cell is in none."""
-    nodes = networks.table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("i"))
-    cells = masks.exact_folds(masks.all_cells(nodes, 2), 3, 25)
-    return cells.filter("fold is not null").groupBy("a", "fold").agg(F.count("*").alias("n"))
+    """Three folds of exactly 208 of 625 cells in each layer, made from their places; one cell is in none."""
+    parts = [masks.fold_cells(spark, 7, 25, 3, f).withColumn("fold", F.lit(f)) for f in range(3)]
+    nations = networks.table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("i"))
+    return parts[0].union(parts[1]).union(parts[2]).join(nations, "i").select("a", "i", "j", "fold")
+
+
+_INDEXED = "ix AS (SELECT i, row_number() OVER (ORDER BY i) - 1 AS k, count(*) OVER () AS c FROM n)"
+
+
+def _node_fold_sql() -> str:
+    """Walks past places that are no node's, as often as any walk needs on these tables."""
+    n, m = "ceil(sqrt(c))::BIGINT", "s"
+    step = lambda x: shuffle.sql_place("0", f"{x} // {m}", f"{x} % {m}", "nn", 0, m)
+    chain = [f"w0 AS (SELECT i, c, nn, s, {step('k')} AS p FROM (SELECT *, {n} AS nn, ceil(c / {n})::BIGINT AS s FROM ix))"]
+    for t in range(12):
+        chain.append(f"w{t + 1} AS (SELECT i, c, nn, s, CASE WHEN p < c THEN p ELSE {step('p')} END AS p FROM w{t})")
+    return with_(HANDOFF, NODES, _INDEXED, *chain) + "SELECT i, CASE WHEN p // (c // 5) < 5 THEN (p // (c // 5))::INT END AS fold FROM w12"
 
 
-@query(with_(HANDOFF, NODES) + "SELECT i, ((i * 7919 + 13) % 5)::INT AS fold FROM n")
+@query(_node_fold_sql())
 def node_mask(spark, d):
-    return masks.node_folds(tensor.nodes_of(networks.handoff(spark, d)), 5)
+    """Five folds of the nodes, numbered in the order of their labels, by a keyed shuffle."""
+    nodes = order.numbered(tensor.nodes_of(networks.handoff(spark, d)), "i", "k")
+    folds = masks.node_folds(nodes.select(F.col("k").alias("i")), 5, nodes.count())
+    return nodes.join(folds.withColumnRenamed("i", "k"), "k").select("i", "fold")
 
 
 @query(with_(HANDOFF) + f"SELECT a, i, j, w FROM e WHERE {_FOLD5} <> 0")
@@ -951,13 +969,13 @@ def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import extra, fits  # noqa: F401  (extra registers its queries here)
+    from . import extra, fits, masked  # noqa: F401  (extra and masked register their queries here)
 
     return _QUERIES | fits.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import extra  # noqa: F401
+    from . import extra, masked  # noqa: F401
 
     return dict(_SQL)
 

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..evaluation import link
-from ..functions import linalg
+from ..functions import linalg, shuffle
 from ..functions.linalg import names
 from ..models import em, steps
 from ..models.em import Checkpoints
@@ -129,13 +129,12 @@ def appended_results(spark, d):
     return readers.read_delimited(spark, path, ",").select(F.col("a").cast("int"), F.col("n").cast("long"))
 
 
-@query(f"WITH {TRADE}, f AS (SELECT a, i, j, (((i * 25 + j) * 7919 + a * 10007 + 17) % 625) // 208 AS fold FROM range(25) t(i), range(25) s(j), range(7) l(a)) "
+@query(f"WITH {TRADE}, f AS (SELECT a, i, j, {shuffle.sql_place('a', 'i', 'j', '25')} // 208 AS fold FROM range(25) t(i), range(25) s(j), range(7) l(a)) "
        "SELECT a::INT AS a, sum(w) AS held FROM f JOIN e USING (a, i, j) WHERE fold = 1 GROUP BY ALL")
 def saved_mask(spark, d):
     """A fold's cells written, read back, and the network's weight in them."""
-    nodes, path = networks.nation_regions(spark, d).select("i"), folder(spark, "mask")
-    folds = masks.exact_folds(masks.all_cells(nodes, 7), 3, 25)
-    sinks.write_mask(folds.filter("fold = 1").select("a", "i", "j"), path)
+    path = folder(spark, "mask")
+    sinks.write_mask(masks.fold_cells(spark, 7, 25, 3, 1), path)
     held = masks.selected(networks.trade(spark, d), sinks.read_mask(spark, path))
     return held.groupBy("a").agg(F.sum("w").alias("held"))
 

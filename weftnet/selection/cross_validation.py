@@ -1,7 +1,10 @@
-"""Cross-validation: every (grid point, fold) is one task, so a whole search is one job.
+"""Cross-validation over folds of cells, made by a keyed shuffle where they are used.
 
-Held-out cells are zeros in training. Folds are places in a fixed shuffle of each layer's cells, made where they
-are used. Networks over the bound of ``models.local`` are fitted one after another by ``models.em``.
+Held-out edges are no edges in training; ACD's normalisers leave held-out cells out, as its definition has it. A network
+under the bounds of ``models.local`` is searched in tasks, a fold at a grid point each; a larger one by ``searched``:
+CRep and MTCOV fit all folds and grid points of one K at once (``models.folds``), JointCRep and ACD one after another by
+``models.em``, and all are scored by blocks of cells. Both hold out the same cells and nodes; scores of the second way
+are rounded to 20 bits, and random starts are drawn differently. A rolling origin needs a network under the bound.
 """
 
 from __future__ import annotations
@@ -11,11 +14,16 @@ from typing import Any
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ..models import local
+from ..evaluation import blockwise
+from ..functions import order, shuffle
+from ..models import em, local
+from ..models import folds as many
 from ..models.api import MODELS, in_tasks
+from ..operators import tensor
 from ..sources.readers import Network
-from .masks import grid
+from .masks import Fold, grid
 
 
 def auc(score: np.ndarray, positive: np.ndarray) -> float:
@@ -28,17 +36,15 @@ def auc(score: np.ndarray, positive: np.ndarray) -> float:
     return float((rank[place][positive].sum() - p * (p + 1) / 2) / (p * n))
 
 
-def fold_cells(nodes: int, layers: int, folds: int, seed: int) -> np.ndarray:
-    """(layers, N, N) fold numbers, -1 for the remainder: n // folds cells in each fold of a layer's shuffle."""
-    n = nodes * nodes
-    out = np.full((layers, n), -1, np.int16)
-    rng = np.random.default_rng(seed)
-    for a in range(layers):
-        order = rng.permutation(n)
-        size = n // folds
-        for f in range(folds):
-            out[a, order[f * size : (f + 1) * size]] = f
-    return out.reshape(layers, nodes, nodes)
+def held_fold(nodes: int, folds: int, fold: int, seed: int, cv_type: str) -> Fold:
+    """The cells of a fold: one of disjoint ones, or for "random" a draw of its own."""
+    if cv_type not in ("kfold", "random"):
+        raise ValueError("cv_type has to be kfold or random")
+    return Fold(nodes, folds, fold, seed) if cv_type == "kfold" else Fold(nodes, folds, 0, seed + 1 + fold)
+
+
+def held_nodes(nodes: int, folds: int, fold: int, seed: int) -> np.ndarray:
+    return shuffle.node_places(np.arange(nodes), nodes, seed) // max(1, nodes // folds) == fold
 
 
 def scores(algorithm: str, net: local.Arrays, r: local.Result, posterior: dict) -> dict[str, np.ndarray]:
@@ -71,25 +77,26 @@ def cross_validate(
     """A row per grid point and fold: the fit's numbers with AUC (and accuracy) on training and held-out cells."""
     model = MODELS[algorithm](**numeric)
     points = grid(**{k: v if isinstance(v, (list, tuple)) else [v] for k, v in parameters.items()})
+    own = [model.arguments(model.check(p)) for p in points]
+    if algorithm == "DynCRep":
+        raise ValueError("the dynamic model is searched by rolling origins")
     net = local.collect(network.edges, len(network.layers))
     if net is None or net.layers * net.nodes**2 > local.MOST_PAIRS:
-        raise ValueError("cross-validation over all cells needs a network under the bound of models.local")
+        return searched(spark, algorithm, network, points, own, folds, seed, cv_type, model)
     net.z = model.categories(net, network)
-    own = [model.arguments(model.check(p)) for p in points]
     jobs = [{"point": p, "fold": f} for p in range(len(points)) for f in range(folds)]
 
     def work(job: dict) -> dict:
         point, fold = own[job["point"]], job["fold"]
-        if cv_type == "kfold":
-            held = fold_cells(net.nodes, net.layers, folds, seed) == fold
-        else:
-            held = np.random.default_rng(seed + fold).random((net.layers, net.nodes, net.nodes)) < 1 / folds
+        ids = np.arange(net.nodes)
+        held = np.stack([~held_fold(net.nodes, folds, fold, seed, cv_type)(a, ids, ids) for a in range(net.layers)])
         train = net.without(held[net.a, net.i, net.j])
         out_nodes = None
         if net.z is not None:
-            out_nodes = np.random.default_rng(seed).permutation(net.nodes) % folds == fold
+            out_nodes = held_nodes(net.nodes, folds, fold, seed)
             train.z = np.where(out_nodes, -1, net.z)
-        r = local.FITS[algorithm](train, **point, seed=seed)
+        masked = {"observed": ~held} if algorithm == "ACD" else {}
+        r = local.FITS[algorithm](train, **point, seed=seed, **masked)
         truth = np.zeros(held.shape, bool)
         truth[net.a, net.i, net.j] = net.w > 0
         row: dict[str, Any] = {"fold": fold, "rseed": seed} | {k: float(v) for k, v in r.scalars.items()}
@@ -108,6 +115,69 @@ def cross_validate(
     return spark.createDataFrame(pd.DataFrame(rows))
 
 
+def numbered_network(network: Network) -> tuple[DataFrame, DataFrame, int]:
+    """(edges, (i, k), how many nodes): edges by the places of their nodes in the order of the labels."""
+    nodes = order.numbered(tensor.nodes_of(network.edges), "i", "k")
+    left, right = nodes.select("i", F.col("k").alias("x")), nodes.select(F.col("i").alias("j"), F.col("k").alias("y"))
+    edges = network.edges.join(left, "i").join(right, "j").select("a", F.col("x").alias("i"), F.col("y").alias("j"), "w")
+    return edges, nodes, nodes.count()
+
+
+def searched(
+    spark: SparkSession, algorithm: str, network: Network, points: list[dict], own: list[dict], folds: int, seed: int,
+    cv_type: str, model,
+) -> DataFrame:
+    """``cross_validate`` on Spark, for a network of any size."""
+    keep = em.Checkpoints(spark, "search")
+    edges, nodes, count = numbered_network(network)
+    edges, layers = keep.save(edges), len(network.layers)
+    held = [held_fold(count, folds, f, seed, cv_type) for f in range(folds)]
+    sets = F.filter(F.array(*[F.when(~h.column(), F.lit(f)) for f, h in enumerate(held)]), lambda x: x.isNotNull())
+    marked, known, kinds = keep.save(edges.withColumn("held", sets)), None, 0
+    if algorithm == "MTCOV":
+        place = F.floor(shuffle.node_place(F.col("k"), count, seed) / F.lit(max(1, count // folds))).cast("int")
+        one = network.attributes.groupBy("i").agg(F.min("z_idx").alias("z_idx"))
+        known = keep.save(one.join(nodes, "i").select(F.col("k").alias("i"), "z_idx", F.array(place).alias("held")))
+        kinds = known.agg(F.max("z_idx")).first()[0] + 1
+    fits: dict[tuple[int, int], em.Fit] = {}
+    args = [{k: v for k, v in o.items() if v is not None} for o in own]
+    drawn = [model.drawn(o, seed) | o for o in args]
+    if algorithm in ("CRep", "MTCOV"):
+        groups: dict[tuple, list[int]] = {}
+        for p, o in enumerate(drawn):
+            groups.setdefault(tuple(sorted((k, v) for k, v in o.items() if k not in ("eta0", "gamma"))), []).append(p)
+        for shared, members in groups.items():
+            jobs = [(p, f) for p in members for f in range(folds)]
+            runs = [many.Run(f, drawn[p].get("eta0", 0.0), drawn[p].get("gamma", 0.5), seed) for p, f in jobs]
+            options = dict(shared)
+            if algorithm == "CRep":
+                found = many.fit_crep(spark, marked, runs, layers=layers, **{k: v for k, v in options.items() if k != "fix_w"})
+            else:
+                options.pop("undirected", None)
+                found = many.fit_mtcov(spark, marked, known, kinds, runs, layers=layers, **options)
+            fits |= dict(zip(jobs, found, strict=True))
+    else:
+        for p, o in enumerate(drawn):
+            for f, h in enumerate(held):
+                if algorithm == "ACD":
+                    fits[p, f] = em.fit_acd(spark, edges, layers=layers, seed=seed, observed=h, **o)
+                else:
+                    train = edges.filter(h.column())
+                    fits[p, f] = em.fit_jointcrep(spark, train, layers=layers, seed=seed, whole=edges, **o)
+    rows = []
+    for (p, f), fit in sorted(fits.items()):
+        numbers = {k: float(v) for k, v in fit.scalars.items()}
+        row = {k: v for k, v in points[p].items() if v is not None} | {"fold": f, "rseed": seed} | numbers
+        used = blockwise.Scores(algorithm, tuple((k, numbers[k]) for k in ("eta", "pi", "mu") if k in numbers))
+        row |= blockwise.aucs(fit.params, fit.w, edges, used, held[f])
+        if known is not None:
+            size = fit.w.shape[1]
+            beta = np.array([[numbers[f"beta{k}_{z}"] for z in range(kinds)] for k in range(size)])
+            row |= blockwise.accuracies(fit.params, beta, known.select("i", "z_idx", F.array_contains("held", f).alias("held")))
+        rows.append(row)
+    return spark.createDataFrame(pd.DataFrame(rows))
+
+
 def rolling(spark: SparkSession, network: Network, parameters: dict[str, Any], seed: int = 0, **numeric: Any) -> DataFrame:
     """Rolling origin for the dynamic model: train on snapshots before t, score the pairs of snapshot t."""
     model = MODELS["DynCRep"](**numeric)

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import itertools
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import shuffle
 from ..operators.tensor import fold_of
 
 
@@ -17,14 +20,42 @@ def all_cells(nodes: DataFrame, layers: int) -> DataFrame:
     return left.crossJoin(right).crossJoin(F.broadcast(spark.range(layers).select(F.col("id").cast("int").alias("a"))))
 
 
-def exact_folds(cells: DataFrame, folds: int, nodes: int) -> DataFrame:
-    """Cells with a fold of exactly n // folds cells each and layer: a cell's place in an affine shuffle of the
-    layer's n = nodes^2 places, so no cells are sorted; the remainder has no fold (null)."""
-    n = nodes * nodes
-    step = next(p for p in (7919, 104729, 1299709, 15485863) if n % p)
-    place = (((F.col("i") * nodes + F.col("j")) * step + F.col("a") * 10007 + 17) % n).cast("long")
-    fold = F.floor(place / (n // folds)).cast("int")
-    return cells.withColumn("fold", F.when(fold < folds, fold))
+def exact_folds(cells: DataFrame, folds: int, nodes: int, seed: int = 0) -> DataFrame:
+    """Cells with a fold of exactly n // folds cells each and layer, n = nodes^2: a cell's place in a keyed shuffle
+    of its layer decides, so no cells are sorted and structure in the ids doesn't show; the remainder has no fold
+    (null). i and j count from 0."""
+    place = shuffle.cell_place(F.col("a"), F.col("i"), F.col("j"), nodes, seed)
+    return cells.withColumn("fold", shuffle.fold_of_place(place, nodes * nodes, folds))
+
+
+def fold_cells(spark: SparkSession, layers: int, nodes: int, folds: int, fold: int, seed: int = 0) -> DataFrame:
+    """(a, i, j) of one fold, made from its places: as many rows as the fold has, no pass over the others."""
+    count = nodes * nodes // folds
+    rows = spark.range(fold * count, (fold + 1) * count).withColumn("a", F.explode(F.sequence(F.lit(0), F.lit(layers - 1))))
+    i, j = shuffle.cell_at(F.col("a"), F.col("id"), nodes, seed)
+    return rows.select(F.col("a").cast("int").alias("a"), i.alias("i"), j.alias("j"))
+
+
+@dataclass(frozen=True)
+class Fold:
+    """Which cells are observed while one fold of a keyed shuffle is held out: of arrays, for blocks, and as a column.
+
+    i and j count from 0 to nodes - 1.
+    """
+
+    nodes: int
+    folds: int
+    fold: int
+    seed: int = 0
+
+    def __call__(self, a: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        place = shuffle.cell_places(a, i[:, None], j[None, :], self.nodes, self.seed)
+        return place // max(1, self.nodes * self.nodes // self.folds) != self.fold
+
+    def column(self) -> Column:
+        place = shuffle.cell_place(F.col("a"), F.col("i"), F.col("j"), self.nodes, self.seed)
+        found = shuffle.fold_of_place(place, self.nodes * self.nodes, self.folds)
+        return F.coalesce(found != self.fold, F.lit(True))
 
 
 def random_folds(cells: DataFrame, folds: int) -> DataFrame:
@@ -32,8 +63,16 @@ def random_folds(cells: DataFrame, folds: int) -> DataFrame:
     return cells.withColumn("fold", fold_of(F.col("a"), F.col("i"), F.col("j"), folds))
 
 
-def node_folds(nodes: DataFrame, folds: int) -> DataFrame:
-    return nodes.select("i", F.pmod(F.col("i") * 7919 + 13, F.lit(folds)).cast("int").alias("fold"))
+def random_mask(cells: DataFrame, share: float, seed: int = 0) -> DataFrame:
+    """The cells that a draw of their own, a hash of seed and cell, takes with probability ``share``."""
+    draw = F.pmod(F.xxhash64(F.lit(seed), "a", "i", "j"), F.lit(1 << 30)) / float(1 << 30)
+    return cells.filter(draw < share)
+
+
+def node_folds(nodes: DataFrame, folds: int, count: int, seed: int = 0) -> DataFrame:
+    """(i, fold): count // folds nodes in each fold by their place in a keyed shuffle of all; i counts from 0."""
+    place = shuffle.node_place(F.col("i"), count, seed)
+    return nodes.select("i", shuffle.fold_of_place(place, count, folds).alias("fold"))
 
 
 def grid(**parameters: list) -> list[dict]:

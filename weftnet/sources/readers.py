@@ -65,7 +65,7 @@ def check_weights(table: DataFrame, layers: Iterable[str]) -> None:
     """One aggregation over all layers; negative weights are an error."""
     least = table.agg(F.least(*[F.min(F.col(f"`{c}`").cast("double")) for c in layers], F.lit(0.0))).first()[0]
     if least is not None and least < 0:
-        raise ValueError("There are negative weights.")
+        raise ValueError("a weight is below zero")
 
 
 def unpivot(table: DataFrame, ego: str, alter: str, layers: list[str]) -> DataFrame:
