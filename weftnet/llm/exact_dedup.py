@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Scratch, copies
+from .common import Scratch, copies, salted_join
 
 AVERAGE, LEAST, MOST = 2048, 512, 16384
 #: Bytes whose hashes are in memory at a time.
@@ -102,7 +102,7 @@ def _recipes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def identified(recipes: DataFrame) -> DataFrame:
+def identified(scratch: Scratch, recipes: DataFrame) -> DataFrame:
     """``recipes`` with the column ``recipe``: the ordered identifiers (key, rank) of its chunks.
 
     A key's rank is 0 unless chunks with different digests share the key.
@@ -111,15 +111,14 @@ def identified(recipes: DataFrame) -> DataFrame:
         F.col("c.keys").alias("key"), F.col("c.digests").alias("digest")
     )
     shared = chunks.groupBy("key").agg(F.min("digest").alias("x"), F.max("digest").alias("y"))
-    clashing = shared.filter("x <> y").select("key")
+    clashing = scratch.save(shared.filter("x <> y").select("key"), "clashing")
+    if clashing.isEmpty():  # of 64-bit keys: all but in adversarial input
+        return recipes.withColumn("recipe", F.transform("keys", lambda k: F.struct(k, F.lit(0))))
     told = (
-        chunks.join(clashing, "key")
+        salted_join(chunks, clashing, ["key"], [F.col("digest")])
         .distinct()
         .withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("digest")) - 1)
     )
-    clashes = told.count()  # of 64-bit keys: none but in adversarial input
-    if not clashes:
-        return recipes.withColumn("recipe", F.transform("keys", lambda k: F.struct(k, F.lit(0))))
     lines = recipes.select("text_sha256", F.posexplode(F.arrays_zip("keys", "digests")))
     lines = lines.select("text_sha256", "pos", "col.keys", "col.digests").distinct()
     ranked = lines.join(
@@ -146,7 +145,7 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256, chunks."""
     scratch = Scratch(spark, "exact")
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    recipes = identified(scratch.save(read.mapInArrow(_recipes, _RECIPE), "recipes"))
+    recipes = identified(scratch, scratch.save(read.mapInArrow(_recipes, _RECIPE), "recipes"))
     recipes = recipes.select("doc_id", "code_points", "text_sha256", "recipe")
     best = F.max(
         F.struct(
@@ -163,7 +162,11 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
         "group_size",
     )
     best_here = (F.col("code_points") == F.col("most")) & F.col("doc_id").eqNullSafe(F.col("keep_id"))
-    marked = recipes.join(groups, F.col("recipe") == F.col("_recipe")).select(
+    # a second key makes Spark deal out both sides for this join, so that it can split a text that many rows have; after an
+    # aggregation alone it can't
+    second = F.xxhash64("recipe").alias("_k")
+    dealt, named = recipes.withColumn("_k", second), groups.withColumn("_h", F.xxhash64("_recipe"))
+    marked = dealt.join(named, (F.col("recipe") == F.col("_recipe")) & (F.col("_k") == F.col("_h"))).select(
         "doc_id", "keep_id", "group_size", best_here.alias("best"), "text_sha256", F.size("recipe").cast("long").alias("chunks")
     )
     # rows that are alike in all of this are counted, then numbered from their count: one of the best is kept
