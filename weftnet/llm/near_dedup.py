@@ -102,7 +102,14 @@ def _tokens(classes: DataFrame, count: int) -> DataFrame:
 def _shared(tokens: DataFrame) -> DataFrame:
     """The postings whose list has two members or more, with its length and its least member."""
     lists = tokens.groupBy("token").agg(F.count("*").alias("f"), F.min("cls").alias("hub"))
-    return tokens.select("cls", "token").join(lists.filter("f > 1"), "token")
+    return _dealt_anew(tokens.select("cls", "token"), lists.filter("f > 1"), "token")
+
+
+def _dealt_anew(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """``rows`` joined with an aggregate by ``key``; a second key lets Spark deal out both sides anew and split one that
+    many rows have, which it can't where the aggregation has dealt out one side."""
+    second = F.xxhash64(key).alias("__wn_second")
+    return rows.select("*", second).join(table.select("*", second), [key, "__wn_second"]).drop("__wn_second")
 
 
 def _with_enough(postings: DataFrame, least: int) -> DataFrame:
@@ -311,7 +318,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = PERCENT
     )
     named = scratch.save(rooted, "rooted")
     tops = named.groupBy("root").agg(F.min("least").alias("top"))
-    names = named.join(tops, "root").select(F.col("cls").alias("_cls"), "top")
+    names = _dealt_anew(named, tops, "root").select(F.col("cls").alias("_cls"), "top")
     return (
         sketches.select("doc_id", "row_hash", "n_shingles", "cls")
         .join(names, F.col("cls") == F.col("_cls"), "left")
