@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from weftnet.llm import chat, decontam, exact_dedup, line_dedup, mixing, near_dedup, pii, quality, sharding, warc
 from weftnet.llm.common import Scratch, components
 
+SF = "/root/testdata/sf0.001"
 LONG = " ".join(f"word{n % 977}x{n}" for n in range(60_000))
 ROWS = [
     (1, "a b c d e f g h", "x"), (2, "a b c d e f g h", None), (3, None, "x"), (4, "", "y"), (5, " \t\n", None), (6, LONG, "x"),
@@ -73,7 +74,7 @@ def test_clashing_chunk_keys(spark):
     """Recipes with the same keys but other digests are different texts."""
     rows = [(1, 5, "s1", [1, 2], [b"a", b"b"]), (2, 5, "s2", [1, 2], [b"a", b"c"]), (3, 5, "s1", [1, 2], [b"a", b"b"]), (4, 0, "s0", [], [])]
     df = spark.createDataFrame(rows, "doc_id long, code_points long, text_sha256 string, keys array<long>, digests array<binary>")
-    got = {r.doc_id: r.recipe for r in exact_dedup.identified(df).collect()}
+    got = {r.doc_id: r.recipe for r in exact_dedup.identified(Scratch(spark, "t"), df).collect()}
     assert got[1] == got[3] != got[2] and got[4] == []
 
 
@@ -454,3 +455,23 @@ def test_stages_on_odd_tables(spark, make, monkeypatch):
     ids = sorted((r.doc_id for r in kept), key=lambda x: (x is None, x or 0))
     assert ids == [1, 2, 3, 5, 5, None]
     assert corpus_pipeline.decontamination_stage(spark, docs, "").count() == len(rows)
+
+
+def test_mixing_in_any_order(spark, make):
+    """Rows with repeated and without ids, of one size, in two orders of the input: the same schedule."""
+    import corpus_pipeline
+
+    rows = [(7 if k % 2 else None, f"w{k} x y z", "ab"[k % 3 % 2]) for k in range(300)]
+    one, two = (corpus_pipeline.mixing_stage(spark, make(r), SF).collect() for r in (rows, rows[::-1]))
+    assert one == two and len(one) > 300
+
+
+def test_one_text_on_most_rows(spark, make):
+    """Exact and near copies of one text on most rows: joins with their groups have a second key, so Spark may split them."""
+    docs = make([(k, "one two three four five six" if k % 4 else f"text number {k} of its own kind") for k in range(400)])
+    for frame in (exact_dedup.exact_duplicates(spark, docs), near_dedup.near_duplicates(spark, docs)):
+        rows = frame.collect()
+        assert len(rows) == 400 and sum(r.kept for r in rows) == 101
+    marked = exact_dedup.exact_duplicates(spark, docs)._jdf.queryExecution().sparkPlan().toString()
+    joins = [line for line in marked.splitlines() if "Join" in line]
+    assert any("_k#" in line and "_h#" in line for line in joins)

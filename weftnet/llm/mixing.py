@@ -13,7 +13,8 @@ D(t) = target ((1 - s) t + s t^2), is the number of words demanded up to t; a
 document whose words begin at c in its source's stream trains at the t at which
 D(t) = c, the root of that quadratic. A stream is the source's documents in the
 order of MD5(doc_id), once or twice around, and ends at its target: the last
-document counts with the words that fit. Reruns agree.
+document counts with the words that fit. Rows of one id, or of none, follow by size and by a
+hash of their text, so reruns agree in any order of the input.
 
 ``curriculum`` gives one row per document, ``schedule`` the training order: one
 row per pass over a document, range-sorted by position. ``scheduled`` puts a
@@ -21,7 +22,7 @@ written schedule's passes together again to one row per document. The document's
 columns travel in the struct ``row``, so that none is lost to a made column's name.
 
 Totals run over 4096 buckets per source, so a source with a third of all rows is
-spread over as many tasks. The table of sources is one row per source; it is the
+spread over as many tasks; rows without an id share a code, and lie in buckets by size. The table of sources is one row per source; it is the
 only one that is ranked in one task.
 
 Edge cases: a null text has size 0; documents of size 0 take nothing and have no
@@ -33,6 +34,8 @@ words all targets are 0.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -98,13 +101,18 @@ def curriculum(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
     and again: its places in training time, null for a pass that isn't made.
     """
     code = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    whole = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text_hash")
     rows = docs.select(
-        F.struct(*(carry or docs.columns)).alias("row"), "doc_id", "source", size_of(F.col("text")).alias("size"), code.alias("code")
+        F.struct(*(carry or docs.columns)).alias("row"), "doc_id", "source", size_of(F.col("text")).alias("size"), code.alias("code"), whole
     )
     per_source = docs.groupBy("source").agg(F.sum(size_of(F.col("text"))).alias("source_size"))
     plan = targets(per_source).select("source", "slope", "source_size", "target")
-    bucket = F.conv(F.substring("code", 1, 3), 16, 10).cast("int")
-    order = [F.col("code"), F.col("doc_id"), F.col("size")]
+    # rows without an id share a code: they lie in buckets by size, between those of lesser and of greater codes
+    none = hashlib.md5(b"").hexdigest()
+    bucket = F.conv(F.substring("code", 1, 3), 16, 10).cast("long") * (1 << 34) + F.when(F.col("code") < none, 0).when(
+        F.col("code") == none, F.least(F.col("size") + 1, F.lit((1 << 33) - 1))
+    ).otherwise(1 << 33)
+    order = [F.col("code"), F.col("doc_id"), F.col("size"), F.col("text_hash")]
     full = running_total(rows, ["source"], order, F.col("size"), "begin", bucket, also=plan)
     wanted = F.round("target").cast("long")
     lap = lambda k: F.greatest(
@@ -141,7 +149,7 @@ def schedule(mixed: DataFrame, idle: bool = False) -> DataFrame:
     each = mixed.select(*keep, spread(F.filter(passes, lambda p: p["words"] > 0)).alias("p"))
     rows = each.select(*keep, "p.lap", F.col("p.at").alias("position"), "p.words")
     # the range sort: rangepartitioning on the whole order, so a busy position is spread too
-    return rows.orderBy("position", "row.source", "row.doc_id", "lap")
+    return rows.orderBy("position", "row.source", "row.doc_id", "begin", "lap")
 
 
 def scheduled(spark: SparkSession, docs: DataFrame) -> DataFrame:
