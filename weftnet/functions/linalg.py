@@ -14,6 +14,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .hubs import Hubs
+
 #: Guards against log 0 and division by 0, as the models define them.
 EPS = 1e-12
 
@@ -64,14 +66,14 @@ def receivers(params: DataFrame, size: int, key: str = "j", v: str = "v") -> Dat
     return params.select(F.col("i").alias(key), *[F.col(f"v{k}").alias(f"{v}{k}") for k in range(size)])
 
 
-def gather(edges: DataFrame, params: DataFrame, affinity: DataFrame, size: int) -> DataFrame:
+def gather(edges: DataFrame, params: DataFrame, affinity: DataFrame, size: int, ends: tuple[Hubs, Hubs] = (Hubs(), Hubs())) -> DataFrame:
     """Edges with the parameters of both ends and of their layer.
 
     The affinity has a row per layer, which is what is broadcast; node parameters are joined as their size asks.
+    ``ends`` (``hubs.ends``) are senders and receivers of so many edges that these are dealt out.
     """
-    return (
-        edges.join(senders(params, size), "i").join(receivers(params, size), "j").join(F.broadcast(affinity), "a")
-    )
+    sent = ends[0].join(edges, senders(params, size), "i", ["a", "j"])
+    return ends[1].join(sent, receivers(params, size), "j", ["a", "i"]).join(F.broadcast(affinity), "a")
 
 
 def column_sums(params: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:

@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import linalg
+from ..functions import hubs, linalg
 from ..operators import tensor
 from . import steps
 
@@ -104,14 +104,19 @@ class Convergence:
             done = self._hit(max(self.moved, float(np.abs(rest - self.rest).max(initial=0.0))))
             self.rest, self.moved = rest, 0.0
             if done or last:
-                self.history.append(objective())
+                value = objective()
+                self.history.append(value[0] if isinstance(value, tuple) else value)
             return done
         if iteration % self.every and not last:
             return False
-        self.history.append(objective())
-        done = self._hit(abs(self.history[-1] - self.before))
-        self.before = self.history[-1]
-        return done
+        value = objective()
+        if isinstance(value, tuple):
+            value, change = value
+        else:
+            change = abs(value - self.before)
+        self.history.append(value)
+        self.before = value
+        return self._hit(change)
 
 
 def _stepped(
@@ -221,12 +226,13 @@ def fit_crep(
         held = keep.save(held.select("a", "i", "j").distinct())
         edges = tensor.without(edges, held)
     data = keep.save(tensor.with_reverse(edges))
+    ends = hubs.ends(data)
     weight = None if held is None else steps.answered(data.select("a", "i", "j", "w"), held)
     params, w = _start(spark, nodes, layers, size, assortative, True, seed, begin)
     params, eta, stop = keep.save(params, "params"), eta0, Convergence(tol, decision, flag_conv=flag_conv)
     done, it = False, 0
     stop.begin(w, eta)
-    rows = lambda: linalg.gather(data, params, linalg.affinity_frame(spark, w), size)
+    rows = lambda: linalg.gather(data, params, linalg.affinity_frame(spark, w), size, ends)
     gone = lambda: None if held is None else linalg.gather(held, params, linalg.affinity_frame(spark, w), size)
     while not done and it < max_iter:
         if not fix_eta:
@@ -245,15 +251,56 @@ def fit_crep(
     return Fit(params, w, {"eta": eta, "maxL": stop.history[-1], "final_it": it}, stop.history, done)
 
 
+class Sampled:
+    """The objective of MTCOV as a batch of nodes tells it, and by how much it may have changed since the last call.
+
+    The batch is drawn once, by a hash of the node, and so are its edges. A call takes each node's own share, all that
+    the objective adds for it as a sender, and returns the sum blown up to all nodes, with the change: the size of the
+    blown-up mean of the same nodes' differences plus twice its standard error. A batch of all nodes has no error.
+    """
+
+    def __init__(self, keep: Checkpoints, data: DataFrame, attributes: DataFrame, batch: int, nodes: int, seed: int):
+        if batch < 2:
+            raise ValueError("a batch has at least two nodes")
+        place = F.pmod(F.xxhash64("i", F.lit(seed), F.lit("batch")), F.lit(1 << 30))
+        self.chosen, self.keep, self.nodes = place < batch * (1 << 30) // nodes, keep, nodes
+        self.data, self.attributes = keep.save(data.filter(self.chosen)), keep.save(attributes.filter(self.chosen))
+        self.ends, self.shares = hubs.ends(self.data), None
+
+    def __call__(self, params: DataFrame, w: np.ndarray, beta: np.ndarray, gamma: float, size: int, undirected: bool):
+        spark = params.sparkSession
+        rows = linalg.gather(self.data, params, linalg.affinity_frame(spark, w), size, self.ends)
+        own = params.filter(self.chosen)
+        known = steps.with_category(self.attributes, own, steps.beta_frame(spark, beta))
+        to = linalg.column_sums(params, size)[1]
+        shares = self.keep.save(steps.mtcov_shares(rows, known, own, to, w, gamma, size, undirected))
+        if self.shares is None:
+            mean = shares.agg(F.avg("share")).first()[0]
+            self.shares = shares.select("i", F.col("share").alias("before"))
+            return (mean or 0.0) * self.nodes, np.inf
+        gap = F.col("share") - F.col("before")
+        count, mean, move, spread = shares.join(self.shares, "i").agg(F.count("*"), F.avg("share"), F.avg(gap), F.stddev_samp(gap)).first()
+        self.shares = shares.select("i", F.col("share").alias("before"))
+        if not count:
+            return 0.0, np.inf
+        error = (spread or 0.0) * np.sqrt(max(0.0, 1 - count / self.nodes) / count)
+        return mean * self.nodes, self.nodes * (abs(move) + 2 * error)
+
+
 def fit_mtcov(
     spark: SparkSession, edges: DataFrame, attributes: DataFrame, categories: int, size: int = 2, layers: int = 1,
     gamma: float = 0.5, assortative: bool = False, undirected: bool = False, max_iter: int = 500, tol: float = 1e-4,
     decision: int = 10, err_max: float = 1e-7, seed: int | None = None,
-    begin: tuple | None = None, flag_conv: str = "log",
+    begin: tuple | None = None, flag_conv: str = "log", batch: int | None = None,
 ) -> Fit:
-    """Edges and one attribute: w, beta, u, v; gamma weighs the attribute."""
+    """Edges and one attribute: w, beta, u, v; gamma weighs the attribute.
+
+    With ``batch``, about so many nodes, drawn by hash, tell convergence by the objective (``Sampled``); the value
+    that the fit returns is that of all nodes.
+    """
     keep = Checkpoints(spark, "mtcov")
     data = keep.save(tensor.with_reverse(edges))
+    ends = hubs.ends(data)
     params, w = _start(spark, edges, layers, size, assortative, False, seed, begin)
     params = keep.save(params, "params")
     raw = np.array([[((k * 7 + z * 3) % 10 + 1) / 10 for z in range(categories)] for k in range(size)])
@@ -267,8 +314,10 @@ def fit_mtcov(
         beta = beta / beta.sum(1, keepdims=True)
     stop, done, it = Convergence(tol, decision, flag_conv=flag_conv), False, 0
     stop.begin(w, beta)
-    rows = lambda: linalg.gather(data, params, linalg.affinity_frame(spark, w), size)
+    rows = lambda: linalg.gather(data, params, linalg.affinity_frame(spark, w), size, ends)
     known = lambda: steps.with_category(attributes, params, steps.beta_frame(spark, beta))
+    nodes = params.count() if batch else 0
+    sampled = Sampled(keep, data, attributes, batch, nodes, seed or 0) if batch and batch < nodes else None
     while not done and it < max_iter:
         if gamma != 1:
             w = np.where((x := steps.crep_w(rows(), params, w, 0.0, size)) < err_max, 0.0, x)
@@ -280,8 +329,13 @@ def fit_mtcov(
         if undirected:
             params = params.withColumns({f"v{k}": F.col(f"u{k}") for k in range(size)})
         it += 1
-        objective = lambda: steps.mtcov_likelihood(rows(), known(), params, w, gamma, size, undirected)  # noqa: B023, E731
+        if sampled is None:
+            objective = lambda: steps.mtcov_likelihood(rows(), known(), params, w, gamma, size, undirected)  # noqa: B023, E731
+        else:
+            objective = lambda: sampled(params, w, beta, gamma, size, undirected)  # noqa: B023, E731
         done = stop(it, it == max_iter, objective, w, beta)
+    if sampled is not None:
+        stop.history.append(steps.mtcov_likelihood(rows(), known(), params, w, gamma, size, undirected))
     scalars = {f"beta{k}_{z}": beta[k, z] for k in range(size) for z in range(categories)}
     keep.close()
     return Fit(params, w, {"gamma": gamma, "maxL": stop.history[-1], "final_it": it} | scalars, stop.history, done)
@@ -297,13 +351,14 @@ def fit_jointcrep(
     updates need none. ``whole`` are edges whose nodes take part beside those of ``edges``."""
     keep = Checkpoints(spark, "joint")
     data = keep.save(tensor.with_reverse(edges))
+    ends = hubs.ends(data)
     both = float(data.agg(F.sum(F.col("w") * F.col("w_rev"))).first()[0] or 0.0)
     params, w = _start(spark, edges if whole is None else whole, layers, size, assortative, False, seed, begin)
     params, eta, stop = keep.save(params, "params"), eta0, Convergence(tol, decision, flag_conv=flag_conv)
     done, it = False, 0
     stop.begin(w, eta)
     frame = lambda: linalg.affinity_frame(spark, w)
-    rows = lambda: linalg.gather(data, params, frame(), size)
+    rows = lambda: linalg.gather(data, params, frame(), size, ends)
     while not done and it < max_iter:
         if not fix_communities:
             for side in ("u", "v"):
@@ -339,6 +394,7 @@ def fit_dyncrep(
     edges = edges.filter(F.col("a") < snapshots)
     fresh, found = steps.dynamic_edges(edges, same_time)
     data, sums = keep.save(fresh), found.first().asDict()
+    ends = hubs.ends(data)
     layers = snapshots if temporal else 1
     params, w = _start(spark, edges, layers, size, assortative, True, seed, begin)
     params, eta, beta, stop = keep.save(params, "params"), eta0, beta0, Convergence(tol, decision, flag_conv=flag_conv)
@@ -347,7 +403,7 @@ def fit_dyncrep(
 
     def rows() -> DataFrame:
         shown = w if temporal else np.repeat(w, snapshots, 0)
-        return linalg.gather(data, params, linalg.affinity_frame(spark, shown), size)
+        return linalg.gather(data, params, linalg.affinity_frame(spark, shown), size, ends)
 
     while not done and it < max_iter:
         for side in () if fix_communities else ("u", "v"):

@@ -304,6 +304,24 @@ def mtcov_likelihood_batch(
     return float((1 - gamma) * edge + gamma * attr)
 
 
+def mtcov_shares(
+    rows: DataFrame, known: DataFrame, own: DataFrame, to: np.ndarray, w: np.ndarray, gamma: float, size: int,
+    undirected: bool = False,
+) -> DataFrame:
+    """(i, share): what the likelihood adds for each node of ``own`` as a sender; over all nodes the shares sum to it.
+
+    ``rows`` are these nodes' edges with parameters, ``known`` their categories, ``to`` the column sums of v.
+    """
+    m = mean(size, w.ndim == 2)
+    linked = rows.groupBy("i").agg(F.sum(F.when(m > 0, F.col("w") * F.log(m)).otherwise(0.0)).alias("linked"))
+    whole = full(w).sum(0) @ to
+    pi = attribute_share(size, undirected) * (1.0 if undirected else 0.5)
+    attr = known.groupBy("i").agg(F.sum(F.when(pi > 0, F.log(pi)).otherwise(0.0)).alias("attr"))
+    expected = total([F.col(f"u{k}") * float(whole[k]) for k in range(size)])
+    every = own.join(linked, "i", "left").join(attr, "i", "left").na.fill(0.0, ["linked", "attr"])
+    return every.select("i", ((1 - gamma) * (F.col("linked") - expected) + gamma * F.col("attr")).alias("share"))
+
+
 # --- all pairs, for the models that need them ---
 
 

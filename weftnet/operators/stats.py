@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import hubs
 from .tensor import nodes_of, with_previous, with_reverse
 
 
@@ -102,22 +103,28 @@ def degrees(edges: DataFrame) -> DataFrame:
     )
 
 
-def components(edges: DataFrame, save) -> DataFrame:
+def components(edges: DataFrame, save, least: int = hubs.LEAST) -> DataFrame:
     """(i, component): the least node that each reaches, whatever the directions.
 
     Labels move to the least of the neighbours' and then to the label's own label, so the number of steps
     grows slowly with the length of paths. ``save`` writes a step's result and reads it again.
+
+    Nodes and labels that more than ``least`` rows name are joined in parts (``functions.hubs``): neither a star's
+    links nor the nodes of one large component lie in one task.
     """
     two = edges.select("i", "j").union(edges.select(F.col("j").alias("i"), F.col("i").alias("j"))).distinct()
     two = save(two.filter("i <> j"))
     labels = save(nodes_of(edges).select("i", F.col("i").alias("c")))
+    busy, nodes = hubs.find(two, "j", least), labels.count()
     while True:
-        around = two.join(labels.select(F.col("i").alias("j"), F.col("c").alias("d")), "j")
-        least = around.groupBy("i").agg(F.min("d").alias("d"))
-        nearer = labels.join(least, "i", "left").select("i", "c", F.least("c", F.coalesce("d", "c")).alias("n"))
+        around = busy.join(two, labels.select(F.col("i").alias("j"), F.col("c").alias("d")), "j", ["i"])
+        nearest = around.groupBy("i").agg(F.min("d").alias("d"))
+        nearer = labels.join(nearest, "i", "left").select("i", "c", F.least("c", F.coalesce("d", "c")).alias("n"))
+        if nodes > least:
+            nearer = save(nearer)
         jump = nearer.select(F.col("i").alias("n"), F.col("n").alias("m"))
-        moved = nearer.join(jump, "n").select("i", "c", F.least("n", "m").alias("n"))
-        after = save(moved)
+        moved = hubs.find(nearer, "n", least, nodes).join(nearer, jump, "n", ["i"])
+        after = save(moved.select("i", "c", F.least("n", "m").alias("n")))
         changed = after.filter("c <> n").limit(1).count()
         labels = after.select("i", F.col("n").alias("c"))
         if not changed:
