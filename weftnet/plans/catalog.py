@@ -931,9 +931,16 @@ def train_edges(spark, d):
     return tensor.without(e, masks.random_folds(e, 5).filter("fold = 0"))
 
 
-@query("SELECT K::BIGINT AS K, gamma::DOUBLE AS gamma FROM (VALUES (2), (3), (4)) a(K), (VALUES (0.5), (0.75)) b(gamma)")
+@query(with_(HANDOFF, "x AS (SELECT count(DISTINCT event_type) AS most FROM events)", f"f AS (SELECT {_FOLD5} AS fold, count(*) AS held FROM e GROUP BY 1)")
+       + "SELECT K::BIGINT AS K, gamma::DOUBLE AS gamma, fold, held, (SELECT sum(held) FROM f)::BIGINT - held AS n_train FROM x, range(2, most + 1) t(K), (VALUES (0.5), (0.75)) b(gamma), f")
 def grid(spark, d):
-    return masks.grid_frame(spark, K=[2, 3, 4], gamma=[0.5, 0.75])
+    """A search's runs: communities up to the number of categories, weights, folds, with the edges of each fold."""
+    most = networks.table(spark, d, "events").agg(F.count_distinct("event_type")).first()[0]
+    runs = masks.grid_frame(spark, K=list(range(2, most + 1)), gamma=[0.5, 0.75])
+    folds = masks.random_folds(networks.handoff(spark, d), 5).groupBy("fold").agg(F.count("*").alias("held"))
+    every = folds.agg(F.sum("held").alias("every"))
+    sized = folds.join(F.broadcast(every), F.lit(True)).select("fold", "held", (F.col("every") - F.col("held")).alias("n_train"))
+    return runs.join(F.broadcast(sized), F.lit(True))  # a row per run and fold
 
 
 @query(with_(SNAPSHOTS, "c AS (SELECT a, count(*) AS n FROM e GROUP BY a)") + "SELECT x.a AS t, (SELECT sum(n) FROM c y WHERE y.a < x.a)::BIGINT AS n_train, x.n AS n_test FROM c x WHERE x.a > 0")
@@ -944,16 +951,19 @@ def rolling_split(spark, d):
 # --- generators and graph algorithms ---
 
 
-@query(" UNION ALL ".join(
-    f"SELECT {k} AS k, {q} AS q, {r('0.08::DOUBLE' if k == q else '0.1::DOUBLE * 0.08')} AS x" for k in range(2) for q in range(2)))
+@query(with_(HANDOFF, NODES, "p AS (SELECT (SELECT count(*) FROM e)::DOUBLE / (SELECT count(*) FROM n) AS deg, (SELECT count(*) FROM n) AS c)")
+       + " UNION ALL ".join(f"SELECT {k} AS k, {q} AS q, {r(('' if k == q else '0.1::DOUBLE * ') + 'deg * 2 / c')} AS x FROM p" for k in range(2) for q in range(2)))
 def affinity_matrix(spark, d):
-    return matrix(spark, generators.affinity("assortative", 100, 2, 4, 0.1), ("k", "q"))
+    """Affinities of a planted network with as many nodes and as high a mean degree as the hand-off network."""
+    e = networks.handoff(spark, d)
+    nodes = tensor.nodes_of(e).count()
+    return matrix(spark, generators.affinity("assortative", nodes, 2, e.count() / nodes, 0.1), ("k", "q"))
 
 
-@query("SELECT i, (CASE WHEN least(i // 4, 2) = 0 THEN 1.0 ELSE 0.0 END)::DOUBLE AS u0, (CASE WHEN least(i // 4, 2) = 1 THEN 1.0 ELSE 0.0 END)::DOUBLE AS u1, "
-       "(CASE WHEN least(i // 4, 2) = 2 THEN 1.0 ELSE 0.0 END)::DOUBLE AS u2 FROM range(14) t(i)")
+@query("SELECT s_suppkey AS i, " + ", ".join(f"(least(n_regionkey, 2) = {k})::INT::DOUBLE AS u{k}" for k in range(3))
+       + " FROM supplier JOIN nation ON s_nationkey = n_nationkey")
 def block_membership(spark, d):
-    return generators.block_memberships(spark, 14, 3).select("i", "u0", "u1", "u2")
+    return generators.memberships(networks.suppliers(spark, d), 3).select("i", "u0", "u1", "u2")
 
 
 @query(with_("e AS (SELECT 0 AS a, o_custkey AS i, 1000000 + l_suppkey AS j, count(*)::DOUBLE AS w "

@@ -14,7 +14,7 @@ from ..models.em import Checkpoints
 from ..operators import stats, tensor
 from ..selection import masks
 from ..sources import networks, readers, sinks
-from ..synthetic import generators
+from ..synthetic import generators, sparse
 from .catalog import ETA, GAMMA, K, Start, handoff_start, one, query
 from .catalog import _CREP, _FACT, _M, _MT, _PIK, _SUMS, _USUM, _mtcov, _rows_one, _times
 from .sql import BINARY, CELLS, HANDOFF, MODES, NODES, REVERSE, SNAPSHOTS, TRADE, affinity, gathered, lam, params, r, to, with_
@@ -88,25 +88,26 @@ def saved_layer(spark, d):
     return got.select(*[F.col(c).cast("long") for c in ("source", "target")], F.col("w").cast("double").alias("w"))
 
 
-@query("SELECT i, (CASE WHEN least(i // 4, 2) = 0 THEN 1.0 ELSE 0.0 END)::DOUBLE AS u0, (CASE WHEN least(i // 4, 2) = 1 THEN 1.0 ELSE 0.0 END)::DOUBLE AS u1, "
-       "0.6::DOUBLE AS w0_0, 0.06::DOUBLE AS w0_1, 42.0::DOUBLE AS edges FROM range(14) t(i)")
+@query("SELECT s_suppkey AS i, " + ", ".join(f"(least(n_regionkey, 2) = {k})::INT::DOUBLE AS u{k}" for k in range(2))
+       + ", 4.2 * 2 / (SELECT count(*) FROM supplier)::DOUBLE AS w0_0, 0.1 * (4.2 * 2 / (SELECT count(*) FROM supplier)::DOUBLE) AS w0_1, 42.0::DOUBLE AS edges "
+       "FROM supplier JOIN nation ON s_nationkey = n_nationkey")
 def saved_generator(spark, d):
-    """What a generator has drawn from, written and read back."""
-    path, w = folder(spark, "generated"), generators.affinity("assortative", 14, 2, 4.2)
-    members = generators.block_memberships(spark, 14, 3)
+    """What a generator has drawn from, written and read back: suppliers' blocks and the affinity for so many nodes."""
+    members = generators.memberships(networks.suppliers(spark, d), 3)
+    path, w = folder(spark, "generated"), generators.affinity("assortative", members.count(), 2, 4.2)
     sinks.write_generated(members, linalg.affinity_frame(spark, w[None]), {"edges": 42}, path)
     got = readers.read_parameters(spark, path)
     rows = got["nodes"].select("i", "u0", "u1").join(got["affinity"].select("w0_0", "w0_1"), F.lit(True))
     return rows.join(got["scalars"].select(F.col("value").alias("edges")), F.lit(True))
 
 
-@query(f"WITH {SNAPSHOTS}, {NODES}, rk AS (SELECT i AS label, row_number() OVER (ORDER BY i) - 1 AS idx FROM n WHERE i % 3 <> 0) "
+@query(f"WITH {SNAPSHOTS}, {NODES}, rk AS (SELECT i AS label, row_number() OVER (ORDER BY i) - 1 AS idx FROM (SELECT i FROM e WHERE a = 0 UNION SELECT j FROM e WHERE a = 0)) "
        "SELECT x.idx AS source, y.idx AS target, " + ", ".join(f"coalesce(sum(w) FILTER (a = {k}), 0)::DOUBLE AS weight_t{k}" for k in range(5))
        + " FROM e JOIN rk x ON x.label = e.i JOIN rk y ON y.label = e.j GROUP BY ALL")
 def saved_snapshots(spark, d):
-    """A temporal list of the nodes that are kept, with new numbers."""
+    """A temporal list of the first snapshot's nodes, with new numbers."""
     e, path = networks.handoff_t(spark, d), folder(spark, "snapshots")
-    kept = tensor.nodes_of(e).filter("i % 3 <> 0")
+    kept = tensor.nodes_of(e.filter("a = 0"))
     nodes = readers.node_index(kept.select(F.col("i").alias("source"), F.col("i").alias("target")))
     sinks.write_results(sinks.temporal_edges(e, 5, nodes), path)
     got = readers.read_delimited(spark, path, ",")
@@ -192,33 +193,35 @@ def largest_component(spark, d):
     return stats.largest_component(labels)
 
 
-def _sparse(spark, d) -> DataFrame:
-    """Orders of few customers of few suppliers: a network of several components."""
-    return networks.purchases(spark, d).filter("(i * 7 + j * 3) % 97 < 2")
+_STARS = """kd AS (SELECT z, (row_number() OVER (ORDER BY z) - 1)::INT AS a FROM (SELECT DISTINCT c_mktsegment AS z FROM customer)),
+e AS MATERIALIZED (SELECT a, c_custkey AS i, c_nationkey::BIGINT - 1000000 AS j, 1.0::DOUBLE AS w FROM customer JOIN kd ON z = c_mktsegment)"""
+_YEARS = """e AS (SELECT DISTINCT (year(o_orderdate) - 1995)::INT AS a, o_custkey AS i, 1000000 + l_suppkey AS j, 1.0::DOUBLE AS w
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE year(o_orderdate) >= 1998)"""
 
 
-_SPARSE = "e AS (SELECT * FROM (SELECT 0 AS a, o_custkey AS i, 1000000 + l_suppkey AS j, count(*)::DOUBLE AS w FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL) WHERE (i * 7 + j * 3) % 97 < 2)"
-
-
-@query(f"WITH {_SPARSE} SELECT c_custkey AS i FROM customer WHERE c_custkey NOT IN (SELECT i FROM e)")
+@query(f"WITH {_YEARS} SELECT c_custkey AS i FROM customer WHERE c_custkey NOT IN (SELECT i FROM e WHERE a BETWEEN 3 AND 5)")
 def isolated_nodes(spark, d):
-    """Customers without an edge in any layer of the sparse network."""
+    """Customers who bought nothing in 1998 to 2000: without an edge in any of these layers."""
+    orders = networks.table(spark, d, "orders").filter(F.year("o_orderdate").between(1998, 2000))
+    lines = networks.table(spark, d, "lineitem").select("l_orderkey", (F.col("l_suppkey") + 1_000_000).alias("j"))
+    layer = (F.year("o_orderdate") - 1998).alias("a")
+    e = lines.join(orders.select("o_orderkey", F.col("o_custkey").alias("i"), layer), F.col("l_orderkey") == F.col("o_orderkey"))
     nodes = networks.table(spark, d, "customer").select(F.col("c_custkey").alias("i"))
-    return stats.isolated(nodes, _sparse(spark, d), 1)
+    return stats.isolated(nodes, e.select("a", "i", "j"), 3)
 
 
-@query(with_(_SPARSE, *_labels("e")) + "SELECT i FROM l0 WHERE i NOT IN (SELECT i FROM inside)")
+@query(with_(_STARS, *_labels("e", 4)) + "SELECT i FROM l0 WHERE i NOT IN (SELECT i FROM inside)")
 def outside_component(spark, d):
-    """The nodes of a sparse network that are not in its largest component."""
-    e = _sparse(spark, d)
+    """The nodes that are not in the largest component, of a network of customers and their nations."""
+    e = networks.residents(spark, d)
     kept = stats.largest_component(stats.components(e, Checkpoints(spark, "outside").save))
     return stats.outside(tensor.nodes_of(e), kept)
 
 
-@query(with_(_SPARSE, *_labels("e")) + "SELECT a, i, j, w FROM e WHERE i IN (SELECT i FROM inside) AND j IN (SELECT i FROM inside)")
+@query(with_(_STARS, *_labels("e", 4)) + "SELECT a, i, j, w FROM e WHERE i IN (SELECT i FROM inside) AND j IN (SELECT i FROM inside)")
 def connected_edges(spark, d):
     """What a generator keeps: the edges of the largest component."""
-    return generators.connected(_sparse(spark, d), Checkpoints(spark, "connected").save)
+    return generators.connected(networks.residents(spark, d), Checkpoints(spark, "connected").save)
 
 
 # --- likelihoods ---
@@ -320,23 +323,31 @@ def _poisson(u: str, rate: str) -> str:
 
 
 _ALL3 = [f"{s}{k}" for s in "uv" for k in range(3)]
-_DRAWN = (
-    "b AS (SELECT i, least(i // 30, 2) AS blk, " + _uni("'3'", "'over'", "i") + " < 0.2 AS mixed, "
-    + ", ".join(f"pow({_uni(repr('3'), repr(c[0]), repr(c[1]), 'i')}, 10) AS d{c}" for c in _ALL3) + " FROM range(90) t(i)),\n"
+_SUPPLIERS = "nd AS (SELECT s_suppkey AS i, least(n_regionkey, 2) AS blk FROM supplier JOIN nation ON s_nationkey = n_nationkey)"
+_CUSTOMERS = "nd AS (SELECT c_custkey AS i, least(n_regionkey, 2) AS blk FROM customer JOIN nation ON c_nationkey = n_nationkey)"
+_MEMBERS = (
+    "b AS (SELECT i, blk, " + _uni("'3'", "'over'", "i") + " < 0.2 AS mixed, "
+    + ", ".join(f"pow({_uni(repr('3'), repr(c[0]), repr(c[1]), 'i')}, 10) AS d{c}" for c in _ALL3) + " FROM nd),\n"
     + "raw AS (SELECT i, " + ", ".join(f"CASE WHEN mixed THEN d{c} / (d{c[0]}0 + d{c[0]}1 + d{c[0]}2) ELSE (blk = {c[1]})::INT::DOUBLE END AS {c}" for c in _ALL3) + " FROM b),\n"
     + "m AS MATERIALIZED (SELECT i, u0, u1, u2, " + ", ".join(f"0.5::DOUBLE * u{k} + 0.5::DOUBLE * v{k} AS v{k}" for k in range(3)) + " FROM raw)"
 )
+_DRAWN = f"{_SUPPLIERS},\n{_MEMBERS}"
 
 
 def _aff(u: str, v: str, x: str = "s", y: str = "t") -> str:
     return "(" + " + ".join(f"{x}.{u}{k} * {y}.{v}{q} * {'0.2' if k == q else '0.02'}::DOUBLE" for k in range(3) for q in range(3)) + ")"
 
 
-_CELLS3 = f"cells3 AS MATERIALIZED (SELECT s.i, t.i AS j, {_aff('u', 'v')} AS lam, {_aff('v', 'u')} AS lam_t FROM m s, m t WHERE s.i <> t.i), tot AS (SELECT sum(lam) AS total FROM cells3)"
+_CELLS3 = f"cells3 AS MATERIALIZED (SELECT s.i, t.i AS j, {_aff('u', 'v')} AS lam, {_aff('v', 'u')} AS lam_t FROM m s, m t WHERE s.i <> t.i), tot AS (SELECT sum(lam) AS total, (SELECT 4.0::DOUBLE * count(*) FROM m) AS ne FROM cells3)"
+
 
+def _members(spark, d) -> DataFrame:
+    return generators.memberships(networks.suppliers(spark, d), 3, over=0.2, corr=0.5, seed=3)
 
-def _members(spark) -> DataFrame:
-    return generators.block_memberships(spark, 90, 3, over=0.2, corr=0.5, seed=3)
+
+def _edges(nodes: DataFrame) -> float:
+    """Four edges for each node are expected."""
+    return 4.0 * nodes.count()
 
 
 def _w() -> np.ndarray:
@@ -346,24 +357,26 @@ def _w() -> np.ndarray:
 @query(with_(_DRAWN) + f"SELECT i, {', '.join(r(c) + f' AS {c}' for c in _ALL3)} FROM m")
 def synthetic_members(spark, d):
     """Overlapping memberships, in and out correlated by half."""
-    return _members(spark)
+    return _members(spark, d)
 
 
-@query(with_(_DRAWN, _CELLS3, f"g AS (SELECT a::INT AS a, i, j, {_poisson(_uni(repr('1'), repr('e'), 'a', 'i', 'j'), 'lam * 400 / total')} AS w FROM cells3, tot, range(2) l(a))") + "SELECT * FROM g WHERE w > 0")
+@query(with_(_DRAWN, _CELLS3, f"g AS (SELECT a::INT AS a, i, j, {_poisson(_uni(repr('1'), repr('e'), 'a', 'i', 'j'), 'lam * ne / total')} AS w FROM cells3, tot, range(2) l(a))") + "SELECT * FROM g WHERE w > 0")
 def synthetic_mmsbm(spark, d):
-    return generators.mmsbm(_members(spark), _w(), 400, 2, seed=1)
+    m = _members(spark, d)
+    return generators.mmsbm(m, _w(), _edges(m), 2, seed=1)
 
 
 _SHARES = [" + ".join(f"(u{k} + v{k}) * {b}::DOUBLE" for k, b in enumerate(bs)) for bs in ((0.9, 0.1, 0.5), (0.1, 0.9, 0.5))]
 
 
-@query(with_(_DRAWN, _CELLS3, f"g AS (SELECT i, j, {_poisson(_uni(repr('1'), repr('e'), repr('0'), 'i', 'j'), 'lam * 200 / total')} AS w FROM cells3, tot)",
+@query(with_(_DRAWN, _CELLS3, f"g AS (SELECT i, j, {_poisson(_uni(repr('1'), repr('e'), repr('0'), 'i', 'j'), 'lam * 0.5 * ne / total')} AS w FROM cells3, tot)",
              "hf AS (SELECT least(i, j) AS i, greatest(i, j) AS j, sum(w) AS w FROM g WHERE w > 0 GROUP BY ALL)",
              f"z AS (SELECT i, CASE WHEN {_uni(repr('1'), repr('z'), 'i')} * (0.5 * ({_SHARES[0]}) + 0.5 * ({_SHARES[1]})) < 0.5 * ({_SHARES[0]}) THEN 'attr1' ELSE 'attr2' END AS z FROM m)")
        + "SELECT 0 AS a, x.i, x.j, x.w, z.z FROM (SELECT i, j, w FROM hf UNION ALL SELECT j, i, w FROM hf) x JOIN z ON z.i = x.i")
 def synthetic_mtcov(spark, d):
     beta = np.array([[0.9, 0.1], [0.1, 0.9], [0.5, 0.5]])
-    edges, attributes = generators.mtcov_network(_members(spark), _w(), beta, 400, 1, True, seed=1)
+    m = _members(spark, d)
+    edges, attributes = generators.mtcov_network(m, _w(), beta, _edges(m), 1, True, seed=1)
     return edges.join(attributes.select("i", "z"), "i")
 
 
@@ -371,33 +384,96 @@ def _both_ways(source: str) -> str:
     return f"SELECT 0 AS a, i, j, forth AS w FROM {source} WHERE forth > 0 UNION ALL SELECT 0, j, i, back FROM {source} WHERE back > 0"
 
 
-@query(with_(_DRAWN, _CELLS3, f"pr AS (SELECT i, j, {_uni(repr('1'), repr('coin'), 'i', 'j')} < 0.5 AS coin, lam * 200 / total AS x, lam_t * 200 / total AS y FROM cells3, tot WHERE i < j)",
+@query(with_(_DRAWN, _CELLS3, f"pr AS (SELECT i, j, {_uni(repr('1'), repr('coin'), 'i', 'j')} < 0.5 AS coin, lam * 0.5 * ne / total AS x, lam_t * 0.5 * ne / total AS y FROM cells3, tot WHERE i < j)",
              "ld AS (SELECT *, CASE WHEN coin THEN x ELSE y END AS lead, CASE WHEN coin THEN y ELSE x END AS rest FROM pr)",
              f"fs AS (SELECT *, {_poisson(_uni(repr('1'), repr('1'), 'i', 'j'), '(lead + 0.5 * rest) / 0.75')} AS one FROM ld)",
              f"sc AS (SELECT *, {_poisson(_uni(repr('1'), repr('2'), 'i', 'j'), '(rest + 0.5 * one)')} AS two FROM fs)",
              "fb AS (SELECT i, j, CASE WHEN coin THEN one ELSE two END AS forth, CASE WHEN coin THEN two ELSE one END AS back FROM sc)") + _both_ways("fb"))
 def synthetic_reciprocity(spark, d):
-    return generators.reciprocity_network(_members(spark), _w(), 400, 0.5, seed=1)
-
-
-_RATE = 400 * 0.7 / (90 * 89)
+    m = _members(spark, d)
+    return generators.reciprocity_network(m, _w(), _edges(m), 0.5, seed=1)
 
 
-@query(with_(f"pr AS (SELECT s.i, t.i AS j FROM range(90) s(i), range(90) t(i) WHERE s.i < t.i), fs AS (SELECT *, {_poisson(_uni(repr('1'), repr('1'), 'i', 'j'), f'{_RATE / 0.7!r}::DOUBLE')} AS forth FROM pr)",
-             f"fb AS (SELECT *, {_poisson(_uni(repr('1'), repr('2'), 'i', 'j'), f'({_RATE!r}::DOUBLE + 0.3 * forth)')} AS back FROM fs)") + _both_ways("fb"))
+@query(with_(_SUPPLIERS, "rt AS (SELECT 4.0::DOUBLE * count(*) * 0.7 / (count(*) * (count(*) - 1)) AS rate FROM nd)",
+             f"pr AS (SELECT s.i, t.i AS j, rate FROM nd s, nd t, rt WHERE s.i < t.i), fs AS (SELECT *, {_poisson(_uni(repr('1'), repr('1'), 'i', 'j'), 'rate / 0.7')} AS forth FROM pr)",
+             f"fb AS (SELECT *, {_poisson(_uni(repr('1'), repr('2'), 'i', 'j'), '(rate + 0.3 * forth)')} AS back FROM fs)") + _both_ways("fb"))
 def synthetic_reciprocity_only(spark, d):
-    return generators.reciprocity_only(spark, 90, 400, 0.3, seed=1)
+    ids = networks.suppliers(spark, d).select("i")
+    return generators.reciprocity_only(ids, _edges(ids), 0.3, seed=1)
 
 
 def _snapshot(t: int) -> str:
     u = _uni(repr("1"), repr("t"), repr(str(t)), "c.i", "c.j")
     if t == 0:
-        return f"s0 AS MATERIALIZED (SELECT c.i, c.j FROM cells3 c, tot WHERE {u} < 1 - exp(-400 / total * lam))"
-    birth = "1 - exp(-0.3 * (400 / total * lam + 0.2 * (b.i IS NOT NULL)::INT))"
+        return f"s0 AS MATERIALIZED (SELECT c.i, c.j FROM cells3 c, tot WHERE {u} < 1 - exp(-ne / total * lam))"
+    birth = "1 - exp(-0.3 * (ne / total * lam + 0.2 * (b.i IS NOT NULL)::INT))"
     return (f"s{t} AS MATERIALIZED (SELECT c.i, c.j FROM tot, cells3 c LEFT JOIN s{t - 1} h ON h.i = c.i AND h.j = c.j LEFT JOIN s{t - 1} b ON b.i = c.j AND b.j = c.i "
             f"WHERE CASE WHEN h.i IS NOT NULL THEN {u} >= 0.3 ELSE {u} < {birth} END)")
 
 
 @query(with_(_DRAWN, _CELLS3, *[_snapshot(t) for t in range(4)]) + " UNION ALL ".join(f"SELECT {t} AS a, i, j, 1.0::DOUBLE AS w FROM s{t}" for t in range(4)))
 def synthetic_dynamic(spark, d):
-    return generators.dynamic_network(_members(spark), _w(), 400, 4, 0.2, 0.3, Checkpoints(spark, "dynamic").save, seed=1)
+    m = _members(spark, d)
+    return generators.dynamic_network(m, _w(), _edges(m), 4, 0.2, 0.3, Checkpoints(spark, "dynamic").save, seed=1)
+
+
+# --- networks drawn edge by edge ---
+
+
+def _links(scale: str, name: str, layers: int, out: str) -> str:
+    """CTE of ``sparse.links``: numbers by sender and group, and receivers by an ASOF join with the groups' lines."""
+    rate = lambda q: "(" + " + ".join(f"u{k} * {'0.2' if k == q else '0.02'}::DOUBLE" for k in range(3)) + ")"
+    many = _poisson(_uni(repr("1"), repr(name), "a", "i", "q"), "rate")
+    return ", ".join([
+        f"{out}g AS (SELECT a::INT AS a, i, q, {scale} * top * CASE q WHEN 0 THEN {rate(0)} WHEN 1 THEN {rate(1)} ELSE {rate(2)} END AS rate, top FROM m, range({layers}) l(a), tops, sc)",
+        f"{out}n AS (SELECT *, {many}::BIGINT AS many FROM {out}g WHERE rate > 0)",
+        f"{out}e AS (SELECT a, i, q, top, unnest(range(1, many + 1)) AS n FROM {out}n WHERE many > 0)",
+        f"{out}y AS (SELECT *, {_uni(repr('1'), repr(name + ' to'), 'a', 'i', 'q', 'n')} * top AS y FROM {out}e)",
+        f"{out} AS MATERIALIZED (SELECT a, {out}y.i, j, {out}y.q, n FROM {out}y ASOF JOIN ln ON {out}y.q = ln.q AND {out}y.y >= ln.low WHERE {out}y.i <> j)",
+    ])
+
+
+_LINE = ("v3 AS (" + " UNION ALL ".join(f"SELECT i, {k} AS q, v{k} AS v FROM m" for k in range(3)) + "), "
+         "ln AS MATERIALIZED (SELECT i AS j, q, coalesce(sum(v) OVER (PARTITION BY q ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS low FROM v3 WHERE v > 0), "
+         "tops AS (SELECT q, sum(v) AS top FROM v3 WHERE v > 0 GROUP BY q)")
+_OFF = "sc AS MATERIALIZED (SELECT 4.0::DOUBLE * count(*) / (" + " + ".join(f"{'0.2' if k == q else '0.02'}::DOUBLE * (sum(u{k}) * sum(v{q}) - sum(u{k} * v{q}))" for k in range(3) for q in range(3)) + ") AS c FROM m)"
+_LARGE = (_CUSTOMERS, _MEMBERS, _LINE, _OFF)
+
+
+def _many(spark, d) -> DataFrame:
+    return generators.memberships(networks.customers(spark, d), 3, over=0.2, corr=0.5, seed=3)
+
+
+@query(with_(*_LARGE, _links("c", "e", 2, "lk")) + "SELECT a, i, j, count(*)::DOUBLE AS w FROM lk GROUP BY ALL")
+def sparse_mmsbm(spark, d):
+    """A planted network of all customers, two layers, drawn edge by edge."""
+    m = _many(spark, d)
+    return sparse.mmsbm(m, _w(), _edges(m), 2, seed=1)
+
+
+@query(with_(*_LARGE, _links("0.5 * c / 0.75", "1", 1, "fa"), _links("0.5 * c", "2", 1, "sa"),
+             f"fl AS (SELECT *, ({_uni(repr('1'), repr('coin'), 'least(i, j)', 'greatest(i, j)')} < 0.5) = (i < j) AS leads FROM fa)",
+             f"ft AS (SELECT CASE WHEN leads THEN i ELSE j END AS x, CASE WHEN leads THEN j ELSE i END AS y, count(*) AS w FROM fl WHERE leads OR {_uni(repr('1'), repr('share'), 'i', 'j', 'q', 'n')} < 0.5 GROUP BY 1, 2)",
+             f"bk AS (SELECT i, j, count(*) AS w FROM sa WHERE ({_uni(repr('1'), repr('coin'), 'least(i, j)', 'greatest(i, j)')} < 0.5) <> (i < j) GROUP BY 1, 2)",
+             f"an AS (SELECT y AS i, x AS j, {_poisson(_uni(repr('1'), repr('answer'), 'x', 'y'), '(0.5 * w)')}::BIGINT AS w FROM ft)")
+       + "SELECT 0 AS a, x AS i, y AS j, w::DOUBLE AS w FROM ft UNION ALL SELECT 0, i, j, sum(w)::DOUBLE FROM (SELECT * FROM bk UNION ALL SELECT * FROM an WHERE w > 0) GROUP BY i, j")
+def sparse_reciprocity(spark, d):
+    """A network of all customers with reciprocity of a half, drawn edge by edge."""
+    m = _many(spark, d)
+    return sparse.reciprocity_network(m, _w(), _edges(m), 0.5, seed=1)
+
+
+def _next(t: int) -> str:
+    stay = _uni(repr("1"), repr(f"stay{t}"), "i", "j")
+    answer = _uni(repr("1"), repr(f"answer{t}"), "j", "i")
+    return (f"z{t} AS MATERIALIZED (SELECT i, j FROM z{t - 1} WHERE {stay} >= 0.3 UNION ALL (SELECT i, j FROM (SELECT DISTINCT i, j FROM lk{t} "
+            f"UNION SELECT j, i FROM z{t - 1} WHERE {answer} < 1 - exp(-0.3 * 0.2)) WHERE (i, j) NOT IN (SELECT (i, j) FROM z{t - 1})))")
+
+
+@query(with_(*_LARGE, _links("c", "t0", 1, "lk0"), *[_links("0.3 * c", f"t{t}", 1, f"lk{t}") for t in range(1, 4)],
+             "z0 AS MATERIALIZED (SELECT DISTINCT i, j FROM lk0)", *[_next(t) for t in range(1, 4)])
+       + " UNION ALL ".join(f"SELECT {t} AS a, i, j, 1.0::DOUBLE AS w FROM z{t}" for t in range(4)))
+def sparse_dynamic(spark, d):
+    """Four snapshots of a network of all customers, births and deaths drawn edge by edge."""
+    m = _many(spark, d)
+    return sparse.dynamic_network(m, _w(), _edges(m), 4, 0.2, 0.3, Checkpoints(spark, "sparse").save, seed=1)

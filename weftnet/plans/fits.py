@@ -89,8 +89,8 @@ def cv_dyncrep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rolling(spark, net, {"K": [2]})
 
 
-def _members(spark) -> DataFrame:
-    return generators.block_memberships(spark, 90, 3, over=0.2, corr=0.5, seed=3)
+def _members(spark, sf_dir) -> DataFrame:
+    return generators.memberships(networks.suppliers(spark, sf_dir), 3, over=0.2, corr=0.5, seed=3)
 
 
 def _w() -> np.ndarray:
@@ -98,11 +98,13 @@ def _w() -> np.ndarray:
 
 
 def synthetic_joint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return generators.joint_network(_members(spark), _w(), 400, 20.0, seed=1)
+    members = _members(spark, sf_dir)
+    return generators.joint_network(members, _w(), 4.0 * members.count(), 20.0, seed=1)
 
 
 def synthetic_anomaly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return generators.anomaly_network(_members(spark), _w(), 400, 0.1, 0.8, seed=1)
+    members = _members(spark, sf_dir)
+    return generators.anomaly_network(members, _w(), 4.0 * members.count(), 0.1, 0.8, seed=1)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -93,3 +93,29 @@ def purchases(spark: SparkSession, sf_dir: str, offset: int = 1_000_000) -> Data
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_suppkey") + offset).cast("long").alias("j"))
     pairs = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("i", "j")
     return pairs.agg(F.count("*").cast("double").alias("w")).select(F.lit(0).alias("a"), "i", "j", "w")
+
+
+def suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(i, block): suppliers in three blocks by their nation's region, the third holds all but the first two regions."""
+    return _placed(spark, sf_dir, table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("i"), F.col("s_nationkey").alias("n_nationkey")))
+
+
+def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(i, block): customers in the same blocks."""
+    return _placed(spark, sf_dir, table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("i"), F.col("c_nationkey").alias("n_nationkey")))
+
+
+def _placed(spark: SparkSession, sf_dir: str, nodes: DataFrame) -> DataFrame:
+    nations = table(spark, sf_dir, "nation").select("n_nationkey", F.least("n_regionkey", F.lit(2)).alias("block"))
+    return nodes.join(nations, "n_nationkey").select("i", "block")
+
+
+def residents(spark: SparkSession, sf_dir: str, offset: int = 1_000_000) -> DataFrame:
+    """Customers linked to their nation, a layer per market segment in the order of its name: a star for each nation.
+
+    Nations' numbers are moved by ``offset`` below zero.
+    """
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("i"), (F.col("c_nationkey") - offset).cast("long").alias("j"), "c_mktsegment")
+    kinds = c.select("c_mktsegment").distinct()
+    kinds = kinds.withColumn("a", (F.row_number().over(Window.orderBy("c_mktsegment")) - 1).cast("int"))
+    return c.join(kinds, "c_mktsegment").select("a", "i", "j", F.lit(1.0).alias("w"))

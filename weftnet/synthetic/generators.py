@@ -37,20 +37,26 @@ def uniform(seed: int, *key: Column | str) -> Column:
 
 
 def block_memberships(spark: SparkSession, nodes: int, size: int, over: float = 0.0, corr: float = 1.0, alpha: float = 0.1, seed: int = 0) -> DataFrame:
-    """(i, u.., v..): N // K nodes per block, the rest in the last; a share ``over`` of nodes belongs to all.
+    """``memberships`` of nodes 0 .. N - 1 with N // K nodes per block, the rest in the last."""
+    block = F.least(F.floor(F.col("i") / (nodes // size)), F.lit(size - 1))
+    return memberships(spark.range(nodes).select(F.col("id").alias("i")).withColumn("block", block), size, over, corr, alpha, seed)
+
+
+def memberships(nodes: DataFrame, size: int, over: float = 0.0, corr: float = 1.0, alpha: float = 0.1, seed: int = 0) -> DataFrame:
+    """(i, u.., v..) of nodes (i, block), blocks from 0; a share ``over`` of nodes belongs to all.
 
     Mixed rows are normalised powers of uniforms, which for alpha = 1 are uniform on log scale; v equals u for
     corr = 1 and is drawn afresh for corr = 0.
     """
-    block = F.least(F.floor(F.col("i") / (nodes // size)), F.lit(size - 1))
+    block = F.col("block")
     mixed = uniform(seed, F.lit("over"), "i") < over
     draw = lambda side, k: F.pow(uniform(seed, F.lit(side), F.lit(k), "i"), F.lit(1 / alpha))
-    base = spark.range(nodes).select(F.col("id").alias("i"))
+    base = nodes.select("i", "block")
     for side in ("u", "v"):
         sums = total([draw(side, k) for k in range(size)])
         own = {f"{side}{k}": F.when(mixed, draw(side, k) / sums).otherwise((block == k).cast("double")) for k in range(size)}
         base = base.withColumns(own)
-    return base.withColumns({f"v{k}": corr * F.col(f"u{k}") + (1 - corr) * F.col(f"v{k}") for k in range(size)})
+    return base.withColumns({f"v{k}": corr * F.col(f"u{k}") + (1 - corr) * F.col(f"v{k}") for k in range(size)}).drop("block")
 
 
 #: A Poisson number of a larger rate is the sum of several of at most this rate.
@@ -163,10 +169,10 @@ def independent_network(members: DataFrame, w: np.ndarray, edges: float, seed: i
     return mmsbm(members, w, edges, 1, seed)
 
 
-def reciprocity_only(spark: SparkSession, nodes: int, edges: float, p: float, seed: int = 0) -> DataFrame:
-    """Reciprocity without communities: the second direction is Poisson(rate + p * first)."""
-    rate = edges * (1 - p) / (nodes * (nodes - 1))
-    ids = spark.range(nodes).select(F.col("id").alias("i"))
+def reciprocity_only(ids: DataFrame, edges: float, p: float, seed: int = 0) -> DataFrame:
+    """Reciprocity without communities among the nodes (i): the second direction is Poisson(rate + p * first)."""
+    nodes = ids.count()
+    rate = edges * (1 - p) / max(nodes * (nodes - 1), 1)
     cells = ids.crossJoin(ids.select(F.col("i").alias("j"))).filter("i < j")
     cells = cells.withColumn("forth", poisson_draw(uniform(seed, F.lit("1"), "i", "j"), F.lit(rate / (1 - p))))
     return _two_ways(cells.withColumn("back", poisson_draw(uniform(seed, F.lit("2"), "i", "j"), rate + p * F.col("forth"))))
