@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 MOST = 4096
 #: A key with fewer rows is no hub.
 LEAST = 1_000_000
-#: A part of a hub holds about this share of the rows that make a key a hub.
-FINE = 8
+#: A hub's part holds about this fraction of the rows that make a key a hub, so that parts even out over tasks.
+FINE = 64
 
 
 @dataclass(frozen=True)
