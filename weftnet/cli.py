@@ -46,7 +46,7 @@ def parser() -> argparse.ArgumentParser:
             sub.add_argument("--attr_name", default="Metadata")
         for key, value in model.defaults.items():
             if key != "start":
-                kind = int if key in {"K", "T", "rseed", "flag_data_T"} else kind_of(value)
+                kind = int if key in {"K", "T", "rseed", "flag_data_T", "batch_size"} else kind_of(value)
                 sub.add_argument(f"-{key}" if key == "K" else f"--{key}", dest=key, type=kind, default=value)
         for key, value in model.numeric.items():
             sub.add_argument(f"--{key}", type=kind_of(value), default=value)
