@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import hubs
+from ..functions import hubs, order
 from .tensor import nodes_of, with_previous, with_reverse
 
 
@@ -114,8 +114,10 @@ def components(edges: DataFrame, save, least: int = hubs.LEAST) -> DataFrame:
     """
     two = edges.select("i", "j").union(edges.select(F.col("j").alias("i"), F.col("i").alias("j"))).distinct()
     two = save(two.filter("i <> j"))
+    links = two.count()
     labels = save(nodes_of(edges).select("i", F.col("i").alias("c")))
-    busy, nodes = hubs.find(two, "j", least), labels.count()
+    busy, nodes = hubs.find(two, "j", least, links), labels.count()
+    two = order.spread(two, links, "j") if busy.table is None else two
     while True:
         around = busy.join(two, labels.select(F.col("i").alias("j"), F.col("c").alias("d")), "j", ["i"])
         nearest = around.groupBy("i").agg(F.min("d").alias("d"))
@@ -138,10 +140,14 @@ def largest_component(labels: DataFrame) -> DataFrame:
     return labels.join(F.broadcast(best), "component", "left_semi").select("i")
 
 
-def isolated(nodes: DataFrame, edges: DataFrame, layers: int) -> DataFrame:
-    """(i): the nodes without an edge in any layer, as the intersection of those without one in each."""
-    ends = edges.select("a", "i").union(edges.select("a", F.col("j").alias("i"))).distinct()
-    seen = ends.filter(F.col("a") < layers).select("i").distinct()
+def isolated(nodes: DataFrame, edges: DataFrame, layers: int, both: bool = True) -> DataFrame:
+    """(i): the nodes without an edge in any layer, as the intersection of those without one in each.
+
+    Without ``both``, of a network of two kinds of nodes, only senders are asked for; receivers' numbers may be the same.
+    """
+    edges = edges.filter(F.col("a") < layers)
+    seen = edges.select("i")
+    seen = (seen.union(edges.select(F.col("j").alias("i"))) if both else seen).distinct()
     return nodes.select("i").distinct().join(seen, "i", "left_anti")
 
 
