@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import order
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -91,7 +93,9 @@ def purchases(spark: SparkSession, sf_dir: str, offset: int = 1_000_000) -> Data
     """Bipartite: how many lines a customer has from a supplier, whose numbers are moved by ``offset``."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("i"))
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_suppkey") + offset).cast("long").alias("j"))
-    pairs = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("i", "j")
+    rows = lines.count()
+    lines, orders = order.spread(lines, rows, "l_orderkey"), order.spread(orders, rows, "o_orderkey")
+    pairs = order.spread(lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select("i", "j"), rows, "i", "j").groupBy("i", "j")
     return pairs.agg(F.count("*").cast("double").alias("w")).select(F.lit(0).alias("a"), "i", "j", "w")
 
 
