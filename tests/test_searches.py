@@ -61,3 +61,39 @@ def test_held_cells_are_not_listed(spark, name, same, monkeypatch):
 
     monkeypatch.setattr(masks, "fold_cells", listed)
     same(queries()[name], oracle_sql()[name])
+
+
+@pytest.mark.parametrize("algorithm", ["CRep", "MTCOV"])
+def test_searches_are_scored_in_one_pass(spark, algorithm, monkeypatch):
+    """Of all fits together, to the numbers that counts by bin give of each; nothing of the size of a network's cells is shuffled."""
+    net = _network(spark, networks.handoff(spark, SF, binary=True), 1, networks.user_modes(spark, SF))
+    monkeypatch.setattr(local, "MOST_PAIRS", 1)
+    given = ("MTCOV", net, {"K": [2], "gamma": [0.5, 0.75]}) if algorithm == "MTCOV" else ("CRep", net, {"K": [2, 3]})
+    many = getattr(blockwise, "MOST_POSITIVES", 0)
+    monkeypatch.setattr(blockwise, "MOST_POSITIVES", 0, raising=False)
+    one = cv.cross_validate(spark, *given, folds=2, max_iter=20).toPandas()
+    monkeypatch.setattr(blockwise, "MOST_POSITIVES", many)
+
+    def counted(*_):
+        raise AssertionError("cells are counted by bin, a fit at a time")
+
+    monkeypatch.setattr(blockwise, "aucs", counted)
+    two = cv.cross_validate(spark, *given, folds=2, max_iter=20).toPandas()[list(one.columns)]
+    assert np.allclose(one, two, rtol=0, atol=1e-12, equal_nan=True)
+
+
+def test_scores_of_several_layers(spark, monkeypatch):
+    """Small blocks, runs with other nodes, models whose scores depend on edges, cells that tie and a fold of all cells."""
+    rng, n = np.random.default_rng(4), 31
+    monkeypatch.setattr(blockwise, "SIDE", 8)
+    rows = [(a, i, j, 1.0 + (i + j) % 3) for a in range(2) for i in range(n) for j in range(n) if i != j and rng.random() < 0.15]
+    edges = spark.createDataFrame(rows, "a int, i long, j long, w double")
+    runs = []
+    for algorithm, size, count, fold in (("CRep", 2, n, masks.Fold(n, 3, 1)), ("JointCRep", 3, n, masks.Fold(n, 3, 2, 1)), ("ACD", 2, n - 3, masks.Fold(n, 3, 1)), ("MTCOV", 1, n, masks.Whole())):
+        values = np.round(rng.random((n, 2 * size)), 1)
+        frame = spark.createDataFrame([(i, *map(float, values[i])) for i in range(count)], ["i", *[f"{c}{k}" for c in "uv" for k in range(size)]])
+        used = blockwise.Scores(algorithm, (("eta", 0.4), ("mu", 0.2), ("pi", 0.3)))
+        runs.append(blockwise.Run(frame, rng.random((2, size)), used, fold, edges))
+    for run, found in zip(runs, blockwise.scored(runs), strict=True):
+        want = blockwise.aucs(run.params, run.w, edges, run.scores, run.fold)
+        assert set(want) <= set(found) and all(np.isclose(found[k], x, rtol=0, atol=1e-12) for k, x in want.items())
