@@ -25,13 +25,23 @@ def attribute_likelihood(known: DataFrame, size: int) -> DataFrame:
     return known.agg(F.sum(F.log(p / 2)).alias("loglik"))
 
 
-def conditional_likelihood(cells: DataFrame, beta: float, eps: float = 1e-10) -> DataFrame:
-    """Cells (lam, w, w_prev): births by log lam, survivors by log(1 - beta), deaths by log beta."""
+def _known(whole: float) -> Column:
+    """A sum over all cells; of a network without nodes it isn't a number, and null in SQL."""
+    return F.nullif(F.lit(float(whole)), F.lit(float("nan")))
+
+
+def conditional_likelihood(cells: DataFrame, beta: float, eps: float = 1e-10, whole: float | None = None) -> DataFrame:
+    """Cells (lam, w, w_prev): births by log lam, survivors by log(1 - beta), deaths by log beta.
+
+    With ``whole``, the factorised sum of lam over all cells, ``cells`` need only be those with an edge now or before.
+    """
     w, prev = F.col("w"), F.col("w_prev")
     born = F.when((w > 0) & (prev < 1), w * (1 - prev) * F.log(F.col("lam") + eps)).otherwise(0.0)
     kept = F.when((w > 0) & (prev > 0), w * prev).otherwise(0.0)
     gone = F.when((prev > 0) & (w < 1), (1 - w) * prev).otherwise(0.0)
-    out = -F.sum("lam") + F.sum(born) + float(np.log(1 - beta + eps)) * F.sum(kept) + float(np.log(beta + eps)) * F.sum(gone)
+    linked = lambda x: F.sum(x) if whole is None else F.coalesce(F.sum(x), F.lit(0.0))
+    every = F.sum("lam") if whole is None else _known(whole)
+    out = -every + linked(born) + float(np.log(1 - beta + eps)) * linked(kept) + float(np.log(beta + eps)) * linked(gone)
     return cells.agg(out.alias("loglik"))
 
 
@@ -51,11 +61,24 @@ def pseudo_likelihood(cells: DataFrame, edges: DataFrame, eta: float, mask: Data
     return known.agg((F.sum(log_part) - F.sum(m)).alias("loglik"))
 
 
+def fold_likelihood(linked: DataFrame, whole: float, size: int, assortative: bool, eta: float) -> DataFrame:
+    """``pseudo_likelihood`` of a part of all cells, from its linked cells (w, w_rev) with the parameters of their ends and
+    ``whole``, the sum of lam over all cells of the part."""
+    lam = mean(size, assortative)
+    m = lam + eta * F.col("w_rev")
+    log_part = F.when((F.col("w") > 0) & (m > 0), F.col("w") * F.log(m)).otherwise(0.0)
+    return linked.agg((F.coalesce(F.sum(log_part - eta * F.col("w_rev")), F.lit(0.0)) - _known(whole)).alias("loglik"))
+
+
 def auc(cells: DataFrame, score: str, positive: Column) -> DataFrame:
     """ROC area with ties averaged: cells are first summed by score, distinct scores are ordered range by range."""
-    by = cells.groupBy(score).agg(
-        F.sum(positive.cast("long")).alias("p"), F.sum((~positive).cast("long")).alias("n")
+    return counted_auc(
+        cells.groupBy(score).agg(F.sum(positive.cast("long")).alias("p"), F.sum((~positive).cast("long")).alias("n")), score
     )
+
+
+def counted_auc(by: DataFrame, score: str) -> DataFrame:
+    """``auc`` of positives p and negatives n by score, a row for each."""
     below = Window.partitionBy("range").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
     ranked = by.withColumn("range", ranges(by, [score])).withColumn("under", F.coalesce(F.sum("n").over(below), F.lit(0)))
     area = F.sum(F.col("p") * (F.col("under") + F.col("n") / 2)).alias("area")
@@ -78,6 +101,26 @@ def ranked_auc(cells: DataFrame, score: str, positive: Column) -> DataFrame:
     return parts.agg((1 - wrong / (F.sum("p") * F.sum("n"))).alias("auc"))
 
 
+def counted_ranked_auc(by: DataFrame, score: str, ties_after: int) -> DataFrame:
+    """``ranked_auc`` of positives p and negatives n by score, and of the cells that follow a positive of their score,
+    summed over the positives.
+
+    Negatives are what is after a positive in the order, without the positives among it.
+    """
+    row = by.agg(F.sum("p"), F.sum("n")).first()
+    p, n = int(row[0] or 0), int(row[1] or 0)
+    below = Window.partitionBy("range").orderBy(score).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = by.withColumn("range", ranges(by, [score])).withColumn("under", F.sum(F.col("p") + F.col("n")).over(below))
+    parts = ranked.groupBy("range").agg(
+        F.sum("p").alias("p"), F.sum(F.col("p") + F.col("n")).alias("c"), F.sum((F.col("p") * F.col("under")).cast("decimal(38,0)")).alias("at")
+    )
+    parts = parts.withColumn("before", earlier(parts, "c"))
+    at = parts.agg(F.sum(F.col("at") + (F.col("p") * F.col("before")).cast("decimal(38,0)"))).first()[0] or 0
+    wrong = p * (p + n) - int(at) + ties_after - p * (p - 1) // 2
+    value = 1 - wrong / (p * n) if p and n else None
+    return by.sparkSession.createDataFrame([(value,)], "auc double")
+
+
 def f1(cells: DataFrame, score: str, truth: Column, threshold: float = 0.1) -> DataFrame:
     hit = F.col(score) > threshold
     tp = F.sum((hit & truth).cast("long"))
@@ -100,12 +143,14 @@ def confusion(cells: DataFrame, truth: Column, predicted: Column) -> DataFrame:
 BINS, FEW = 1024, 4096
 
 
-def order_statistic(values: DataFrame, column: str, rank: int) -> float:
+def order_statistic(values: DataFrame, column: str, rank: int, weight: str | None = None) -> float:
     """The value at ``rank``, from 0, in ascending order: passes count values in bins and narrow to the bin it is in.
 
-    What reaches the driver is a row per bin, and at last the values of a bin of ``FEW`` or fewer.
+    What reaches the driver is a row per bin, and at last the values of a bin of ``FEW`` rows or fewer. A row counts
+    ``weight`` times, or once.
     """
     x = F.col(column)
+    times = F.lit(1) if weight is None else F.col(weight)
     low, high = (float(v) for v in values.agg(F.min(x), F.max(x)).first())
     while low < high:
         width = (high - low) / BINS
@@ -113,36 +158,45 @@ def order_statistic(values: DataFrame, column: str, rank: int) -> float:
             width = high - low
         place = F.least(F.floor((x - low) / width), F.lit(BINS - 1)).cast("int")
         held = values.filter(x.between(low, high))
-        rows = held.groupBy(place.alias("bin")).agg(F.count("*").alias("n"), F.min(x).alias("low"), F.max(x).alias("high"))
+        rows = held.groupBy(place.alias("bin")).agg(
+            F.sum(times).alias("n"), F.count("*").alias("rows"), F.min(x).alias("low"), F.max(x).alias("high")
+        )
         for row in sorted(rows.collect(), key=lambda r: r["bin"]):
             if rank < row["n"]:
                 break
             rank -= row["n"]
         low, high = float(row["low"]), float(row["high"])
-        if row["n"] <= FEW and low < high:
-            found = values.filter(x.between(low, high)).select(x).collect()
-            return sorted(float(r[0]) for r in found)[rank]
+        if row["rows"] <= FEW and low < high:
+            found = values.filter(x.between(low, high)).select(x, times.cast("long")).collect()
+            for value, n in sorted((float(r[0]), r[1]) for r in found):
+                if rank < n:
+                    return value
+                rank -= n
     return low
 
 
-def quantile(values: DataFrame, column: str, at: float) -> float | None:
-    """The exact quantile, between neighbours by their distance; nulls don't count, and of no values there is none."""
+def quantile(values: DataFrame, column: str, at: float, weight: str | None = None) -> float | None:
+    """The exact quantile, between neighbours by their distance; nulls don't count, and of no values there is none.
+    A row counts ``weight`` times, or once."""
     x = F.col(column)
     values = values.filter(x.isNotNull())
-    count = values.count()
+    count = values.count() if weight is None else values.agg(F.sum(weight)).first()[0]
     if not count:
         return None
     place = at * (count - 1)
     rank = int(place)
-    below = order_statistic(values, column, rank)
+    below = order_statistic(values, column, rank, weight)
     if rank == place:
         return below
-    row = values.agg(F.count_if(x <= below).alias("n"), F.min(F.when(x > below, x)).alias("next")).first()
+    reached = F.count_if(x <= below) if weight is None else F.sum(F.when(x <= below, F.col(weight)))
+    row = values.agg(reached.alias("n"), F.min(F.when(x > below, x)).alias("next")).first()
     above = below if rank + 1 < row["n"] else float(row["next"])
     return below + (above - below) * (place - rank)
 
 
-def tail(cells: DataFrame, score: str, at: float = 0.99) -> DataFrame:
-    """The cut over which a cell counts as an anomaly, and how many do."""
-    cut = quantile(cells, score, at)
-    return cells.agg(F.lit(cut).cast("double").alias("cut"), F.count_if(F.col(score) > F.lit(cut)).alias("n_above"))
+def tail(cells: DataFrame, score: str, at: float = 0.99, weight: str | None = None) -> DataFrame:
+    """The cut over which a cell counts as an anomaly, and how many do; a row is ``weight`` cells, or one."""
+    cut = quantile(cells, score, at, weight)
+    above = F.col(score) > F.lit(cut)
+    over = F.count_if(above) if weight is None else F.coalesce(F.sum(F.when(above, F.col(weight))), F.lit(0).cast("long"))
+    return cells.agg(F.lit(cut).cast("double").alias("cut"), over.alias("n_above"))
