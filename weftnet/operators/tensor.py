@@ -83,6 +83,11 @@ def bridges(params: DataFrame, columns: list[str], threshold: float = 0.2) -> Da
     return each.filter(F.col("x") > threshold)
 
 
+def fold_key(a, i, j):
+    """A cell's key, of columns or numbers, whose remainder is its fold."""
+    return a * 10007 + i * 7919 + j * 104729 + 17
+
+
 def fold_of(a: Column, i: Column, j: Column, folds: int) -> Column:
     """A cell's fold by a fixed affine hash, which never has to be stored."""
-    return F.pmod(a * 10007 + i * 7919 + j * 104729 + 17, F.lit(folds)).cast("int")
+    return F.pmod(fold_key(a, i, j), F.lit(folds)).cast("int")

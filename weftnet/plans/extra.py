@@ -249,11 +249,10 @@ def fitted_objective(spark, d):
 
 @query(_psl(f" WHERE {_FOLD}"))
 def masked_objective(spark, d):
-    """The same over the cells of one fold."""
-    s = handoff_start(spark, d)
-    cells = s.cells().select("a", "i", "j", "lam")
-    mask = masks.random_folds(cells, 3).filter("fold = 0")
-    return link.pseudo_likelihood(cells, s.edges, ETA, mask)
+    """The same over the cells of one fold: lam is summed by remainders of the nodes, the other terms are those of linked cells."""
+    s = Start(spark, Checkpoints(spark, "masked").save(networks.handoff(spark, d, binary=True)))
+    linked = masks.random_folds(tensor.closure(s.edges), 3).filter("fold = 0")
+    return link.fold_likelihood(s.rows(linked), masks.fold_mean(s.params, s.w, K, 3, 0), K, False, ETA)
 
 
 _HALF = _FACT.replace("su0", "bu0").replace("su1", "bu1")

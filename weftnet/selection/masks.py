@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import shuffle
-from ..operators.tensor import fold_of
+from ..functions.linalg import full, names
+from ..operators.tensor import fold_key, fold_of
 
 
 def all_cells(nodes: DataFrame, layers: int) -> DataFrame:
@@ -116,6 +117,20 @@ def fold_sizes(nodes: DataFrame, layers: int, folds: int) -> DataFrame:
     return random_folds(classes, folds).groupBy("fold").agg(F.sum(F.col("n") * F.col("m")).alias("n"))
 
 
+def fold_mean(params: DataFrame, w: np.ndarray, size: int, folds: int, fold: int) -> float:
+    """The sum of expected weights over the cells that ``random_folds`` puts into a fold: sums of u and v by the
+    remainder of their node (``folds`` rows) stand for their nodes, no pair is made."""
+    columns = [*names("u", size), *names("v", size)]
+    sums = params.groupBy(F.pmod("i", F.lit(folds)).alias("i")).agg(*[F.sum(c).alias(c) for c in columns]).collect()
+    if not sums:
+        return float("nan")
+    by = {int(r["i"]): np.array(r[1:], float) for r in sums}
+    return float(sum(
+        by[i][:size] @ x @ by[j][size:]
+        for a, x in enumerate(full(w)) for i in by for j in by if fold_key(a, i, j) % folds == fold
+    ))
+
+
 def random_mask(cells: DataFrame, share: float, seed: int = 0) -> DataFrame:
     """The cells that a draw of their own, a hash of seed and cell, takes with probability ``share``."""
     draw = F.pmod(F.xxhash64(F.lit(seed), "a", "i", "j"), F.lit(1 << 30)) / float(1 << 30)
