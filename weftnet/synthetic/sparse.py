@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 
 from ..functions import order
 from ..functions.linalg import names, total
+from ..models.em import Checkpoints
 from .generators import expected_total, poisson_draw, uniform
 
 
@@ -24,6 +25,8 @@ def line(members: DataFrame, size: int) -> DataFrame:
     The line is summed up range by range (``functions.order``), so no task holds all nodes.
     """
     ranged = members.select("i", *names("v", size)).withColumn("range", order.ranges(members, ["i"]))
+    # written, as Spark's plans ask for the range's key again where it has been pruned
+    ranged = Checkpoints(members.sparkSession, "line").save(ranged)
     sums = ranged.groupBy("range").agg(*[F.sum(f"v{k}").alias(f"s{k}") for k in range(size)])
     starts = sums.select("range", *[order.earlier(sums, f"s{k}").alias(f"s{k}") for k in range(size)])
     here = Window.partitionBy("range").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
